@@ -263,7 +263,7 @@ def task_effects(events: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFr
     rows = events.join(tasks.select("task_id", "target_id", "route_id", "provider", "cost"), "task_id") \
         .filter(F.col("target_id").isNotNull())
     sent = rows.filter(F.col("status") == "SUBMITTED").select(
-        "target_id", "provider", "cost", F.lit("HUMAN_ACTION").alias("method"), F.col("at").alias("sent_at"))
+        "target_id", "provider", "cost", F.lit("HUMAN_ACTION").alias("method"), F.col("ts").alias("sent_at"))
     broken = rows.filter((F.col("status") == "BROKEN_ROUTE") & F.col("route_id").isNotNull()).select("route_id", "target_id").distinct()
     return sent, broken
 
@@ -277,7 +277,7 @@ def responses_with_kind(responses: DataFrame) -> DataFrame:
 
 def follow_ups_due(sends: DataFrame, responses: DataFrame, keys, as_of, days: int = rules.FOLLOW_UP_DAYS) -> DataFrame:
     """Sends older than ``days`` without any response of the same key after them."""
-    last = responses.groupBy(*keys).agg(F.max("at").alias("__last"))
-    due = F.col("at") + F.make_dt_interval(F.lit(days))
+    last = responses.groupBy(*keys).agg(F.max("ts").alias("__last"))
+    due = F.col("ts") + F.make_dt_interval(F.lit(days))
     return (sends.join(last, list(keys), "left").withColumn("due_at", due)
-            .filter((F.col("due_at") <= moment(as_of)) & (F.col("__last").isNull() | (F.col("__last") < F.col("at")))).drop("__last"))
+            .filter((F.col("due_at") <= moment(as_of)) & (F.col("__last").isNull() | (F.col("__last") < F.col("ts")))).drop("__last"))
