@@ -71,4 +71,4 @@ def freshness_fit(days) -> Column:
 def days_until(value, as_of, floor: int | None = None) -> Column:
     """Whole days from ``as_of`` to ``value``, half to even, optionally floored."""
     n = F.bround(-days_since(value, as_of)).cast("bigint")
-    return n if floor is None else F.greatest(F.lit(floor), n).cast("bigint")
+    return n if floor is None else F.when(n.isNotNull(), F.greatest(F.lit(floor), n)).cast("bigint")

@@ -90,7 +90,7 @@ def route_merges(routes: DataFrame, outlets: DataFrame) -> DataFrame:
     keys = ["tenant_id", "site", "destination"]
     winner = open_rows.groupBy(*keys).agg(F.min("outlet_id").alias("winner_id"))
     return (open_rows.distinct().join(winner, keys).filter(F.col("outlet_id") != F.col("winner_id"))
-            .select("tenant_id", "winner_id", F.col("outlet_id").alias("loser_id")))
+            .select("tenant_id", "destination", "winner_id", F.col("outlet_id").alias("loser_id")))
 
 
 def name_suggestions(rows: DataFrame, scope: Sequence[str], row_id: str, name: str) -> DataFrame:

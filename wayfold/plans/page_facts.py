@@ -157,7 +157,7 @@ def extract(sanitised: DataFrame, url: str = "url", status: str = "http_status")
     judged = (base.withColumn("__best", best)
               .withColumn("classification", F.struct(
                   F.coalesce(F.col("__best.label"), F.lit("UNKNOWN")).alias("label"),
-                  F.coalesce(F.least(F.lit(0.95), F.col("__best.weight") / 100.0), F.lit(0.0)).alias("confidence"),
+                  F.when(F.col("__best").isNull(), 0.0).otherwise(F.least(F.lit(0.95), F.col("__best.weight") / 100.0)).alias("confidence"),
                   _class_excerpt(F.col("whole_text"), F.col("__best.place")).alias("excerpt"))).drop("__best"))
     return (judged
             .withColumn("submissions", submissions(text))

@@ -382,7 +382,7 @@ def suggested_allocation(totals: DataFrame, qualifying: DataFrame) -> DataFrame:
     n = cats.groupBy("campaign_id").agg(F.count("*").alias("categories"))
     left = totals.filter(F.col("remaining") > 0).select("campaign_id", "remaining")
     return (cats.join(n, "campaign_id").join(left, "campaign_id")
-            .withColumn("amount", F.bround(F.col("remaining") / F.col("categories"), 2)))
+            .withColumn("amount", F.bround(F.round("remaining", 2) / F.col("categories"), 2)))
 
 
 def service_edits(services: DataFrame, log: DataFrame, order=("seq",)) -> DataFrame:

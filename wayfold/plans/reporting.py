@@ -113,7 +113,7 @@ def placement_value(placements: DataFrame, outcomes: DataFrame, as_of, order=("c
         "duration_days", F.greatest(F.lit(0), F.datediff(end, F.col("added_date"))).cast("double"))
     parts = [(F.when(F.col(m) != 0, F.col(m)), w) for m, w in
              [*rules.PLACEMENT_WEIGHTS, ("duration_days", rules.PLACEMENT_DURATION_WEIGHT)]]
-    capped = [(F.least(F.lit(1.0), v / 1000), w) for v, w in parts]
+    capped = [(F.when(v.isNotNull(), F.least(F.lit(1.0), v / 1000)), w) for v, w in parts]
     return (rows.withColumn("score", sc.weighted_score(capped))
             .withColumn("state", F.when(F.col("score").isNull(), "UNMEASURED").otherwise("MEASURED"))
             .withColumn("cost_per_point", F.when((F.col("score") > 0) & (F.col("cost") > 0),
