@@ -190,13 +190,18 @@ def fill_template(template, **values) -> Column:
 def genres_in(text) -> Column:
     """Vocabulary genres in a text: specific ones first, then broad ones that are
     not already a word of a specific one."""
-    low = F.lower(F.coalesce(col_of(text), F.lit("")))
-    found = F.array_compact(F.array(*[
-        F.when(low.rlike(r"(?U)\b\Q" + g + r"\E\b"), F.lit(g)) for g in rules.GENRES]))
-    specific = F.filter(found, lambda g: g.contains(" ") | g.contains("-"))
-    broad = F.filter(found, lambda g: ~g.contains(" ") & ~g.contains("-")
-                     & ~F.exists(specific, lambda s: F.array_contains(F.split(s, " "), g)))
-    return F.concat(specific, broad)
+    names = sorted(rules.GENRES, key=len, reverse=True)
+    any_genre = "|".join(r"\Q" + g + r"\E" for g in names)
+    # a look-ahead finds names that lie inside one another
+    hits = F.regexp_extract_all(F.lower(F.coalesce(col_of(text), F.lit(""))),
+                                F.lit(r"(?U)(?=\b(" + any_genre + r")\b)"), F.lit(1))
+
+    def ordered(f: Column) -> Column:
+        specific = F.filter(f, lambda g: g.contains(" ") | g.contains("-"))
+        broad = F.filter(f, lambda g: ~g.contains(" ") & ~g.contains("-")
+                         & ~F.exists(specific, lambda s: F.array_contains(F.split(s, " "), g)))
+        return F.concat(specific, broad)
+    return F.transform(F.array(F.array_intersect(F.array(*[F.lit(g) for g in rules.GENRES]), hits)), ordered)[0]
 
 
 def allocation_category(service_type) -> Column:

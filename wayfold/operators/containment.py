@@ -1,83 +1,89 @@
 """Which names occur in which texts, without comparing every pair.
 
-A name can only occur where a piece of it occurs, so names and texts meet on an
-equi-join of anchors and the few candidates are then checked exactly:
+A name can only occur where a piece of it occurs.  A text is cut into its
+distinct words and the runs between them, and pieces meet names on equi-joins:
 
-* a name with three or more words is anchored on one of its inner words.  An
-  inner word has its own separators inside the name, so it is a whole word of
-  any text that holds the name.  The word that the fewest names share is taken.
-* a shorter name is anchored on its first 8, 4, 2 or 1 characters, the longest
-  that fits; texts offer their distinct pieces of those lengths.
+* a name with three or more words is anchored on an inner word.  That word has
+  its own separators inside the name, so it is a whole word of any text that
+  holds the name.  The inner word that the fewest names share is taken.
+* any other name is anchored on its longest word, which lies inside one word of
+  the text; anchors are first matched against the vocabulary of all texts,
+  which grows far slower than the texts do.
 
+Candidates carry keys only, and each is then checked against the whole text.
 The join side is left to Spark: a small name list is broadcast by its measured
-size, a large one is shuffled on the anchor and split by AQE when it is hot.
+size, a large one is shuffled and split by AQE where it is hot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAMS = (8, 4, 2, 1)
 WORD = r"(?U)[\p{Alnum}]+"
+RUN = r"(?U)[^\p{Alnum}]+"
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _pieces(text: Column, n: int) -> Column:
-    return F.when(F.length(text) >= n, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))))
+def _pieces(text: Column) -> Column:
+    return F.array_distinct(F.concat(_all(text, WORD), _all(text, RUN)))
 
 
-def _inner_anchor(names: DataFrame, scope: Sequence[str]) -> DataFrame:
-    inner = F.slice(F.col("__words"), 2, F.size("__words") - 2)
-    each = (names.filter(F.size("__words") >= 3)
-            .select(*scope, "__id", F.explode(F.array_distinct(inner)).alias("__anchor")))
-    shared = each.groupBy(*scope, "__anchor").agg(F.count("*").alias("__n"))
-    ranked = each.join(shared, [*scope, "__anchor"])
-    best = ranked.groupBy(*scope, "__id").agg(F.min_by(
-        "__anchor", F.struct("__n", -F.length("__anchor"), "__anchor")).alias("__anchor"))
-    return best.join(names, [*scope, "__id"])
+def _grams(text: Column) -> Column:
+    """Distinct character runs of the ladder lengths, found by a moving look-ahead."""
+    return F.array_distinct(F.concat(*[
+        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in GRAMS]))
 
 
-def contains_join(texts: DataFrame, names: DataFrame, text: str, name: str,
+def inside(words: DataFrame, anchors: DataFrame, word: str, anchor: str) -> DataFrame:
+    """(word, anchor) pairs where the word holds the anchor; both are short strings.
+
+    They meet on the first 8, 4, 2 or 1 characters of the anchor.
+    """
+    size = F.length(anchor)
+    width = F.when(size >= 8, 8).when(size >= 4, 4).when(size >= 2, 2).otherwise(1)
+    head = anchors.select(anchor, F.substring(F.col(anchor), F.lit(1), width).alias("__gram"))
+    offered = words.select(word, F.explode(_grams(F.col(word))).alias("__gram"))
+    return offered.join(head, "__gram").filter(F.contains(word, anchor)).select(word, anchor)
+
+
+def _inner_anchors(names: DataFrame, scope: Sequence[str]) -> DataFrame:
+    each = names.filter(F.size("__words") >= 3).select(*scope, "__fold", F.explode(F.array_distinct(
+        F.slice("__words", 2, F.size("__words") - 2))).alias("__piece"))
+    shared = each.groupBy(*scope, "__piece").agg(F.count("*").alias("__n"))
+    return each.join(shared, [*scope, "__piece"]).groupBy(*scope, "__fold").agg(
+        F.min_by("__piece", F.struct("__n", -F.length("__piece"), "__piece")).alias("__piece"))
+
+
+def contains_join(texts: DataFrame, names: DataFrame, key: Sequence[str], text: str, name: str,
                   scope: Sequence[str] = ()) -> DataFrame:
     """All (text row, name row) pairs where the text holds the name, case ignored.
 
-    ``scope`` columns (a tenant, for example) must be equal on both sides.  The
-    other columns of the two frames must have different names.
+    ``key`` identifies a text row together with ``scope``; scope columns (a tenant,
+    for example) must be equal on both sides.  All other columns need distinct names.
     """
-    scope = list(scope)
-    n = (names.withColumn("__fold", F.lower(name)).filter(F.length("__fold") > 0)
-         .withColumn("__words", _words(F.col("__fold")))
-         .withColumn("__id", F.xxhash64("__fold")))
-    carried = [c for c in names.columns if c not in scope]
-    t = texts.filter(F.col(text).isNotNull()).withColumn("__text", F.lower(text))
-    text_cols = [*texts.columns, "__text"]
-
-    long_ids = _inner_anchor(n.select(*scope, "__id", "__fold", "__words").distinct(), scope)
-    long_names = (n.filter(F.size("__words") >= 3)
-                  .join(long_ids.select(*scope, "__id", "__fold", "__anchor"), [*scope, "__id", "__fold"])
-                  .select(*scope, "__anchor", "__fold", *carried))
-    by_word = t.select(*text_cols, F.explode(F.array_distinct(_words(F.col("__text")))).alias("__anchor"))
-    pairs = by_word.join(long_names, [*scope, "__anchor"]).filter(F.contains("__text", "__fold"))
-
-    size = F.length("__fold")
-    width = F.when(size >= 8, 8).when(size >= 4, 4).when(size >= 2, 2).otherwise(1)
-    short_names = (n.filter(F.size("__words") < 3)
-                   .withColumn("__anchor", F.substring(F.col("__fold"), F.lit(1), width))
-                   .select(*scope, "__anchor", "__fold", *carried))
-    offered = F.concat(*[F.coalesce(_pieces(F.col("__text"), g), F.array().cast("array<string>"))
-                         for g in GRAMS])
-    by_piece = t.select(*text_cols, F.explode(offered).alias("__anchor"))
-    short_pairs = by_piece.join(short_names, [*scope, "__anchor"]).filter(F.contains("__text", "__fold"))
+    scope, key = list(scope), list(key)
+    folded = names.withColumn("__fold", F.lower(name)).filter(F.length("__fold") > 0)
+    distinct = folded.select(*scope, "__fold").distinct().withColumn("__words", _all(F.col("__fold"), WORD))
+
+    offered = texts.filter(F.col(text).isNotNull()).select(*scope, *key, F.explode(_pieces(F.lower(text))).alias("__piece"))
+    longest = F.coalesce(F.try_element_at(F.array_sort(
+        F.transform("__words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"], F.col("__fold"))
+    short = distinct.filter(F.size("__words") < 3).select(*scope, "__fold", longest.alias("__anchor"))
+    vocabulary = offered.select("__piece").distinct()
+    held = inside(vocabulary, short.select("__anchor").distinct(), "__piece", "__anchor")
+    meeting = _inner_anchors(distinct, scope).select(*scope, "__piece", "__fold").unionByName(
+        short.join(held, "__anchor").select(*scope, "__piece", "__fold"))
 
-    out = [*texts.columns, *carried]
-    return pairs.select(*out).unionByName(short_pairs.select(*out))
+    pairs = offered.join(meeting, [*scope, "__piece"]).select(*scope, *key, "__fold").distinct()
+    checked = texts.join(pairs, [*scope, *key]).filter(F.contains(F.lower(text), F.col("__fold")))
+    return checked.join(folded, [*scope, "__fold"]).drop("__fold")
 
 
 def term_search(pages: DataFrame, queries: DataFrame, page_id: str, text: str, query_id: str,
@@ -85,17 +91,14 @@ def term_search(pages: DataFrame, queries: DataFrame, page_id: str, text: str, q
     """Rank pages by how many query terms occur in them (as substrings).
 
     A repeated term counts each time.  A term is made of word characters only, so
-    it lies inside one word of the text: terms are matched against the corpus
-    vocabulary, which grows far slower than the texts.
+    it lies inside one word of the text.
     """
     from wayfold.functions.text import search_terms, tokens
+    from wayfold.operators.latest import first_n_per_key
     asked = (queries.select(query_id, F.explode(search_terms(query)).alias("term"))
              .groupBy(query_id, "term").agg(F.count("*").alias("times")))
     words = pages.select(page_id, F.explode(F.array_distinct(tokens(text))).alias("word"))
-    vocabulary = words.select("word").distinct()
-    hits = contains_join(vocabulary, asked.select("term").distinct(), "word", "term")
+    hits = inside(words.select("word").distinct(), asked.select("term").distinct(), "word", "term")
     found = words.join(hits, "word").select(page_id, "term").distinct()
-    scored = (found.join(asked, "term").groupBy(query_id, page_id)
-              .agg(F.sum("times").alias("score")))
-    from wayfold.operators.latest import first_n_per_key
+    scored = found.join(asked, "term").groupBy(query_id, page_id).agg(F.sum("times").alias("score"))
     return first_n_per_key(scored, [query_id], [F.col("score").desc(), F.col(page_id)], limit)

@@ -142,7 +142,7 @@ def coverage_events(records: DataFrame, watched: DataFrame, genres: DataFrame) -
         "tenant_id", "artist_id", F.col("name").alias("subject"), F.lit(None).cast("string").alias("genre_tag"))
     lanes = genres.select("tenant_id", F.lit(None).cast(dict(watched.dtypes)["artist_id"]).alias("artist_id"),
                           F.col("genre_tag").alias("subject"), "genre_tag")
-    met = contains_join(usable, names.unionByName(lanes), "visible_text", "subject", ["tenant_id"])
+    met = contains_join(usable, names.unionByName(lanes), ["url", "seq"], "visible_text", "subject", ["tenant_id"])
     trend = F.col("artist_id").isNull()
     kind = F.when(trend, tx.first_label(F.col("title"), F.col("visible_text"), rules.TREND_RULES)) \
         .otherwise(tx.first_label(F.col("title"), F.col("visible_text"), rules.COVERAGE_KIND_RULES))
