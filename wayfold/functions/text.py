@@ -46,19 +46,24 @@ def bounded_excerpt(text, limit: int = 400) -> Column:
             .otherwise(F.concat(F.rtrim(F.substring(flat, 1, limit)), F.lit("…"))))
 
 
-def excerpt_around(text, pattern: str, width: int) -> Column:
+def excerpt_around(text, pattern: str | Column, width: int) -> Column:
     """The first match with ``width // 2`` characters of context on each side.
 
     The offset is the length of everything before the match, so it counts code
-    points like ``substring`` does.
+    points like ``substring`` does.  A pattern column is one already known to
+    match, or null; so one expression serves a whole rule list.
     """
     text = col_of(text)
-    found = F.regexp_extract(text, UNICODE_I + pattern, 0)
-    before = F.regexp_extract(text, f"(?s)^(.*?){UNICODE_I}(?:{pattern})", 1)
+    fixed = isinstance(pattern, str)
+    core = F.lit(pattern) if fixed else pattern
+    hit = matches(text, pattern) if fixed else pattern.isNotNull()
+    found = F.call_function("regexp_extract", text, F.concat(F.lit(UNICODE_I), core), F.lit(0))
+    before = F.call_function("regexp_extract", text, F.concat(
+        F.lit(f"(?s)^(.*?){UNICODE_I}(?:"), core, F.lit(")")), F.lit(1))
     start = F.greatest(F.lit(0), F.length(before) - width // 2)
     end = F.least(F.length(text), F.length(before) + F.length(found) + width // 2)
     cut = F.substring(text, start + 1, end - start)
-    return F.when(matches(text, pattern), F.concat(
+    return F.when(hit, F.concat(
         F.when(start > 0, F.lit("…")).otherwise(F.lit("")), collapse_space(cut),
         F.when(end < F.length(text), F.lit("…")).otherwise(F.lit(""))))
 

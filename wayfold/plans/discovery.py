@@ -12,6 +12,7 @@ from wayfold.functions.when import days_since, parse_date_or_year, parse_time
 from wayfold.operators.joins import null_safe_join, or_key_flag
 from wayfold.operators.latest import newest_per_key, oldest_per_key
 from wayfold.plans import contacts, entities, page_facts, scoring
+from wayfold.session import materialize
 
 
 def verification_checks(rows: DataFrame) -> DataFrame:
@@ -33,18 +34,24 @@ def verification_checks(rows: DataFrame) -> DataFrame:
             "%d evidence packet(s) support this address", "evidence_count"))))))
 
 
-def discover(pages: DataFrame, campaigns: DataFrame, suppressions: DataFrame, relationships: DataFrame,
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """Admitted pages of a crawl as a written table of page records.
+
+    Everything after this step reads the table, so each page is parsed once.
+    """
+    return materialize(page_facts.page_records(pages.filter(web.block_reason("url").isNull())), "records")
+
+
+def discover(records: DataFrame, campaigns: DataFrame, suppressions: DataFrame, relationships: DataFrame,
              coverage: DataFrame, key: bytes, as_of) -> DataFrame:
-    """Pages of a crawl to scored, judged and qualified targets.
+    """Page records of a crawl to scored, judged and qualified targets.
 
-    ``pages(tenant_id, campaign_id, seq, url, html, http_status)``; ``campaigns``
-    holds one row per campaign with its settings and profile values.  The shuffles
-    are: methods per address, owner per recipient key, and the lookups.
+    ``records`` come from :func:`crawl_records` with tenant_id, campaign_id and seq;
+    ``campaigns`` holds one row per campaign with its settings and profile values.
+    The shuffles are: methods per address, owner per recipient key, and the lookups.
     """
-    admitted = pages.filter(web.block_reason("url").isNull())
-    records = page_facts.page_records(admitted).filter(
-        (F.col("page_state") == "OK") & ~web.is_platform("domain"))
-    base = newest_per_key(records, ["tenant_id", "campaign_id", "url"], ["seq"])
+    usable = records.filter((F.col("page_state") == "OK") & ~web.is_platform("domain"))
+    base = newest_per_key(usable, ["tenant_id", "campaign_id", "url"], ["seq"])
 
     every = contacts.methods_from_pages(base, key)
     folded = contacts.fold_methods(every, ["url", "position"])
@@ -53,8 +60,8 @@ def discover(pages: DataFrame, campaigns: DataFrame, suppressions: DataFrame, re
     judged = contacts.sendability(
         folded.withColumnRenamed("method_hash", "value_hash").withColumn("kind", F.lit("EMAIL"))
         .withColumn("restricted_only", F.lit(False)), register)
-    usable = every.filter(F.col("category").isin(rules.SENDABLE_CATEGORIES))
-    chosen = oldest_per_key(usable, ["tenant_id", "url"], ["position"], ["method_hash", "value"])
+    sendable = every.filter(F.col("category").isin(rules.SENDABLE_CATEGORIES))
+    chosen = oldest_per_key(sendable, ["tenant_id", "url"], ["position"], ["method_hash", "value"])
     evidence = every.groupBy("tenant_id", "method_hash").agg(F.count("*").alias("evidence_count"))
     contact = (chosen.withColumnRenamed("method_hash", "value_hash")
                .join(judged.select("tenant_id", "value_hash", "sendable", "blockers", "suppression_reason",
@@ -63,25 +70,21 @@ def discover(pages: DataFrame, campaigns: DataFrame, suppressions: DataFrame, re
                .join(evidence.withColumnRenamed("method_hash", "value_hash"), ["tenant_id", "value_hash"], "left")
                .withColumn("contact_domain", F.lower(F.substring_index("value", "@", -1))))
 
-    rows = base.join(contact, ["tenant_id", "url"], "left").withColumn("has_method", F.col("value_hash").isNotNull())
-    rows = rows.withColumn("route", entities.resolve_route(F.col("has_method"), F.lower(F.col("value"))))
+    texts = ["visible_text", "hidden_text", "whole_text", "links", "forms", "emails", "matches"]
+    rows = base.drop(*texts).join(contact, ["tenant_id", "url"], "left").withColumn("has_method", F.col("value_hash").isNotNull())
     stated = F.col("freshness.date")
-    rows = (rows.withColumn("outlet_id", ky.url_hash("url"))
-            .withColumn("kind", entities.outlet_kind(F.col("classification.label")))
-            .withColumn("dedup_key", ky.recipient_key("value_hash", "domain", "outlet_id"))
-            .withColumn("submissions_open", F.col("submissions.state"))
-            .withColumn("freshness_date", stated)
-            .withColumn("freshness_days", days_since(parse_date_or_year(stated), as_of))
-            .withColumn("last_activity_at", F.when(F.length(stated) == 10, parse_time(stated)))
-            .withColumn("description", F.col("meta_description"))
-            .withColumn("organization_id", F.col("domain"))
-            .withColumn("route_method", F.col("route.method"))
-            .withColumn("cost_model", F.col("cost.model")).withColumn("cost_amount", F.col("cost.amount"))
-            .withColumn("route_login", F.col("route.requires_login"))
-            .withColumn("route_captcha", F.col("route.requires_captcha"))
-            .withColumn("fetch_status", F.lit("OK")))
-    rows = verification_checks(rows)
-    owned = entities.owners(rows, ["campaign_id", "dedup_key"], "outlet_id", ["seq", "url"])
+    rows = rows.withColumns({
+        "route": entities.resolve_route(F.col("has_method"), F.lower(F.col("value"))), "outlet_id": ky.url_hash("url"),
+        "kind": entities.outlet_kind(F.col("classification.label")), "submissions_open": F.col("submissions.state"),
+        "freshness_date": stated, "freshness_days": days_since(parse_date_or_year(stated), as_of),
+        "last_activity_at": F.when(F.length(stated) == 10, parse_time(stated)), "description": F.col("meta_description"),
+        "organization_id": F.col("domain"), "cost_model": F.col("cost.model"), "cost_amount": F.col("cost.amount"),
+        "fetch_status": F.lit("OK")})
+    rows = verification_checks(rows.withColumns({
+        "dedup_key": ky.recipient_key("value_hash", "domain", "outlet_id"), "route_method": F.col("route.method"),
+        "route_login": F.col("route.requires_login"), "route_captcha": F.col("route.requires_captcha")}))
+    # resolved targets are a table of their own, as every later step reads them
+    owned = materialize(entities.owners(rows, ["campaign_id", "dedup_key"], "outlet_id", ["seq", "url"]), "targets")
 
     live = owned.filter(~F.col("is_duplicate"))
     live = or_key_flag(live, coverage.filter(F.col("artist_id").isNotNull()),
@@ -89,13 +92,11 @@ def discover(pages: DataFrame, campaigns: DataFrame, suppressions: DataFrame, re
     live = null_safe_join(live.withColumn("contact_id", F.col("value_hash")), relationships.select(
         "tenant_id", "contact_id", "outlet_id", "accepted_count", "declined_count", "placement_count",
         F.lit(True).alias("has_relationship")), ["tenant_id", "contact_id", "outlet_id"])
-    live = (live.join(campaigns.drop("tenant_id"), "campaign_id")
-            .withColumn("requires_login", F.col("route_login")).withColumn("requires_captcha", F.col("route_captcha"))
-            .withColumn("follower_count", F.lit(None).cast("bigint"))
-            .withColumn("follower_count_source", F.lit(None).cast("string"))
-            .withColumn("corroborating_domains", F.lit(1)).withColumn("has_contact", F.col("has_method"))
-            .withColumn("territory", F.lit(None).cast("string")).withColumn("outlet_domain", F.col("domain"))
-            .withColumn("send_stop", F.lit(False)))
+    none = F.lit(None).cast("string")
+    live = live.join(campaigns.drop("tenant_id"), "campaign_id").withColumns({
+        "requires_login": F.col("route_login"), "requires_captcha": F.col("route_captcha"),
+        "follower_count": F.lit(None).cast("bigint"), "follower_count_source": none, "corroborating_domains": F.lit(1),
+        "has_contact": F.col("has_method"), "territory": none, "outlet_domain": F.col("domain"), "send_stop": F.lit(False)})
     scored = scoring.assess_risk(scoring.score_opportunities(live, as_of), as_of)
     done = scoring.qualify(scoring.decide(scored))
     shape = ["tenant_id", "campaign_id", "outlet_id", "url", "domain", "outlet_name", "kind", "dedup_key",

@@ -35,20 +35,12 @@ def class_matches(whole: Column, title: Column) -> Column:
         for place, (label, weight, pattern) in enumerate(rules.PAGE_CLASS_RULES)]))
 
 
-def _class_excerpt(whole: Column, place: Column) -> Column:
-    chain = None
-    for i, (_l, _w, pattern) in enumerate(rules.PAGE_CLASS_RULES):
-        value = tx.excerpt_around(whole, pattern, 160)
-        chain = F.when(place == -i, value) if chain is None else chain.when(place == -i, value)
-    return chain
-
-
-def _first_excerpt(text: Column, patterns) -> Column:
+def first_hit(text: Column, patterns) -> Column:
+    """The first pattern that matches, as a column; null when none does."""
     chain = None
     for pattern in patterns:
         hit = tx.matches(text, pattern)
-        value = tx.excerpt_around(text, pattern, 160)
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
+        chain = F.when(hit, F.lit(pattern)) if chain is None else chain.when(hit, F.lit(pattern))
     return chain
 
 
@@ -58,8 +50,7 @@ def submissions(text: Column) -> Column:
     return F.struct(
         F.when(closed, "CLOSED").when(is_open, "OPEN").otherwise("UNKNOWN").alias("state"),
         F.when(closed, 0.85).when(is_open, 0.8).otherwise(0.0).alias("confidence"),
-        F.when(closed, _first_excerpt(text, rules.CLOSED_PATTERNS))
-        .when(is_open, _first_excerpt(text, rules.OPEN_PATTERNS)).alias("excerpt"))
+        tx.excerpt_around(text, first_hit(text, [*rules.CLOSED_PATTERNS, *rules.OPEN_PATTERNS]), 160).alias("excerpt"))
 
 
 def cost(text: Column, label: Column) -> Column:
@@ -79,9 +70,8 @@ def cost(text: Column, label: Column) -> Column:
         .when(priced, F.replace(raw, F.lit(","), F.lit(".")).try_cast("double")).alias("amount"),
         F.when(~guaranteed & priced, F.coalesce(tx.lookup(money[1], rules.CURRENCY_BY_SYMBOL),
                                                 F.upper(F.nullif(money[4], F.lit(""))))).alias("currency"),
-        F.when(guaranteed, F.lit(None)).when(free, tx.excerpt_around(text, rules.FREE_SUBMISSION_PATTERN, 160))
-        .when(fee, tx.excerpt_around(text, rules.FEE_PATTERN, 160))
-        .when(ad, tx.excerpt_around(text, rules.AD_OFFER_PATTERN, 160)).alias("excerpt"),
+        tx.excerpt_around(text, F.when(guaranteed, F.lit(None).cast("string")).when(free, F.lit(rules.FREE_SUBMISSION_PATTERN))
+                          .when(fee, F.lit(rules.FEE_PATTERN)).when(ad, F.lit(rules.AD_OFFER_PATTERN)), 160).alias("excerpt"),
         F.when(guaranteed, 0.9).when(free | fee, 0.8).when(ad, 0.6).otherwise(0.0).alias("confidence"))
 
 
@@ -137,10 +127,11 @@ def declared_links(links: Column, domain: Column) -> Column:
         return (F.lower(link["href"]).rlike("^https?://")
                 & (web.registrable_domain(web.host_of(link["href"])) == domain))
     mine = F.filter(F.coalesce(links, F.array().cast("array<struct<href:string,raw_href:string,text:string>>")), own)
-    return F.struct(*[
-        F.try_element_at(F.filter(mine, lambda k, p=pattern: tx.matches(
-            F.concat_ws(" ", k["href"], F.coalesce(k["text"], F.lit(""))), p)), F.lit(1))["href"].alias(name)
-        for name, pattern in rules.DECLARED_LINKS])
+
+    def reads_like(pattern: str):
+        return lambda link: tx.matches(F.concat_ws(" ", link["href"], F.coalesce(link["text"], F.lit(""))), pattern)
+    return F.struct(*[F.try_element_at(F.filter(mine, reads_like(pattern)), F.lit(1))["href"].alias(name)
+                      for name, pattern in rules.DECLARED_LINKS])
 
 
 def extract(sanitised: DataFrame, url: str = "url", status: str = "http_status") -> DataFrame:
@@ -158,20 +149,21 @@ def extract(sanitised: DataFrame, url: str = "url", status: str = "http_status")
               .withColumn("classification", F.struct(
                   F.coalesce(F.col("__best.label"), F.lit("UNKNOWN")).alias("label"),
                   F.when(F.col("__best").isNull(), 0.0).otherwise(F.least(F.lit(0.95), F.col("__best.weight") / 100.0)).alias("confidence"),
-                  _class_excerpt(F.col("whole_text"), F.col("__best.place")).alias("excerpt"))).drop("__best"))
-    return (judged
-            .withColumn("submissions", submissions(text))
-            .withColumn("cost", cost(text, F.col("classification.label")))
-            .withColumn("genres", tx.genres_in("whole_text"))
-            .withColumn("contacts", contact_candidates(F.col("emails")))
-            .withColumn("submission_links", submission_links(F.col("links")))
-            .withColumn("requires_login", tx.matches_any(text, rules.LOGIN_PATTERNS))
-            .withColumn("requires_captcha", tx.matches(
-                F.concat_ws(" ", text, F.array_join(F.transform("links", lambda k: k["href"]), " ")),
-                rules.CAPTCHA_PATTERN))
-            .withColumn("freshness", freshness(F.col("last_modified_hint"), text))
-            .withColumn("outlet_name", outlet_name(title, F.col("domain")))
-            .withColumn("injection_findings", tx.injection_labels("hidden_text", "visible_text", url)))
+                  tx.excerpt_around(F.col("whole_text"), F.element_at(
+                      F.array(*[F.lit(p) for _l, _w, p in rules.PAGE_CLASS_RULES]), 1 - F.col("__best.place")), 160).alias("excerpt")))
+              .drop("__best"))
+    return judged.withColumns({
+        "submissions": submissions(text),
+        "cost": cost(text, F.col("classification.label")),
+        "genres": tx.genres_in("whole_text"),
+        "contacts": contact_candidates(F.col("emails")),
+        "submission_links": submission_links(F.col("links")),
+        "requires_login": tx.matches_any(text, rules.LOGIN_PATTERNS),
+        "requires_captcha": tx.matches(
+            F.concat_ws(" ", text, F.array_join(F.transform("links", lambda k: k["href"]), " ")), rules.CAPTCHA_PATTERN),
+        "freshness": freshness(F.col("last_modified_hint"), text),
+        "outlet_name": outlet_name(title, F.col("domain")),
+        "injection_findings": tx.injection_labels("hidden_text", "visible_text", url)})
 
 
 def is_offer_page(whole: Column) -> Column:

@@ -21,6 +21,12 @@ def _row(family: Column | str, query: Column, territory: Column | None = None,
                     (language if language is not None else F.lit("en")).alias("language"))
 
 
+def _filler(family: str, template: str, territory: Column | None = None):
+    """Row builder for one template: the genre fills both genre holes."""
+    more = {} if territory is None else {"territory": territory}
+    return lambda genre: _row(family, tx.fill_template(F.lit(template), genre=genre, microgenre=genre, **more))
+
+
 def _flat(*arrays: Column) -> Column:
     return F.flatten(F.array(*arrays))
 
@@ -50,9 +56,7 @@ def campaign_queries(campaigns: DataFrame, budget: int = rules.DEFAULT_SEARCH_BU
     def channel_rows() -> Column:
         parts = []
         for channel, templates in rules.CHANNEL_TEMPLATES.items():
-            filled = _flat(*[
-                F.transform(F.concat(genres, micros), lambda g, t=t: _row(
-                    channel, tx.fill_template(F.lit(t), genre=g, microgenre=g))) for t in templates])
+            filled = _flat(*[F.transform(F.concat(genres, micros), _filler(channel, t)) for t in templates])
             parts.append(F.struct(F.lit(channel).alias("channel"), filled.alias("rows")))
         table = F.map_from_entries(F.array(*parts))
         return F.flatten(F.transform("channels", lambda c: F.coalesce(
@@ -87,8 +91,7 @@ def promotion_queries(tenants: DataFrame, budget: int = rules.PROMOTION_SEARCH_C
     parts = []
     for family, templates in rules.PROMOTION_TEMPLATES.items():
         for t in templates:
-            parts.append(F.transform(values, lambda g, t=t, f=family: _row(
-                f, tx.fill_template(F.lit(t), genre=g, microgenre=g, territory=territory))))
+            parts.append(F.transform(values, _filler(family, t, territory)))
     seeds = F.array(*[_row("SEED", F.lit(f'"{n}" pricing submission terms')) for n in rules.SEED_SERVICES])
     plan = F.concat(*parts, seeds)
     return _interleaved(tenants.select("tenant_id", plan.cast(PLAN).alias("plan")), ["tenant_id"], budget)

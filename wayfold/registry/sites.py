@@ -1 +1,316 @@
-"""Registered queries."""
+"""Page queries: hosts, admission, budgets, page records, the discovery funnel."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wayfold import rules
+from wayfold.functions import keys as ky
+from wayfold.functions import web
+from wayfold.operators import latest
+from wayfold.plans import discovery, entities, page_facts, planning, promotion
+from wayfold.plans.reporting import stop_reason
+from wayfold.registry.base import AS_OF, bound, query
+from wayfold.sources.pages import read_pages
+
+HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
+SITE = "array_to_string(string_split({h}, '.')[-2:], '.')"
+
+
+def crawl(spark, root):
+    return bound(spark, root, "crawl").select("page_id", "url").withColumn("host", web.host_of("url"))
+
+
+@query("H3, H4, E4, A5, A26, W2", f"""
+WITH p AS (SELECT page_id, {HOST} AS host FROM crawl)
+SELECT host, {SITE.format(h='host')} AS site, min(page_id) AS owner_page, count(*) AS pages, count(*) - 1 AS duplicates,
+ CAST(round_even((count(*) - 1) / count(*) * 100, 0) AS BIGINT) AS duplicate_pct,
+ CASE WHEN count(*) >= 20 AND (count(*) - 1) / count(*) > 0.6 THEN 'Duplicate rate ' || CAST(round_even((count(*) - 1) / count(*) * 100, 0) AS BIGINT) || '% — diminishing returns' END AS stop_reason
+FROM p GROUP BY 1, 2
+""", "crawl")
+def pages_per_host(spark, root):
+    sums = crawl(spark, root).groupBy("host").agg(F.min("page_id").alias("owner_page"), F.count("*").alias("pages"))
+    rows = sums.withColumns({"duplicates": F.col("pages") - 1, "total": F.col("pages"), "qualified": F.lit(1000), "site": web.registrable_domain("host"),
+                             "search_budget": F.lit(1), "searches_used": F.lit(0), "campaign_status": F.lit("ACTIVE")})
+    from wayfold.functions.score import percent
+    return stop_reason(rows).select("host", "site", "owner_page", "pages", "duplicates",
+                                    percent("duplicates", "pages").alias("duplicate_pct"), "stop_reason")
+
+
+@query("E4, W2", f"""
+SELECT page_id, min(page_id) OVER w AS owner_id, count(*) OVER w AS members, page_id <> min(page_id) OVER w AS is_duplicate
+FROM (SELECT page_id, {HOST} AS host FROM crawl) WINDOW w AS (PARTITION BY host)
+""", "crawl")
+def page_owners(spark, root):
+    return entities.owners(crawl(spark, root), ["host"], "page_id", ["page_id"]).select("page_id", "owner_id", "members", "is_duplicate")
+
+
+@query("X5, X2, H3", f"""
+WITH p AS (SELECT page_id, url, {HOST} AS host FROM crawl)
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'contact:' || sha256(host) WHEN page_id % 3 = 1 THEN 'domain:' || {SITE.format(h='host')} ELSE 'outlet:' || page_id END AS dedup_key,
+ sha256(lower(trim(url))) AS url_hash, sha256(lower(trim('trend|' || host || '|' || url))) AS event_key FROM p
+""", "crawl")
+def recipient_keys(spark, root):
+    third = F.col("page_id") % 3
+    return crawl(spark, root).select(
+        "page_id", ky.recipient_key(F.when(third == 0, F.sha2(F.encode("host", "utf-8"), 256)), F.when(third == 1, F.col("host")), F.col("page_id")).alias("dedup_key"),
+        ky.url_hash("url").alias("url_hash"), ky.coverage_key(F.lit(None), F.col("host"), F.col("url")).alias("event_key"))
+
+
+VARIANTS = ["{u}", "ftp{r}", "{s}://localhost/{p}", "{s}://169.254.169.254/{p}", "{s}://10.1.2.3/{p}", "{s}://8.8.8.8/{p}", "{s}://x.internal/{p}",
+            "{s}://a.example:9999/{p}", "{s}://a.example:8443/{p}", "{s}://a.example/{p}.zip", "{s}://a.example/f.exe?x={p}", "{s}://192.168.0.{p}/"]
+WHY = [None, "BLOCKED_SCHEME", "BLOCKED_HOSTNAME", "BLOCKED_METADATA_ENDPOINT", "BLOCKED_PRIVATE_IP", None, "BLOCKED_HOSTNAME", "BLOCKED_PORT", None,
+       "BLOCKED_FILE_TYPE", "BLOCKED_FILE_TYPE", "BLOCKED_PRIVATE_IP"]
+
+
+def url_variants(spark, root):
+    scheme, rest = F.regexp_extract("url", "^([a-z]+)", 1), F.regexp_extract("url", "^[a-z]+(.*)$", 1)
+    page = (F.col("page_id") % 250).cast("string")
+
+    def build(pattern: str):
+        out = F.lit(pattern)
+        for hole, value in (("{u}", F.col("url")), ("{r}", rest), ("{s}", scheme), ("{p}", page)):
+            out = F.replace(out, F.lit(hole), value)
+        return out
+    return bound(spark, root, "crawl").select("page_id", F.posexplode(F.array(*[build(v) for v in VARIANTS])).alias("variant", "url"))
+
+
+@query("F6", "SELECT page_id, v.variant, v.reason FROM crawl, (VALUES " + ", ".join(
+    f"({i}, {repr(w) if w else 'NULL'})" for i, w in enumerate(WHY)) + ") v(variant, reason)", "crawl")
+def url_admission(spark, root):
+    return url_variants(spark, root).select("page_id", "variant", web.block_reason("url").alias("reason"))
+
+
+@query("F7", """
+SELECT page_id, CASE WHEN page_id % 4 = 1 THEN 'DISALLOWED_MIME_TYPE' WHEN length(html) > 5000 THEN 'RESPONSE_TOO_LARGE' END AS reason FROM crawl
+""", "crawl")
+def response_admission(spark, root):
+    mime = F.when(F.col("page_id") % 4 == 0, "text/html; charset=utf-8").when(F.col("page_id") % 4 == 1, "image/png").when(F.col("page_id") % 4 == 2, "")
+    return bound(spark, root, "crawl").select("page_id", web.response_block_reason(mime, F.length("html"), 5000).alias("reason"))
+
+
+@query("F8, H3", """
+SELECT page_id, page_id % 3 = 0 AS is_platform FROM crawl
+""", "crawl")
+def platform_hosts(spark, root):
+    sites = F.array(F.lit("open.spotify.com"), F.lit("band.example.co.uk"), F.lit("label.bandcamp.com"))
+    host = F.element_at(sites, (F.col("page_id") % 3 + 1).cast("int"))
+    return bound(spark, root, "crawl").select("page_id", web.is_platform(host).alias("is_platform"))
+
+
+@query("W9", f"""
+SELECT page_id, CASE WHEN row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) > 3 THEN 'DOMAIN_BUDGET' END AS skipped FROM crawl
+""", "crawl")
+def capped_pages_per_host(spark, root):
+    return latest.cap_per_key(crawl(spark, root), ["host"], ["page_id"], 3, "DOMAIN_BUDGET").select("page_id", "skipped")
+
+
+@query("P6, F6, F8, W9", "WITH v AS (SELECT page_id, v.variant, v.reason, CASE v.variant WHEN 0 THEN " + SITE.format(h=HOST) +
+       " WHEN 5 THEN '8.8' ELSE 'a.example' END AS dom FROM crawl, (VALUES " + ", ".join(
+    f"({i}, {repr(w) if w else 'NULL'})" for i, w in enumerate(WHY)) + """) v(variant, reason)),
+o AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY dom, reason IS NULL ORDER BY page_id * 100 + variant) END AS rn FROM v)
+SELECT page_id * 100 + variant AS seq, coalesce(reason, CASE WHEN rn > 8 THEN 'DOMAIN_BUDGET' END) AS reason FROM o
+""", "crawl")
+def fetch_list(spark, root):
+    results = url_variants(spark, root).select(F.lit(1).alias("campaign_id"), (F.col("page_id") * 100 + F.col("variant")).alias("seq"), "url")
+    return planning.fetch_list(results).select("seq", "reason")
+
+
+UNESC = "replace(replace(replace(replace({t}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query("P1, S7, Z2", f"""
+SELECT page_id, nullif(trim(regexp_replace({UNESC.format(t="regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')), '') AS title FROM crawl
+""", "crawl")
+def page_titles(spark, root):
+    return read_pages(bound(spark, root, "crawl")).select("page_id", "title")
+
+
+@query("P1, P2, H20, H21, H22, F13, H16, H17", None)
+def page_records(spark, root):
+    rows = page_facts.page_records(bound(spark, root, "crawl"))
+    return rows.select("page_id", "domain", "page_state", "title", "outlet_name", "classification.label", "classification.confidence",
+                       F.col("submissions.state").alias("submissions_open"), F.col("cost.model").alias("cost_model"), F.size("links").alias("links"),
+                       F.size("contacts").alias("contacts"), F.length("visible_text").alias("text_length"), F.array_join("genres", ",").alias("genres"),
+                       F.col("freshness.date").alias("freshness_date"), F.size("injection_findings").alias("injections"))
+
+
+@query("P7, P8, S13", None)
+def page_evidence(spark, root):
+    pages = bound(spark, root, "crawl").withColumn("tenant_id", F.lit(1))
+    records = page_facts.page_records(pages)
+    refused = url_variants(spark, root).select("url", F.lit(1).alias("tenant_id"), web.block_reason("url").alias("block_reason")).filter("block_reason IS NOT NULL")
+    docs = page_facts.source_documents(records, refused, AS_OF).groupBy("fetch_status", "domain").agg(F.count("*").alias("rows"))
+    facts = page_facts.provenance(page_facts.evidence_packets(records, "domain", "outlet", AS_OF), AS_OF)
+    backed = facts.groupBy(F.col("supports_field").alias("fetch_status"), F.col("entity_id").alias("domain")).agg(F.count("*").alias("rows"))
+    return docs.unionByName(backed)
+
+
+@query("P10, P9, C2, E2, E3, E4, K1, K2, K3, K4", None)
+def discovery_funnel(spark, root):
+    pages = bound(spark, root, "crawl").select(
+        "page_id", (F.col("page_id") % 5).cast("int").alias("tenant_id"), (F.col("page_id") % 5).alias("campaign_id"), F.col("page_id").alias("seq"),
+        "url", "html", F.lit(200).alias("http_status"))
+    none = F.array().cast("array<string>")
+    campaigns = pages.select("campaign_id", "tenant_id").distinct().withColumns({
+        "mode": F.lit("COPILOT"), "territories": F.array(F.lit("US")), "primary_genre": F.lit("techno"), "secondary_genres": none,
+        "microgenres": F.array(F.lit("dark electronic")), "mood": F.array(F.lit("dark")), "playlist_contexts": none, "sender_ready": F.lit(True)})
+    blank = "tenant_id int, value_hash string, scope string, reason string"
+    out = discovery.discover(
+        discovery.crawl_records(pages), campaigns, spark.createDataFrame([], blank),
+        spark.createDataFrame([], "tenant_id int, contact_id string, outlet_id string, accepted_count int, declined_count int, placement_count int"),
+        spark.createDataFrame([], "tenant_id int, artist_id string, outlet_id string, domain string"), b"registered query key", AS_OF)
+    return out.select("campaign_id", "url", "outlet_name", "kind", "status", "score", "risk_score", "risk_band", "decision", "route_method", "members")
+
+
+# -- paid services: one page per part, phrased by its type -------------------
+
+PHRASES = {
+    "PROMO": "We guarantee playlist placement in a week.",
+    "LARGE": "Every sponsored article is written by our team.",
+    "SMALL": "Curators alone decide. I am a curator and I review every submission. Refund policy: you can be refunded if late.",
+    "MEDIUM": "Submit your music to our network of curators. Placement is never guaranteed.",
+    "ECONOMY": "We never guarantee streams. We do not sell plays.",
+    "STANDARD": "Music PR campaign management.",
+}
+
+
+def service_pages(spark, root):
+    parts = bound(spark, root, "services")
+    from wayfold.functions.text import lookup
+    text = F.concat(F.lit("<html><head><title>"), "name", F.lit("</title></head><body><p>Our packages start at $"),
+                    F.format_string("%.2f", F.coalesce("pricing_min", F.lit(10.0))), F.lit(" per track.</p><p>"), lookup("kind", PHRASES),
+                    F.lit("</p><a href='/terms'>Terms</a></body></html>"))
+    return parts.select("service_id", F.lit(1).alias("tenant_id"), F.format_string("https://s%d.example/offer", "service_id").alias("url"),
+                        text.alias("html"), F.lit("h").alias("content_hash"), F.lit(AS_OF).cast("timestamp").alias("retrieved_at"),
+                        F.col("service_id").alias("seq"))
+
+
+@query("K6, Z3, H15, H18, H23, F12", """
+SELECT service_id, CASE WHEN kind = 'PROMO' THEN 'guaranteed_placement' ELSE '' END AS signals,
+ CASE kind WHEN 'LARGE' THEN 'guaranteed_coverage' WHEN 'SMALL' THEN 'placement_discretionary,refund_policy' WHEN 'MEDIUM' THEN 'placement_discretionary' ELSE '' END AS facts,
+ coalesce(pricing_min, 10.0) AS price, TRUE AS offer FROM services
+""", "services")
+def service_page_facts(spark, root):
+    rows = page_facts.page_records(service_pages(spark, root), offers=True)
+    return rows.select("service_id", F.array_join(F.transform("signals", lambda s: s["signal"]), ",").alias("signals"),
+                       F.array_join(F.array_sort(F.transform("facts", lambda f: f["field"])), ",").alias("facts"), F.col("prices.min").alias("price"),
+                       page_facts.is_offer_page(F.col("whole_text")).alias("offer"))
+
+
+@query("K7, K8, K9, F9, A10, A16, A17, A18, A19, H28, M2, W7", """
+SELECT service_id, CASE kind WHEN 'PROMO' THEN 'BLOCKED' WHEN 'SMALL' THEN 'SCREENED' ELSE 'CAUTION' END AS status,
+ CASE kind WHEN 'LARGE' THEN 'PAID_MEDIA_OUTLET' WHEN 'SMALL' THEN 'INDIVIDUAL_CURATOR' WHEN 'MEDIUM' THEN 'PLATFORM' WHEN 'STANDARD' THEN 'PROMOTION_COMPANY' ELSE 'UNKNOWN' END AS category,
+ CASE kind WHEN 'PROMO' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'SMALL' THEN 5 ELSE 1 END AS reasons FROM services
+""", "services")
+def screened_services(spark, root):
+    records = page_facts.page_records(service_pages(spark, root), offers=True)
+    packets = promotion.page_packets(records).withColumn("seq", F.col("seq") * 100 + F.col("part"))
+    services = bound(spark, root, "services").select("service_id", "name", F.format_string("s%d.example", "service_id").alias("canonical_domain"),
+                                                     F.lit("UNKNOWN").alias("screening_status"))
+    pages_read = services.select("service_id", F.lit(2).alias("page_ok_count"))
+    out = promotion.screen_services(packets, services, pages_read, False, AS_OF)
+    return out.select("service_id", "status", "category", F.size("reasons").alias("reasons"))
+
+
+@query("K7, E5", "SELECT CAST(service_id AS VARCHAR) AS service, domain, is_new FROM (SELECT service_id, 's' || service_id || '.example' AS domain, FALSE AS is_new FROM services WHERE size > 25 "
+       "UNION ALL SELECT sha256('1|s' || service_id || '.example'), 's' || service_id || '.example', TRUE FROM (SELECT CAST(service_id AS VARCHAR) AS service_id, size FROM services) WHERE size <= 25)".replace(
+           "SELECT service_id, 's'", "SELECT CAST(service_id AS VARCHAR) AS service_id, 's'"), "services")
+def service_registry(spark, root):
+    known = bound(spark, root, "services").filter("size > 25").select(F.lit(1).alias("tenant_id"), F.format_string("s%d.example", "service_id").alias("domain"),
+                                                                      F.col("service_id").cast("string").alias("service_id"))
+    out = promotion.register_services(page_facts.page_records(service_pages(spark, root)), known)
+    return out.select(F.col("service_id").alias("service"), "domain", "is_new")
+
+
+@query("E9, J10, H10, T2", """
+WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part)
+SELECT d.doc_id AS seq, w.name AS subject, CASE WHEN regexp_matches(t, '(?i)\\bpremieres?\\b|\\bpremiering\\b') THEN 'PREMIERE' WHEN regexp_matches(t, '(?i)\\binterviews?\\b') THEN 'INTERVIEW' ELSE 'UNKNOWN' END AS kind
+FROM (SELECT doc_id, text, regexp_replace(text, '[À-ÖØ-öø-ÿĀ-ſ]', '_', 'g') AS t FROM docs) d JOIN w ON contains(lower(d.text), lower(w.name))
+""", "docs")
+def coverage_events(spark, root):
+    records = bound(spark, root, "docs").select(
+        F.lit(1).alias("tenant_id"), F.format_string("https://d%d.example/", "doc_id").alias("url"), F.format_string("d%d.example", "doc_id").alias("domain"),
+        F.lit("").alias("title"), F.col("text").alias("visible_text"), F.lit(AS_OF).cast("timestamp").alias("retrieved_at"), F.col("doc_id").alias("seq"),
+        F.lit("OK").alias("page_state"))
+    names = bound(spark, root, "services").select(F.explode(F.split("name", " ")).alias("name")).distinct()
+    watched = names.select(F.lit(1).alias("tenant_id"), F.col("name").alias("artist_id"), "name", F.lit(True).alias("active"))
+    lanes = spark.createDataFrame([], "tenant_id int, genre_tag string")
+    return entities.coverage_events(records, watched, lanes).select("seq", "subject", "kind")
+
+
+@query("E10, J2", f"""
+WITH o AS (SELECT min(page_id) AS outlet_id, {HOST} AS host FROM crawl GROUP BY 2), u AS (SELECT url, min(page_id) AS outlet_id FROM crawl WHERE page_id % 2 = 0 GROUP BY 1)
+SELECT c.page_id AS event_id, coalesce(u.outlet_id, o.outlet_id) AS outlet_id FROM crawl c LEFT JOIN u ON u.url = c.url LEFT JOIN
+ (SELECT {HOST} AS host, min(page_id) AS outlet_id FROM crawl WHERE page_id % 2 = 0 GROUP BY 1) o ON o.host = lower(regexp_extract(c.url, '^[a-z]+://([^/:?#]+)', 1))
+""", "crawl")
+def event_target_links(spark, root):
+    pages = crawl(spark, root).withColumn("tenant_id", F.lit(1))
+    events = pages.select("tenant_id", F.col("page_id").alias("event_id"), "url", F.col("host").alias("domain"))
+    outlets = pages.filter("page_id % 2 = 0").select("tenant_id", F.col("page_id").alias("outlet_id"), "url", F.col("host").alias("domain"))
+    targets = outlets.select(F.lit(1).alias("campaign_id"), "outlet_id", F.col("outlet_id").alias("target_id"))
+    return entities.link_events(events, outlets, targets).select("event_id", "outlet_id")
+
+
+@query("P5, J17, H27, W9", """
+WITH a AS (SELECT DISTINCT p_type AS tenant_id, p_brand AS name FROM part), q AS (SELECT tenant_id, name, t.place, replace(t.tpl, '{name}', name) AS query FROM a,
+ (VALUES (0, '"{name}" premiere OR review'), (1, '"{name}" interview OR feature'), (2, '"{name}" playlist OR "added to"')) t(place, tpl))
+SELECT tenant_id, query, rank FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY name, place) AS rank FROM q) WHERE rank <= 60
+""")
+def coverage_query_plan(spark, root):
+    watched = bound(spark, root, "services").select(F.col("kind").alias("tenant_id"), F.col("brand").alias("name")).distinct().withColumns({
+        "artist_id": F.col("name"), "active": F.lit(True), "created_at": F.lit(0), "seq": F.col("name")})
+    out = planning.coverage_queries(watched, 60)
+    return out.select("tenant_id", "query", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("P5, U1", """
+WITH n AS (SELECT DISTINCT p_type AS tenant_id, CASE WHEN p_size <= 20 THEN 'GENRE' WHEN p_size <= 35 THEN 'MICRO' ELSE 'ARTIST' END AS source, p_brand AS name FROM part),
+q AS (SELECT tenant_id, source, name, t.place, replace(t.tpl, '{name}', name) AS query, CASE source WHEN 'GENRE' THEN 0 WHEN 'MICRO' THEN 1 ELSE 2 END AS grp FROM n JOIN
+ (VALUES ('GENRE', 0, '"{name}" tiktok trend'), ('GENRE', 1, '"{name}" viral'), ('MICRO', 0, '"{name}" playlist trend'), ('ARTIST', 0, '"{name}" viral OR tiktok')) t(src, place, tpl) ON t.src = n.source)
+SELECT tenant_id, query, rank FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY grp, name, place) AS rank FROM q) WHERE rank <= 20
+""")
+def trend_query_plan(spark, root):
+    size = F.col("size")
+    names = bound(spark, root, "services").select(F.col("kind").alias("tenant_id"), F.when(size <= 20, "GENRE").when(size <= 35, "MICRO").otherwise("ARTIST").alias("source"),
+                                                  F.col("brand").alias("name")).distinct().withColumn("seq", F.col("name"))
+    return planning.trend_queries(names).select("tenant_id", "query", F.col("rank").cast("bigint").alias("rank"))
+
+
+def campaign_settings(spark, root):
+    """Channels, territories and profile values of every campaign, from its own columns."""
+    key = F.col("campaign_id")
+    genres = F.array(*[F.lit(g) for g in rules.GENRES])
+    pick = lambda by: F.element_at(genres, (key * by % len(rules.GENRES) + 1).cast("int"))
+    channels = {"BUILDING": "PLAYLIST", "AUTOMOBILE": "BLOG", "MACHINERY": "DJ", "HOUSEHOLD": "RADIO", "FURNITURE": "CURATOR"}
+    lands = F.array(*[F.lit(x) for x in sorted(rules.LANGUAGE_TEMPLATES)])
+    from wayfold.functions.text import lookup
+    return bound(spark, root, "campaigns").select(
+        "campaign_id", "tenant_id", F.array(lookup("segment", channels), F.lit("PODCAST")).alias("channels"),
+        F.array(F.element_at(lands, (F.col("tenant_id") % len(rules.LANGUAGE_TEMPLATES) + 1).cast("int"))).alias("territories"),
+        F.array(pick(1), pick(3)).alias("genres"), F.array(pick(7)).alias("microgenres"), F.array("name").alias("comparable_artists"),
+        F.lit("club").alias("scene"), F.array(F.lit("college")).alias("radio_formats"))
+
+
+@query("P3, J17, H27, U1, W5", None)
+def campaign_query_plan(spark, root):
+    return planning.campaign_queries(campaign_settings(spark, root)).select(
+        "campaign_id", "family", "query", "territory", "language", "turn", "position")
+
+
+@query("P4, U6, W5", None)
+def promotion_query_plan(spark, root):
+    tenants = campaign_settings(spark, root).groupBy("tenant_id").agg(
+        F.min_by("genres", "campaign_id").alias("genres"), F.min_by("microgenres", "campaign_id").alias("microgenres"),
+        F.min_by("territories", "campaign_id").alias("territories"))
+    return planning.promotion_queries(tenants).select("tenant_id", "family", "query", "turn", "position")
+
+
+@query("E9, W9, U1", """
+WITH n AS (SELECT p_type AS tenant_id, lower(p_brand) AS f, min(p_partkey) AS seq FROM part GROUP BY 1, 2)
+SELECT tenant_id, f AS folded, place FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY seq) AS place FROM n) WHERE place <= 20
+""")
+def watch_list(spark, root):
+    names = bound(spark, root, "services").select(F.col("kind").alias("tenant_id"), F.col("brand").alias("name"), F.col("service_id").alias("seq"))
+    out = planning.watch_list(names)
+    return out.select("tenant_id", F.lower("name").alias("folded"), F.col("place").cast("bigint").alias("place"))

@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from wayfold import rules
+from wayfold.sources import html as reader
+
+# executors need not have this package installed: the reader travels with the task
+cloudpickle.register_pickle_by_value(rules)
+cloudpickle.register_pickle_by_value(reader)
+
 LINK = "array<struct<href:string,raw_href:string,text:string>>"
 SANITISED = (
     "title string, meta_description string, visible_text string, hidden_text string, "
@@ -34,7 +42,6 @@ def read_pages(pages: DataFrame, url: str = "url", html: str = "html",
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from wayfold.sources import html as reader
         for batch in batches:
             rows = [reader.read_page(h, u) for h, u in zip(batch[html], batch[url])]
             if offers:
