@@ -233,7 +233,7 @@ def default_sentiment(kind) -> Column:
 
 def comma_list(raw) -> Column:
     """Comma text to a list of trimmed, non-empty parts."""
-    parts = F.transform(F.split(F.coalesce(col_of(raw), F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(col_of(raw), F.lit("")), ","), lambda x: F.trim(x))
     return F.filter(parts, lambda p: F.length(p) > 0)
 
 

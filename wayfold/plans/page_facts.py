@@ -79,7 +79,7 @@ def outlet_name(title: Column, domain: Column) -> Column:
     """The site half of a "Page — Site" title, else the title, else the domain."""
     chosen = None
     for sep in rules.TITLE_SEPARATORS:
-        parts = F.filter(F.transform(F.split(title, r"\Q" + sep + r"\E"), F.trim), lambda p: F.length(p) > 0)
+        parts = F.filter(F.transform(F.split(title, r"\Q" + sep + r"\E"), lambda x: F.trim(x)), lambda p: F.length(p) > 0)
         hit = F.contains(title, F.lit(sep)) & (F.size(parts) >= 2)
         last = F.try_element_at(parts, F.lit(-1))
         chosen = F.when(hit, last) if chosen is None else chosen.when(hit, last)

@@ -303,3 +303,19 @@ def sweep_state(log: DataFrame, keys=("tenant_id",)) -> DataFrame:
     return log.groupBy(*keys).agg(
         F.min("started_at").alias("started_at"), F.when(still == 0, F.max("finished_at")).alias("finished_at"),
         F.count_if(F.col("kind") == "SEARCH").alias("searches_used"), still.alias("open_jobs"))
+
+
+def campaign_gate(recordings: DataFrame, attested: DataFrame, completeness: DataFrame) -> DataFrame:
+    """May a campaign start for each recording?  Needs an attestation and a ready profile."""
+    rows = (recordings.select("recording_id", "profile_id")
+            .join(attested.select("recording_id", F.lit(True).alias("__a")).distinct(), "recording_id", "left")
+            .join(completeness.select("profile_id", "ready", "missing_required"), "profile_id", "left"))
+    missing = F.concat(F.when(F.col("__a").isNull(), F.array(F.lit("rights_attestation"))).otherwise(F.array().cast("array<string>")),
+                       F.coalesce("missing_required", F.array(F.lit("profile"))))
+    return rows.select("recording_id", missing.alias("missing"), (F.size(missing) == 0).alias("allowed"))
+
+
+def newest_edits(log: DataFrame, keys, fields, order=("seq",)) -> DataFrame:
+    """Current value of each editable field: the newest log row that sets it."""
+    by = order_struct(order)
+    return log.groupBy(*keys).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), by)).alias(f) for f in fields])
