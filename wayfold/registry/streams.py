@@ -1 +1,72 @@
-"""Registered queries."""
+"""Stream queries: the event table read as a stream, run to its end, state read back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from wayfold.functions import text as tx
+from wayfold.operators import folds
+from wayfold.registry import logs
+from wayfold.registry.base import BINDINGS, REGISTRY, micros, query
+from wayfold.registry.texts import HMAC_KEY, INNER, OUTER
+from wayfold.session import shared_folder
+from wayfold.streaming import feeds, sinks
+
+
+def event_stream(spark, root):
+    """The events table as a file stream with the columns of the ``log`` binding."""
+    schema = spark.read.parquet(f"{root}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
+    return raw.selectExpr(*[f"{e} AS {c}" for c, e in BINDINGS["log"][1].items()])
+
+
+def folder(spark):
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def run_to_state(spark, stream, keys):
+    path = folder(spark)
+    sinks.run_available(stream, f"{path}/checkpoint", sinks.change_log(f"{path}/rows"), "update")
+    return sinks.current_state(spark, f"{path}/rows", keys)
+
+
+@query("T1, S11, C4", f"""
+WITH a AS (SELECT 'user' || entity || '@mail.example' AS addr, CASE type WHEN 'error' THEN 'Permanent bounce' WHEN 'click' THEN 'Spam complaint' WHEN 'signup' THEN 'Opt-out requested by recipient' END AS reason FROM log)
+SELECT sha256(from_hex('{OUTER}') || from_hex(sha256(from_hex('{INNER}') || encode(addr)))) AS value_hash, min(reason) AS reason FROM a WHERE reason IS NOT NULL GROUP BY addr
+""", "log")
+def delivery_event_stream(spark, root):
+    kinds = {"error": "bounce", "click": "spam_complaint", "signup": "unsubscribe", "view": "open", "purchase": "delivered"}
+    events = event_stream(spark, root).select(
+        "event_id", tx.lookup("type", kinds).alias("kind"), F.concat(F.lit("User"), "entity", F.lit("+tag@mail.example")).alias("address"),
+        F.col("entity").cast("string").alias("target_id"), F.col("ts").alias("event_time"))
+    rows = feeds.suppression_rows(feeds.delivery_outcomes(feeds.once(events)), HMAC_KEY)
+    path = folder(spark)
+    sinks.run_available(rows, f"{path}/checkpoint", sinks.register_once(
+        f"{path}/register", feeds.SUPPRESSION, feeds.SUPPRESSION_KEY, ["reason"]), "append")
+    return spark.read.schema(feeds.SUPPRESSION).parquet(f"{path}/register").select("value_hash", "reason")
+
+
+@query("T3", """
+SELECT entity, epoch_us(w) AS start_us, count(*) AS sends FROM (SELECT entity, unnest([date_trunc('hour', ts) - to_hours(CAST(k AS INTEGER)) for k in range(0, 24)]) AS w FROM log) GROUP BY 1, 2
+""", "log")
+def send_volume_stream(spark, root):
+    sends = event_stream(spark, root).select("entity", F.col("ts").alias("sent_at"))
+    out = feeds.send_volume(sends, ["entity"]).select("entity", F.col("window.start").alias("start"), "sends")
+    return run_to_state(spark, out, ["entity", "start"]).select("entity", micros("start").alias("start_us"), "sends")
+
+
+@query("T4", REGISTRY["recontact_dates"].sql)
+def recontact_stream(spark, root):
+    kinds = {"purchase": "ACCEPT", "signup": "DECLINE", "click": "PLACE", "error": "OPT_OUT", "view": "TOUCH"}
+    rows = event_stream(spark, root).withColumn("kind", tx.lookup("type", kinds))
+    out = run_to_state(spark, folds.recontact_state(rows, ["entity"], ["ts", "event_id"], "ts"), ["entity"])
+    return out.select("entity", "accepted_count", "declined_count", "placement_count", micros("last_contact_at").alias("last_us"),
+                      micros("next_eligible_at").alias("next_us"))
+
+
+@query("T6", REGISTRY["status_after_responses"].sql)
+def target_status_stream(spark, root):
+    rows = event_stream(spark, root).withColumn("kind", tx.lookup("type", logs.RESPONSE_KIND))
+    return run_to_state(spark, folds.target_status(rows, ["entity"], ["ts", "event_id"]), ["entity"]).select("entity", "status")
