@@ -250,7 +250,10 @@ def screen(inputs: DataFrame) -> DataFrame:
 
 
 def screen_services(packets: DataFrame, services: DataFrame, page_counts: DataFrame, policy_stale: bool, as_of) -> DataFrame:
-    """Current packets to verdicts for all services at once."""
+    """Current packets to verdicts for all services at once.
+
+    ``packets`` is read several times, so it should be a written evidence table.
+    """
     facts = recompute_facts(packets)
     fresh = fact_freshness(packets, services, as_of)
     signals = (first_signals(packets, ["service_id"], ["seq"]).groupBy("service_id")

@@ -236,7 +236,7 @@ def suggested_allocation(spark, root):
     return out.select("campaign_id", "category", "categories", F.round(F.col("amount") * 100).cast("bigint").alias("amount_cents"))
 
 
-@query("K10, H14, M3, J17", f"""
+FIT_SQL = f"""
 WITH pairs AS (SELECT DISTINCT t.campaign_id, l.service_id FROM score_log l JOIN targets t ON t.target_id = l.target_id),
 x AS (SELECT p.campaign_id, p.service_id, CASE c.segment WHEN 'BUILDING' THEN 'PLAYLIST' WHEN 'AUTOMOBILE' THEN 'BLOG' WHEN 'MACHINERY' THEN 'DJ' END AS channel,
  CASE {TYPE_SQL} WHEN 'PRESS_PR' THEN 'BLOG' WHEN 'CLUB' THEN 'DJ' WHEN 'CURATOR_SUBMISSIONS' THEN 'PLAYLIST' ELSE {TYPE_SQL} END AS offered,
@@ -246,7 +246,10 @@ y AS (SELECT *, CASE WHEN channel IS NULL OR offered IS NULL THEN NULL WHEN chan
  CASE WHEN pricing_min IS NULL OR promotion_budget IS NULL THEN NULL WHEN pricing_min <= promotion_budget THEN 1.0 ELSE 0.0 END AS bf FROM x)
 SELECT campaign_id, service_id, CASE WHEN ch IS NULL AND bf IS NULL THEN NULL ELSE CAST(round_even(
  (coalesce(ch * 0.2::DOUBLE, 0) + coalesce(bf * 0.15::DOUBLE, 0)) / (CASE WHEN ch IS NULL THEN 0 ELSE 0.2::DOUBLE END + CASE WHEN bf IS NULL THEN 0 ELSE 0.15::DOUBLE END) * 100, 0) AS BIGINT) END AS fit_score FROM y
-""", "campaigns targets score_log services")
+"""
+
+
+@query("K10, H14, M3, J17", FIT_SQL, "campaigns targets score_log services")
 def campaign_fit(spark, root):
     return fits(spark, root).select("campaign_id", "service_id", "fit_score")
 
@@ -279,7 +282,10 @@ def filtered_services(spark, root):
     return kept.select("service_id", "screening_status", group.alias("list_group"))
 
 
-@query("K11, W1, O4", None)
+@query("K11, W1, O4", f"""
+WITH fit AS ({{FIT}}) SELECT fit.campaign_id, fit.service_id, s.name, s.screening_status, fit.fit_score, TRUE AS stale, s.pricing_min IS NOT NULL AS pricing_current
+FROM fit JOIN services s ON s.service_id = fit.service_id
+""".replace("{FIT}", FIT_SQL), "campaigns targets score_log services")
 def campaign_service_list(spark, root):
     log = fits(spark, root).withColumns({"created_at": moment(TRADE_AS_OF), "seq": F.lit(0)})
     pairs = log.select("campaign_id", "service_id", "name", "screening_status", "pricing_min", "service_types").withColumns({
@@ -550,7 +556,7 @@ def placements_without_evidence(spark, root):
     return quality.orphans(bound(spark, root, "score_log").select("target_id", "seq", "service_id"), "service_id", good, "service_id").select("target_id", "seq")
 
 
-@query("S3, K5, S2", None)
+@query("S3, K5, S2", "SELECT status, count(*) AS targets FROM targets GROUP BY 1", "targets")
 def appended_log_by_status(spark, root):
     from wayfold.session import shared_folder
     from wayfold.sources.tables import append_log

@@ -377,7 +377,11 @@ def contact_method_snapshot(spark, root):
                          {"category": upsert.strengthen_category("U", ["V"]), "independent_sources": "max"})
 
 
-@query("L2, J3", None)
+@query("L2, J3", """
+WITH n AS (SELECT target_id, arg_max(score, struct_pack(a := created_at, b := seq)) AS score, min(outlet_id) AS outlet_id, count(*) FILTER (flag <> 'R') AS approvals FROM score_log GROUP BY 1)
+SELECT t.campaign_id, t.target_id, o.outlet_name, n.score, n.approvals FROM targets t JOIN n ON n.target_id = t.target_id JOIN outlets o ON o.outlet_id = n.outlet_id
+WHERE t.status IN ('DRAFTED', 'NEEDS_APPROVAL', 'APPROVED', 'READY')
+""", "targets score_log outlets")
 def approval_queue(spark, root):
     log = bound(spark, root, "score_log")
     targets = bound(spark, root, "targets").join(log.groupBy("target_id").agg(F.min("outlet_id").alias("outlet_id")), "target_id")

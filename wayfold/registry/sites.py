@@ -11,6 +11,7 @@ from wayfold.operators import latest
 from wayfold.plans import discovery, entities, page_facts, planning, promotion
 from wayfold.plans.reporting import stop_reason
 from wayfold.registry.base import AS_OF, bound, query
+from wayfold.session import materialize
 from wayfold.sources.pages import read_pages
 
 HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
@@ -205,7 +206,7 @@ SELECT service_id, CASE kind WHEN 'PROMO' THEN 'BLOCKED' WHEN 'SMALL' THEN 'SCRE
 """, "services")
 def screened_services(spark, root):
     records = page_facts.page_records(service_pages(spark, root), offers=True)
-    packets = promotion.page_packets(records).withColumn("seq", F.col("seq") * 100 + F.col("part"))
+    packets = materialize(promotion.page_packets(records).withColumn("seq", F.col("seq") * 100 + F.col("part")), "packets")
     services = bound(spark, root, "services").select("service_id", "name", F.format_string("s%d.example", "service_id").alias("canonical_domain"),
                                                      F.lit("UNKNOWN").alias("screening_status"))
     pages_read = services.select("service_id", F.lit(2).alias("page_ok_count"))
