@@ -148,3 +148,32 @@ def test_growth(one):
     assert one(score.growth_percent(F.array(F.lit(10), F.lit(15)))) == 50
     assert one(score.growth_percent(F.array(F.lit(0), F.lit(15)))) is None
     assert one(score.growth_percent(F.array(F.lit(3)))) is None
+
+
+def test_genres_equal_a_plain_reading(spark):
+    import random
+    import re
+    rng = random.Random(5)
+    texts = [rng.choice(["", "x"]) + rng.choice([" ", "-", ", ", ""]).join(rng.choice(rules.GENRES + ["of", "dark", "indie"]) for _ in range(rng.randrange(1, 7)))
+             for _ in range(400)]
+
+    def plain(t):
+        found = [g for g in rules.GENRES if re.search(r"\b" + re.escape(g) + r"\b", t.lower())]
+        specific = [g for g in found if " " in g or "-" in g]
+        return specific + [g for g in found if g not in specific and not any(g in s.split() for s in specific)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", text.genres_in("t").alias("g")).collect():
+        assert r["g"] == plain(r["t"]), r["t"]
+
+
+def test_needed_words_never_change_a_result(spark):
+    """The word test in front of a rule may only skip texts that cannot match."""
+    import random
+    rng = random.Random(9)
+    words = ["submit", "Your", "music", "ſubmission", "FEE", "of", "no", "free", "to", "playlist", "premiere", "radio", "station", "we", "guarantee", "streams",
+             "100", "blog", "in", "conversation", "with", "q & a", "trend", "strategies", "DJ", "pool", "closed", "are", "submissions", "log", "log in"]
+    df = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(8)),) for _ in range(500)], "t string").withColumn("low", text.fold("t"))
+    patterns = [p for _l, _w, p in rules.PAGE_CLASS_RULES] + rules.OPEN_PATTERNS + rules.CLOSED_PATTERNS + rules.LOGIN_PATTERNS + [
+        p for _l, p in rules.COVERAGE_KIND_RULES + rules.TREND_RULES + rules.CATEGORY_RULES + rules.SERVICE_TYPE_RULES] + [rules.FREE_SUBMISSION_PATTERN, rules.FEE_PATTERN]
+    differ = [F.sum((text.matches("t", p) != text.matches("t", p, folded=F.col("low"))).cast("int")).alias(f"d{i}") for i, p in enumerate(patterns)]
+    assert set(df.agg(*differ).first()) == {0}

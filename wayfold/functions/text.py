@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import re._constants as rc
+import re._parser as rp
 from collections.abc import Sequence
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,14 +20,61 @@ def col_of(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
-def matches(text, pattern: str, ignore_case: bool = True) -> Column:
-    """Does the pattern occur?  Unknown text reads as no match."""
-    flags = UNICODE_I if ignore_case else "(?U)"
-    return F.coalesce(col_of(text).rlike(flags + pattern), F.lit(False))
+@lru_cache(maxsize=None)
+def needed_words(pattern: str) -> tuple[str, ...]:
+    """Lower-case literals of which one must occur wherever the pattern does.
+
+    Read off the pattern itself: the longest literal run that no part of it can
+    skip, or one run per alternative.  Empty when nothing is certain.
+    """
+    def best(seq) -> frozenset[str] | None:
+        found, run = [], ""
+        for op, arg in [*seq, (None, None)]:
+            if op is rc.LITERAL:
+                run += chr(arg).lower()
+                continue
+            if run:
+                found.append(frozenset([run]))
+                run = ""
+            if op is rc.SUBPATTERN:
+                found.append(best(arg[3]))
+            elif op is rc.BRANCH:
+                parts = [best(p) for p in arg[1]]
+                found.append(frozenset().union(*parts) if all(parts) else None)
+            elif op in (rc.MAX_REPEAT, rc.MIN_REPEAT) and arg[0] > 0:
+                found.append(best(arg[2]))
+        known = [f for f in found if f]
+        return max(known, key=lambda f: (min(map(rare, f)), -len(f)), default=None)
+
+    def rare(word: str) -> int:
+        return len(word) + (1 if not word.isalnum() else 0)
+    words = best(rp.parse(pattern)) or frozenset()
+    return tuple(sorted(words)) if words and min(map(rare, words)) >= 2 else ()
+
+
+def fold(text) -> Column:
+    """Text in the case the needed words are tested in (two letters that case-blind
+    matching treats as plain ``s`` and ``i`` are mapped first)."""
+    return F.lower(F.replace(F.replace(col_of(text), F.lit("ſ"), F.lit("s")), F.lit("İ"), F.lit("i")))
+
+
+def matches(text, pattern: str, ignore_case: bool = True, folded: Column | None = None) -> Column:
+    """Does the pattern occur?  Unknown text reads as no match.
+
+    With the ``folded`` text at hand, the expression runs only where a word it needs
+    occurs at all, which a byte search decides far faster.
+    """
+    hit = F.coalesce(col_of(text).rlike((UNICODE_I if ignore_case else "(?U)") + pattern), F.lit(False))
+    words = needed_words(pattern) if folded is not None else ()
+    if not words:
+        return hit
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(folded, F.lit(w)) for w in words]), F.lit(False)) & hit
 
 
-def matches_any(text, patterns: Sequence[str]) -> Column:
-    return matches(text, "(?:" + ")|(?:".join(patterns) + ")")
+def matches_any(text, patterns: Sequence[str], folded: Column | None = None) -> Column:
+    if folded is None:
+        return matches(text, "(?:" + ")|(?:".join(patterns) + ")")
+    return reduce(lambda a, b: a | b, [matches(text, p, folded=folded) for p in patterns])
 
 
 def collapse_space(text) -> Column:
@@ -86,41 +137,42 @@ def literal_excerpt(text, needle, width: int = 200) -> Column:
         F.when(end < F.length(base), F.lit("…")).otherwise(F.lit(""))))
 
 
-def first_label(title, body, rule_list, default: str | None = "UNKNOWN") -> Column:
+def first_label(title, body, rule_list, default: str | None = "UNKNOWN", folded: Column | None = None) -> Column:
     """First rule that holds; the whole list is tried on the title first."""
     chain = None
-    for source in ([title, body] if title is not None else [body]):
+    for source, low in ([(title, None), (body, folded)] if title is not None else [(body, folded)]):
         for label, pattern in rule_list:
-            hit = matches(source, pattern)
+            hit = matches(source, pattern, folded=low)
             chain = F.when(hit, F.lit(label)) if chain is None else chain.when(hit, F.lit(label))
     return chain.otherwise(F.lit(default).cast("string"))
 
 
-def all_labels(text, rule_list) -> Column:
+def all_labels(text, rule_list, folded: Column | None = None) -> Column:
     """Every rule label that holds, in rule order."""
     return F.array_compact(F.array(*[
-        F.when(matches(text, pattern), F.lit(label)) for label, pattern in rule_list]))
+        F.when(matches(text, pattern, folded=folded), F.lit(label)) for label, pattern in rule_list]))
 
 
-def label_set(text, labelled) -> Column:
+def label_set(text, labelled, folded: Column | None = None) -> Column:
     """Sorted distinct labels; ``labelled`` = (pattern, label, ignore case)."""
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*[
-        F.when(matches(text, pattern, ignore), F.lit(label))
+        F.when(matches(text, pattern, ignore, folded), F.lit(label))
         for pattern, label, ignore in labelled]))))
 
 
-def secret_labels(text) -> Column:
-    return label_set(text, rules.SECRET_RULES)
+def secret_labels(text, folded: Column | None = None) -> Column:
+    return label_set(text, rules.SECRET_RULES, folded)
 
 
-def injection_labels(*texts) -> Column:
+def injection_labels(*texts, folded: Sequence[Column] | None = None) -> Column:
     """Labels of agent-directed phrases over hidden text, visible text and URL."""
     labelled = [(p, label, True) for p, label in rules.INJECTION_RULES]
-    return F.array_sort(F.array_distinct(F.concat(*[label_set(t, labelled) for t in texts])))
+    lows = folded or [None] * len(texts)
+    return F.array_sort(F.array_distinct(F.concat(*[label_set(t, labelled, low) for t, low in zip(texts, lows)])))
 
 
-def looks_like_opt_out(text) -> Column:
-    return matches(text, rules.OPT_OUT)
+def looks_like_opt_out(text, folded: Column | None = None) -> Column:
+    return matches(text, rules.OPT_OUT, folded=folded)
 
 
 def slug(title) -> Column:
@@ -192,21 +244,19 @@ def fill_template(template, **values) -> Column:
     return F.when((F.length(flat) > 0) & ~F.contains(flat, F.lit("{")), flat)
 
 
-def genres_in(text) -> Column:
+def genres_in(text, folded: Column | None = None) -> Column:
     """Vocabulary genres in a text: specific ones first, then broad ones that are
     not already a word of a specific one."""
-    names = sorted(rules.GENRES, key=len, reverse=True)
-    any_genre = "|".join(r"\Q" + g + r"\E" for g in names)
-    # a look-ahead finds names that lie inside one another
-    hits = F.regexp_extract_all(F.lower(F.coalesce(col_of(text), F.lit(""))),
-                                F.lit(r"(?U)(?=\b(" + any_genre + r")\b)"), F.lit(1))
+    low = fold(text) if folded is None else folded
+    found = F.array_compact(F.array(*[
+        F.when(matches(low, r"\b" + re.escape(g) + r"\b", False, low), F.lit(g)) for g in rules.GENRES]))
 
     def ordered(f: Column) -> Column:
         specific = F.filter(f, lambda g: g.contains(" ") | g.contains("-"))
         broad = F.filter(f, lambda g: ~g.contains(" ") & ~g.contains("-")
                          & ~F.exists(specific, lambda s: F.array_contains(F.split(s, " "), g)))
         return F.concat(specific, broad)
-    return F.transform(F.array(F.array_intersect(F.array(*[F.lit(g) for g in rules.GENRES]), hits)), ordered)[0]
+    return F.transform(F.array(found), ordered)[0]
 
 
 def allocation_category(service_type) -> Column:

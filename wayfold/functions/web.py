@@ -44,9 +44,8 @@ def _octets(host: Column) -> Column:
     return F.transform(F.split(host, r"\."), lambda p: p.try_cast("int"))
 
 
-def _private_ipv4(host: Column) -> Column:
-    o = _octets(host)
-    a, b, c = o[0], o[1], o[2]
+def _private_ipv4(octets: Column) -> Column:
+    a, b, c = octets[0], octets[1], octets[2]
     return ((a == 0) | (a == 10) | (a == 127) | ((a == 169) & (b == 254))
             | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
             | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19))
@@ -69,17 +68,29 @@ def block_reason(url) -> Column:
     port = F.coalesce(port, F.when(scheme == "https", F.lit(443)).otherwise(F.lit(80)))
     path = F.lower(F.regexp_replace(
         F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), r"[?#].*$", ""))
-    ipv4 = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & ~F.exists(_octets(host), lambda x: x > 255)
-    private6 = (bracket != "") & host.rlike(
+    parts = F.struct(F.coalesce(scheme, F.lit("")).alias("scheme"), host.alias("host"), (bracket != "").alias("six"),
+                     port.alias("port"), path.alias("path"))
+    return F.transform(F.array(parts), _judge)[0]
+
+
+def _ending(values) -> str:
+    return "(" + "|".join(v.replace(".", r"\.") for v in values) + ")$"
+
+
+def _judge(p: Column) -> Column:
+    """First admission rule that refuses the parts of a URL."""
+    host = p["host"]
+    ipv4 = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    octets = _octets(host)
+    private4 = ipv4 & ~F.exists(octets, lambda x: x > 255) & _private_ipv4(octets)
+    private6 = p["six"] & host.rlike(
         r"^(::1?$|f[cd][0-9a-f]{2}:|fe[89a-f][0-9a-f]:|ff[0-9a-f]{2}:|2001:db8:|::ffff:)")
-    suffix = reduce(lambda x, y: x | y, [host.endswith(s) for s in rules.BLOCKED_HOST_SUFFIXES])
-    extension = reduce(lambda x, y: x | y, [path.endswith(e) for e in rules.BLOCKED_EXTENSIONS])
-    return (F.when(F.coalesce(~scheme.isin(rules.ALLOWED_SCHEMES), F.lit(True)), "BLOCKED_SCHEME")
-            .when((host == "") | host.isin(rules.BLOCKED_HOSTNAMES) | suffix, "BLOCKED_HOSTNAME")
+    return (F.when(~p["scheme"].isin(rules.ALLOWED_SCHEMES), "BLOCKED_SCHEME")
+            .when((host == "") | host.isin(rules.BLOCKED_HOSTNAMES) | host.rlike(_ending(rules.BLOCKED_HOST_SUFFIXES)), "BLOCKED_HOSTNAME")
             .when(host.isin(rules.METADATA_ADDRESSES), "BLOCKED_METADATA_ENDPOINT")
-            .when((ipv4 & _private_ipv4(host)) | private6, "BLOCKED_PRIVATE_IP")
-            .when(~port.isin(rules.ALLOWED_PORTS), "BLOCKED_PORT")
-            .when(extension, "BLOCKED_FILE_TYPE"))
+            .when(private4 | private6, "BLOCKED_PRIVATE_IP")
+            .when(~p["port"].isin(rules.ALLOWED_PORTS), "BLOCKED_PORT")
+            .when(p["path"].rlike(_ending(rules.BLOCKED_EXTENSIONS)), "BLOCKED_FILE_TYPE"))
 
 
 def response_block_reason(mime, byte_count, limit: int = rules.FETCH_MAX_BYTES) -> Column:

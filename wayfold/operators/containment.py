@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.session import spread
+
 GRAMS = (8, 4, 2, 1)
 WORD = r"(?U)[\p{Alnum}]+"
 RUN = r"(?U)[^\p{Alnum}]+"
@@ -72,7 +74,7 @@ def contains_join(texts: DataFrame, names: DataFrame, key: Sequence[str], text:
     folded = names.withColumn("__fold", F.lower(name)).filter(F.length("__fold") > 0)
     distinct = folded.select(*scope, "__fold").distinct().withColumn("__words", _all(F.col("__fold"), WORD))
 
-    offered = texts.filter(F.col(text).isNotNull()).select(*scope, *key, F.explode(_pieces(F.lower(text))).alias("__piece"))
+    offered = spread(texts).filter(F.col(text).isNotNull()).select(*scope, *key, F.explode(_pieces(F.lower(text))).alias("__piece"))
     longest = F.coalesce(F.try_element_at(F.array_sort(
         F.transform("__words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"], F.col("__fold"))
     short = distinct.filter(F.size("__words") < 3).select(*scope, "__fold", longest.alias("__anchor"))
@@ -97,7 +99,7 @@ def term_search(pages: DataFrame, queries: DataFrame, page_id: str, text: str, q
     from wayfold.operators.latest import first_n_per_key
     asked = (queries.select(query_id, F.explode(search_terms(query)).alias("term"))
              .groupBy(query_id, "term").agg(F.count("*").alias("times")))
-    words = pages.select(page_id, F.explode(F.array_distinct(tokens(text))).alias("word"))
+    words = spread(pages).select(page_id, F.explode(F.array_distinct(tokens(text))).alias("word"))
     hits = inside(words.select("word").distinct(), asked.select("term").distinct(), "word", "term")
     found = words.join(hits, "word").select(page_id, "term").distinct()
     scored = found.join(asked, "term").groupBy(query_id, page_id).agg(F.sum("times").alias("score"))

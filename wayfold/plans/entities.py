@@ -136,21 +136,22 @@ def coverage_events(records: DataFrame, watched: DataFrame, genres: DataFrame) -
     genre of the tenant.  No mention, no event."""
     from wayfold.functions.keys import coverage_key
     from wayfold.operators.containment import contains_join
+    records = records.withColumn("folded_text", tx.fold("visible_text"))
     usable = (records.filter((F.col("page_state") == "OK") & ~web.is_platform("domain"))
-              .select("tenant_id", "url", "domain", "title", "visible_text", "retrieved_at", "seq"))
+              .select("tenant_id", "url", "domain", "title", "visible_text", "folded_text", "retrieved_at", "seq"))
     names = watched.filter(F.col("active")).select(
         "tenant_id", "artist_id", F.col("name").alias("subject"), F.lit(None).cast("string").alias("genre_tag"))
     lanes = genres.select("tenant_id", F.lit(None).cast(dict(watched.dtypes)["artist_id"]).alias("artist_id"),
                           F.col("genre_tag").alias("subject"), "genre_tag")
     met = contains_join(usable, names.unionByName(lanes), ["url", "seq"], "visible_text", "subject", ["tenant_id"])
     trend = F.col("artist_id").isNull()
-    kind = F.when(trend, tx.first_label(F.col("title"), F.col("visible_text"), rules.TREND_RULES)) \
-        .otherwise(tx.first_label(F.col("title"), F.col("visible_text"), rules.COVERAGE_KIND_RULES))
+    kind = F.when(trend, tx.first_label(F.col("title"), F.col("visible_text"), rules.TREND_RULES, folded=F.col("folded_text"))) \
+        .otherwise(tx.first_label(F.col("title"), F.col("visible_text"), rules.COVERAGE_KIND_RULES, folded=F.col("folded_text")))
     return (met.withColumn("kind", kind)
             .withColumn("excerpt", tx.literal_excerpt("visible_text", "subject"))
             .withColumn("dedup_key", coverage_key("artist_id", "genre_tag", "url"))
             .withColumn("confidence", F.when(F.col("kind") != "UNKNOWN", 0.7).otherwise(0.5))
-            .drop("visible_text"))
+            .drop("visible_text", "folded_text"))
 
 
 def fold_coverage(events: DataFrame, order: Sequence[str]) -> DataFrame:

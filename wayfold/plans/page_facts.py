@@ -26,38 +26,38 @@ def page_state(status: Column, title: Column, text: Column) -> Column:
             .when(tx.matches(title, rules.ERROR_TITLE_PATTERN), "ERROR").otherwise("OK"))
 
 
-def class_matches(whole: Column, title: Column) -> Column:
+def class_matches(whole: Column, title: Column, folded: Column | None = None) -> Column:
     """Every class rule that holds, with its weight and the title bonus."""
     return F.array_compact(F.array(*[
-        F.when(tx.matches(whole, pattern), F.struct(
+        F.when(tx.matches(whole, pattern, folded=folded), F.struct(
             (F.lit(weight) + F.when(tx.matches(title, pattern), rules.TITLE_BONUS).otherwise(0)).alias("weight"),
             F.lit(-place).alias("place"), F.lit(label).alias("label")))
         for place, (label, weight, pattern) in enumerate(rules.PAGE_CLASS_RULES)]))
 
 
-def first_hit(text: Column, patterns) -> Column:
+def first_hit(text: Column, patterns, folded: Column | None = None) -> Column:
     """The first pattern that matches, as a column; null when none does."""
     chain = None
     for pattern in patterns:
-        hit = tx.matches(text, pattern)
+        hit = tx.matches(text, pattern, folded=folded)
         chain = F.when(hit, F.lit(pattern)) if chain is None else chain.when(hit, F.lit(pattern))
     return chain
 
 
-def submissions(text: Column) -> Column:
-    closed = tx.matches_any(text, rules.CLOSED_PATTERNS)
-    is_open = tx.matches_any(text, rules.OPEN_PATTERNS)
+def submissions(text: Column, folded: Column | None = None) -> Column:
+    closed = tx.matches_any(text, rules.CLOSED_PATTERNS, folded)
+    is_open = tx.matches_any(text, rules.OPEN_PATTERNS, folded)
     return F.struct(
         F.when(closed, "CLOSED").when(is_open, "OPEN").otherwise("UNKNOWN").alias("state"),
         F.when(closed, 0.85).when(is_open, 0.8).otherwise(0.0).alias("confidence"),
-        tx.excerpt_around(text, first_hit(text, [*rules.CLOSED_PATTERNS, *rules.OPEN_PATTERNS]), 160).alias("excerpt"))
+        tx.excerpt_around(text, first_hit(text, [*rules.CLOSED_PATTERNS, *rules.OPEN_PATTERNS], folded), 160).alias("excerpt"))
 
 
-def cost(text: Column, label: Column) -> Column:
+def cost(text: Column, label: Column, folded: Column | None = None) -> Column:
     """Cost model ladder: guarantees, free, fee, advertising, unknown."""
-    free = tx.matches(text, rules.FREE_SUBMISSION_PATTERN)
-    fee = tx.matches(text, rules.FEE_PATTERN)
-    ad = tx.matches(text, rules.AD_OFFER_PATTERN)
+    free = tx.matches(text, rules.FREE_SUBMISSION_PATTERN, folded=folded)
+    fee = tx.matches(text, rules.FEE_PATTERN, folded=folded)
+    ad = tx.matches(text, rules.AD_OFFER_PATTERN, folded=folded)
     passage = F.regexp_extract(text, tx.UNICODE_I + rules.FEE_PATTERN, 0)
     money = [F.regexp_extract(passage, tx.UNICODE_I + rules.PAGE_MONEY, g) for g in range(5)]
     raw = F.when(money[2] != "", money[2]).otherwise(money[3])
@@ -142,8 +142,9 @@ def extract(sanitised: DataFrame, url: str = "url", status: str = "http_status")
     base = (sanitised
             .withColumn("domain", web.registrable_domain(web.host_of(url)))
             .withColumn("whole_text", joined_text("title", "meta_description", "visible_text"))
-            .withColumn("page_state", page_state(code, title, text))
-            .withColumn("matches", class_matches(F.col("whole_text"), title)))
+            .withColumns({"folded_whole": tx.fold("whole_text"), "folded_text": tx.fold("visible_text"), "folded_hidden": tx.fold("hidden_text"),
+                          "page_state": page_state(code, title, text)})
+            .withColumn("matches", class_matches(F.col("whole_text"), title, F.col("folded_whole"))))
     best = F.array_max("matches")
     judged = (base.withColumn("__best", best)
               .withColumn("classification", F.struct(
@@ -152,18 +153,20 @@ def extract(sanitised: DataFrame, url: str = "url", status: str = "http_status")
                   tx.excerpt_around(F.col("whole_text"), F.element_at(
                       F.array(*[F.lit(p) for _l, _w, p in rules.PAGE_CLASS_RULES]), 1 - F.col("__best.place")), 160).alias("excerpt")))
               .drop("__best"))
+    low = F.col("folded_text")
     return judged.withColumns({
-        "submissions": submissions(text),
-        "cost": cost(text, F.col("classification.label")),
-        "genres": tx.genres_in("whole_text"),
+        "submissions": submissions(text, low),
+        "cost": cost(text, F.col("classification.label"), low),
+        "genres": tx.genres_in("whole_text", F.col("folded_whole")),
         "contacts": contact_candidates(F.col("emails")),
         "submission_links": submission_links(F.col("links")),
-        "requires_login": tx.matches_any(text, rules.LOGIN_PATTERNS),
+        "requires_login": tx.matches_any(text, rules.LOGIN_PATTERNS, low),
         "requires_captcha": tx.matches(
             F.concat_ws(" ", text, F.array_join(F.transform("links", lambda k: k["href"]), " ")), rules.CAPTCHA_PATTERN),
         "freshness": freshness(F.col("last_modified_hint"), text),
         "outlet_name": outlet_name(title, F.col("domain")),
-        "injection_findings": tx.injection_labels("hidden_text", "visible_text", url)})
+        "injection_findings": tx.injection_labels("hidden_text", "visible_text", url, folded=[
+            F.col("folded_hidden"), low, tx.fold(url)])}).drop("folded_whole", "folded_text", "folded_hidden")
 
 
 def is_offer_page(whole: Column) -> Column:

@@ -27,10 +27,6 @@ def _filler(family: str, template: str, territory: Column | None = None):
     return lambda genre: _row(family, tx.fill_template(F.lit(template), genre=genre, microgenre=genre, **more))
 
 
-def _flat(*arrays: Column) -> Column:
-    return F.flatten(F.array(*arrays))
-
-
 def _each(values: Column, build) -> Column:
     return F.flatten(F.transform(values, lambda v: F.array(*build(v))))
 
@@ -53,23 +49,23 @@ def campaign_queries(campaigns: DataFrame, budget: int = rules.DEFAULT_SEARCH_BU
     genres, micros = F.slice("genres", 1, 2), F.slice("microgenres", 1, 3)
     local = F.when(F.size("microgenres") > 0, F.slice("microgenres", 1, 1)).otherwise(F.slice("genres", 1, 1))
 
+    def table(templates: dict) -> Column:
+        return F.create_map(*[x for name, items in templates.items() for x in (F.lit(name), F.array(*[F.lit(i) for i in items]))])
+
+    def filled(key: Column, templates: dict, values: Column, build) -> Column:
+        """Templates of one key times the values, templates outside."""
+        found = F.coalesce(F.try_element_at(table(templates), key), F.array().cast("array<string>"))
+        return F.flatten(F.transform(found, lambda tpl: F.transform(values, lambda v: build(tpl, v))))
+
     def channel_rows() -> Column:
-        parts = []
-        for channel, templates in rules.CHANNEL_TEMPLATES.items():
-            filled = _flat(*[F.transform(F.concat(genres, micros), _filler(channel, t)) for t in templates])
-            parts.append(F.struct(F.lit(channel).alias("channel"), filled.alias("rows")))
-        table = F.map_from_entries(F.array(*parts))
-        return F.flatten(F.transform("channels", lambda c: F.coalesce(
-            F.try_element_at(table, c), F.array().cast(PLAN))))
+        return F.flatten(F.transform("channels", lambda c: filled(
+            c, rules.CHANNEL_TEMPLATES, F.concat(genres, micros),
+            lambda tpl, g: _row(c, tx.fill_template(tpl, genre=g, microgenre=g)))))
 
     def local_rows() -> Column:
-        tables = F.map_from_entries(F.array(*[
-            F.struct(F.lit(t), F.array(*[F.lit(x) for x in items]))
-            for t, items in rules.LANGUAGE_TEMPLATES.items()]))
         return F.flatten(F.transform("territories", lambda t: F.concat(
-            F.flatten(F.transform(F.coalesce(F.try_element_at(tables, F.upper(t)), F.array().cast("array<string>")),
-                                  lambda tpl: F.transform(local, lambda g: _row(
-                                      "LOCAL_LANGUAGE", tx.fill_template(tpl, genre=g), t, F.lower(t))))),
+            filled(F.upper(t), rules.LANGUAGE_TEMPLATES, local,
+                   lambda tpl, g: _row("LOCAL_LANGUAGE", tx.fill_template(tpl, genre=g), t, F.lower(t))),
             F.transform(local, lambda g: _row("TERRITORY", F.concat_ws(" ", t, g, F.lit("playlist curator")), t)))))
 
     plan = F.concat(

@@ -12,6 +12,7 @@ from wayfold.functions import web
 from wayfold.operators import containment, latest
 from wayfold.plans import outreach, page_facts
 from wayfold.registry.base import bound, query
+from wayfold.session import spread
 
 # RE2 knows ASCII word boundaries only, so the checking SQL turns letters with
 # accents into a plain word character before it tests a pattern.
@@ -34,6 +35,10 @@ def _labels(rule_list, column: str = "t") -> str:
     return "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches({column}, {_quote(p)}) THEN '{label}' END" for label, p in rule_list) + ")"
 
 
+def folded_docs(spark, root):
+    return spread(bound(spark, root, "docs")).withColumn("low", tx.fold("text"))
+
+
 @query("J10", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def passages_in_documents(spark, root):
     passages = spark.read.parquet(f"{root}/benchmark.parquet").select("item_id", F.col("text").alias("passage"))
@@ -123,23 +128,23 @@ SELECT id, regexp_matches(t, '(?i){rules.OPT_OUT}') AS opt_out, {_any([p for p,
 def guarded_phrases(spark, root):
     both = bound(spark, root, "docs").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text").unionByName(
         bound(spark, root, "turns").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text"))
-    labels = tx.secret_labels("text")
-    return both.select("id", tx.looks_like_opt_out("text").alias("opt_out"), (F.size(tx.injection_labels("text")) > 0).alias("injection"),
+    low = F.col("low")
+    labels = tx.secret_labels("text", low)
+    return both.withColumn("low", tx.fold("text")).select("id", tx.looks_like_opt_out("text", low).alias("opt_out"), (F.size(tx.injection_labels("text", folded=[low])) > 0).alias("injection"),
                        F.when(F.size(labels) > 0, F.array_join(labels, ",")).alias("secrets"))
 
 
 @query("H12", f"SELECT doc_id, {_case(rules.COVERAGE_KIND_RULES)} AS kind, {_case(rules.TREND_RULES)} AS trend, {_case(rules.CATEGORY_RULES)} AS category "
        f"FROM (SELECT doc_id, {PLAIN} AS t FROM docs)", "docs")
 def first_match_rules(spark, root):
-    text = F.col("text")
-    return bound(spark, root, "docs").select("doc_id", tx.first_label(None, text, rules.COVERAGE_KIND_RULES).alias("kind"),
-                                             tx.first_label(None, text, rules.TREND_RULES).alias("trend"),
-                                             tx.first_label(None, text, rules.CATEGORY_RULES).alias("category"))
+    label = lambda rule_list: tx.first_label(None, F.col("text"), rule_list, folded=F.col("low"))
+    return folded_docs(spark, root).select("doc_id", label(rules.COVERAGE_KIND_RULES).alias("kind"), label(rules.TREND_RULES).alias("trend"),
+                                           label(rules.CATEGORY_RULES).alias("category"))
 
 
 @query("H13", f"SELECT doc_id, {_labels(rules.SERVICE_TYPE_RULES)} AS service_types FROM (SELECT doc_id, {PLAIN} AS t FROM docs)", "docs")
 def all_match_rules(spark, root):
-    return bound(spark, root, "docs").select("doc_id", F.array_join(tx.all_labels("text", rules.SERVICE_TYPE_RULES), ",").alias("service_types"))
+    return folded_docs(spark, root).select("doc_id", F.array_join(tx.all_labels("text", rules.SERVICE_TYPE_RULES, F.col("low")), ",").alias("service_types"))
 
 
 def _re2(pattern: str) -> str:
@@ -151,8 +156,8 @@ def _re2(pattern: str) -> str:
     "SELECT doc_id, CASE " + " ".join(f"WHEN best = {w * 1000 - i} THEN '{label}'" for i, (label, w, _p) in enumerate(rules.PAGE_CLASS_RULES)) +
     " ELSE 'UNKNOWN' END AS label FROM m", "docs")
 def page_class_of_text(spark, root):
-    hit = F.array_max(page_facts.class_matches(F.col("text"), F.lit("")))
-    return bound(spark, root, "docs").select("doc_id", F.coalesce(hit["label"], F.lit("UNKNOWN")).alias("label"))
+    hit = F.array_max(page_facts.class_matches(F.col("text"), F.lit(""), F.col("low")))
+    return folded_docs(spark, root).select("doc_id", F.coalesce(hit["label"], F.lit("UNKNOWN")).alias("label"))
 
 
 @query("H16, H17, H19", f"""
@@ -162,10 +167,10 @@ SELECT doc_id, CASE WHEN {_any(rules.CLOSED_PATTERNS)} THEN 'CLOSED' WHEN {_any(
  {_any(rules.LOGIN_PATTERNS)} AS requires_login, regexp_matches(t, {_quote(rules.CAPTCHA_PATTERN)}) AS requires_captcha FROM (SELECT doc_id, {PLAIN} AS t FROM docs)
 """, "docs")
 def submission_and_cost_of_text(spark, root):
-    text = F.col("text")
-    return bound(spark, root, "docs").select(
-        "doc_id", page_facts.submissions(text)["state"].alias("state"), page_facts.cost(text, F.lit("UNKNOWN"))["model"].alias("cost_model"),
-        tx.matches_any(text, rules.LOGIN_PATTERNS).alias("requires_login"), tx.matches(text, rules.CAPTCHA_PATTERN).alias("requires_captcha"))
+    text, low = F.col("text"), F.col("low")
+    return folded_docs(spark, root).select(
+        "doc_id", page_facts.submissions(text, low)["state"].alias("state"), page_facts.cost(text, F.lit("UNKNOWN"), low)["model"].alias("cost_model"),
+        tx.matches_any(text, rules.LOGIN_PATTERNS, low).alias("requires_login"), tx.matches(text, rules.CAPTCHA_PATTERN, folded=low).alias("requires_captcha"))
 
 
 @query("H20", f"""
@@ -183,7 +188,7 @@ def dates_in_text(spark, root):
         f" AND NOT regexp_matches(t, '(?i)\\b{s}\\b')" for s in rules.GENRES if " " in s and g in s.split(" ")) + f" THEN '{g}' END"
     for g in rules.GENRES if " " not in g and "-" not in g) + f") AS genres FROM (SELECT doc_id, {PLAIN} AS t FROM docs)", "docs")
 def genres_of_text(spark, root):
-    return bound(spark, root, "docs").select("doc_id", F.array_join(tx.genres_in("text"), ",").alias("genres"))
+    return folded_docs(spark, root).select("doc_id", F.array_join(tx.genres_in("text", F.col("low")), ",").alias("genres"))
 
 
 @query("X2", "SELECT doc_id, sha256(text) AS content_hash FROM docs", "docs")

@@ -59,3 +59,15 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly row work all cores when the input came in too few splits.
+
+    Looks at the planned splits only, no job runs.  Input with splits for at least
+    a quarter of the cores, as any large table has, is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() * 4 > cores:
+        return df
+    return df.repartition(cores)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from wayfold import rules
+from wayfold.session import spread
 from wayfold.sources import html as reader
 
 # executors need not have this package installed: the reader travels with the task
@@ -55,4 +56,4 @@ def read_pages(pages: DataFrame, url: str = "url", html: str = "html",
             out.index = batch.index
             yield pd.concat([batch[names], out], axis=1)
 
-    return pages.mapInPandas(run, schema)
+    return spread(pages).mapInPandas(run, schema)
