@@ -76,6 +76,23 @@ def test_scans_do_not_depend_on_the_bucket(skewed, bucket):
             last = label
 
 
+@pytest.mark.parametrize("rows_per_bucket", [10, 100, 10**6])
+def test_balanced_buckets_cut_hot_keys_and_change_nothing(skewed, rows_per_bucket):
+    data, df = skewed
+    cut = scans.balanced_bucket(df, ["key"], "ts", rows_per_bucket, "b")
+    carried = {r["seq"]: (r["c"], r["b"]) for r in scans.carry_last(cut, ["key"], "b", ["ts", "seq"], "label", "c").collect()}
+    sizes = {}
+    for key in {d[0] for d in data}:
+        held, edge = None, -1
+        for _k, _s, q, label, _n in sorted((d for d in data if d[0] == key), key=lambda d: (d[1], d[2])):
+            held = label or held
+            assert carried[q][0] == held and carried[q][1] >= edge
+            edge = carried[q][1]
+            sizes[key, edge] = sizes.get((key, edge), 0) + 1
+    assert len(sizes) >= 1 + len({d[0] for d in data}) or rows_per_bucket > 360
+    assert max(n for (k, _b), n in sizes.items() if k == "hot") <= max(2 * rows_per_bucket, 30)
+
+
 def test_trailing_count_includes_both_ends(frame):
     base = 1_700_000_000
     df = frame([("a", base), ("a", base + 86_400), ("a", base + 86_401), ("a", base + 86_401)], "k string, s bigint").withColumn("ts", F.timestamp_seconds("s"))

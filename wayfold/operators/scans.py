@@ -4,6 +4,8 @@ A plain window would bring a whole group into one task.  Here a group is cut
 into time buckets: each bucket is folded on its own, the short list of bucket
 totals is scanned per key, and the carried value is joined back.  A task then
 holds at most one bucket of one key, whatever share of the data the key has.
+
+Key columns hold no nulls here: a row without a key belongs to no group.
 """
 
 from __future__ import annotations
@@ -20,6 +22,28 @@ def time_bucket(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds).cast("bigint")
 
 
+def balanced_bucket(df: DataFrame, keys: Sequence[str], ts: str, rows: int, out: str) -> DataFrame:
+    """Cut only the keys with more than ``rows`` rows, at quantiles of their times.
+
+    Time buckets of one width cannot know how dense a hot key is.  Here the keys that
+    need it get enough cuts to bring every bucket near ``rows``, and all other keys
+    stay whole.  The cut points are a small written table (at most one row per
+    ``rows`` input rows), so every later read agrees on them; any cuts give the same
+    result, as a bucket is a rising function of time alone.
+    """
+    from wayfold.session import materialize
+    big = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > rows)
+    steps = 1024
+    marks = F.percentile_approx(F.unix_micros(F.col(ts).cast("timestamp")), [i / steps for i in range(1, steps)], 20_000)
+    spread = (df.select(*keys, ts).join(big, list(keys)).groupBy(*keys, "__n").agg(marks.alias("__marks"))
+              .withColumn("__every", F.greatest(F.lit(1), F.floor(F.lit(steps) * rows / F.col("__n"))).cast("int"))
+              .select(*keys, F.array_distinct(F.filter("__marks", lambda m, i: (i + 1) % F.col("__every") == 0)).alias("__cuts")))
+    cuts = materialize(spread, "cuts")
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    place = F.coalesce(F.size(F.filter("__cuts", lambda c: c < at)), F.lit(0))
+    return df.join(cuts, list(keys), "left").withColumn(out, F.when(F.col("__cuts").isNull(), 0).otherwise(place).cast("bigint")).drop("__cuts")
+
+
 def running_total(df: DataFrame, keys: Sequence[str], bucket: str, order, value: str,
                   out: str) -> DataFrame:
     """Sum of ``value`` up to and including each row."""
@@ -56,7 +80,7 @@ def previous_value(df: DataFrame, keys: Sequence[str], bucket: str, order, value
 
 
 def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, out: str,
-                   bucket_seconds: int = 3600) -> DataFrame:
+                   bucket_seconds: int = 3600, rows_per_bucket: int | None = None) -> DataFrame:
     """Rows of the same key in the ``seconds`` up to each distinct time, ends included.
 
     Every arrival adds its count and, ``seconds`` later, takes it away again; the
@@ -68,14 +92,16 @@ def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, ou
                  F.col("arrived").alias("__delta")),
         F.struct((F.col(ts) + F.expr(f"INTERVAL {seconds} SECONDS")).alias(ts), F.lit(1).alias("__leaves"),
                  F.col("arrived").alias("arrived"), (-F.col("arrived")).alias("__delta")))).alias("m"))
-    marks = marks.select(*keys, "m.*").withColumn("__bucket", time_bucket(ts, bucket_seconds))
+    marks = marks.select(*keys, "m.*")
+    marks = (balanced_bucket(marks, keys, ts, rows_per_bucket, "__bucket") if rows_per_bucket
+             else marks.withColumn("__bucket", time_bucket(ts, bucket_seconds)))
     total = running_total(marks, keys, "__bucket", [ts, "__leaves"], "__delta", out)
     return total.filter(F.col("__leaves") == 0).select(*keys, ts, "arrived", out)
 
 
 def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str,
                right_order: Sequence[str], values: Sequence[str], out: str,
-               bucket_seconds: int = 86_400) -> DataFrame:
+               bucket_seconds: int = 86_400, rows_per_bucket: int | None = None) -> DataFrame:
     """Newest right row of the same key at or before each left row, as a struct."""
     payload = F.struct(*[F.col(v) for v in values])
     seq_type = dict(right.dtypes)[right_order[0]] if right_order else "bigint"
@@ -86,7 +112,9 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts:
                        (F.col(right_order[0]) if right_order else F.lit(0)).cast(seq_type).alias("__seq"),
                        F.lit(None).cast(_struct_type(left, left.columns)).alias("__left"),
                        payload.alias("__right"))
-    both = lhs.unionByName(rhs).withColumn("__bucket", time_bucket("__ts", bucket_seconds))
+    both = lhs.unionByName(rhs)
+    both = (balanced_bucket(both, keys, "__ts", rows_per_bucket, "__bucket") if rows_per_bucket
+            else both.withColumn("__bucket", time_bucket("__ts", bucket_seconds)))
     seen = carry_last(both, keys, "__bucket", ["__ts", "__side", "__seq"], "__right", out)
     return seen.filter(F.col("__side") == 1).select("__left.*", out)
 

@@ -12,6 +12,7 @@ from wayfold.plans import outreach, reporting
 from wayfold.registry.base import AS_OF, bound, micros, query
 
 DAY = 86_400
+BUCKET_ROWS = 1_000_000
 
 
 @query("W1, R2", """
@@ -48,7 +49,7 @@ SELECT a.entity, epoch_us(a.ts) AS at_us, a.arrived, CAST(sum(b.arrived) AS BIGI
   ON a.entity = b.entity AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 24 HOUR GROUP BY 1, 2, 3
 """, "log")
 def trailing_day_volume(spark, root):
-    out = scans.trailing_count(bound(spark, root, "log").select("entity", "ts"), ["entity"], "ts", DAY, "trailing")
+    out = scans.trailing_count(bound(spark, root, "log").select("entity", "ts"), ["entity"], "ts", DAY, "trailing", rows_per_bucket=BUCKET_ROWS)
     return out.select("entity", micros("ts").alias("at_us"), "arrived", F.col("trailing").cast("bigint").alias("trailing"))
 
 
@@ -164,7 +165,7 @@ ASOF LEFT JOIN (SELECT entity, ts, max(event_id) AS event_id FROM log WHERE type
 def purchase_after_newest_view(spark, root):
     rows = bound(spark, root, "log").select("entity", "event_id", "ts", "type")
     out = scans.as_of_join(rows.filter("type = 'purchase'"), rows.filter("type = 'view'"), ["entity"], "ts", "ts",
-                           ["event_id"], ["event_id", "ts"], "seen")
+                           ["event_id"], ["event_id", "ts"], "seen", rows_per_bucket=BUCKET_ROWS)
     return out.select("event_id", "entity", F.col("seen.event_id").alias("view_id"),
                       (micros("ts") - F.unix_micros("seen.ts")).alias("gap_us"))
 
@@ -179,7 +180,7 @@ SELECT entity, count(*) AS count, round_even(avg(d), 1) AS average_days FROM (
 def response_time_per_entity(spark, root):
     rows = bound(spark, root, "log").select("entity", "event_id", "ts", "type")
     views = rows.filter("type = 'view'")
-    paired = scans.as_of_join(rows.filter("type = 'purchase'"), views, ["entity"], "ts", "ts", ["event_id"], ["event_id"], "seen")
+    paired = scans.as_of_join(rows.filter("type = 'purchase'"), views, ["entity"], "ts", "ts", ["event_id"], ["event_id"], "seen", rows_per_bucket=BUCKET_ROWS)
     answers = paired.select("entity", F.col("ts").alias("received_at"), F.col("seen.event_id").alias("submission_id"))
     sends = views.select(F.col("event_id").alias("submission_id"), F.col("ts").alias("sent_at"))
     return reporting.response_times(answers, sends, ["entity"])
@@ -231,7 +232,8 @@ GROUP BY 1, 2
 """, "log")
 def content_changes_per_key(spark, root):
     reads = (bound(spark, root, "log").withColumn("digest", F.sha2(F.encode("props", "utf-8"), 256))
-             .withColumn("day", scans.time_bucket("ts", DAY)).select("entity", "type", "ts", "event_id", "day", "digest"))
+             .select("entity", "type", "ts", "event_id", "digest"))
+    reads = scans.balanced_bucket(reads, ["entity", "type"], "ts", BUCKET_ROWS, "day")
     seen = folds.content_changes(reads, ["entity", "type"], "day", ["ts", "event_id"], "digest")
     return seen.groupBy("entity", "type").agg(F.count("*").alias("reads"), F.count_if("changed").alias("changes"))
 
@@ -255,7 +257,7 @@ SELECT entity, event_id, status, held AS override_status, CASE WHEN human_overri
   WHEN coalesce({SEV.format('held')}, -1) > {SEV.format('status')} THEN held ELSE status END AS effective_status FROM h
 """, "log")
 def screening_history(spark, root):
-    log = screening_log(spark, root).withColumn("day", scans.time_bucket("ts", DAY))
+    log = scans.balanced_bucket(screening_log(spark, root), ["entity"], "ts", BUCKET_ROWS, "day")
     out = folds.effective_history(log, ["entity"], "day", ["ts", "event_id"])
     return out.select("entity", "event_id", "status", "override_status", "effective_status")
 
@@ -420,7 +422,7 @@ def audit_chain(spark, root):
     from pyspark.sql import Window
     rows = bound(spark, root, "log")
     # positions by a two-step count so that no task orders a whole tenant
-    rows = rows.withColumn("one", F.lit(1)).withColumn("day", scans.time_bucket("ts", DAY))
+    rows = scans.balanced_bucket(rows.withColumn("one", F.lit(1)), ["entity"], "ts", BUCKET_ROWS, "day")
     rows = scans.running_total(rows, ["entity"], "day", ["ts", "event_id"], "one", "seq")
     events = rows.select(
         F.col("seq").cast("bigint").alias("seq"), F.col("entity").cast("string").alias("tenant_id"), F.lit("USER").alias("actor_kind"),
