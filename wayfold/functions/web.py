@@ -19,12 +19,9 @@ def host_of(url) -> Column:
 def registrable_domain(host) -> Column:
     """eTLD+1 with the two-part public suffixes in the fixed list."""
     h = F.regexp_replace(F.lower(F.coalesce(col_of(host), F.lit(""))), r"^\.+|\.+$", "")
-    labels = F.split(h, r"\.")
-    n = F.size(labels)
-    tail = F.array_join(F.slice(labels, -2, 2), ".")
-    return (F.when(n <= 2, h)
-            .when(tail.isin(rules.TWO_PART_SUFFIXES), F.array_join(F.slice(labels, -3, 3), "."))
-            .otherwise(tail))
+    two_part = "|".join(suffix.replace(".", r"\.") for suffix in rules.TWO_PART_SUFFIXES)
+    found = F.regexp_extract(h, rf"([^.]+\.(?:{two_part})|[^.]+\.[^.]+)$", 1)
+    return F.coalesce(F.nullif(found, F.lit("")), h)
 
 
 def is_platform(domain) -> Column:

@@ -26,7 +26,7 @@ from wayfold.session import spread
 
 GRAMS = (8, 4, 2, 1)
 WORD = r"(?U)[\p{Alnum}]+"
-RUN = r"(?U)[^\p{Alnum}]+"
+PIECE = r"(?U)\p{Alnum}+|[^\p{Alnum}]+"
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -34,7 +34,8 @@ def _all(text: Column, pattern: str) -> Column:
 
 
 def _pieces(text: Column) -> Column:
-    return F.array_distinct(F.concat(_all(text, WORD), _all(text, RUN)))
+    """Distinct words and the runs between them."""
+    return F.array_distinct(_all(text, PIECE))
 
 
 def _grams(text: Column) -> Column:

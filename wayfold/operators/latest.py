@@ -40,6 +40,12 @@ def first_n_per_key(df: DataFrame, keys: Sequence[str], order, n: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
+def cap_edges(df: DataFrame, keys: Sequence[str], order: Sequence[str], cap: int, out: str) -> DataFrame:
+    """Per key, the place in the order of its ``cap``-th row (or of its last one)."""
+    head = first_n_per_key(df.select(*dict.fromkeys([*keys, *order])), keys, order, cap, "__rank")
+    return head.groupBy(*keys).agg(F.max(order_struct(order)).alias(out))
+
+
 def cap_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cap: int,
                 reason: str) -> DataFrame:
     """Mark the first ``cap`` rows per key; every other row stays, with a reason.
@@ -47,8 +53,7 @@ def cap_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cap: i
     The order must be unique within a key.  Only the row at the cap is looked up
     per key, so no task sorts a whole hot group.
     """
-    edge = (first_n_per_key(df.select(*dict.fromkeys([*keys, *order])), keys, order, cap, "__rank")
-            .groupBy(*keys).agg(F.max(order_struct(order)).alias("__edge")))
+    edge = cap_edges(df, keys, order, cap, "__edge")
     inside = order_struct(order) <= F.col("__edge")
     return (df.join(edge, list(keys), "left")
             .withColumn("skipped", F.when(~inside, F.lit(reason)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayfold import rules
 from wayfold.functions import text as tx
 from wayfold.functions import web
-from wayfold.operators.latest import cap_per_key, first_n_per_key, ordered_distinct, round_robin
+from wayfold.operators.latest import cap_edges, first_n_per_key, ordered_distinct, round_robin
 
 PLAN = "array<struct<family:string,query:string,territory:string,language:string>>"
 
@@ -123,9 +123,9 @@ def fetch_list(results: DataFrame, domain_budget: int = rules.DEFAULT_DOMAIN_BUD
     judged = (results.withColumn("reason", web.block_reason("url"))
               .withColumn("domain", web.registrable_domain(web.host_of("url"))))
     judged = judged.withColumn("reason", F.coalesce("reason", F.when(web.is_platform("domain"), F.lit("PLATFORM_DOMAIN"))))
-    ok = judged.filter(F.col("reason").isNull()).drop("reason")
-    capped = cap_per_key(ok, ["campaign_id", "domain"], ["seq"], domain_budget, "DOMAIN_BUDGET")
-    return capped.withColumnRenamed("skipped", "reason").unionByName(judged.filter(F.col("reason").isNotNull()))
+    edges = cap_edges(judged.filter(F.col("reason").isNull()), ["campaign_id", "domain"], ["seq"], domain_budget, "__edge")
+    over = F.when(F.struct("seq") > F.col("__edge"), F.lit("DOMAIN_BUDGET"))
+    return judged.join(edges, ["campaign_id", "domain"], "left").withColumn("reason", F.coalesce("reason", over)).drop("__edge")
 
 
 def watch_list(names: DataFrame, cap: int = rules.WATCH_CAP) -> DataFrame:
