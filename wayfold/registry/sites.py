@@ -293,18 +293,51 @@ def campaign_settings(spark, root):
         F.lit("club").alias("scene"), F.array(F.lit("college")).alias("radio_formats"))
 
 
-@query("P3, J17, H27, U1, W5", None)
+def _rows(items) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in row) + ")" for row in items)
+
+
+GENRE_LIST = "[" + ", ".join("'" + g + "'" for g in rules.GENRES) + "]"
+LAND_LIST = "[" + ", ".join(f"'{x}'" for x in sorted(rules.LANGUAGE_TEMPLATES)) + "]"
+SETTINGS_SQL = f"""s AS (SELECT campaign_id, tenant_id, name, CASE segment WHEN 'BUILDING' THEN 'PLAYLIST' WHEN 'AUTOMOBILE' THEN 'BLOG' WHEN 'MACHINERY' THEN 'DJ'
+  WHEN 'HOUSEHOLD' THEN 'RADIO' ELSE 'CURATOR' END AS channel, {LAND_LIST}[tenant_id % {len(rules.LANGUAGE_TEMPLATES)} + 1] AS land,
+ [{GENRE_LIST}[campaign_id % {len(rules.GENRES)} + 1], {GENRE_LIST}[campaign_id * 3 % {len(rules.GENRES)} + 1]] AS genres, {GENRE_LIST}[campaign_id * 7 % {len(rules.GENRES)} + 1] AS micro FROM campaigns)"""
+PLAN_TAIL = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {k}, lower(query) ORDER BY p) AS once FROM q) WHERE once = 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY {k}, family ORDER BY p) AS turn FROM d), o AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY turn, family) AS position FROM f)
+SELECT {k}, family, query, {more}turn, position FROM o WHERE position <= {n}"""
+FILL = "replace(replace(x.tpl, '{genre}', v.value), '{microgenre}', v.value)"
+
+
+@query("P3, J17, H27, U1, W5", f"""
+WITH {SETTINGS_SQL}, v AS (SELECT campaign_id, unnest(list_concat(genres, [micro])) AS value, generate_subscripts(list_concat(genres, [micro]), 1) AS i FROM s),
+c AS (SELECT campaign_id, 0 AS ci, channel FROM s UNION ALL SELECT campaign_id, 1, 'PODCAST' FROM s),
+q AS (SELECT c.campaign_id, c.channel AS family, c.ci * 10000 + x.ti * 100 + v.i AS p, {FILL} AS query, NULL AS territory, 'en' AS language FROM c JOIN v ON v.campaign_id = c.campaign_id
+  JOIN (VALUES {_rows([(ch, i, t) for ch, ts in rules.CHANNEL_TEMPLATES.items() for i, t in enumerate(ts)])}) x(channel, ti, tpl) ON x.channel = c.channel
+ UNION ALL SELECT campaign_id, 'COMPARABLE', 30000, 'playlists featuring ' || name, NULL, 'en' FROM s UNION ALL SELECT campaign_id, 'COMPARABLE', 30001, name || ' similar artists submissions', NULL, 'en' FROM s
+ UNION ALL SELECT campaign_id, 'SCENE', 30002, 'club scene submit music', NULL, 'en' FROM s UNION ALL SELECT campaign_id, 'RADIO', 30003, 'college radio format submissions', NULL, 'en' FROM s
+ UNION ALL SELECT s.campaign_id, 'LOCAL_LANGUAGE', 40000 + x.ti, replace(x.tpl, '{{genre}}', s.micro), s.land, lower(s.land) FROM s
+  JOIN (VALUES {_rows([(t, i, x) for t, ts in rules.LANGUAGE_TEMPLATES.items() for i, x in enumerate(ts)])}) x(land, ti, tpl) ON x.land = s.land
+ UNION ALL SELECT campaign_id, 'TERRITORY', 50000, land || ' ' || micro || ' playlist curator', land, 'en' FROM s),
+""" + PLAN_TAIL.format(k="campaign_id", more="territory, language, ", n=24), "campaigns")
 def campaign_query_plan(spark, root):
-    return planning.campaign_queries(campaign_settings(spark, root)).select(
+    out = planning.campaign_queries(campaign_settings(spark, root)).select(
         "campaign_id", "family", "query", "territory", "language", "turn", "position")
+    return out.withColumns({"turn": F.col("turn").cast("bigint"), "position": F.col("position").cast("bigint")})
 
 
-@query("P4, U6, W5", None)
+@query("P4, U6, W5", f"""
+WITH {SETTINGS_SQL}, t AS (SELECT tenant_id, arg_min(list_concat(genres, [micro]), campaign_id) AS vals, arg_min(land, campaign_id) AS land FROM s GROUP BY 1),
+v AS (SELECT tenant_id, land, unnest(vals) AS value, generate_subscripts(vals, 1) AS i FROM t),
+q AS (SELECT v.tenant_id, x.family, x.ti * 100 + v.i AS p, replace({FILL}, '{{territory}}', v.land) AS query FROM v, (VALUES {_rows([(f, i, t) for i, (f, t) in enumerate(
+    (f, t) for f, ts in rules.PROMOTION_TEMPLATES.items() for t in ts)])}) x(family, ti, tpl)
+ UNION ALL SELECT t.tenant_id, 'SEED', 100000 + x.ti, '"' || x.name || '" pricing submission terms' FROM t, (VALUES {_rows(list(enumerate(rules.SEED_SERVICES)))}) x(ti, name)),
+""" + PLAN_TAIL.format(k="tenant_id", more="", n=40), "campaigns")
 def promotion_query_plan(spark, root):
     tenants = campaign_settings(spark, root).groupBy("tenant_id").agg(
         F.min_by("genres", "campaign_id").alias("genres"), F.min_by("microgenres", "campaign_id").alias("microgenres"),
         F.min_by("territories", "campaign_id").alias("territories"))
-    return planning.promotion_queries(tenants).select("tenant_id", "family", "query", "turn", "position")
+    out = planning.promotion_queries(tenants).select("tenant_id", "family", "query", "turn", "position")
+    return out.withColumns({"turn": F.col("turn").cast("bigint"), "position": F.col("position").cast("bigint")})
 
 
 @query("E9, W9, U1", """
