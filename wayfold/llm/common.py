@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +42,28 @@ def split_words(text: str | None) -> list[str]:
 def fold_is(doc_id: Column, parts: int, fold: int) -> Column:
     """Whether crc32 of the id as text leaves ``fold`` modulo ``parts``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == fold, F.lit(False))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the tasks import this package wherever they run: its source goes along, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="source-")  # of the driver alone: the executors fetch the archive from it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"{folder}/{package.name}.zip"
+    with zipfile.ZipFile(name, "w") as archive:
+        for part in sorted(package.rglob("*.py")):
+            archive.write(part, part.relative_to(package.parent))
+    context.addPyFile(name)
+    _shipped.add(context.applicationId)
+
+
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInPandas`` whose function may use this package's modules."""
+    ship(df.sparkSession)
+    return df.mapInPandas(run, schema)

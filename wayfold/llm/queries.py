@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import table
+from wayfold.llm.common import fold_is, table
 from wayfold.llm.quality_rules import STOP_WORDS
 
+def vocabulary_path() -> str:
+    """Where the public word-level BPE file lies on this machine; only the driver opens it."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -78,3 +84,26 @@ FROM d LEFT JOIN cut c USING (doc_id)
 def op7_line_spread(spark: SparkSession, root: str) -> DataFrame:
     from wayfold.llm.line_spread import remove_boilerplate
     return remove_boilerplate(table(spark, root, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query()
+def op5_bpe_boundaries(spark: SparkSession, root: str, vocabulary: str | None = None) -> DataFrame:
+    from wayfold.llm.bpe import digests
+    return digests(table(spark, root, "documents"), vocabulary or vocabulary_path())
+
+
+@query()
+def op9_secret_formats(spark: SparkSession, root: str) -> DataFrame:
+    from wayfold.llm.secret_formats import find_secrets
+    return find_secrets(table(spark, root, "documents"))
+
+
+@query()
+def op6_toxic_segments(spark: SparkSession, root: str) -> DataFrame:
+    from wayfold.llm import toxicity
+    docs = table(spark, root, "documents")
+    held_out = lambda doc_id: fold_is(doc_id, 4, 2)
+    model = toxicity.fit(docs, table(spark, root, "labels"), held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_passages", "passages")
