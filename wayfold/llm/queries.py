@@ -107,3 +107,52 @@ def op6_toxic_segments(spark: SparkSession, root: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_passages", "passages")
+
+
+MIX_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source,
+                  len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS size,
+                  CAST('0x' || substr(md5('1:' || doc_id), 1, 15) AS BIGINT) AS k FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+s1 AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) AS place FROM s0),
+s2 AS (SELECT *, place % 3 + 1 AS w FROM s1),
+s3 AS (SELECT *, coalesce(sum(3 * n) OVER before, 0) AS capped, coalesce(sum(w) OVER before, 0) AS used,
+              sum(n) OVER () AS total, sum(w) OVER () AS weight FROM s2
+       WINDOW before AS (ORDER BY 3 * n / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s4 AS (SELECT *, (total - capped) * w > 3 * n * (weight - used) AS stops FROM s3),
+s5 AS (SELECT total - coalesce(sum(3 * n) FILTER (stops), 0) AS open_words, weight - coalesce(sum(w) FILTER (stops), 0) AS open_weight
+       FROM s4 GROUP BY total, weight),
+s6 AS (SELECT source, place, n, CASE WHEN stops THEN CAST(3 * n AS DOUBLE)
+                  ELSE CAST(w * open_words AS DOUBLE) / CAST(open_weight AS DOUBLE) END AS target FROM s4, s5),
+s7 AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 3 * n) AS words, greatest(1, -(-n // 131072)) AS blocks FROM s6),
+e AS (SELECT d.*, place, n, target, k % greatest(1, CAST(ceil(n / 131072.0) AS BIGINT)) AS block,
+             CASE WHEN n > 0 THEN words // n ELSE 0 END AS epochs, CASE WHEN n > 0 THEN words % n ELSE 0 END AS rest
+      FROM d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source),
+b AS (SELECT place, block, coalesce(sum(sum(size)) OVER (PARTITION BY place ORDER BY md5('1:' || place || ':' || block), block
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e GROUP BY place, block),
+f AS (SELECT e.*, before + coalesce(sum(size) OVER (PARTITION BY e.place, e.block ORDER BY k, doc_id, size
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+      FROM e JOIN b ON e.place = b.place AND e.block = b.block)
+SELECT doc_id, size, n AS source_size, target,
+       CAST(epochs * size + least(greatest(rest - start, 0), size) AS BIGINT) AS taken FROM f
+"""
+
+
+@query(MIX_SQL)
+def op2_source_mix(spark: SparkSession, root: str) -> DataFrame:
+    from wayfold.llm.mixing import mix
+    return mix(table(spark, root, "documents")).select(
+        "doc_id", "size", "source_size", "target",
+        F.aggregate("draws", F.lit(0).cast("long"), lambda total, d: total + d["words"]).alias("taken"))
+
+
+@query()
+def op4_url_rules(spark: SparkSession, root: str) -> DataFrame:
+    from wayfold.llm.url_rules import judge
+    return judge(table(spark, root, "pages"), table(spark, root, "labels"))
+
+
+@query()
+def op3_adaptive_scan(spark: SparkSession, root: str) -> DataFrame:
+    from wayfold.llm.ann import search
+    return search(table(spark, root, "embeddings"), F.col("vec_id") % 100 == 0)
