@@ -8,6 +8,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARACTERS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# the same as str.translate tables, for Python tasks
+# the same as a str.translate table, for Python tasks
 TO_LOWER = str.maketrans(UPPER, LOWER)
-TO_BLANK = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -36,7 +37,28 @@ def words(text: Column) -> Column:
 
 def split_words(text: str | None) -> list[str]:
     """The same words in Python: str.split with no argument would also cut at other Unicode blanks."""
-    return [w for w in (text or "").translate(TO_BLANK).split(" ") if w]
+    text = text or ""
+    for c in SPACE_CHARACTERS[1:]:
+        if c in text:
+            text = text.replace(c, " ")
+    return [w for w in text.split(" ") if w]
+
+
+class WordHashes(dict):
+    """64-bit hash of each word with A-Z lowered, kept for a bounded number of words."""
+
+    def __init__(self, most: int = 500_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word.translate(TO_LOWER).encode("utf-8", "surrogatepass"))
+        return value
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def fold_is(doc_id: Column, parts: int, fold: int) -> Column:

@@ -156,3 +156,9 @@ def op4_url_rules(spark: SparkSession, root: str) -> DataFrame:
 def op3_adaptive_scan(spark: SparkSession, root: str) -> DataFrame:
     from wayfold.llm.ann import search
     return search(table(spark, root, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op10_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    from wayfold.llm.jaccard_join import near_duplicates
+    return near_duplicates(table(spark, root, "documents"))
