@@ -162,3 +162,9 @@ def op3_adaptive_scan(spark: SparkSession, root: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     from wayfold.llm.jaccard_join import near_duplicates
     return near_duplicates(table(spark, root, "documents"))
+
+
+@query()
+def op1_trie_scores(spark: SparkSession, root: str) -> DataFrame:
+    from wayfold.llm.ngram_model import score
+    return score(table(spark, root, "documents"), fold_is(F.col("doc_id"), 7, 2))
