@@ -128,6 +128,8 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
-    # the measures live under a struct of their own while they are needed, so no column of the input is lost
+    # the measures stand beside a struct of the row, so no column of the input is lost
     judged = judge(docs.select(F.struct("*").alias("__row"), F.col(text).alias("text")), "text", rules)
-    return judged.where("kept").select("__row.*")
+    # the running number keeps the filter above the measures: pushed below, it would repeat them inside its condition
+    return (judged.select("__row", "kept", F.monotonically_increasing_id().alias("__number"))
+            .where("kept AND __number >= 0").select("__row.*"))
