@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import line_spread, quality_rules
+from wayfold.llm import bpe, jaccard_join, line_spread, mixing, quality_rules
 from wayfold.llm.common import WORD, table
+from wayfold.llm.queries import vocabulary_path
 from wayfold.session import materialize
 
 
@@ -28,7 +29,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                            .otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by near copies (five words, 0.8) the one of smallest id stays; equal rows once."""
+    groups = jaccard_join.near_duplicates(docs, width=5, percent=80)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    nameless = docs.where(F.col("doc_id").isNull())  # no id to tell them apart by: they stay
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(nameless)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, dropped or repeated up to three times, so that each source's words come to its target."""
+    return mixing.shuffled(mixing.mix(docs, whole=True), docs.columns).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every row of the mix."""
+    return bpe.encode(docs, vocabulary_path())
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates),
+          ("mixing to target weights", mixture), ("BPE encoding", tokens)]
+#: No SQL: token ids are not expressible; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
