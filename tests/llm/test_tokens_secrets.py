@@ -1,0 +1,104 @@
+import hashlib
+import random
+import re
+import struct
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from wayfold.llm import bpe, secret_formats
+from tests.llm.helpers import DOCS, docs
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    t = Tokenizer.from_file(PATH)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+@pytest.fixture(scope="module")
+def codec():
+    with open(PATH, encoding="utf-8") as f:
+        return bpe.Codec(f.read())
+
+
+def test_codec_equals_the_library_on_random_texts(codec, library):
+    rng = random.Random(5)
+    signs = list("abcdeTHE '\n\t .!<|>s1²½ßİΣσςééÀñÅ中文🙂") + ["\x85", "\x1c", " ", "<|endoftext|>", "<|EndOfText|>", "'ll", " ΑΣ "]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(3000)] + ["a" * 4000, "the" * 2000, "中" * 2000, "", "ab!" * 500]
+    for t in texts:
+        ids = library.encode(t, add_special_tokens=False).ids
+        packed, decoded = codec.encode(t)
+        assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == ids, t
+        assert decoded == library.decode(ids, skip_special_tokens=False) == codec.decode(ids)
+
+
+def test_forced_boundaries_are_certain(codec):
+    assert all((a, b) in codec.inside for a, b in codec.rank if len(a) == 1 and len(b.replace(codec.end, "")) == 1)
+    symbols = [codec.symbols[b] for b in "中文ab".encode()]
+    assert sum(map(len, codec.split(symbols))) == len(symbols) and len(list(codec.split(symbols))) > 1
+
+
+def test_digests_and_round_trip(spark, library):
+    texts = ["The quick, brown fox", None, "", "  ", "é" * 50, "The quick, brown fox", "x" * 100_000]
+    df = docs(spark, texts).withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit(1))
+    got = {r.doc_id: r for r in bpe.digests(df, PATH).collect()}
+    for i, t in enumerate(texts, 1):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    out = bpe.encode(df, PATH)
+    back = out.select("doc_id", bpe.decode(F.col("ids"), out, PATH).alias("t")).collect()
+    assert {r.doc_id: r.t for r in back} == {i: library.decode(library.encode(t or "", add_special_tokens=False).ids,
+                                                             skip_special_tokens=False) for i, t in enumerate(texts, 1)}
+    assert bpe.digests(spark.createDataFrame([], DOCS), PATH).count() == 0
+
+
+def brute(text):
+    """The base patterns as they are stated, failing matches dropped afterwards."""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+def test_base_spans_equal_the_stated_patterns():
+    rng = random.Random(2)
+    parts = ["password", "PassWord", "token", "api_key", "APIKEY", "=", ": ", '"', "'", " ", "AKIA", "A1B2C3D4E5F6G7H8", "deadbeef" * 3,
+             "abc", "é", "ſecret", "toKen", "x.y", "0123", "\n"]
+    for _ in range(4000):
+        t = "".join(rng.choices(parts, k=rng.randint(1, 12)))
+        assert secret_formats.base_spans(t) == brute(t), t
+
+
+def test_automaton_tells_formats_apart():
+    rng = random.Random(1)
+    hexes = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(300)]
+    a = secret_formats.infer(hexes[:200])
+    assert len(a) < 60
+    low = min(secret_formats.likelihood(a, w) for w in hexes[200:])
+    assert low > secret_formats.likelihood(a, "thisisanordinarylongwordwithout9")
+
+
+def test_scan_of_texts(spark):
+    rng = random.Random(3)
+    value = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    texts = [f"é text password={value(18)} here" for _ in range(60)] + [f"see {value(40)}." for _ in range(60)]
+    hidden = value(20)
+    texts += [f"loose {hidden} and ordinaryordinaryordinary 4562298812442145", None, "", texts[0]]
+    out = {r.doc_id: r for r in secret_formats.find_secrets(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts, 1):
+        base = brute(t or "")
+        shown = ",".join(f"{secret_formats.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert out[i].base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert (out[i].n_assign, out[i].n_access, out[i].n_hex) == tuple(sum(k == x for _, k, _ in base) for x in range(3))
+    assert out[121].spans.startswith("like_") and out[121].spans.endswith(":6:26")
+    assert out[122].spans == "" and out[1].spans == out[124].spans
+    assert secret_formats.find_secrets(spark.createDataFrame([], DOCS)).count() == 0
