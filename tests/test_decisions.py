@@ -146,7 +146,7 @@ def test_conflict_leaves_the_field_unknown_and_flags_review(spark):
                                                "Placement stays at the curator's discretion.")
 
 
-def test_commercial_columns_never_reach_screening(spark):
+def test_commercial_columns_never_enter_screening(spark):
     df = spark.createDataFrame([("s", "PARTNER", "paid us")], "service_id string, relation string, disclosure string")
     seen = promotion.screening_inputs(df)
     assert seen.columns == ["service_id"]

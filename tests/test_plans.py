@@ -30,7 +30,7 @@ def test_null_safe_keys_are_hash_joined(spark):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_filters_and_columns_reach_the_scan(spark):
+def test_filters_and_columns_are_pushed_to_the_scan(spark):
     plan = plan_of(load()["campaigns_with_large_target"].run(spark, ROOT))
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,400000.0)" in plan
     assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double>" in plan

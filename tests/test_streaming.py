@@ -1,6 +1,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from wayfold.operators import folds
@@ -25,7 +27,7 @@ def test_delivery_events_register_once(spark, tmp_path):
     write = sinks.register_once(f"{out}/register", feeds.SUPPRESSION, feeds.SUPPRESSION_KEY, ["reason"])
 
     def run():
-        rows = feeds.suppression_rows(feeds.delivery_outcomes(feeds.once(delivery_feed(spark, src))), KEY)
+        rows = feeds.suppression_rows(feeds.delivery_outcomes(delivery_feed(spark, src)), KEY)
         sinks.run_available(rows, f"{out}/checkpoint", write, "append")
         return {r["reason"] for r in spark.read.schema(feeds.SUPPRESSION).parquet(f"{out}/register").collect()}, \
             spark.read.schema(feeds.SUPPRESSION).parquet(f"{out}/register").count()
@@ -36,6 +38,33 @@ def test_delivery_events_register_once(spark, tmp_path):
     assert run() == ({"Permanent bounce", "Spam complaint"}, 2)  # the address is registered already
 
 
+def test_an_opt_out_ten_days_late_is_registered(spark, tmp_path):
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    write = sinks.register_once(f"{out}/register", feeds.SUPPRESSION, feeds.SUPPRESSION_KEY, ["reason"])
+    for k, e in enumerate([event("1", "bounce", "a@x.example", "2024-01-01T00:00:00Z"), event("2", "open", "b@x.example", "2024-01-11T00:00:00Z"),
+                           event("3", "unsubscribe", "c@x.example", "2024-01-01T00:00:00Z")]):
+        drop(src, f"f{k}", [e])
+        sinks.run_available(feeds.suppression_rows(feeds.delivery_outcomes(delivery_feed(spark, src)), KEY), f"{out}/checkpoint", write, "append")
+    assert spark.read.schema(feeds.SUPPRESSION).parquet(f"{out}/register").count() == 2
+
+
+def test_a_register_that_cannot_be_read_stops_the_batch(spark, tmp_path):
+    path = tmp_path / "register" / "batch=0"
+    path.mkdir(parents=True)
+    (path / "part-0.parquet").write_bytes(b"no parquet")
+    write = sinks.register_once(f"{tmp_path}/register", feeds.SUPPRESSION, feeds.SUPPRESSION_KEY, ["reason"])
+    with pytest.raises(Exception):
+        write(spark.createDataFrame([(None, "h", "GLOBAL", "x")], feeds.SUPPRESSION), 1)
+
+
+def test_stream_queries_read_a_folder_of_part_files(spark, tmp_path):
+    from wayfold.registry import load
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("delivery_event_stream", "recontact_stream"):
+        got = sorted(map(str, load()[name].run(spark, str(tmp_path)).collect()))
+        assert got and got == sorted(map(str, load()[name].run(spark, "/root/testdata/sf0.001").collect()))
+
+
 def test_replayed_batch_replaces_itself(spark, tmp_path):
     write = sinks.register_once(f"{tmp_path}/r", feeds.SUPPRESSION, feeds.SUPPRESSION_KEY, ["reason"])
     rows = spark.createDataFrame([(None, "h", "GLOBAL", "x")], feeds.SUPPRESSION)

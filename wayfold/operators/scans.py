@@ -27,14 +27,19 @@ def balanced_bucket(df: DataFrame, keys: Sequence[str], ts: str, rows: int, out:
 
     Time buckets of one width cannot know how dense a hot key is.  Here the keys that
     need it get enough cuts to bring every bucket near ``rows``, and all other keys
-    stay whole.  The cut points are a small written table (at most one row per
+    stay whole.  The largest key sets the number of quantiles asked for, so there is no
+    ceiling.  The cut points are a small written table (at most one row per
     ``rows`` input rows), so every later read agrees on them; any cuts give the same
-    result, as a bucket is a rising function of time alone.
+    result, as a bucket is a rising function of time alone.  Rows of one key at one and the
+    same time stay together.
     """
     from wayfold.session import materialize
     big = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > rows)
-    steps = 1024
-    marks = F.percentile_approx(F.unix_micros(F.col(ts).cast("timestamp")), [i / steps for i in range(1, steps)], 20_000)
+    most = big.agg(F.max("__n")).first()[0]
+    if most is None:
+        return df.withColumn(out, F.lit(0).cast("bigint"))
+    steps = 2 * -(-most // rows)
+    marks = F.percentile_approx(F.unix_micros(F.col(ts).cast("timestamp")), [i / steps for i in range(1, steps)], max(20_000, 10 * steps))
     spread = (df.select(*keys, ts).join(big, list(keys)).groupBy(*keys, "__n").agg(marks.alias("__marks"))
               .withColumn("__every", F.greatest(F.lit(1), F.floor(F.lit(steps) * rows / F.col("__n"))).cast("int"))
               .select(*keys, F.array_distinct(F.filter("__marks", lambda m, i: (i + 1) % F.col("__every") == 0)).alias("__cuts")))

@@ -19,10 +19,9 @@ def joined_text(*parts: str) -> Column:
 
 def page_state(status: Column, title: Column, text: Column) -> Column:
     """Real content, or an interstitial or error page standing in front of it."""
-    head = F.substring(F.concat_ws(" ", F.when(F.length(title) > 0, title),
-                                   F.when(F.length(text) > 0, text)), 1, 4000)
+    whole = F.concat_ws(" ", F.when(F.length(title) > 0, title), F.when(F.length(text) > 0, text))
     return (F.when(F.coalesce(status >= 400, F.lit(False)), "ERROR")
-            .when(tx.matches_any(head, rules.CHALLENGE_PATTERNS), "BOT_CHALLENGE")
+            .when(tx.matches_any(whole, rules.CHALLENGE_PATTERNS), "BOT_CHALLENGE")
             .when(tx.matches(title, rules.ERROR_TITLE_PATTERN), "ERROR").otherwise("OK"))
 
 
@@ -105,8 +104,7 @@ def submission_links(links: Column) -> Column:
         hay = F.concat_ws(" ", href, F.lower(F.coalesce(link["text"], F.lit(""))))
         skip = href.rlike("^(" + "|".join(rules.NON_PAGE_SCHEMES) + ")")
         return ~skip & hay.rlike("|".join(rules.SUBMISSION_LINK_WORDS))
-    return F.slice(F.transform(F.filter(links, wanted), lambda k: F.struct(
-        k["href"].alias("href"), k["text"].alias("text"))), 1, 10)
+    return F.transform(F.filter(links, wanted), lambda k: F.struct(k["href"].alias("href"), k["text"].alias("text")))
 
 
 def freshness(hint: Column, text: Column) -> Column:

@@ -169,7 +169,7 @@ def fact_freshness(packets: DataFrame, services: DataFrame, as_of, keys=("servic
 
 def screening_inputs(services: DataFrame) -> DataFrame:
     """What screening may see.  Commercial relation and disclosure are not selected,
-    so they cannot reach the decision."""
+    so they cannot enter the decision."""
     seen = ["service_id", "name", "canonical_domain", "company_name", "category", "service_types", "pricing_model",
             "pricing_min", "pricing_max", "pricing_currency", "business_model_summary", "terms_url", "contact_url",
             "page_ok_count", "manual_review_required", "all_fresh", "pricing_login_walled", "signal_labels",

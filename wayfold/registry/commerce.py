@@ -113,12 +113,12 @@ def targets_with_newest_results(spark, root):
 
 @query("F4, O1, F2", f"""
 WITH {NEWEST_SCORE} SELECT t.target_id, t.status, n.score FROM targets t LEFT JOIN newest n ON n.target_id = t.target_id
-WHERE t.status IN ('QUALIFIED', 'READY', 'DRAFTED') ORDER BY n.score DESC NULLS LAST, t.created_at DESC, t.target_id LIMIT 300
+WHERE t.status IN ('QUALIFIED', 'READY', 'DRAFTED') ORDER BY n.score DESC NULLS LAST, t.created_at DESC, t.target_id
 """, "targets score_log")
 def actionable_opportunities(spark, root):
     newest = latest.newest_per_key(bound(spark, root, "score_log"), ["target_id"], ["created_at", "seq"], ["score"])
     rows = bound(spark, root, "targets").filter(reporting.view_filter("actionable")).join(newest, "target_id", "left")
-    return (rows.orderBy(F.col("score").desc_nulls_last(), F.col("created_at").desc(), "target_id").limit(300)
+    return (rows.orderBy(F.col("score").desc_nulls_last(), F.col("created_at").desc(), "target_id")
             .select("target_id", "status", "score"))
 
 
@@ -523,9 +523,9 @@ def corroboration_per_field(spark, root):
     return corroboration(rows).select("supports_field", "entity_id", "corroborating_domains")
 
 
-@query("O5", "SELECT service_id, name FROM services ORDER BY lower(name), service_id LIMIT 500", "services")
+@query("O5", "SELECT service_id, name FROM services ORDER BY lower(name), service_id", "services")
 def services_by_name(spark, root):
-    return bound(spark, root, "services").orderBy(F.lower("name"), "service_id").limit(500).select("service_id", "name")
+    return bound(spark, root, "services").orderBy(F.lower("name"), "service_id").select("service_id", "name")
 
 
 @query("O8", "SELECT target_id, epoch_us(created_at) AS at_us FROM targets ORDER BY created_at DESC, target_id DESC LIMIT 200", "targets")

@@ -18,7 +18,8 @@ from wayfold.streaming import feeds, sinks
 def event_stream(spark, root):
     """The events table as a file stream with the columns of the ``log`` binding."""
     schema = spark.read.parquet(f"{root}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
+    # a pattern that fits this name alone: a stream may then start from one file as well as from a folder of part files
+    raw = spark.readStream.schema(schema).parquet(f"{root}/events.parque[t]")
     return raw.selectExpr(*[f"{e} AS {c}" for c, e in BINDINGS["log"][1].items()])
 
 
@@ -41,7 +42,7 @@ def delivery_event_stream(spark, root):
     events = event_stream(spark, root).select(
         "event_id", tx.lookup("type", kinds).alias("kind"), F.concat(F.lit("User"), "entity", F.lit("+tag@mail.example")).alias("address"),
         F.col("entity").cast("string").alias("target_id"), F.col("ts").alias("event_time"))
-    rows = feeds.suppression_rows(feeds.delivery_outcomes(feeds.once(events)), HMAC_KEY)
+    rows = feeds.suppression_rows(feeds.delivery_outcomes(events), HMAC_KEY)
     path = folder(spark)
     sinks.run_available(rows, f"{path}/checkpoint", sinks.register_once(
         f"{path}/register", feeds.SUPPRESSION, feeds.SUPPRESSION_KEY, ["reason"]), "append")

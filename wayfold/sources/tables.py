@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def scan(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A parquet table; filters and column choices on it reach the file scan."""
+    """A parquet table; filters and column choices on it go down to the file scan."""
     return spark.read.parquet(f"{root}/{table}.parquet")
 
 

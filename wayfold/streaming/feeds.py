@@ -15,7 +15,10 @@ SUPPRESSION_KEY = ["value_hash", "scope", "tenant_id"]
 
 
 def once(events: DataFrame, at: str = "event_time", lateness: str = "1 day") -> DataFrame:
-    """Drop repeats of an event id inside the lateness window; state stays bounded."""
+    """Drop repeats of an event id inside the lateness window; state stays bounded.
+
+    Rows later than the window are dropped too: for volumes only, never before a keyed register.
+    """
     return events.withWatermark(at, lateness).dropDuplicatesWithinWatermark(["event_id"])
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +29,18 @@ def current_state(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFr
 
 
 def register_once(path: str, schema: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """Append only rows whose key is not registered yet."""
+    """Append only rows whose key is not registered yet.
+
+    The register is keyed, so repeats and late rows need no watermark before it.  Only a folder that is
+    not there yet means that nothing is registered; every other read error stops the batch.
+    """
     def write(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         try:
             known = spark.read.schema(f"{schema}, batch int").parquet(path).filter(F.col("batch") != batch).drop("batch")
-        except Exception:  # noqa: BLE001 - nothing registered yet
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             known = spark.createDataFrame([], schema)
         fresh = insert_if_absent(known.limit(0), rows.select(*known.columns), keys, order)
         match = None
