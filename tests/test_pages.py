@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.plans import contacts, discovery, entities, page_facts
-from wayfold.sources import html
+from wayfold.sources import markup
 from tests.corpus import PAGES, page
 
 AS_OF = "2024-03-01 00:00:00"
@@ -22,30 +22,30 @@ def by_host(records):
 
 
 def test_title_links_and_text():
-    r = html.read_page(PAGES["https://nightshift.example/submit"], "https://nightshift.example/submit")
+    r = markup.read(PAGES["https://nightshift.example/submit"], "https://nightshift.example/submit")
     assert r["title"] == "Submit — Nightshift" and r["meta_description"] == "A late night blog"
     assert r["emails"] == [{"value": "Demos@nightshift.example", "origin": "mailto-link", "text": "our inbox"}]
     assert r["last_modified_hint"].startswith("2024-02-20")
 
 
 def test_unclosed_title_does_not_swallow_the_page():
-    r = html.read_page(PAGES["https://broken.example/"], "https://broken.example/")
+    r = markup.read(PAGES["https://broken.example/"], "https://broken.example/")
     assert r["title"] is None and "Music blog" in r["visible_text"]
     assert r["emails"][0]["value"] == "info@broken.example"
 
 
 def test_hidden_markup_is_apart_and_any_end_tag_leaves_one_level():
-    r = html.read_page("<div hidden>a <b>b</b> c</div>d<!-- note -->", "")
+    r = markup.read("<div hidden>a <b>b</b> c</div>d<!-- note -->", "")
     assert "a" in r["hidden_text"] and "note" in r["hidden_text"] and "d" in r["visible_text"] and "c" in r["visible_text"]
 
 
 def test_forms_leave_the_text_but_are_kept():
-    r = html.read_page(PAGES["https://robot.example/"], "https://robot.example/")
+    r = markup.read(PAGES["https://robot.example/"], "https://robot.example/")
     assert r["forms"] == [{"action": "https://robot.example/go", "method": "post"}]
 
 
 def test_scripts_are_dropped_whole():
-    r = html.read_page("<p>a</p><script>var x = '<p>no</p>'; </script><style>p{}</style><svg><p>no</p></svg><p>b</p>", "")
+    r = markup.read("<p>a</p><script>var x = '<p>no</p>'; </script><style>p{}</style><svg><p>no</p></svg><p>b</p>", "")
     assert "no" not in r["visible_text"] and r["visible_text"].split() == ["a", "b"]
 
 

@@ -1,0 +1,180 @@
+"""A page as a sequence of tokens, and what its sequences say.
+
+The tokenizer only writes down what it meets: a tag that opens, one that closes, text, or a
+note (comment).  Everything else is read off whole arrays of the tokens: what lies in a dropped
+subtree, what is hidden, what is a title.  Depths are walks that never fall below zero, and such a walk is
+its running sum less its running minimum.
+"""
+
+from __future__ import annotations
+
+import re
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import numpy as np
+
+from wayfold import rules
+
+OPEN, CLOSE, TEXT, NOTE = range(4)
+DROPPED = frozenset(rules.DROP_TREE_TAGS)
+BREAKING = frozenset(rules.BLOCK_TAGS) - {"a", "meta", "time", "title"}
+EMAIL = re.compile(rules.EMAIL)
+HIDDEN_STYLE = re.compile(rules.HIDDEN_STYLE, re.I)
+
+
+class Tokenizer(HTMLParser):
+    """Tokens of a page as four lists of one length: kind, tag, attributes, text."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.kind: list[int] = []
+        self.tag: list[str] = []
+        self.attributes: list[dict[str, str]] = []
+        self.text: list[str] = []
+        try:
+            self.feed(html)
+            self.close()
+        except Exception:  # noqa: BLE001 - broken markup: the tokens before the break stand
+            pass
+
+    def _note(self, kind: int, tag: str = "", attributes=(), text: str = "") -> None:
+        self.kind.append(kind)
+        self.tag.append(tag)
+        self.attributes.append({name.lower(): value or "" for name, value in attributes})
+        self.text.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        self._note(OPEN, tag, attrs)
+
+    def handle_endtag(self, tag):
+        self._note(CLOSE, tag)
+
+    def handle_data(self, data):
+        self._note(TEXT, text=data)
+
+    def handle_comment(self, data):
+        self._note(NOTE, text=data)
+
+
+def depth(steps: np.ndarray) -> np.ndarray:
+    """Depth after each step of a walk of +1, 0 and -1 that stays at zero when it would fall below."""
+    total = np.cumsum(steps)
+    return total - np.minimum(np.minimum.accumulate(total), 0) if len(steps) else total
+
+
+def latest(marks: np.ndarray) -> np.ndarray:
+    """Place of the last mark at or before each place, -1 before the first."""
+    return np.maximum.accumulate(np.where(marks, np.arange(len(marks)), -1)) if len(marks) else np.zeros(0, dtype=int)
+
+
+def hides(attributes: dict[str, str]) -> bool:
+    if not attributes:
+        return False
+    return ("hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+            or HIDDEN_STYLE.search(attributes.get("style", "")) is not None
+            or not set(rules.HIDDEN_CLASSES).isdisjoint(attributes.get("class", "").lower().split()))
+
+
+def resolved(base: str, href: str) -> str:
+    if href.lower().startswith(tuple(rules.NON_PAGE_SCHEMES)):
+        return href
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return href
+
+
+def one_line(text: str) -> str:
+    return " ".join(text.split())
+
+
+def paragraphs(parts: list[str]) -> str:
+    """Blanks inside lines as one, blank lines as one."""
+    lines = re.sub("[ \t\r\f\v]+", " ", "".join(parts))
+    return re.sub(r"\n\s*\n\s*", "\n\n", lines).strip()
+
+
+def closed_titles(html: str) -> str:
+    """The page without the first title tag if nothing closes it: an open title would take in the whole page."""
+    head, tag, rest = (re.split(r"(<title\b[^>]*>)", html, maxsplit=1, flags=re.I) + ["", ""])[:3]
+    return head + rest if tag and not re.search(r"</title\s*>", rest, re.I) else html
+
+
+def read(html: str | None, base: str | None) -> dict:
+    """The columns of a page: title, description, shown and hidden text, links, forms, addresses, date of change."""
+    t, base = Tokenizer(closed_titles(html or "")), base or ""
+    n, kind = len(t.kind), np.array(t.kind, dtype=int)
+    opens, closes, texts, notes = (kind == k for k in range(4))
+    of = lambda names: np.fromiter((g in names for g in t.tag), dtype=bool, count=n)
+    drops = of(DROPPED)
+    inside = depth(np.where(drops, opens * 1 - closes * 1, 0))
+    before = np.append(0, inside[:-1])[:n]
+    cut = (before == 0) & opens & drops          # where a dropped subtree starts
+    alive = (before == 0) & ~cut & ~notes
+
+    starts = opens & alive
+    hiding = np.array([bool(s) and hides(a) for s, a in zip(starts, t.attributes)], dtype=bool)
+    ends = closes & alive
+    covered = depth(hiding * 1 - ends * 1)       # any end tag leaves one level
+    unseen = np.where(ends, np.append(0, covered[:-1])[:n], covered) > 0
+
+    is_title = of({"title"})
+    turn = latest(starts | (ends & is_title))    # a title lasts until its end or the next tag that opens
+    titled = texts & alive & (turn >= 0)
+    titled[titled] = (starts & is_title)[turn[titled]]
+    breaks = (starts | ends) & of(BREAKING)
+    said = (texts & alive & ~titled)
+
+    shown = [t.text[i] if said[i] else "\n" for i in np.flatnonzero((said | breaks) & ~unseen)]
+    veiled = [t.text[i] if said[i] or notes[i] else "\n" for i in np.flatnonzero(((said | breaks) & unseen) | notes)]
+    links = _links(t, base, starts, ends, said)
+    visible, hidden = paragraphs(shown), paragraphs(veiled)
+    return {
+        "title": one_line("".join(t.text[i] for i in np.flatnonzero(titled))) or None,
+        **_stated(t, starts),
+        "visible_text": visible,
+        "hidden_text": hidden,
+        "links": links,
+        "forms": [{"action": resolved(base, t.attributes[i].get("action", "")), "method": t.attributes[i].get("method", "get").lower()}
+                  for i in np.flatnonzero(cut) if t.tag[i] == "form"],
+        "emails": _addresses(links, visible),
+        "hidden_emails": sorted(set(EMAIL.findall(hidden))),
+    }
+
+
+def _links(t: Tokenizer, base: str, starts: np.ndarray, ends: np.ndarray, said: np.ndarray) -> list[dict]:
+    """Every anchor that names a target, up to its end or the page's; one cut short by the next is none."""
+    found = []
+    marks = [i for i in range(len(t.kind)) if t.tag[i] == "a" and (ends[i] or (starts[i] and t.attributes[i].get("href", "").strip()))]
+    for place, i in enumerate(marks):
+        if ends[i]:
+            continue
+        stop = marks[place + 1] if place + 1 < len(marks) else len(t.kind)
+        if stop < len(t.kind) and not ends[stop]:
+            continue
+        raw = t.attributes[i]["href"].strip()
+        found.append({"href": resolved(base, raw), "raw_href": raw,
+                      "text": one_line("".join(t.text[k] for k in range(i, stop) if said[k]))})
+    return found
+
+
+def _stated(t: Tokenizer, starts: np.ndarray) -> dict:
+    """What the markup itself says: a description, and the newest statement of when the page changed."""
+    metas = [a for s, g, a in zip(starts, t.tag, t.attributes) if s and g == "meta"]
+    described = [a.get("content") for a in metas if a.get("name", "").lower() == "description"]
+    changed = None
+    for s, g, a in zip(starts, t.tag, t.attributes):
+        if s and g == "meta" and a.get("name", "").lower() != "description" and a.get("property", "").lower() == "article:modified_time":
+            changed = a.get("content")
+        elif s and g == "time":
+            changed = changed or a.get("datetime") or None
+    return {"meta_description": described[-1] if described else None, "last_modified_hint": changed}
+
+
+def _addresses(links: list[dict], text: str) -> list[dict]:
+    """Addresses of mail links (the last link of an address speaks for it), then those that only the text shows."""
+    mailed = [(k["href"][len("mailto:"):].split("?")[0].strip(), k["text"]) for k in links if k["href"].lower().startswith("mailto:")]
+    found = {a.lower(): {"value": a, "origin": "mailto-link", "text": s} for a, s in mailed if EMAIL.fullmatch(a)}
+    read = {a.lower(): {"value": a, "origin": "visible-text", "text": None} for a in reversed(EMAIL.findall(text))}
+    return [*found.values(), *[read[k] for k in dict.fromkeys(a.lower() for a in EMAIL.findall(text)) if k not in found]]

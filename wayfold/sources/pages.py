@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 from wayfold import rules
 from wayfold.session import spread
 from wayfold.sources import html as reader
+from wayfold.sources import markup
 
 # executors need not have this package installed: the reader travels with the task
 cloudpickle.register_pickle_by_value(rules)
 cloudpickle.register_pickle_by_value(reader)
+cloudpickle.register_pickle_by_value(markup)
 
 LINK = "array<struct<href:string,raw_href:string,text:string>>"
 SANITISED = (
@@ -44,7 +46,7 @@ def read_pages(pages: DataFrame, url: str = "url", html: str = "html",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [reader.read_page(h, u) for h, u in zip(batch[html], batch[url])]
+            rows = [markup.read(h, u) for h, u in zip(batch[html], batch[url])]
             if offers:
                 for row in rows:
                     body = " ".join(filter(None, (row["meta_description"], row["visible_text"])))
