@@ -10,7 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The white space that ends a word (space, tab to carriage return).
@@ -44,17 +44,22 @@ def split_words(text: str | None) -> list[str]:
     return [w for w in text.split(" ") if w]
 
 
+def hash_of(word: str) -> int:
+    """64-bit hash of a word with A-Z lowered."""
+    return xxhash.xxh64_intdigest(word.translate(TO_LOWER).encode("utf-8", "surrogatepass"))
+
+
 class WordHashes(dict):
-    """64-bit hash of each word with A-Z lowered, kept for a bounded number of words."""
+    """``hash_of`` each word, kept for a bounded number of words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.translate(TO_LOWER).encode("utf-8", "surrogatepass"))
+        value = self[word] = hash_of(word)
         return value
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -89,3 +94,16 @@ def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInPandas`` whose function may use this package's modules."""
     ship(df.sparkSession)
     return df.mapInPandas(run, schema)
+
+
+def most_frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows whose count lies above a cut under which at most ``most`` rows remain.
+
+    The cut comes from the table of counts, which has a row per distinct count; rows of the cut's own count
+    stay out together, so nothing is sorted and the bound holds whatever the ties.
+    """
+    steps = counts.groupBy(count).agg(F.count(F.lit(1)).alias("__rows"))
+    upward = Window.orderBy(F.desc(count)).rowsBetween(Window.unboundedPreceding, 0)
+    cut = (steps.withColumn("__above", F.sum("__rows").over(upward)).where(F.col("__above") > most)
+           .agg(F.coalesce(F.max(count), F.lit(0))).first()[0])
+    return counts.where(F.col(count) > cut)

@@ -14,7 +14,7 @@ import numpy as np
 
 U64 = np.uint64
 #: Every so many values one is kept plain, so that a successor search starts in a short stretch.
-SAMPLED = 32
+SAMPLED = 8
 #: SELECT[byte, k]: place of the k-th set bit of a byte.
 SELECT = np.zeros((256, 8), dtype=np.uint8)
 for _byte in range(256):
@@ -37,12 +37,14 @@ class EliasFano:
         top = int(values[-1]) if self.n else 0
         self.low_bits = max(0, (top // self.n).bit_length() - 1) if self.n else 0
         l = self.low_bits
-        low = (values[:, None] >> np.arange(l, dtype=U64)) & U64(1) if l else np.zeros((0, 0), dtype=U64)
+        low = np.empty((self.n, l), dtype=bool)
+        for k in range(l):  # one bit at a time, so the bits of all values are never whole words
+            low[:, k] = (values >> U64(k)) & U64(1)
         high = np.zeros(self.n + (top >> l) + 1, dtype=bool)
         high[(values >> U64(l)).astype(np.int64) + np.arange(self.n)] = True
         words = _words(high)
         before = np.concatenate([[0], np.cumsum(np.bitwise_count(words).astype(np.int64))[:-1]]).astype(np.uint32)
-        self.parts = [_words(low.astype(bool).ravel()), words, before, values[::SAMPLED].copy()]
+        self.parts = [_words(low.ravel()), words, before, values[::SAMPLED].copy()]
 
     def _select(self, i: np.ndarray) -> np.ndarray:
         """Place of the i-th set bit of the high parts."""
@@ -101,22 +103,33 @@ class Relative:
         self.values = EliasFano(words.astype(U64) + np.repeat(base[:-1], np.diff(starts)))
         self.starts = EliasFano(starts)
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Place of the word after the context, -1 if it never follows it.  A context of -1 has no successors."""
-        found = np.full(len(context), -1, dtype=np.int64)
-        ask = np.flatnonzero(context >= 0)
-        low = self.starts.get(context[ask]).astype(np.int64)
-        high = self.starts.get(context[ask] + 1).astype(np.int64)
-        base = np.zeros(len(ask), dtype=U64)
-        base[low > 0] = self.values.get(low[low > 0] - 1)
-        target = base + word[ask].astype(U64)
-        at = self.values.find(low, high, target)
-        inside = np.flatnonzero(at < high)
+    def find(self, context: np.ndarray, word: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Place of each word after its context, -1 if it never follows it.
+
+        ``which`` says for each word where its context stands in ``context``; one of -1 has no successors.
+        """
+        low, high = np.zeros(len(context), dtype=np.int64), np.zeros(len(context), dtype=np.int64)
+        base = np.zeros(len(context), dtype=U64)
+        known = np.flatnonzero(context >= 0)
+        low[known] = self.starts.get(context[known])
+        high[known] = self.starts.get(context[known] + 1)
+        later = np.flatnonzero(low > 0)
+        base[later] = self.values.get(low[later] - 1)
+        target = base[which] + word.astype(U64)
+        at = self.values.find(low[which], high[which], target)
+        found = np.full(len(word), -1, dtype=np.int64)
+        inside = np.flatnonzero(at < high[which])
         hit = inside[self.values.get(at[inside]) == target[inside]]
-        found[ask[hit]] = at[hit]
+        found[hit] = at[hit]
         return found
 
 
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and for each element which of them it is."""
+    new = np.append(True, values[1:] != values[:-1])[:len(values)]
+    return values[new], np.cumsum(new) - 1
+
+
 class Trie:
     """First words, their second words with two codes each, and third words with one code each.
 
@@ -156,15 +169,15 @@ class Trie:
         return self
 
     def pair(self, pairs: np.ndarray) -> np.ndarray:
-        """Place of each pair in level two, -1 if absent."""
-        first = pairs >> U64(self.width)
+        """Place of each of some sorted pairs in level two, -1 if absent."""
+        first, which = runs(pairs >> U64(self.width))
         n = len(first)
         at = self.first.find(np.zeros(n, dtype=np.int64), np.full(n, self.first.n, dtype=np.int64), first)
         inside = np.flatnonzero(at < self.first.n)
         context = np.full(n, -1, dtype=np.int64)
         hit = inside[self.first.get(at[inside]) == first[inside]]
         context[hit] = at[hit]
-        return self.second.find(context, pairs & self.mask)
+        return self.second.find(context, pairs & self.mask, which)
 
 
 def blocks(sorted_by: np.ndarray) -> Iterator[tuple[int, slice]]:

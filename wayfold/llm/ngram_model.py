@@ -2,7 +2,7 @@
 
 Order three, interpolated with Dirichlet smoothing: P(w | a b) = f + g P(w | b), with
 f = c(abw) / (c(ab) + MU3), g = MU3 / (c(ab) + MU3), the same one level down, and add-one
-probabilities below that.  The ``VOCABULARY`` most frequent words have ids of their own; the others share
+probabilities below that.  The most frequent words, at most ``VOCABULARY``, have ids of their own; the others share
 one id in the two upper levels and part its mass by their add-one probabilities.  Their counts
 are exact all the same.
 
@@ -31,15 +31,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import WordHashes, map_batches, ship, split_words
-from wayfold.llm.elias_fano import U64, Trie, blocks
+from wayfold.llm.common import WordHashes, hash_of, map_batches, most_frequent, ship, split_words
+from wayfold.llm.elias_fano import U64, Trie, blocks, runs
 from wayfold.llm.jaccard_join import mixed
 from wayfold.session import materialize
 
 VOCABULARY, WIDTH = 1 << 18, 19
 OTHER, START = VOCABULARY, VOCABULARY + 1
 END = np.uint64(0)  # the hash that stands for the end token; no word has it but by a chance of 2^-64
-CHUNK, SHARD = 1_000_000, 2_000_000
+CHUNK, SHARD = 500_000, 1_000_000
 MU2, MU3 = 300.0, 30.0
 #: Probability code k > 0 stands for 10 ** (-(k - 1) * STEP); 0 for nothing.
 STEP = 8 / 254
@@ -56,14 +56,14 @@ VALUES = np.concatenate([[0.0], 10 ** (-np.arange(255) * STEP)])
 
 def pack(values: np.ndarray) -> bytes:
     """An integer array, its bytes regrouped by weight so that equal high bytes shrink."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -74,7 +74,7 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, "uint64"), dtype=U64)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def word_counts(docs: DataFrame, tokens: int = 4 * CHUNK) -> DataFrame:
     """(word hash, count) over the training texts, the end token included."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, held, size = WordHashes(), [], 0
@@ -83,7 +83,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 codes = hashes.of(split_words(text))
                 held += [codes, np.array([END])]
                 size += len(codes) + 1
-                if size >= 4 * CHUNK:
+                if size >= tokens:
                     yield _counted(held)
                     held, size = [], 0
         if held:
@@ -102,12 +102,12 @@ class WordIds(dict):
 
     def __init__(self, vocabulary: dict[int, int]):
         super().__init__()
-        self.vocabulary, self.hashes, self.rare = vocabulary, WordHashes(), []
+        self.vocabulary, self.rare = vocabulary, []
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
-        code = self.hashes[word]
+        code = hash_of(word)
         found = self.vocabulary.get(code)
         if found is None:
             self.rare.append(code)
@@ -116,7 +116,7 @@ class WordIds(dict):
         return found
 
 
-def encoded(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: np.ndarray, tokens: int = CHUNK) -> DataFrame:
     """One row per chunk: ids of the texts, their lengths and folds, token ids, and the hashes of the tokens without id in order."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most VOCABULARY numbers
 
@@ -133,7 +133,7 @@ def encoded(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 if end == OTHER:
                     ids.rare.append(int(END))
                 size += len(words) + 1
-                if size >= CHUNK:
+                if size >= tokens:
                     yield _chunk(rows, ids)
                     rows, size = [], 0
         if rows:
@@ -235,13 +235,15 @@ def answer(part: pd.DataFrame, counts_of: np.ndarray) -> pd.DataFrame:
     code3 = code_of(n3[n3 > 0] / (np.repeat(totals, np.diff(np.append(first, len(seen3)))) + MU3))
     with tempfile.TemporaryDirectory() as folder:
         trie = Trie(level2, seen3, WIDTH, code2, more2, code3).mapped(folder)
-        place = trie.pair(pairs)
+        asked, which = runs(triples >> U64(WIDTH))
+        every = np.union1d(pairs, asked)
+        at_every = trie.pair(every)
+        place = at_every[np.searchsorted(every, pairs)]
         codes = np.where(place >= 0, np.append(trie.codes[0], 0)[place], 0).astype(np.uint8)
         made += [(c, "p", s, pack(codes[at]), b"") for c, s, at in zip(by_kind["p"]["chunk"], by_kind["p"]["shard"], at2)]
-        asked, which = np.unique(triples >> U64(WIDTH), return_inverse=True)
-        known = trie.pair(asked)
+        known = at_every[np.searchsorted(every, asked)]
         more = np.where(known >= 0, np.append(trie.codes[1], 0)[known], 1).astype(np.uint8)[which]  # 1: all mass is passed on
-        place = trie.third.find(known[which], triples & trie.mask)
+        place = trie.third.find(known, triples & trie.mask, which)
         codes = np.where(place >= 0, np.append(trie.codes[2], 0)[place], 0).astype(np.uint8)
         made += [(c, "t", s, pack(codes[at]), pack(more[at]))
                  for c, s, at in zip(by_kind["t"]["chunk"], by_kind["t"]["shard"], at3)]
@@ -280,21 +282,23 @@ def text_scores(row, answers: pd.DataFrame, shards: int, known_counts: np.ndarra
     return out
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY,
+          chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), held_out.alias("held"))
     words = materialize(word_counts(docs), "word-counts")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = words.orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()  # bounded
+    top = most_frequent(words, "n", min(vocabulary, VOCABULARY)).toPandas()  # bounded
+    top = top.sort_values(["n", "word"], ascending=[False, True])
     known = top["n"].to_numpy(dtype="int64")
     hashes = top["word"].to_numpy(dtype="int64").view("uint64")
     # tokens that come before another one: all but the ends, and the start once per training text
     ends = int(known[hashes == END].sum()) or int(words.where("word = 0").agg(F.sum("n")).first()[0] or 0)
     before = np.concatenate([known, np.zeros(VOCABULARY - len(known)), [max(0, n - known.sum()), ends]]).astype("float64")
-    shards = max(1, -(-n // SHARD))
+    shards = max(1, -(-n // shard))
 
-    chunks = materialize(encoded(docs, hashes), "chunks")
+    chunks = materialize(encoded(docs, hashes, chunk), "chunks")
     shared = spark.sparkContext.broadcast((known, before))
     ship(spark)
     answers = (requests(chunks, shards).groupBy("shard").applyInPandas(
