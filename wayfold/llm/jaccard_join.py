@@ -8,9 +8,9 @@
    first shingles of a global order; two sets that link share at least ``shared_least`` of
    them.  The order puts heavy shingles last: those found in many documents by counting
    in every task (at most ``HEAVY`` of them; which ones decides the cost, never the result).
-4. First each class is held against the one pivot it shares most lists with.  Links found
-   join classes to components; a group of near copies is then one component after a linear number of
-   comparisons.  Second, in lists where different components still meet, every pair across components
+4. First each class is held against the few pivots it shares most lists with.  Links found
+   join classes to components; a group of near copies is then one component, or few, after a linear
+   number of comparisons.  Second, in lists where different components still meet, every pair across components
    that shares enough lists is compared.  A link inside a component could not change it.
 
 Comparisons are exact on the sets of 64-bit shingle hashes.  Classes are told apart by 64 bits
@@ -34,18 +34,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import WordHashes, map_batches, split_words
+from wayfold.llm.common import WordHashes, map_batches, most_frequent, split_words
 from wayfold.llm.components import components
 from wayfold.session import materialize
 
 #: Most heavy shingles; a shingle is reported by a task from LOCAL of its documents on; shingles counted at once.
-HEAVY, LOCAL, COUNTED = 1 << 18, 3, 4_000_000
+HEAVY, LOCAL, COUNTED = 1 << 20, 3, 4_000_000
 #: Largest set whose subsets may be enumerated.
 SMALL = 19
 #: Buckets of the filter that keeps texts out of the comparison which no pair needs.
 BUCKETS = 1 << 18
 #: Classes a task remembers, so that copies it has seen file nothing again.
 SEEN = 500_000
+#: A set of n is filed so deep in its order that it shares 1 + n / SHARE lists with a linked partner.
+SHARE = 50
+#: Pivots of a list, and those a class is held against.
+PIVOTS, PARTNERS = 4, 3
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,8 +84,8 @@ def least_overlap(n: int, m: int, percent: int) -> int:
 
 
 def shared_least(n: int) -> int:
-    """Lists that a set of n shingles shares with any partner not smaller than itself."""
-    return 1 + n // 20
+    """Lists that a set of n shingles shares with any linked partner not smaller than itself."""
+    return 1 + n // SHARE
 
 
 def filed(n: int, percent: int) -> int:
@@ -106,12 +110,18 @@ def boundary(histogram: dict[int, int], list_length: float, percent: int) -> int
 def facts(docs: DataFrame, width: int) -> DataFrame:
     """kind 0: (id, n, class) per row; kind 1: (shingle, documents) for shingles seen in LOCAL documents at a time."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, size = WordHashes(), [], 0
+        hashes, held, size, seen = WordHashes(), [], 0, set()
         for batch in batches:
             sets = [shingles(t, width, hashes) for t in batch["text"]]
+            names = [class_of(s) for s in sets]
             yield pd.DataFrame({"kind": 0, "id": batch["id"], "n": [len(s) for s in sets],
-                                "code": [class_of(s) for s in sets]}).astype({"kind": "int32", "n": "int32"})
-            for s in sets:
+                                "code": names}).astype({"kind": "int32", "n": "int32"})
+            for s, name in zip(sets, names):
+                if name in seen:
+                    continue  # a copy: it is joined as its class
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(name)
                 held.append(s)
                 size += len(s)
                 if size >= COUNTED:
@@ -147,14 +157,14 @@ def subset_keys(codes: np.ndarray, percent: int) -> list[int]:
 
 
 def postings(docs: DataFrame, width: int, percent: int, limit: int, heavy: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(key, class, n): the lists that each class is filed in."""
+    """(key, class, n, pos): the lists that each class is filed in, and the key's place in the class's order."""
     shared = docs.sparkSession.sparkContext.broadcast((heavy, rank))  # at most HEAVY pairs of numbers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heavy, rank = shared.value
         hashes, seen = WordHashes(), set()
         for batch in batches:
-            keys, classes, sizes = [], [], []
+            keys, classes, sizes, places = [], [], [], []
             for text in batch["text"]:
                 codes = shingles(text, width, hashes)
                 n, name = len(codes), class_of(codes)
@@ -170,13 +180,15 @@ def postings(docs: DataFrame, width: int, percent: int, limit: int, heavy: np.nd
                     found.append(in_order(codes, heavy, rank)[:filed(n, percent)])
                 total = sum(map(len, found))
                 keys += found
+                # a subset of a small set stands first in every order
+                places += [np.arange(len(f), dtype=np.int32) * (k > 0 or n > limit) for k, f in enumerate(found)]
                 classes.append(np.full(total, name))
                 sizes.append(np.full(total, n, dtype=np.int32))
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys).view("int64"), "cls": np.concatenate(classes),
-                                    "n": np.concatenate(sizes)})
+                                    "n": np.concatenate(sizes), "pos": np.concatenate(places)})
 
-    return map_batches(docs, run, "key long, cls long, n int")
+    return map_batches(docs, run, "key long, cls long, n int, pos int")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, one: DataFrame, width: int, percent: int) -> DataFrame:
@@ -209,13 +221,68 @@ def verified(pairs: DataFrame, docs: DataFrame, one: DataFrame, width: int, perc
     return map_batches(both, hold, "a long, b long")
 
 
+def fits(n: Column, m: Column, percent: int) -> Column:
+    return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+
+
+def meeting(n: Column, m: Column, pos: Column, at: Column, percent: int) -> tuple[Column, Column]:
+    """Whether a list in which two classes stand at these places counts for their link, and how many such lists a link needs.
+
+    With an overlap of o the first k common shingles stand before place n - o + k of a set of n, since
+    o - k more must follow; so lists are met only up to that place on either side.
+    """
+    least = F.floor(F.least(n, m) / SHARE) + 1
+    need = F.ceil(F.lit(percent) * (n + m) / (100 + percent))
+    return fits(n, m, percent) & (pos < n - need + least) & (at < m - need + least), least
+
+
+def pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class with up to PARTNERS pivots it shares most lists with, as many as a link needs.
+
+    A list has PIVOTS pivots, those of smallest hash under as many hash functions: a class that is a pivot
+    here is likely one in the other lists of its group too.  Which pairs are held against each other
+    here decides the cost of the second step, never the result.
+    """
+    pick = [F.min(F.struct(F.xxhash64(F.lit(k), "cls").alias("h"), F.col("cls").alias("b"), F.col("n").alias("m"),
+                           F.col("pos").alias("at"))) for k in range(PIVOTS)]
+    pivots = shared.groupBy("key").agg(F.array_distinct(F.transform(F.array(*pick), lambda x: x.dropFields("h"))).alias("pivots"))
+    met = shared.join(pivots, "key").select(F.col("cls").alias("a"), "n", "pos", F.inline("pivots"))
+    counts, least = meeting(F.col("n"), F.col("m"), F.col("pos"), F.col("at"), percent)
+    counted = (met.where((F.col("a") != F.col("b")) & counts).groupBy("a", "b")
+               .agg(F.count(F.lit(1)).alias("lists"), F.min(least).alias("least")).where(F.col("lists") >= F.col("least")))
+    best = Window.partitionBy("a").orderBy(F.desc("lists"), "b")
+    return counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= PARTNERS).select("a", "b")
+
+
+def pivot_components(links: DataFrame) -> DataFrame:
+    """(node, root) for links (a, pivot b): only the pivots, few of each group, are folded by rounds."""
+    low = links.groupBy("a").agg(F.min("b").alias("m"))
+    core = (links.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+            .union(low.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a", F.col("m").alias("b"))))
+    folded = components(core)
+    ends = low.join(folded.select(F.col("node").alias("m"), "root"), "m", "left").select(
+        F.col("a").alias("node"), F.coalesce("root", "m").alias("root"))
+    alone = links.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
+    return (ends.union(folded).union(alone.join(folded, "node", "left_anti")).groupBy("node").agg(F.min("root").alias("root")))
+
+
+def cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of classes in different components that share as many lists as a link needs."""
+    x, y = placed.alias("x"), placed.alias("y")
+    counts, least = meeting(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), percent)
+    return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & counts)
+            .groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+            .agg(F.count(F.lit(1)).alias("lists"), F.min(least).alias("least"))
+            .where(F.col("lists") >= F.col("least")).select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles and component_id of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     seen = materialize(facts(docs, width), "shingle-facts")
     rows = seen.where("kind = 0").select("id", "n", F.col("code").alias("cls"))
-    often = (seen.where("kind = 1").groupBy("code").agg(F.sum("n").alias("n"))
-             .orderBy(F.desc("n"), "code").limit(HEAVY).toPandas())  # bounded
+    often = most_frequent(seen.where("kind = 1").groupBy("code").agg(F.sum("n").alias("n")), "n", HEAVY).toPandas()  # bounded
+    often = often.sort_values(["n", "code"], ascending=[False, True])
     counts = often["n"].to_numpy(dtype="float64")
     total = rows.agg(F.sum("n")).first()[0] or 1
     histogram = {r["n"]: r["count"] for r in rows.where((F.col("n") > 0) & (F.col("n") <= SMALL)).groupBy("n").count().collect()}
@@ -226,33 +293,29 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
 
     lists = postings(docs, width, percent, limit, codes[by_code], rank)
     in_list = Window.partitionBy("key").orderBy("cls")
-    lists = lists.withColumns({
-        "pivot": F.first("cls").over(in_list.rowsBetween(Window.unboundedPreceding, 0)),
-        "pivot_n": F.first("n").over(in_list.rowsBetween(Window.unboundedPreceding, 0)),
-        "after": F.lead("cls").over(in_list)})
-    shared = materialize(lists.where((F.col("pivot") != F.col("cls")) | (F.col("after") != F.col("cls")))
-                         .select("key", "cls", "n", "pivot", "pivot_n"), "shared-lists")
+    met = lists.withColumns({"before": F.lag("cls").over(in_list), "after": F.lead("cls").over(in_list)})
+    met = materialize(met.where((F.col("before") != F.col("cls")) | (F.col("after") != F.col("cls")))
+                      .select("key", "cls", "n", "pos").distinct(), "met-lists")
+    # a class that meets others in fewer lists than it must share with its smallest possible partner has no link
+    able = (met.groupBy("cls").agg(F.count(F.lit(1)).alias("lists"), F.first("n").alias("n"))
+            .where(F.col("lists") >= 1 + F.floor(F.lit(percent) * F.col("n") / (100 * SHARE))).select("cls"))
+    shared = materialize(met.join(able, "cls", "left_semi"), "shared-lists")
 
     one = rows.where("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("id"))
-    fits = lambda n, m: F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
-    first = (shared.where((F.col("cls") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n")))
-             .groupBy("cls", "pivot").count().groupBy("cls")
-             .agg(F.max(F.struct("count", "pivot")).alias("best")).select(F.col("cls").alias("a"), F.col("best.pivot").alias("b")))
-    links = materialize(verified(materialize(first, "first-pairs"), docs, one, width, percent), "first-links")
-    roots = components(links)
-
-    placed = (shared.select("key", "cls", "n").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-              .withColumn("root", F.coalesce("root", "cls")))
+    first = materialize(pivot_pairs(shared, percent), "first-pairs")
+    links = materialize(verified(first, docs, one, width, percent), "first-links")
+    roots = materialize(pivot_components(links), "roots")
+
+    placed = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    placed = materialize(placed.join(open_keys, "key", "left_semi"), "open-lists")
-    x, y = placed.alias("x"), placed.alias("y")
-    second = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root"))
-                     & fits(F.col("x.n"), F.col("y.n")))
-              .groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-              .agg(F.count(F.lit(1)).alias("lists"), F.min(F.least("x.n", "y.n")).alias("n"))
-              .where(F.col("lists") >= 1 + F.floor(F.col("n") / 20)).select("a", "b"))
-    more = materialize(verified(materialize(second, "second-pairs"), docs, one, width, percent), "second-links")
-    roots = components(links.union(more))
+    second = materialize(cross_pairs(placed.join(open_keys, "key", "left_semi"), percent), "second-pairs")
+    more = verified(second, docs, one, width, percent)
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    between = materialize(more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).distinct(), "second-links")
+    joined = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    roots = (roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+             .union(joined.select(F.col("root").alias("node"), F.col("top").alias("root"))).distinct())
 
     placed = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
