@@ -20,6 +20,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -194,7 +195,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text:
         for batch in batches:
             found = [codec.encode(t)[0] for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "n_tokens": [len(x) // 4 for x in found],
-                                "ids": [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in found]})
+                                "ids": [np.frombuffer(x, dtype="<u4").astype("int32") for x in found]})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run,
