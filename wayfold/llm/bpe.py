@@ -193,9 +193,10 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(spec)
         for batch in batches:
-            found = [codec.encode(t)[0] for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "n_tokens": [len(x) // 4 for x in found],
-                                "ids": [np.frombuffer(x, dtype="<u4").astype("int32") for x in found]})
+            for start in range(0, len(batch), 1000):  # ids of few rows at a time
+                part = batch.iloc[start:start + 1000]
+                found = [np.frombuffer(codec.encode(t)[0], dtype="<u4").astype("int32") for t in part["text"]]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "n_tokens": [len(x) for x in found], "ids": found})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run,
