@@ -155,6 +155,33 @@ def test_scores_equal_an_unsharded_model(spark, chunk, shard, vocabulary):
         assert r.score <= 0
 
 
+@pytest.mark.parametrize("vocabulary", [0, 1, 60])
+def test_every_word_has_ngrams_of_its_own(spark, vocabulary):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices([f"w{min(i, j)}" for i in range(20) for j in range(20)], k=30) + [f"rare{i % 40}", f"seldom{i % 40}", "of", f"tail{i % 40}"])
+             for i in range(120)]
+    texts += ["", None, "never seen", "rare1 seldom2 of tail3", "rare1 seldom1 of tail1"]
+    held = {i: i % 5 == 0 or i > 120 for i in range(1, len(texts) + 1)}
+    df = docs(spark, texts).repartition(3)
+    is_held = (F.col("doc_id") % 5 == 0) | (F.col("doc_id") > 120)
+    out = {r.doc_id: r for r in ngram_model.score(df, is_held, vocabulary=vocabulary, chunk=300, shard=500).collect()}
+    tokens = {i: [*words(texts[i - 1]), None] for i in held}
+    c1, c2, c3, x2, x3 = Counter(), Counter(), Counter(), Counter(), Counter()
+    for i, t in tokens.items():
+        for a, b, w in zip(["<", "<", *t], ["<", *t], t):
+            if not held[i]:
+                for c, k in ((c1, w), (c2, (b, w)), (c3, (a, b, w)), (x2, b), (x3, (a, b))):
+                    c[k] += 1
+    n, v = sum(c1.values()), len(c1)
+    assert v > vocabulary
+    for i, t in tokens.items():
+        exact = 0.0
+        for a, b, w in zip(["<", "<", *t], ["<", *t], t):
+            p = (c2[b, w] + ngram_model.MU2 * (c1[w] + 1) / (n + v + 1)) / (x2[b] + ngram_model.MU2)
+            exact += math.log10((c3[a, b, w] + ngram_model.MU3 * p) / (x3[a, b] + ngram_model.MU3))
+        assert math.isclose(out[i].score, exact, rel_tol=0.02), (i, t)
+
+
 def test_scores_without_training_texts(spark):
     assert ngram_model.score(spark.createDataFrame([], DOCS), F.lit(False)).count() == 0
     out = ngram_model.score(docs(spark, ["a b"]), F.lit(True)).first()

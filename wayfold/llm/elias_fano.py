@@ -134,14 +134,14 @@ class Trie:
     """First words, their second words with two codes each, and third words with one code each.
 
     ``pairs`` (first << width | second) and ``triples`` (pair << width | third) are sorted and distinct; the
-    pair of each triple is among the pairs.
+    pair of each triple is among the pairs.  With ``owner``, the place of each triple's pair, triples need only end in their third word.
     """
 
     def __init__(self, pairs: np.ndarray, triples: np.ndarray, width: int, codes2: np.ndarray, more2: np.ndarray,
-                 codes3: np.ndarray):
+                 codes3: np.ndarray, owner: np.ndarray | None = None):
         mask = U64((1 << width) - 1)
         first, starts1 = np.unique(pairs >> U64(width), return_index=True)
-        owner = np.searchsorted(pairs, triples >> U64(width))
+        owner = np.searchsorted(pairs, triples >> U64(width)) if owner is None else owner
         starts2 = np.searchsorted(owner, np.arange(len(pairs) + 1))
         self.width, self.mask = width, mask
         self.first = EliasFano(first)
