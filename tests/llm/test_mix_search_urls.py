@@ -90,6 +90,27 @@ def test_search_of_few_or_no_vectors(spark):
     assert ann.search(spark.createDataFrame([(0, [0.0])], schema), F.lit(True)).count() == 0
 
 
+def test_repeated_rows_and_own_ids_take_no_places(spark):
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((60, 8)))]
+    same = [(1000 + i, vectors[40][1]) for i in range(5)]
+    several = [(0, [x + 1e-3 * j for x in vectors[0][1]]) for j in range(1, 26)] + [(7, [x + 1e-4 * j for x in vectors[7][1]]) for j in range(3)][1:]
+    rows = vectors * 2 + [vectors[0]] * 20 + [vectors[40]] * 30 + same * 3 + several
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    asks = F.col("vec_id").isin(0, 7, 40, 1000)
+    out = {}
+    for r in ann.search(df, asks, probes=1000).collect():
+        out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    distinct = {(i, tuple(v)) for i, v in rows}
+    for q in (40, 1000):
+        best = sorted((float(np.linalg.norm(np.array(v) - vectors[40][1])), i) for i, v in distinct if i != q)[:10]
+        assert [i for _, i, _ in sorted(out[q])] == [i for _, i in best]
+        assert np.allclose([s for _, _, s in sorted(out[q])], [s for s, _ in best])
+    assert sorted(n for n, _, _ in out[0]) == sorted([*range(1, 11)] * 26)  # each of its vectors once, with all its neighbours
+    assert sorted(n for n, _, _ in out[7]) == sorted([*range(1, 11)] * 3)
+    assert all(i != q for q in out for _, i, _ in out[q])
+
+
 def test_fixed_rules_and_mined_rules(spark):
     urls = [f"https://a{i}.example.com/en/spam/{i}?ref=x" for i in range(40)] + [f"https://b{i}.example.com/en/news/{i}" for i in range(60)]
     urls += ["http://X.NET", "http://x.net/", "http://example.net/en/1", "http://www.Example.COM/de/", "http://q.org/fr/a", "http://notnet/",

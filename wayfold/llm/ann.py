@@ -15,9 +15,10 @@ nearest lists: as many as the true neighbours inside the sample would have taken
 more where they do not hold enough vectors for a full answer.
 
 Defined cases: vectors that are null, all zero, or hold a null or non-finite number take no
-part; nor do those whose length is not the commonest (ties: the longer); rows with the query's
-own id are no candidates; equal ids with other vectors are candidates each; fewer candidates
-than k give them all; an empty table gives no rows.
+part; nor do those whose length is not the commonest (ties: the longer); repeated rows (same id and
+vector) count once, as candidates and as queries; rows with the query's own id are no candidates and
+take no places; equal ids with other vectors are candidates each, and queries each; fewer candidates than
+k give them all; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -80,8 +81,8 @@ def probes_needed(points: np.ndarray, centers: np.ndarray, k: int) -> int:
     return int(ranks[min(len(ranks) - 1, int(REACH * len(ranks)))]) + 1
 
 
-def scan(query: np.ndarray, turned: np.ndarray, ids: np.ndarray, vectors: np.ndarray, columns: np.ndarray, k: int):
-    """The k best (distance, id) of a chunk; ``columns`` holds the rotated vectors, one row per dimension."""
+def scan(query: np.ndarray, turned: np.ndarray, ids: np.ndarray, vectors: np.ndarray, columns: np.ndarray, k: int, each: int):
+    """The k best (distance, id) of a chunk, no id more than ``each`` times; ``columns`` holds the rotated vectors, one row per dimension."""
     size, n = columns.shape
     best_d, best_i = np.empty(0), np.empty(0, dtype=ids.dtype)
     for start in range(0, n, TILE):
@@ -104,11 +105,23 @@ def scan(query: np.ndarray, turned: np.ndarray, ids: np.ndarray, vectors: np.nda
         gap = vectors[near] - query
         d = np.concatenate([best_d, np.sqrt((gap * gap).sum(axis=1))])
         i = np.concatenate([best_i, ids[near]])
-        order = np.lexsort((i, d))[:k]
+        order = np.lexsort((i, d))
+        if each < k - 1:
+            order = first_of_each(order, i, each)
+        order = order[:k]
         best_d, best_i = d[order], i[order]
     return best_d, best_i
 
 
+def first_of_each(order: np.ndarray, ids: np.ndarray, each: int) -> np.ndarray:
+    """``order`` without the places of an id after its first ``each``."""
+    grouped = np.argsort(ids[order], kind="stable")
+    held = ids[order][grouped]
+    nth = np.empty(len(order), dtype=np.int64)
+    nth[grouped] = np.arange(len(order)) - np.searchsorted(held, held)
+    return order[nth < each]
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype="float64")
 
@@ -125,11 +138,15 @@ def search(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
         return spark.createDataFrame([], out)
     size = length["n"]
     rows = rows.where((F.size("v") == size) & F.col("id").isNotNull())
+    single = rows.select("id", "v").distinct()
+    # a query leaves out the rows of its own id, so that many places more are kept; beyond k rows of an id none is needed
+    own = single.groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    places = k + min(k, own)
     by_id = Window.partitionBy("v").orderBy("id")
-    kept = rows.withColumn("copy", F.row_number().over(by_id)).where(F.col("copy") <= k + 1).select("id", "v")
+    kept = single.withColumn("copy", F.row_number().over(by_id)).where(F.col("copy") <= k + 1).select("id", "v")
     asked = rows.where("asks").select("v").distinct()
 
-    sample = (rows.select("id", "v").orderBy(F.xxhash64("id"), "id")
+    sample = (single.orderBy(F.xxhash64("id"), "id")
               .limit(max(1, min(SAMPLE, SAMPLE_VALUES // size))).select("v").collect())  # bounded
     points = np.unique(np.array([r["v"] for r in sample]), axis=0)
     turn = rotation(size)
@@ -157,7 +174,7 @@ def search(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
             points = _matrix(batch["v"]) @ turn
             order = np.argsort((centers ** 2).sum(1)[None, :] - 2 * points @ centers.T, axis=1, kind="stable")
             found = np.cumsum(held[order], axis=1)
-            need = np.maximum((found < k + 1).sum(axis=1) + 1, probes)
+            need = np.maximum((found < places).sum(axis=1) + 1, probes)
             chosen = [[int(c) for c in row[:n] if held[c]] for row, n in zip(order, need)]
             yield batch.assign(list=chosen).explode("list").astype({"list": "int32"})
 
@@ -180,7 +197,7 @@ def search(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
             columns = np.ascontiguousarray((vectors @ turn).T)
             asked = _matrix(queries["v"])
             for raw, q, t in zip(queries["v"], asked, asked @ turn):
-                d, i = scan(q, t, ids, vectors, columns, k + 1)
+                d, i = scan(q, t, ids, vectors, columns, places, k)
                 parts.append(pd.DataFrame({"v": [raw] * len(d), "vec_id": i, "score": d}))
         none = pd.DataFrame({"v": pd.Series(dtype="object"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         return pd.concat(parts) if parts else none
@@ -189,9 +206,12 @@ def search(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
     keys = ("list", "chunk", "turn")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "v array<double>, vec_id long, score double")
     best = Window.partitionBy("v").orderBy("score", "vec_id")
-    top = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place")
+    if own > k:
+        of_id = Window.partitionBy("v", "vec_id").orderBy("score")
+        found = found.withColumn("place", F.row_number().over(of_id)).where(F.col("place") <= k).drop("place")
+    top = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= places).drop("place")
     mine = Window.partitionBy("query_id", "v").orderBy("score", "vec_id")
-    return (rows.where("asks").select(F.col("id").alias("query_id"), "v").join(top, "v")
+    return (rows.where("asks").select(F.col("id").alias("query_id"), "v").distinct().join(top, "v")
             .where(F.col("vec_id") != F.col("query_id"))
             .withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
