@@ -52,3 +52,19 @@ def test_short_lines_and_repeated_rows(spark):
     out = remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=10).collect()
     assert {(r.doc_id, r.text, r.n_removed) for r in out} == {(1, "ok then", 0), (2, "a line of words", 0)}
     assert len(out) == 40
+
+
+def test_rows_with_null_ids_take_part(spark):
+    head = "all rights are reserved here"
+    rows = [(i, f"{head}\nown text number {i}", f"s{i}") for i in range(1, 13)]
+    rows += [(None, f"{head}\nown text without id", "t0"), (None, f"other first line here\n{head}\nlast line of it", "t1"), (None, None, "t2")]
+    schema = "doc_id long, text string, source string"
+    out = remove_boilerplate(spark.createDataFrame(rows, schema).repartition(3), min_sites=10).collect()
+    assert len(out) == len(rows)
+    assert {r.doc_id: (r.text, r.n_removed) for r in out if r.doc_id} == {
+        i: (f"{head}\nown text number {i}", 0) if i == 1 else (f"own text number {i}", 1) for i in range(1, 13)}
+    assert sorted((str(r.text), r.n_removed) for r in out if r.doc_id is None) == [
+        ("None", 0), ("other first line here\nlast line of it", 1), ("own text without id", 1)]
+    alone = [(None, f"{head}\nown text number {i}", f"s{i}") for i in range(12)]
+    out = remove_boilerplate(spark.createDataFrame(alone, schema), min_sites=10).collect()
+    assert sorted(r.n_removed for r in out) == [0] + [1] * 11 and sum(head in r.text for r in out) == 1

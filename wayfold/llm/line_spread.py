@@ -14,7 +14,9 @@ Defined cases: a line is a part between line feeds, compared without blanks at i
 lines of fewer than ``min_words`` words are left alone; a null text stays null, an empty
 one empty, a text that loses every line becomes empty; a null site counts as one site; rows
 with the same id share its places: repeated rows are equal copies and are cut alike (give
-rows with the same id but other texts a different id); extra columns are kept.
+rows with the same id but other texts a different id); rows with a null id are known by their text
+instead, so equal ones are cut alike, and come last: a line's copy stays in one of them only where no row
+with an id has the line; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -35,12 +37,16 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACE_CHARACTERS))
 
 
+def _nameless(id_col: str, text: str) -> Column:
+    return F.when(F.col(id_col).isNull(), F.md5(F.col(text))).otherwise("")
+
+
 def line_rows(docs: DataFrame, id_col: str, text: str, site: str, min_words: int) -> DataFrame:
-    """doc, place, site and a 128-bit key of each line that may be boilerplate."""
-    flat = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(site).cast("string"), F.lit("\0none")).alias("site"),
+    """doc, nameless (a key of the text where doc is null), place, site and a 128-bit key of each line that may be boilerplate."""
+    flat = docs.select(F.col(id_col).alias("doc"), _nameless(id_col, text).alias("nameless"), F.coalesce(F.col(site).cast("string"), F.lit("\0none")).alias("site"),
                        F.posexplode(F.split(F.col(text), "\n", -1)).alias("place", "raw"))
     flat = flat.withColumn("line", _trimmed(F.col("raw"))).where(F.regexp_count("line", F.lit(WORD)) >= min_words)
-    return flat.select("doc", "place", "site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return flat.select("doc", "nameless", "place", "site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
@@ -48,7 +54,7 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     low, high = min_sites * (1 - WIDTH * ERROR), min_sites * (1 + WIDTH * ERROR)
     spread = (lines.groupBy("h1", "h2")
               .agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"),
-                   F.min(F.struct("doc", "place")).alias("first"))
+                   F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "nameless", "place")).alias("first"))
               .where(F.col("sites") >= low))
     clear = spread.where(F.col("sites") > high).select("h1", "h2", "first")
     near = spread.where(F.col("sites") <= high).select("h1", "h2", "first")
@@ -64,13 +70,14 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, min_words: int = 3,
     lines = line_rows(docs, id_col, text, site, min_words)
     found = boilerplate(lines, min_sites)
     gone = (lines.join(found, ["h1", "h2"])
-            .where(~((F.col("doc") == F.col("first.doc")) & (F.col("place") == F.col("first.place"))))
-            .groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("place").alias("__gone")))  # at most a text's lines
-    joined = docs.join(gone, F.col(id_col) == F.col("__doc"), "left")
+            .where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("nameless") == F.col("first.nameless"))
+                     & (F.col("place") == F.col("first.place"))))
+            .groupBy(F.col("doc").alias("__doc"), F.col("nameless").alias("__nameless")).agg(F.collect_set("place").alias("__gone")))  # at most a text's lines
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__doc")) & (_nameless(id_col, text) == F.col("__nameless")), "left")
     parts = F.split(F.col(text), "\n", -1)
     mark = F.coalesce(F.col("__gone"), F.array().cast("array<int>"))
     cut = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     return joined.withColumns({
         "n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"),
         "n_removed": F.size(mark).cast("long"),
-        text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(cut)}).drop("__doc", "__gone")
+        text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(cut)}).drop("__doc", "__nameless", "__gone")
