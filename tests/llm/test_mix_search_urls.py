@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm import ann, mixing, toxicity, url_rules
 from wayfold.llm.common import fold_is
-from tests.llm.helpers import DOCS, LABELS, docs
+from tests.llm.helpers import DOCS, LABELS, docs, written
 
 
 def test_targets_stop_at_their_caps():
@@ -50,6 +50,32 @@ def test_mix_meets_every_target(spark):
     assert drawn.columns == [*base.columns, "shard", "epoch", "words"] and drawn.where("words <= 0").count() == 0
 
 
+def test_mix_keeps_columns_that_clash(spark):
+    base = docs(spark, ["a b c", "d e", "f"], ["x", "y", None])
+    names = ["size", "source_size", "target", "draws", "p", "b", "q", "shard", "epoch", "words", "rank", "n", "s", "count", "draw"]
+    df = base.selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in names])
+    rows = mixing.mix(df, shards=2).collect()
+    want = {r.doc_id: r for r in mixing.mix(base, shards=2).collect()}
+    for r in rows:
+        assert [r[c] for c in names] == [f"{c}{r.doc_id}" for c in names]
+        assert [r["__" + c] for c in ("size", "source_size", "target", "draws")] == [want[r.doc_id][c] for c in ("size", "source_size", "target", "draws")]
+    drawn = mixing.shuffled(mixing.mix(df, shards=2), df.columns)
+    assert drawn.columns == [*df.columns, "__shard", "__epoch", "__words"]
+    assert {r["shard"] for r in drawn.collect()} <= {f"shard{i}" for i in (1, 2, 3)}
+
+
+def test_mix_query_and_stage_with_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+    from wayfold.llm import queries
+    base = docs(spark, ["a b c", "d e", "f"], ["x", "y", None])
+    df = base.selectExpr("*", *[f"'own' AS {c}" for c in ("size", "source_size", "target", "draws", "p", "b", "q", "shard", "words")])
+    plain, clash = (written({"documents": d}, tmp_path / n) for d, n in ((base, "plain"), (df, "clash")))
+    assert sorted(queries.op2_source_mix(spark, clash).collect()) == sorted(queries.op2_source_mix(spark, plain).collect())
+    staged = corpus_pipeline.mixture(spark, df, clash)
+    assert staged.columns == df.columns and {r.target for r in staged.collect()} == {"own"}
+    assert sorted(r.doc_id for r in staged.collect()) == sorted(r.doc_id for r in corpus_pipeline.mixture(spark, base, plain).collect())
+
+
 def exact(vectors, query_id, k):
     (q,) = [v for i, v in vectors if i == query_id]
     return sorted((float(np.sqrt(((np.array(v) - np.array(q)) ** 2).sum())), i) for i, v in vectors if i != query_id)[:k]

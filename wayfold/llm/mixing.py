@@ -16,7 +16,8 @@ by (source, block), and one window per block.
 
 Defined cases: a null text has no words and is never taken; a null source is a source, last in
 order; without any word there is nothing to take and every target is 0; equal ids share a block
-and are drawn each on its own; extra columns are kept.
+and are drawn each on its own; extra columns are kept: where one has the name of a result column, the result's
+is written with two underscores before it (names that start so are reserved).
 """
 
 from __future__ import annotations
@@ -125,59 +126,65 @@ def mix(docs: DataFrame, shards: int = 64, seed: int = 1, block_words: int | Non
     """``docs`` with size, source_size, target and ``draws``: an array of (shard, epoch, words) per document."""
     spark = docs.sparkSession
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), 1, 15), 16, 10).cast("long")
-    sized = docs.withColumns({"size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "__key": key})
-    totals = sized.groupBy(F.col(source).cast("string").alias("s")).agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
+    sized = docs.withColumns({"__size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "__key": key})
+    totals = sized.groupBy(F.col(source).cast("string").alias("s")).agg(F.sum("__size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
     plans = plan_sources([(r["s"], r["n"]) for r in totals], block_words)
-    schema = ("__s string, source_size long, target double, __place int, __blocks long, __epochs int, __rest long")
+    schema = ("__s string, __source_size long, __target double, __place int, __blocks long, __epochs int, __rest long")
     known = spark.createDataFrame([(p.source, p.size, p.target, k, p.blocks, p.epochs, p.rest) for k, p in enumerate(plans)], schema)
     joined = sized.join(F.broadcast(known), F.col(source).cast("string").eqNullSafe(F.col("__s")))  # at most MAX_SOURCES rows
     joined = joined.withColumn("__block", F.col("__key") % F.col("__blocks"))
 
     # a block's place in the permuted order of its source, and the words before it
     rank = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__place"), F.col("__block")))
-    blocks = joined.groupBy("__place", "__block").agg(F.sum("size").alias("words")).withColumn("rank", rank)
-    in_order = Window.partitionBy("__place").orderBy("rank", "__block")
+    blocks = joined.groupBy("__place", "__block").agg(F.sum("__size").alias("__words")).withColumn("__rank", rank)
+    in_order = Window.partitionBy("__place").orderBy("__rank", "__block")
     blocks = blocks.withColumns({
         "__number": F.row_number().over(in_order) - 1,
-        "__before": F.sum("words").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")})
-    spent = blocks.select(F.col("__place").alias("p"), F.col("__block").alias("b"), "__number", "__before")
-    joined = joined.join(spent, (F.col("__place") == F.col("p")) & (F.col("__block") == F.col("b"))).drop("p", "b")
+        "__before": F.sum("__words").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__words")})
+    spent = blocks.select(F.col("__place").alias("__p"), F.col("__block").alias("__b"), "__number", "__before")
+    joined = joined.join(spent, (F.col("__place") == F.col("__p")) & (F.col("__block") == F.col("__b"))).drop("__p", "__b")
 
-    run = Window.partitionBy("__place", "__block").orderBy("__key", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("__before") + F.coalesce(F.sum("size").over(run), F.lit(0))
+    run = Window.partitionBy("__place", "__block").orderBy("__key", id_col, "__size").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("__before") + F.coalesce(F.sum("__size").over(run), F.lit(0))
     open_words = F.col("__rest") - start
     if whole:
-        part = F.when(2 * open_words >= F.col("size"), F.col("size")).otherwise(0)
+        part = F.when(2 * open_words >= F.col("__size"), F.col("__size")).otherwise(0)
     else:
-        part = F.least(F.greatest(open_words, F.lit(0)), F.col("size"))
-    joined = joined.withColumn("__part", F.when(F.col("size") > 0, part).otherwise(0).cast("long"))
+        part = F.least(F.greatest(open_words, F.lit(0)), F.col("__size"))
+    joined = joined.withColumn("__part", F.when(F.col("__size") > 0, part).otherwise(0).cast("long"))
 
     # the permuted order of an epoch, one epoch after the other, is dealt to the shards in runs
-    rests = known.select(F.col("__place").alias("p"), "__rest")
-    last = (blocks.join(F.broadcast(rests), F.col("__place") == F.col("p")).where(F.col("__before") < F.col("__rest"))
+    rests = known.select(F.col("__place").alias("__p"), "__rest")
+    last = (blocks.join(F.broadcast(rests), F.col("__place") == F.col("__p")).where(F.col("__before") < F.col("__rest"))
             .groupBy("__place").count().collect())
     drawn = {r["__place"]: r["count"] for r in last}
     quotas = [p.epochs * p.blocks + drawn.get(k, 0) for k, p in enumerate(plans)]
     ends = np.cumsum(split_tree(quotas, shards, seed), axis=0) if plans else np.zeros((shards, 0), dtype=np.int64)
-    bounds = spark.createDataFrame([(k, [int(x) for x in ends[:, k]]) for k in range(len(plans))], "q int, __ends array<long>")
-    joined = joined.join(F.broadcast(bounds), F.col("__place") == F.col("q"))
+    bounds = spark.createDataFrame([(k, [int(x) for x in ends[:, k]]) for k in range(len(plans))], "__q int, __ends array<long>")
+    joined = joined.join(F.broadcast(bounds), F.col("__place") == F.col("__q"))
 
     def draw(epoch: int):
-        words = F.when(F.lit(epoch) < F.col("__epochs"), F.col("size")).when(F.lit(epoch) == F.col("__epochs"), F.col("__part"))
+        words = F.when(F.lit(epoch) < F.col("__epochs"), F.col("__size")).when(F.lit(epoch) == F.col("__epochs"), F.col("__part"))
         number = F.lit(epoch).cast("long") * F.col("__blocks") + F.col("__number")
         shard = F.least(F.size(F.filter("__ends", lambda e: e <= number)), F.lit(shards - 1))
         return F.when(words > 0, F.struct(shard.alias("shard"), F.lit(epoch).alias("epoch"), words.alias("words")))
 
     draws = F.filter(F.array(*[draw(e) for e in range(EPOCHS)]), lambda x: x.isNotNull())
-    return joined.withColumn("draws", draws).select(*docs.columns, "size", "source_size", "target", "draws", "__key")
+    measures = [F.col("__" + c).alias(_free(c, docs.columns)) for c in ("size", "source_size", "target", "draws")]
+    return joined.withColumn("__draws", draws).select(*docs.columns, *measures, "__key")
+
+
+def _free(name: str, columns: list[str]) -> str:
+    """The name of a result column beside the input's."""
+    return "__" + name if name.lower() in {c.lower() for c in columns} else name
 
 
 def shuffled(mixed: DataFrame, columns: list[str], seed: int = 1) -> DataFrame:
     """One row per draw with its shard and epoch, each shard shuffled on its own: sorted by a hash inside its partitions."""
-    rows = mixed.select(*columns, "__key", F.explode("draws").alias("draw"))
-    rows = rows.withColumn("__order", F.xxhash64(F.lit(seed), "__key", "draw.epoch"))
-    return (rows.repartition(F.col("draw.shard"), F.pmod("__order", F.lit(8))).sortWithinPartitions("draw.shard", "__order")
-            .select(*columns, F.col("draw.shard").alias("shard"), F.col("draw.epoch").alias("epoch"),
-                    F.col("draw.words").alias("words")))
+    rows = mixed.select(*columns, "__key", F.explode("__draws" if "__draws" in mixed.columns else "draws").alias("__draw"))
+    rows = rows.withColumn("__order", F.xxhash64(F.lit(seed), "__key", "__draw.epoch"))
+    return (rows.repartition(F.col("__draw.shard"), F.pmod("__order", F.lit(8))).sortWithinPartitions("__draw.shard", "__order")
+            .select(*columns, F.col("__draw.shard").alias(_free("shard", columns)), F.col("__draw.epoch").alias(_free("epoch", columns)),
+                    F.col("__draw.words").alias(_free("words", columns))))

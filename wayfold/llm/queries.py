@@ -141,7 +141,7 @@ SELECT doc_id, size, n AS source_size, target,
 @query(MIX_SQL)
 def op2_source_mix(spark: SparkSession, root: str) -> DataFrame:
     from wayfold.llm.mixing import mix
-    return mix(table(spark, root, "documents")).select(
+    return mix(table(spark, root, "documents").select("doc_id", "text", "source")).select(
         "doc_id", "size", "source_size", "target",
         F.aggregate("draws", F.lit(0).cast("long"), lambda total, d: total + d["words"]).alias("taken"))
 
