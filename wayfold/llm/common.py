@@ -96,6 +96,34 @@ def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` whose function may use this package's modules; columns it hands on keep their exact values."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def byte_table(kept: bytes) -> bytes:
+    """A ``bytes.translate`` table for UTF-8: A-Z lowered, ``kept`` and all bytes of non-ASCII characters as they are, the rest blank."""
+    return bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or b in kept else 32 for b in range(256))
+
+
+#: A side of at most so many rows may be broadcast; beyond it, the parts that a hot key of the other side is dealt to.
+BROADCAST, SALTS = 1 << 17, 16
+
+
+def meet(many: DataFrame, few: DataFrame, on: list[str], most: int = BROADCAST, salts: int = SALTS) -> DataFrame:
+    """Inner equi-join in which a key may hold any share of ``many``; ``few`` is a written table.
+
+    A ``few`` of at most ``most`` rows is broadcast.  A larger one is sent ``salts`` times, once to each part that
+    the rows of ``many`` are dealt to by a hash of all their columns.
+    """
+    if few.count() <= most:
+        return many.join(F.broadcast(few), on)
+    dealt = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(salts)))
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    return dealt.join(copies, [*on, "__salt"]).drop("__salt")
+
+
 def most_frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
     """The rows whose count lies above a cut under which at most ``most`` rows remain.
 
