@@ -75,6 +75,6 @@ def test_entry_without_the_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=120)
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_one_query_per_operator(n):
     assert sum(q.startswith(f"op{n}_") for q in entry.queries()) == 1

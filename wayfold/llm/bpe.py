@@ -196,7 +196,7 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text:
             for start in range(0, len(batch), 1000):  # ids of few rows at a time
                 part = batch.iloc[start:start + 1000]
                 found = [np.frombuffer(codec.encode(t)[0], dtype="<u4").astype("int32") for t in part["text"]]
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "n_tokens": [len(x) for x in found], "ids": found})
+                yield pd.DataFrame({"id": part["id"].array, "n_tokens": [len(x) for x in found], "ids": found})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run,
@@ -228,7 +228,7 @@ def digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text:
                 ids, decoded = codec.encode(t)
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "id", batch["id"].to_numpy())
+            out.insert(0, "id", batch["id"].array)
             yield out
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -6,12 +6,17 @@ import atexit
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # The white space that ends a word (space, tab to carriage return).
 SPACE = r"[\x20\x09-\x0D]+"
@@ -90,10 +95,27 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def as_frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    """The batch in pandas; whole numbers beside nulls stay whole numbers, which pandas would else round to floats."""
+    frame = batch.to_pandas()
+    for name, column in zip(batch.schema.names, batch.columns):
+        if column.null_count and pa.types.is_integer(column.type):
+            frame[name] = column.to_pandas(types_mapper={column.type: INTEGERS[column.type]}.get)
+    return frame
+
+
+INTEGERS = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype()}
+
+
 def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInPandas`` whose function may use this package's modules."""
-    ship(df.sparkSession)
-    return df.mapInPandas(run, schema)
+    """``mapInPandas`` whose function may use this package's modules, and which hands on 64-bit ids beside nulls unrounded."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(map(as_frame, batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=kind, preserve_index=False)
+
+    return map_arrow(df, frames, schema)
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
@@ -120,7 +142,7 @@ def meet(many: DataFrame, few: DataFrame, on: list[str], most: int = BROADCAST,
     if few.count() <= most:
         return many.join(F.broadcast(few), on)
     dealt = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(salts)))
-    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return dealt.join(copies, [*on, "__salt"]).drop("__salt")
 
 

@@ -10,9 +10,9 @@ with the number of terms in each, and f is evaluated once per cell, not once per
 * ``term``: cells of (group count, language count) with equal values are merged to levels, levels are ranked by
   the number of terms above them, and only those that reach into the first ``top`` ranks are expanded to their terms,
   in UTF-8 order.
-* ``pair``: cells of (count in one source, count in the other).  Terms of both sources are counted by one join
-  on the term; those of one source alone, and of neither, are what is left of the sources' and the language's totals.
-  One row per pair of sources of a language is the result itself.
+* ``pair``: a term's share depends on its count in a source alone, so terms of one source are cells of equal count;
+  only terms of both sources meet, by one join on the term, and are summed where they meet.  One row per pair
+  of sources of a language is the result itself.
 
 Texts are cut where they lie; a task counts terms per group in bounded memory before anything moves, and from then
 on only (group, term, count) rows do.  No key holds more rows than there are sources, cells are few, and the
@@ -41,8 +41,10 @@ UNIT = 1_000_000_000
 TERMS = byte_table(b"abcdefghijklmnopqrstuvwxyz")
 
 
-def term_counts(docs: DataFrame, held: int = HELD) -> DataFrame:
-    """(lang, source, term, n, docs): counts of a task's texts, each key once per ``held`` terms read."""
+def term_counts(docs: DataFrame, held: int | None = None) -> DataFrame:
+    """(lang, source, term, n, docs): counts of a task's texts, each key once per ``held`` distinct terms."""
+    held = held or HELD
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[tuple, tuple[Counter, Counter]] = {}
         size = 0
@@ -127,34 +129,34 @@ def term_ranks(kept: DataFrame, totals: DataFrame, top: int, most: int) -> DataF
 
 
 def pair_ranks(kept: DataFrame, totals: DataFrame) -> DataFrame:
-    """(lang, source, item, value, rank): every other source of the language by its distance."""
-    key = ["lang", "source", "item"]
-    a, b = kept.alias("a"), kept.alias("b")
-    both = (a.join(b, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.source") < F.col("b.source")))
-            .groupBy(F.col("a.lang").alias("lang"), F.col("a.source").alias("one"), F.col("b.source").alias("two"),
-                     F.col("a.n").alias("n1"), F.col("b.n").alias("n2")).agg(F.count(F.lit(1)).alias("terms")))
-    cell = lambda s, i, n, m, terms: F.struct(F.expr(s).alias("source"), F.expr(i).alias("item"), F.expr(n).cast("long").alias("n"),
-                                              F.expr(m).cast("long").alias("m"), F.expr(terms).cast("long").alias("terms"))
-    # terms of both are none of the terms of one alone, and their cell of two counts of 0 is one of the language's terms
-    met = both.select("lang", F.inline(F.array(*(
-        cell(s, i, n, m, terms) for s, i, x, y in (("one", "two", "n1", "n2"), ("two", "one", "n2", "n1"))
-        for n, m, terms in ((x, y, "terms"), (x, "0", "-terms"), ("0", y, "-terms"), ("0", "0", "terms"))))))
-    pairs = materialize(totals.join(totals.select("lang", F.col("source").alias("item"), F.col("total").alias("item_total")), "lang")
+    """(lang, source, item, value, rank): every other source of the language by its distance.
+
+    With p0 and q0 for a count of 0, the sum over all kept terms is V f(p0, q0), plus f(p, q0) - f(p0, q0) over the
+    terms of the one source, plus f(p0, q) - f(p0, q0) over those of the other, both by cells of equal count, plus
+    what the terms of both change in that.  Shares of a group sum to at most UNIT + V, so all sums fit 64 bits.
+    """
+    f = lambda p, q: f"(({p} - {q}) * ({p} - {q}) div {q})"
+    none = totals.withColumn("p0", share("0", "total", "kinds")).select("lang", "source", "total", "kinds", "p0")
+    counts = materialize(kept.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms")).join(none, ["lang", "source"])
+                         .withColumn("p", share("n", "total", "kinds")).select("lang", "source", "n", "terms", "p", "p0"), "source-cells")
+    pairs = materialize(none.drop("total").join(none.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0")), "lang")
                         .where("source <> item"), "source-pairs")
-    single = kept.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms"))
-    sides = pairs.select(*key)
-    here = sides.join(single, ["lang", "source"]).select("lang", F.inline(F.array(
-        cell("source", "item", "n", "0", "terms"), cell("source", "item", "0", "0", "-terms"))))
-    there = sides.join(single.withColumnRenamed("source", "item"), ["lang", "item"]).select("lang", F.inline(F.array(
-        cell("source", "item", "0", "n", "terms"), cell("source", "item", "0", "0", "-terms"))))
-    rest = pairs.select("lang", F.inline(F.array(cell("source", "item", "0", "0", "kinds"))))
-    cells = (met.unionByName(here).unionByName(there).unionByName(rest).groupBy(*key, "n", "m").agg(F.sum("terms").alias("terms"))
-             .where("terms <> 0").join(pairs, key)
-             .withColumns({"p": share("n", "total", "kinds"), "q": share("m", "item_total", "kinds")}).withColumn("f", gap("p", "q")))
-    sums = cells.groupBy(*key).agg(F.sum(F.expr("CAST(terms AS DECIMAL(18,0)) * CAST(f AS DECIMAL(19,0))")).cast("long").alias("value"))
+    parted = kept.select("lang", "term", "source", "n").join(counts.drop("terms"), ["lang", "source", "n"])
+    a, b = (parted.select("lang", "term", *(F.col(c).alias(f"{c}{k}") for c in ("source", "p", "p0"))) for k in (1, 2))
+    change = lambda p, q, p0, q0: F.expr(f"{f(p, q)} - {f(p, q0)} - {f(p0, q)} + {f(p0, q0)}")
+    both = (a.join(b, ["lang", "term"]).where("source1 < source2").groupBy("lang", "source1", "source2")
+            .agg(F.sum(change("p1", "p2", "p01", "p02")).alias("up"), F.sum(change("p2", "p1", "p02", "p01")).alias("down")))
+    both = both.select("lang", F.inline(F.array(
+        F.struct(F.col("source1").alias("source"), F.col("source2").alias("item"), F.col("up").alias("value")),
+        F.struct(F.col("source2").alias("source"), F.col("source1").alias("item"), F.col("down").alias("value")))))
+    here = pairs.join(counts.drop("p0"), ["lang", "source"]).select(
+        "lang", "source", "item", F.expr(f"terms * ({f('p', 'q0')} - {f('p0', 'q0')})").alias("value"))
+    there = pairs.join(counts.select("lang", F.col("source").alias("item"), "terms", F.col("p").alias("q")), ["lang", "item"]).select(
+        "lang", "source", "item", F.expr(f"terms * ({f('p0', 'q')} - {f('p0', 'q0')})").alias("value"))
+    rest = pairs.select("lang", "source", "item", F.expr(f"CASE WHEN kinds > 0 THEN kinds * {f('p0', 'q0')} ELSE 0 END").alias("value"))
+    sums = both.unionByName(here).unionByName(there).unionByName(rest).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    return (sides.join(sums, key, "left").withColumn("value", F.coalesce("value", F.lit(0).cast("long")))
-            .withColumn("rank", rank).select("lang", "source", "item", "value", "rank"))
+    return sums.withColumn("rank", rank).select("lang", "source", "item", "value", "rank")
 
 
 def audit(docs: DataFrame, top: int = 200, least: int = 3, text: str = "text", lang: str = "lang", source: str = "source",

@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
                 shown = [f"{first}:{last + 1}" for s, first, last in found if s > location]
                 rows.append((score_of(n, [s for s, _, _ in found], shared.value), len(shown), ",".join(shown)))
             out = pd.DataFrame(rows, columns=["score", "n_passages", "passages"])
-            out.insert(0, "id", batch["id"].to_numpy())
+            out.insert(0, "id", batch["id"].array)
             yield out
 
     kind = docs.schema[id_col].dataType.simpleString()
