@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from wayfold.functions import passages, text
 from wayfold.functions import score as sc
-from wayfold.plans import contacts, entities, outreach, promotion, reporting, scoring
+from wayfold.plans import contacts, entities, outreach, page_facts, promotion, reporting, scoring
 
 AS_OF = "2024-03-01 00:00:00"
 BASE = {
@@ -152,21 +153,77 @@ def test_commercial_columns_never_enter_screening(spark):
     assert seen.columns == ["service_id"]
 
 
-@pytest.mark.parametrize("text,signals", [
+SIGNALS = [
     ("Our packages: $20. We guarantee 10,000 streams.", ["guaranteed_streams"]), ("Our packages: $20. We never guarantee streams.", []),
     ("We guarantee streams.", []), ("Pricing: $30 for 5,000 plays", ["stream_quantity_pricing"]),
     ("Plans from $5. Beware of services that use bots", []), ("Plans from $5. We do not sell plays. Our bots listen.", ["bot_engagement"]),
-])
-def test_guarded_signals(text, signals):
-    from wayfold.sources.html import block_signals
-    assert [s["signal"] for s in block_signals(text)] == signals
+    ("Plans from $5. Never use bots! They guarantee saves", ["guaranteed_saves"]),
+    ("Plans from $5. No bots, never bots.\nbots", ["bot_engagement"]),
+    ("Plans from $5. We never " + "really " * 12 + "guarantee streams", []), ("Plans from $5. We never " + "really " * 13 + "guarantee streams", ["guaranteed_streams"]),
+    ("Guaranteed 100,000 impressions. Ad packages from $500", []),
+    ("Plans from $5. Buy 1,000 plays. Placement is guaranteed. We guarantee streams. Order 50 saves", ["guaranteed_streams", "guaranteed_placement", "guaranteed_saves"]),
+    ("", []), (None, []), ("bots " * 3000 + "$5", ["bot_engagement"]), ("no bots. " * 2000 + "$5", []),
+]
+
+
+def test_guarded_signals(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SIGNALS)], "i int, t string")
+    plain, folded = (passages.block_signals(F.col("t"), f) for f in (None, text.fold("t")))
+    for r in df.select("i", "t", plain.alias("s"), folded.alias("f")).collect():
+        wanted = SIGNALS[r["i"]][1]
+        if r["t"] is not None:
+            assert [x["signal"] for x in r["s"]] == wanted and r["s"] == r["f"], r["t"][:80]
+            assert all(" ".join(x["excerpt"].strip("…").split()) in " ".join(r["t"].split()) for x in r["s"])
+
+
+def test_places_count_code_points(spark):
+    df = spark.createDataFrame([("𝄞𝄞 É bots and bots",)], "t string")
+    place = passages.first_place(F.col("t"), r"\bbots\b")
+    got = df.select(place.alias("p"), passages.around(F.col("t"), place, 10).alias("x"),
+                    passages.fold_matches(F.col("t"), r"\bbots\b", F.lit(0), lambda n, p, hit: n + p["start"], lambda n: n).alias("n"),
+                    passages.first_place(F.col("t"), "none").alias("none")).first()
+    assert (got["p"]["start"], got["p"]["end"], got["x"], got["n"], got["none"]) == (5, 9, "𝄞𝄞 É bots and…", 5 + 14, None)
+
+
+FACTS = [
+    ("", "Refund policy: ask us", {"refund_policy": True}), ("", "There is no refund policy", {}),
+    ("Refund policy", "There is no refund policy", {"refund_policy": True}), ("No refund policy", "Our refund terms", {"refund_policy": True}),
+    ("", "Curators are never paid. Curators are paid for placement", {"curator_compensation": True}),
+    ("", "Curators are never paid", {"curator_compensation": False}),
+    ("", "We do not buy streams. Refund policy: refunded in full. Bot-free", {"refund_policy": True, "anti_bot_policy": True}),
+    ("", "We don't have a refund policy. Refund terms follow", {}),  # the first match alone decides
+    (None, None, {}),
+]
+
+
+def test_stated_facts(spark):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(FACTS)], "i int, a string, b string")
+    for r in df.select("i", passages.stated_facts(F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))).alias("f")).collect():
+        assert {x["field"]: x["value"] for x in r["f"]} == FACTS[r["i"]][2], FACTS[r["i"]]
+
+
+PRICES = [
+    ("We won $1,000,000 in a lottery last year.", None), ("Packages: $1,250.50 or 300 EUR", ("PAID_CONSIDERATION", 300.0, 1250.5, "USD")),
+    ("It is free to submit", ("FREE_SUBMISSION", 0.0, 0.0, None)), ("Free to submit, priority costs 9 usd", ("PAID_CONSIDERATION", 9.0, 9.0, "USD")),
+    ("Prices from €5" + " word" * 30 + " $700", ("PAID_CONSIDERATION", 5.0, 5.0, "EUR")),
+    ("price" + "x" * 80 + " £3", None), ("price " + "x" * 82 + " £3", ("PAID_CONSIDERATION", 3.0, 3.0, "GBP")),
+    ("price " + "x" * 86 + " £3", None), ("", None), (None, None), ("$5 fee " * 2000, ("PAID_CONSIDERATION", 5.0, 5.0, "USD")),
+]
+
+
+def test_prices_need_a_pricing_context(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PRICES)], "i int, t string")
+    for r in df.select("i", passages.stated_prices(F.col("t")).alias("p")).collect():
+        assert (r["p"] and tuple(r["p"])[:4]) == PRICES[r["i"]][1], PRICES[r["i"]][0][:60]
 
 
-def test_prices_need_a_pricing_context():
-    from wayfold.sources.html import stated_prices
-    assert stated_prices("We won $1,000,000 in a lottery last year.") is None
-    assert stated_prices("Packages: $1,250.50 or 300 EUR") | {"excerpt": ""} == {"model": "PAID_CONSIDERATION", "min": 300.0, "max": 1250.5, "currency": "USD", "excerpt": ""}
-    assert stated_prices("It is free to submit")["min"] == 0.0
+def test_login_wall_on_the_pricing_page_needs_no_price_word(one):
+    wall = lambda **c: one(page_facts.price_login_wall(F.col("w"), F.col("t"), F.col("l"), F.col("u"), F.col("p")), **c)
+    page = {"w": "Title members only", "t": "members only", "l": True}
+    assert wall(**page, u="https://a/pricing", p="https://a/pricing") == "members only"
+    assert wall(**page, u="https://a/", p="https://a/pricing") is None and wall(**page, u="https://a/", p="") is None
+    assert wall(w="Title our rates are inside", t="x", l=True, u="https://a/", p="").startswith("Title our rates")
+    assert wall(w="Title our rates", t="x", l=False, u="u", p="u") is None
 
 
 def test_plan_totals_keep_unknown_apart(frame):

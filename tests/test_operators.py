@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.operators import chain, containment, folds, graph, joins, latest, quality, scans, upsert
+from wayfold.operators import chain, containment, folds, graph, joins, labels, latest, quality, scans, upsert
+from wayfold.session import release_kept
 
 
 def rows(df, *cols):
@@ -61,13 +62,24 @@ def test_ordered_distinct_keeps_first_spelling(frame):
     assert rows(latest.ordered_distinct(df, ["s"], "t", ["p"]), "t") == [("House",), ("Techno",)]
 
 
-@pytest.mark.parametrize("bucket", [600, 86_400, 10**9])
-def test_scans_do_not_depend_on_the_bucket(skewed, bucket):
+@pytest.fixture(params=[1, 7, 40])
+def parts(spark, request):
+    """A session that deals ranges to so many parts, however small they are."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield request.param
+    release_kept()
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_scans_do_not_depend_on_the_parts(skewed, parts):
     data, df = skewed
-    df = df.withColumn("b", scans.time_bucket("ts", bucket))
-    total = {r["seq"]: r["t"] for r in scans.running_total(df, ["key"], "b", ["ts", "seq"], "n", "t").collect()}
-    carried = {r["seq"]: r["c"] for r in scans.carry_last(df, ["key"], "b", ["ts", "seq"], "label", "c").collect()}
-    before = {r["seq"]: r["p"] for r in scans.previous_value(df, ["key"], "b", ["ts", "seq"], "label", "p").collect()}
+    total = {r["seq"]: r["t"] for r in scans.running_total(df, ["key"], ["ts", "seq"], "n", "t").collect()}
+    carried = {r["seq"]: r["c"] for r in scans.carry_last(df, ["key"], ["ts", "seq"], "label", "c").collect()}
+    before = {r["seq"]: r["p"] for r in scans.previous_value(df, ["key"], ["ts", "seq"], "label", "p").collect()}
+    assert len(total) == len(carried) == len(before) == len(data)
     for key in {d[0] for d in data}:
         acc, held, last = 0, None, None
         for _k, _s, q, label, n in sorted((d for d in data if d[0] == key), key=lambda d: (d[1], d[2])):
@@ -76,21 +88,44 @@ def test_scans_do_not_depend_on_the_bucket(skewed, bucket):
             last = label
 
 
-@pytest.mark.parametrize("rows_per_bucket", [10, 100, 10**6])
-def test_balanced_buckets_cut_hot_keys_and_change_nothing(skewed, rows_per_bucket):
-    data, df = skewed
-    cut = scans.balanced_bucket(df, ["key"], "ts", rows_per_bucket, "b")
-    carried = {r["seq"]: (r["c"], r["b"]) for r in scans.carry_last(cut, ["key"], "b", ["ts", "seq"], "label", "c").collect()}
-    sizes = {}
-    for key in {d[0] for d in data}:
-        held, edge = None, -1
-        for _k, _s, q, label, _n in sorted((d for d in data if d[0] == key), key=lambda d: (d[1], d[2])):
-            held = label or held
-            assert carried[q][0] == held and carried[q][1] >= edge
-            edge = carried[q][1]
-            sizes[key, edge] = sizes.get((key, edge), 0) + 1
-    assert len(sizes) >= 1 + len({d[0] for d in data}) or rows_per_bucket > 360
-    assert max(n for (k, _b), n in sizes.items() if k == "hot") <= max(2 * rows_per_bucket, 30)
+def test_rows_of_one_key_and_one_time_are_spread_over_tasks(spark, parts):
+    n = 40_000
+    df = spark.range(n, numPartitions=8).selectExpr("'hot' AS key", "timestamp '2024-01-01' AS ts", "id AS seq", "1L AS one")
+    sizes = [r["count"] for r in scans.in_parts(df, ["key"], ["ts", "seq"]).groupBy(scans.PART).count().collect()]
+    assert sum(sizes) == n and len(sizes) >= 0.8 * parts and max(sizes) <= 2 * n / parts
+    out = scans.running_total(df, ["key"], ["ts", "seq"], "one", "t")
+    assert out.filter("t <> seq + 1").count() == 0
+
+
+def test_no_job_runs_while_a_scan_is_planned_and_the_table_is_read_once(spark, tmp_path, parts):
+    spark.range(1000).selectExpr("id % 3 AS key", "timestamp_seconds(id) AS ts", "id AS seq", "id % 2 = 0 AS a").write.parquet(f"{tmp_path}/t")
+    df = spark.read.schema("key long, ts timestamp, seq long, a boolean").parquet(f"{tmp_path}/t")
+    tracker, group = spark.sparkContext.statusTracker(), f"plan-{parts}"
+    spark.sparkContext.setJobGroup(group, "planning")
+    out = [scans.as_of_rows(df, ["key"], "ts", "seq", F.col("a"), ~F.col("a"), ["seq"], "hit"),
+           scans.trailing_count(df, ["key"], "ts", 100, "n"), scans.previous_value(df, ["key"], ["ts", "seq"], "a", "p")]
+    assert not tracker.getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for df in out:
+        scanned = {line.split("FileScan")[1] for line in df._jdf.queryExecution().toString().splitlines() if "FileScan" in line}
+        assert len(scanned) <= 1
+    assert out[0].filter("hit IS NULL").count() == 2  # of keys 0 and 2 the first row asks; key 1 begins with an answer
+
+
+def test_a_scan_sees_rows_written_since_an_earlier_one(spark, tmp_path):
+    for n in (10, 25):
+        spark.range(n).selectExpr("1 AS key", "id AS seq", "1L AS one").write.mode("overwrite").parquet(f"{tmp_path}/t")
+        df = spark.read.parquet(f"{tmp_path}/t")
+        assert scans.running_total(df, ["key"], ["seq"], "one", "t").agg(F.max("t")).first()[0] == n
+    release_kept()
+
+
+def test_as_of_rows_may_ask_and_answer(frame):
+    df = frame([("a", 10, 1), ("a", 10, 2), ("a", 20, 3), ("b", 5, 4)], "k string, s bigint, id bigint").withColumn("ts", F.timestamp_seconds("s"))
+    out = scans.as_of_rows(df, ["k"], "ts", "id", F.lit(True), F.col("id") != 3, ["id"], "hit")
+    assert {r["id"]: r["hit"] and r["hit"]["id"] for r in out.collect()} == {1: 2, 2: 2, 3: 2, 4: 4}
+    none = scans.as_of_rows(df.limit(0), ["k"], "ts", "id", F.lit(True), F.lit(True), ["id"], "hit")
+    assert none.count() == 0
 
 
 def test_trailing_count_includes_both_ends(frame):
@@ -103,7 +138,7 @@ def test_trailing_count_includes_both_ends(frame):
 def test_as_of_join_takes_the_newest_earlier_row(frame):
     left = frame([("a", 10, 1), ("a", 5, 2), ("b", 7, 3)], "k string, s bigint, id int").withColumn("ts", F.timestamp_seconds("s"))
     right = frame([("a", 5, 1), ("a", 5, 2), ("a", 9, 3), ("b", 8, 4)], "k string, s bigint, seq bigint").withColumn("rt", F.timestamp_seconds("s"))
-    out = scans.as_of_join(left, right, ["k"], "ts", "rt", ["seq"], ["seq"], "hit", 3)
+    out = scans.as_of_join(left, right, ["k"], "ts", "rt", ["seq"], ["seq"], "hit")
     assert {r["id"]: r["hit"] and r["hit"]["seq"] for r in out.collect()} == {1: 3, 2: 2, 3: None}
 
 
@@ -154,7 +189,7 @@ def test_override_may_be_tightened_never_loosened(frame):
     got = {r["s"]: r["effective_status"] for r in folds.effective_status(log, ["s"], ["seq"]).collect()}
     assert got == {"a": "BLOCKED", "b": "BLOCKED", "c": "CAUTION", "d": "UNKNOWN"}
     last = {}
-    for r in folds.effective_history(log.withColumn("b", F.lit(0)), ["s"], "b", ["seq"]).orderBy("seq").collect():
+    for r in folds.effective_history(log, ["s"], ["seq"]).orderBy("seq").collect():
         last[r["s"]] = r["effective_status"]
     assert last == got
 
@@ -171,6 +206,24 @@ def test_human_field_is_never_replaced(frame):
     assert rows(folds.field_state(log, ["p", "field"], ["seq"])) == [("p", "bpm", "2", False), ("p", "mood", "dark", True)]
 
 
+@pytest.mark.parametrize("vocabulary, closed", [([], False), (["b", "a", "z"], False), ([f"v{k}" for k in range(130)] + list("abcdz"), True)])
+def test_unions_of_labels_equal_sets(frame, vocabulary, closed):
+    rng = random.Random(len(vocabulary))
+    data = [(rng.choice(["k", "l", None]), rng.choice([None, [], ["a"], ["b", "a", "a"], ["d", None, "c"], ["z", "b"]]), i) for i in range(200)] + [("only null", None, 999)]
+    df = frame(data, "k string, x array<string>, n int", 5)
+    out = labels.union_of_labels(df, ["k"], {"x": labels.Labels(vocabulary, closed)}, F.max("n").alias("n"))
+    want = {k: (sorted({y for a, x, _ in data if a == k for y in x or [] if y}), max(n for a, _, n in data if a == k)) for k in {d[0] for d in data}}
+    assert {r["k"]: (r["x"], r["n"]) for r in out.collect()} == want
+
+
+def test_upsert_unites_lists(frame):
+    base = frame([("a", ["old", "x"]), ("b", None), (None, ["x"])], "k string, x array<string>")
+    changes = frame([("a", ["new", "x"], 1), ("c", ["y"], 1), (None, ["new"], 2)], "k string, x array<string>, seq int")
+    for rule in (upsert.UNION, labels.Labels(["x", "old"]), labels.Labels(["x", "old", "new", "y"], closed=True)):
+        got = {r["k"]: r["x"] for r in upsert.upsert(base, changes, ["k"], ["seq"], {"x": rule}).collect()}
+        assert got == {"a": ["new", "old", "x"], "b": [], "c": ["y"], None: ["new", "x"]}
+
+
 def test_merge_roots_chain_cycle_and_tail(frame):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (102, 100), (103, 102), (200, 201)]
     got = {r["loser"]: (r["root"], r["on_cycle"]) for r in graph.merge_roots(frame(edges, "loser bigint, winner bigint", 3)).collect()}
@@ -199,6 +252,25 @@ def test_contains_join_equals_brute_force(spark, frame):
     assert sorted((r["id"], r["nid"]) for r in out.collect()) == want and want
 
 
+def test_contains_join_reads_a_text_twice_and_cuts_at_the_place(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(containment, "TOGETHER", 3)
+    spark.createDataFrame([(i, f"{'x ' * i}Aa bb cc dd ee ff gg{' y' * i}", i % 3) for i in range(50)], "id int, text string, lang int").write.parquet(f"{tmp_path}/t")
+    texts = spark.read.schema("id int, text string, lang int").parquet(f"{tmp_path}/t")
+    names = spark.createDataFrame([(k, n) for k, n in enumerate(["aa", "bb cc", "dd", "ee ff", "gg", "a bb cc d", "zz", "FF G"])], "nid int, name string")
+    out = containment.contains_join(texts, names, ["id"], "text", "name", excerpt_width=4)
+    scans_of_text = {line.split("FileScan")[1] for line in out._jdf.queryExecution().toString().splitlines() if "FileScan" in line and "text:string" in line}
+    assert len(scans_of_text) == 2 and "text" not in out.columns
+    got = {(r["id"], r["nid"]): (r["at"], r["excerpt"], r["lang"]) for r in out.collect()}
+    assert len(got) == 50 * 7
+    assert got[0, 0] == (1, "Aa b…", 0) and got[10, 0] == (21, "…x Aa b…", 1)
+    for (i, n), (at, excerpt, _) in got.items():
+        text = f"{'x ' * i}Aa bb cc dd ee ff gg{' y' * i}"
+        name = ["aa", "bb cc", "dd", "ee ff", "gg", "a bb cc d", "zz", "FF G"][n].lower()
+        assert at == text.lower().index(name) + 1
+        a, b = max(0, at - 3), min(len(text), at - 1 + len(name) + 2)
+        assert excerpt == ("…" if a else "") + " ".join(text[a:b].split()) + ("…" if b < len(text) else "")
+
+
 def test_term_search_counts_repeats_and_substrings(frame):
     pages = frame([("p1", "dubtechno radio"), ("p2", "radio"), ("p3", "nothing")], "page string, text string")
     queries = frame([("q", "submit techno techno radio music")], "q string, query string")
@@ -214,11 +286,11 @@ def audit_rows(frame, n=6):
 def test_chain_holds_and_shows_the_first_break(spark, frame):
     tails = spark.createDataFrame([], "tenant_id string, hash string")
     log = chain.build_chain(audit_rows(frame), tails)
-    assert rows(chain.verify_chain(log, 2)) == [("t1", None, 5), ("t2", None, 5)]
+    assert rows(chain.verify_chain(log)) == [("t1", None, 5), ("t2", None, 5)]
     edited = log.withColumn("action", F.when((F.col("tenant_id") == "t1") & (F.col("seq") == 3), "forged").otherwise(F.col("action")))
-    assert rows(chain.verify_chain(edited, 2)) == [("t1", 3, 5), ("t2", None, 5)]
+    assert rows(chain.verify_chain(edited)) == [("t1", 3, 5), ("t2", None, 5)]
     deleted = log.filter("NOT (tenant_id = 't2' AND seq = 2)")
-    assert rows(chain.verify_chain(deleted, 2)) == [("t1", None, 5), ("t2", 3, 4)]
+    assert rows(chain.verify_chain(deleted)) == [("t1", None, 5), ("t2", 3, 4)]
 
 
 def test_chain_goes_on_from_the_stored_tail(spark, frame):
@@ -265,3 +337,37 @@ def test_recontact_wait_follows_the_newest_outcome(frame):
     log = frame([("o", "TOUCH", 1), ("o", "DECLINE", 2)], "o string, kind string, seq int").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     r = folds.recontact_state(log, ["o"], ["seq"], "ts").first()
     assert (r["next_eligible_at"] - r["last_contact_at"]).days == 365 and r["declined_count"] == 1
+
+
+def search_corpus(rng):
+    words = [f"w{'abcdefgh'[k % 8]}{k}" for k in range(40)]
+    pages = [(p, " ".join(["everywhere", *rng.sample(words, rng.randint(0, 6))])) for p in range(600)]
+    queries = [(q, " ".join(rng.choices([*words, "everywhere", "wa", "nowhere", "the"], k=rng.randint(1, 5)))) for q in range(80)]
+    return pages, queries + [(900, "everywhere"), (901, "the"), (902, "everywhere everywhere wa0"), (903, "")]
+
+
+@pytest.mark.parametrize("limit", [1, 3, 25, 1000])
+def test_term_search_equals_scoring_every_pair(frame, limit):
+    pages, queries = search_corpus(random.Random(limit))
+    want = set()
+    for q, asked in queries:
+        terms = [t for t in asked.split() if t != "the"]
+        best = sorted((-n, p) for p, text in pages if (n := sum(t in text for t in terms)))
+        want |= {(q, p, -n, k) for k, (n, p) in enumerate(best[:limit], 1)}
+    out = containment.term_search(frame(pages, "page int, text string", 3), frame(queries, "q int, query string", 2), "page", "text", "q", "query", limit)
+    assert {(r["q"], r["page"], r["score"], r["rank"]) for r in out.collect()} == want
+    release_kept()
+
+
+def test_a_term_of_all_pages_brings_no_product(spark, frame):
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(300)]
+    sets = frame([(p, sorted(["everywhere", *rng.sample(words, 4)])) for p in range(5000)], "page int, terms array<string>", 4)
+    asked = frame([(q, t, 1) for q in range(50) for t in ("everywhere", f"w{q}")], "q int, term string, times bigint")
+    shown = containment.folded_sets(sets, "page", 5)
+    pairs = containment.candidates(shown, asked, "page", "q", 5)
+    rare = shown.select(F.explode("terms").alias("term")).filter(F.col("term").isin([f"w{q}" for q in range(50)])).count()
+    assert pairs.count() <= rare + 2 * 5 * 50 < 0.05 * 50 * 5000
+    alike = frame([(p, ["everywhere"]) for p in range(5000)], "page int, terms array<string>", 4)
+    assert sorted(r["page"] for r in containment.folded_sets(alike, "page", 5).collect()) == [0, 1, 2, 3, 4]
+    release_kept()

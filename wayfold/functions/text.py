@@ -125,10 +125,13 @@ def literal_excerpt(text, needle, width: int = 200) -> Column:
     Case folding by ``lower`` can change the length of a few letters; where it
     does, the cut is made on the folded text so the needle is always inside.
     """
-    text, needle = col_of(text), col_of(needle)
-    folded = F.lower(text)
+    text, needle = col_of(text), F.lower(col_of(needle))
+    return cut_around(text, F.lower(text), needle, F.instr(F.lower(text), needle), width)
+
+
+def cut_around(text: Column, folded: Column, needle: Column, at: Column, width: int) -> Column:
+    """The needle found at a place (from 1) of the folded text, with context."""
     base = F.when(F.length(folded) == F.length(text), text).otherwise(folded)
-    at = F.instr(folded, F.lower(needle))
     start = F.greatest(F.lit(0), at - 1 - width // 2)
     end = F.least(F.length(base), at - 1 + F.length(needle) + width // 2)
     return F.when((at > 0) & (F.length(needle) > 0), F.concat(

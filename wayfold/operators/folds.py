@@ -51,10 +51,9 @@ def current_batch(packets: DataFrame, keys: Sequence[str], order: Sequence[str],
     return joined.filter(same_time & same_hash).drop("__new")
 
 
-def content_changes(reads: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str],
-                    digest: str) -> DataFrame:
+def content_changes(reads: DataFrame, keys: Sequence[str], order: Sequence[str], digest: str) -> DataFrame:
     """Flag reads whose content differs from the read before (both known)."""
-    seen = previous_value(reads, keys, bucket, order, digest, "previous_hash")
+    seen = previous_value(reads, keys, order, digest, "previous_hash")
     return seen.withColumn("changed", F.coalesce(F.col("previous_hash") != F.col(digest), F.lit(False)))
 
 
@@ -72,12 +71,11 @@ def effective_status(log: DataFrame, keys: Sequence[str], order: Sequence[str])
                       F.col("__new.status").alias("newest_status"), F.col("__held").alias("override_status"))
 
 
-def effective_history(log: DataFrame, keys: Sequence[str], bucket: str,
-                      order: Sequence[str]) -> DataFrame:
+def effective_history(log: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The status in force after every row of the log."""
     table = rules.SCREENING_SEVERITY
     marked = log.withColumn("__o", F.when(F.col("human_override"), F.col("status")))
-    held = carry_last(marked, keys, bucket, order, "__o", "override_status")
+    held = carry_last(marked, keys, order, "__o", "override_status")
     worse = F.greatest(severity("status", table), severity("override_status", table))
     return held.withColumn("effective_status", F.when(F.col("human_override"), F.col("status"))
                            .otherwise(by_severity(worse, table))).drop("__o")

@@ -1,112 +1,106 @@
-"""Ordered scans over long groups.
+"""Ordered scans over groups of any size, as distributed prefix scans.
 
-A plain window would bring a whole group into one task.  Here a group is cut
-into time buckets: each bucket is folded on its own, the short list of bucket
-totals is scanned per key, and the carried value is joined back.  A task then
-holds at most one bucket of one key, whatever share of the data the key has.
+A plain window would bring a whole group into one task.  Here rows are dealt to parts by
+ranges of (keys, order), so every part holds a stretch of the order and about as many rows
+as any other, whatever share a key has and even if all its rows have one time.  Each (part,
+key) is folded to one summary row, the few summaries of a key are scanned, and what
+came before a part is handed to it.  Only the key a part begins with can go on from an
+earlier part: what is handed over is at most one row a part, which is what makes its
+broadcast safe.  Inside a part the scan is a window over (key, part).
+
+The dealt rows are kept on the executors' disks, so that the summaries and the rows see the
+same parts; a lost block is computed again from the same ranges.  Nothing runs before the
+result does.  ``session.release_kept()`` frees them when the results have been used.
 
 Key columns hold no nulls here: a row without a key belongs to no group.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.operators.latest import order_struct
+from wayfold.session import keep
 
+PART = "__part"
 
-def time_bucket(ts: str, seconds: int) -> Column:
-    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds).cast("bigint")
 
+def in_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows with the number of their part; parts follow each other in the order of (keys, order)."""
+    # the random start gives every call rows of its own: Spark would else reuse those an earlier call kept of the same files
+    number = F.spark_partition_id() + F.lit(secrets.randbits(48))
+    return keep(df.repartitionByRange(*keys, *order).withColumn(PART, number))
 
-def balanced_bucket(df: DataFrame, keys: Sequence[str], ts: str, rows: int, out: str) -> DataFrame:
-    """Cut only the keys with more than ``rows`` rows, at quantiles of their times.
 
-    Time buckets of one width cannot know how dense a hot key is.  Here the keys that
-    need it get enough cuts to bring every bucket near ``rows``, and all other keys
-    stay whole.  The largest key sets the number of quantiles asked for, so there is no
-    ceiling.  The cut points are a small written table (at most one row per
-    ``rows`` input rows), so every later read agrees on them; any cuts give the same
-    result, as a bucket is a rising function of time alone.  Rows of one key at one and the
-    same time stay together.
-    """
-    from wayfold.session import materialize
-    big = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > rows)
-    most = big.agg(F.max("__n")).first()[0]
-    if most is None:
-        return df.withColumn(out, F.lit(0).cast("bigint"))
-    steps = 2 * -(-most // rows)
-    marks = F.percentile_approx(F.unix_micros(F.col(ts).cast("timestamp")), [i / steps for i in range(1, steps)], max(20_000, 10 * steps))
-    spread = (df.select(*keys, ts).join(big, list(keys)).groupBy(*keys, "__n").agg(marks.alias("__marks"))
-              .withColumn("__every", F.greatest(F.lit(1), F.floor(F.lit(steps) * rows / F.col("__n"))).cast("int"))
-              .select(*keys, F.array_distinct(F.filter("__marks", lambda m, i: (i + 1) % F.col("__every") == 0)).alias("__cuts")))
-    cuts = materialize(spread, "cuts")
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    place = F.coalesce(F.size(F.filter("__cuts", lambda c: c < at)), F.lit(0))
-    return df.join(cuts, list(keys), "left").withColumn(out, F.when(F.col("__cuts").isNull(), 0).otherwise(place).cast("bigint")).drop("__cuts")
-
-
-def running_total(df: DataFrame, keys: Sequence[str], bucket: str, order, value: str,
-                  out: str) -> DataFrame:
+def with_earlier(rows: DataFrame, keys: Sequence[str], summary: Column, fold, out: str) -> DataFrame:
+    """Each row with ``fold`` over the summaries of its key's earlier parts, null where there are none."""
+    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (rows.groupBy(*keys, PART).agg(summary.alias("__summary"))
+               .withColumn(out, fold("__summary").over(before)).filter(F.col(out).isNotNull()))
+    return rows.join(F.broadcast(earlier.drop("__summary")), [*keys, PART], "left")  # at most one row a part
+
+
+def _inside(keys: Sequence[str], order: Sequence[str], last: int = 0):
+    return Window.partitionBy(*keys, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Sum of ``value`` up to and including each row."""
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("__sum"))
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*keys, bucket, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    inside = (Window.partitionBy(*keys, bucket).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (df.join(base, [*keys, bucket])
-            .withColumn(out, F.col("__base") + F.sum(value).over(inside)).drop("__base"))
+    rows = with_earlier(in_parts(df, keys, order), keys, F.sum(value), F.sum, "__base")
+    total = F.coalesce("__base", F.lit(0)) + F.sum(value).over(_inside(keys, order))
+    return rows.withColumn(out, total).drop("__base", PART)
 
 
-def carry_last(df: DataFrame, keys: Sequence[str], bucket: str, order, value: str, out: str,
+def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str,
                include_current: bool = True) -> DataFrame:
     """Last non-null ``value`` at or before each row (strictly before on request)."""
-    tails = (df.filter(F.col(value).isNotNull()).groupBy(*keys, bucket)
-             .agg(F.max_by(value, order_struct(order)).alias("__tail")))
-    spots = df.select(*keys, bucket).distinct().join(tails, [*keys, bucket], "left")
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    base = spots.select(*keys, bucket, F.last("__tail", ignorenulls=True).over(before).alias("__base"))
-    inside = (Window.partitionBy(*keys, bucket).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1))
-    return (df.join(base, [*keys, bucket])
-            .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("__base")))
-            .drop("__base"))
-
-
-def previous_value(df: DataFrame, keys: Sequence[str], bucket: str, order, value: str,
-                   out: str) -> DataFrame:
+    tail = F.max_by(value, F.when(F.col(value).isNotNull(), order_struct(order)))
+    rows = with_earlier(in_parts(df, keys, order), keys, tail, lambda c: F.last(c, ignorenulls=True), "__base")
+    here = F.last(value, ignorenulls=True).over(_inside(keys, order, 0 if include_current else -1))
+    return rows.withColumn(out, F.coalesce(here, "__base")).drop("__base", PART)
+
+
+def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Value of the row before, nulls included (a ``lag`` that scales)."""
     boxed = df.withColumn("__box", F.struct(F.col(value).alias("v")))
-    return (carry_last(boxed, keys, bucket, order, "__box", "__prev", include_current=False)
+    return (carry_last(boxed, keys, order, "__box", "__prev", include_current=False)
             .withColumn(out, F.col("__prev")["v"]).drop("__box", "__prev"))
 
 
-def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, out: str,
-                   bucket_seconds: int = 3600, rows_per_bucket: int | None = None) -> DataFrame:
+def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, out: str) -> DataFrame:
     """Rows of the same key in the ``seconds`` up to each distinct time, ends included.
 
     Every arrival adds its count and, ``seconds`` later, takes it away again; the
     answer is a running total.  Arrivals at one time are folded first.
     """
     arrivals = df.groupBy(*keys, ts).agg(F.count("*").alias("arrived"))
-    marks = arrivals.select(*keys, F.explode(F.array(
-        F.struct(F.col(ts).alias(ts), F.lit(0).alias("__leaves"), F.col("arrived").alias("arrived"),
-                 F.col("arrived").alias("__delta")),
-        F.struct((F.col(ts) + F.expr(f"INTERVAL {seconds} SECONDS")).alias(ts), F.lit(1).alias("__leaves"),
-                 F.col("arrived").alias("arrived"), (-F.col("arrived")).alias("__delta")))).alias("m"))
-    marks = marks.select(*keys, "m.*")
-    marks = (balanced_bucket(marks, keys, ts, rows_per_bucket, "__bucket") if rows_per_bucket
-             else marks.withColumn("__bucket", time_bucket(ts, bucket_seconds)))
-    total = running_total(marks, keys, "__bucket", [ts, "__leaves"], "__delta", out)
+    leaving = F.col(ts) + F.expr(f"INTERVAL {seconds} SECONDS")
+    marks = arrivals.select(*keys, "arrived", F.inline(F.array(
+        F.struct(F.col(ts).alias(ts), F.lit(0).alias("__leaves"), F.col("arrived").alias("__delta")),
+        F.struct(leaving.alias(ts), F.lit(1).alias("__leaves"), (-F.col("arrived")).alias("__delta")))))
+    total = running_total(marks, keys, [ts, "__leaves"], "__delta", out)
     return total.filter(F.col("__leaves") == 0).select(*keys, ts, "arrived", out)
 
 
+def as_of_rows(df: DataFrame, keys: Sequence[str], ts: str, seq: str, asking: Column, answering: Column,
+               values: Sequence[str], out: str) -> DataFrame:
+    """The asking rows of a table, each with the newest answering row of its key at or before it, as a struct.
+
+    Both sides come from one read of the table; a row may be on both.
+    """
+    sides = F.array_compact(F.array(F.when(answering, F.lit(0)), F.when(asking, F.lit(1))))
+    rows = (df.withColumn("__side", F.explode(sides))
+            .withColumn("__right", F.when(F.col("__side") == 0, F.struct(*[F.col(v) for v in values]))))
+    seen = carry_last(rows, keys, [ts, "__side", seq], "__right", out)
+    return seen.filter(F.col("__side") == 1).select(*df.columns, out)
+
+
 def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str,
-               right_order: Sequence[str], values: Sequence[str], out: str,
-               bucket_seconds: int = 86_400, rows_per_bucket: int | None = None) -> DataFrame:
+               right_order: Sequence[str], values: Sequence[str], out: str) -> DataFrame:
     """Newest right row of the same key at or before each left row, as a struct."""
     payload = F.struct(*[F.col(v) for v in values])
     seq_type = dict(right.dtypes)[right_order[0]] if right_order else "bigint"
@@ -117,10 +111,7 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts:
                        (F.col(right_order[0]) if right_order else F.lit(0)).cast(seq_type).alias("__seq"),
                        F.lit(None).cast(_struct_type(left, left.columns)).alias("__left"),
                        payload.alias("__right"))
-    both = lhs.unionByName(rhs)
-    both = (balanced_bucket(both, keys, "__ts", rows_per_bucket, "__bucket") if rows_per_bucket
-            else both.withColumn("__bucket", time_bucket("__ts", bucket_seconds)))
-    seen = carry_last(both, keys, "__bucket", ["__ts", "__side", "__seq"], "__right", out)
+    seen = carry_last(lhs.unionByName(rhs), keys, ["__ts", "__side", "__seq"], "__right", out)
     return seen.filter(F.col("__side") == 1).select("__left.*", out)
 
 

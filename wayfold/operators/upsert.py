@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.operators.labels import Labels, other_labels, with_others
 from wayfold.operators.latest import order_struct
 
-Rule = str | Callable[[Column, Column], Column]
+Rule = str | Labels | Callable[[Column, Column], Column]
+#: The union of lists whose labels are not known beforehand.
+UNION = Labels(())
 
 
 def _fold(name: str, rule: Rule, order: Column) -> Column:
@@ -33,8 +37,8 @@ def _fold(name: str, rule: Rule, order: Column) -> Column:
         return F.sum(value)
     if rule == "any":
         return F.bool_or(value)
-    if rule == "union":
-        return F.array_sort(F.array_distinct(F.flatten(F.collect_set(value))))
+    if isinstance(rule, Labels):
+        return rule.known(value)
     if rule == "never_unknown":
         return F.coalesce(F.max_by(value, F.when(value.isNotNull() & (value != "UNKNOWN"), order)),
                           F.lit("UNKNOWN"))
@@ -62,7 +66,8 @@ def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequ
 
     The snapshot is simply the oldest change, so the whole merge is one grouped
     aggregation: one shuffle, folded on the map side, null-safe on the keys.
-    Columns without a rule take the newest value.
+    Columns without a rule take the newest value.  Lists are united by :class:`Labels`; labels outside
+    its vocabulary are a narrow aggregation of their own.
     """
     columns = [c for c in base.columns if c not in keys]
     old = base.withColumn("__age", F.lit(0))
@@ -72,8 +77,35 @@ def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequ
     new = changes.withColumn("__age", F.lit(1))
     both = old.unionByName(new, allowMissingColumns=True)
     by = order_struct(["__age", *order])
-    return both.groupBy(*keys).agg(
-        *[_fold(c, rules.get(c, "last"), by).alias(c) for c in columns]).select(*base.columns)
+    out = both.groupBy(*keys).agg(*[_fold(c, rules.get(c, "last"), by).alias(c) for c in columns])
+    for name, rule in rules.items():
+        if isinstance(rule, Labels) and not rule.closed:
+            out = with_others(out, other_labels(both, keys, name, rule, "__others"), keys, name)
+    return out.select(*base.columns)
+
+
+def upsert_buckets(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int = 256) -> None:
+    """Put the newest row per key into a table kept in hash buckets, rewriting only the buckets that the rows fall in.
+
+    ``rows`` holds the table's columns, the order's among them.  The new content of those buckets is written apart first, so
+    nothing is overwritten while it is read, and a run that breaks off can be repeated; a repeat changes nothing.
+    """
+    from wayfold.operators.latest import newest_per_key
+    from wayfold.session import materialize
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    new = newest_per_key(rows, keys, list(order)).withColumn("bucket", bucket)
+    try:
+        old = spark.read.schema(new.schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = spark.createDataFrame([], new.schema)
+    new = materialize(new, "bucket-rows")
+    touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    both = old.filter(F.col("bucket").isin(touched)).unionByName(new)
+    merged = materialize(newest_per_key(both, [*keys, "bucket"], list(order)), "bucket-content")
+    (merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(path))
 
 
 def insert_if_absent(base: DataFrame, rows: DataFrame, keys: Sequence[str],

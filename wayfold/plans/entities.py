@@ -27,10 +27,10 @@ def outlet_identity() -> Column:
         .otherwise(F.concat_ws("|", F.lit("url"), "url"))
 
 
-def upsert_outlets(base: DataFrame, changes: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
+def upsert_outlets(base: DataFrame, changes: DataFrame, order: Sequence[str] = ("seq",), **more) -> DataFrame:
     """Outlet snapshot: a known open state is never lost, a missing follower count
-    keeps the old one, the rest follows the newest read."""
-    return upsert(base, changes, ["tenant_id", "identity"], list(order), OUTLET_RULES)
+    keeps the old one, the rest follows the newest read or a rule in ``more``."""
+    return upsert(base, changes, ["tenant_id", "identity"], list(order), {**OUTLET_RULES, **more})
 
 
 def outlet_kind(label: Column) -> Column:
@@ -137,21 +137,20 @@ def coverage_events(records: DataFrame, watched: DataFrame, genres: DataFrame) -
     from wayfold.functions.keys import coverage_key
     from wayfold.operators.containment import contains_join
     records = records.withColumn("folded_text", tx.fold("visible_text"))
+    kind_of = lambda found: tx.first_label(F.col("title"), F.col("visible_text"), found, folded=F.col("folded_text"))
     usable = (records.filter((F.col("page_state") == "OK") & ~web.is_platform("domain"))
-              .select("tenant_id", "url", "domain", "title", "visible_text", "folded_text", "retrieved_at", "seq"))
+              .select("tenant_id", "url", "domain", "title", "visible_text", "retrieved_at", "seq",
+                      kind_of(rules.TREND_RULES).alias("trend_kind"), kind_of(rules.COVERAGE_KIND_RULES).alias("coverage_kind")))
     names = watched.filter(F.col("active")).select(
         "tenant_id", "artist_id", F.col("name").alias("subject"), F.lit(None).cast("string").alias("genre_tag"))
     lanes = genres.select("tenant_id", F.lit(None).cast(dict(watched.dtypes)["artist_id"]).alias("artist_id"),
                           F.col("genre_tag").alias("subject"), "genre_tag")
-    met = contains_join(usable, names.unionByName(lanes), ["url", "seq"], "visible_text", "subject", ["tenant_id"])
-    trend = F.col("artist_id").isNull()
-    kind = F.when(trend, tx.first_label(F.col("title"), F.col("visible_text"), rules.TREND_RULES, folded=F.col("folded_text"))) \
-        .otherwise(tx.first_label(F.col("title"), F.col("visible_text"), rules.COVERAGE_KIND_RULES, folded=F.col("folded_text")))
+    met = contains_join(usable, names.unionByName(lanes), ["url", "seq"], "visible_text", "subject", ["tenant_id"], excerpt_width=200)
+    kind = F.when(F.col("artist_id").isNull(), F.col("trend_kind")).otherwise(F.col("coverage_kind"))
     return (met.withColumn("kind", kind)
-            .withColumn("excerpt", tx.literal_excerpt("visible_text", "subject"))
             .withColumn("dedup_key", coverage_key("artist_id", "genre_tag", "url"))
             .withColumn("confidence", F.when(F.col("kind") != "UNKNOWN", 0.7).otherwise(0.5))
-            .drop("visible_text", "folded_text"))
+            .drop("trend_kind", "coverage_kind", "at"))
 
 
 def fold_coverage(events: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold import rules
+from wayfold.functions import passages
 from wayfold.functions import text as tx
 from wayfold.functions import web
 from wayfold.functions.when import plus_days
+from wayfold.operators.upsert import upsert_buckets
 from wayfold.sources.pages import read_pages
 
 
@@ -132,8 +134,8 @@ def declared_links(links: Column, domain: Column) -> Column:
                       for name, pattern in rules.DECLARED_LINKS])
 
 
-def extract(sanitised: DataFrame, url: str = "url", status: str = "http_status") -> DataFrame:
-    """The page record.  Expects the columns of :func:`read_pages`."""
+def extract(sanitised: DataFrame, url: str = "url", status: str = "http_status", offers: bool = False) -> DataFrame:
+    """The page record.  Expects the columns of :func:`read_pages`; ``offers`` adds block signals, stated facts and prices."""
     code = F.col(status) if status in sanitised.columns else F.lit(None).cast("int")
     title = F.coalesce(F.col("title"), F.lit(""))
     text = F.col("visible_text")
@@ -152,6 +154,12 @@ def extract(sanitised: DataFrame, url: str = "url", status: str = "http_status")
                       F.array(*[F.lit(p) for _l, _w, p in rules.PAGE_CLASS_RULES]), 1 - F.col("__best.place")), 160).alias("excerpt")))
               .drop("__best"))
     low = F.col("folded_text")
+    if offers:
+        whole = F.col("folded_whole")
+        judged = judged.withColumn("__body", joined_text("meta_description", "visible_text")).withColumns({
+            "signals": passages.block_signals(F.col("whole_text"), whole),
+            "facts": passages.stated_facts(title, F.col("__body"), whole),
+            "prices": passages.stated_prices(text)}).drop("__body")
     return judged.withColumns({
         "submissions": submissions(text, low),
         "cost": cost(text, F.col("classification.label"), low),
@@ -172,21 +180,31 @@ def is_offer_page(whole: Column) -> Column:
     return ~tx.matches_any(whole, rules.ARTICLE_SHAPE) & tx.matches_any(whole, rules.OFFER_SIGNALS)
 
 
-def price_login_wall(whole: Column, requires_login: Column) -> Column:
-    """Passage that shows a login wall in front of a price, null otherwise."""
-    return F.when(requires_login, tx.excerpt_around(whole, rules.LOGIN_PRICING_CONTEXT, 180))
+def price_login_wall(whole: Column, text: Column, requires_login: Column, url: Column, pricing_url: Column) -> Column:
+    """Passage that shows a login wall in front of a price, null otherwise.
+
+    On the pricing page itself the wall is the answer, whatever its words; elsewhere a word about prices must stand there.
+    """
+    there = F.coalesce((F.length(pricing_url) > 0) & (url == pricing_url), F.lit(False))
+    return F.when(requires_login, F.when(there, passages.around(text, passages.first_place(text, "[^\\n]")))
+                  .otherwise(passages.around(whole, passages.first_place(whole, rules.LOGIN_PRICING_CONTEXT))))
 
 
 def page_records(pages: DataFrame, offers: bool = False) -> DataFrame:
     """Crawl table to page records in one pass over the pages."""
-    return extract(read_pages(pages, offers=offers))
+    return extract(read_pages(pages), offers=offers)
 
 
 def source_documents(records: DataFrame, refused: DataFrame, as_of,
                      provider: str = "open_web_fetch") -> DataFrame:
-    """One row per retrieval attempt, refusals included, with a bounded excerpt."""
+    """One row per retrieval attempt, refusals included, with a bounded excerpt.
+
+    ``campaign_id`` and ``attempted_at`` go along where the records have them.
+    """
     from wayfold.functions.keys import content_hash, url_hash
-    shape = ["tenant_id", "url", "url_hash", "domain", "provider", "fetch_status", "content_hash",
+    more = [c for c in ("campaign_id", "attempted_at") if c in records.columns]
+    refused = refused.withColumns({c: F.lit(None).cast(dict(records.dtypes)[c]) for c in more if c not in refused.columns})
+    shape = [*more, "tenant_id", "url", "url_hash", "domain", "provider", "fetch_status", "content_hash",
              "sanitized_text", "title", "classification", "block_reason", "stale_at"]
     ok = (records.withColumn("fetch_status", F.lit("OK")).withColumn("block_reason", F.lit(None).cast("string"))
           .withColumn("content_hash", F.when(F.length("visible_text") > 0, content_hash("visible_text")))
@@ -203,6 +221,14 @@ def source_documents(records: DataFrame, refused: DataFrame, as_of,
     return close(ok).unionByName(close(no))
 
 
+DOCUMENT_KEY = ["tenant_id", "url_hash", "campaign_id"]
+
+
+def keep_documents(path: str, documents: DataFrame) -> None:
+    """Store retrieval attempts, one row per tenant, URL and campaign: a page that is read again replaces its row."""
+    upsert_buckets(documents.sparkSession, path, documents, DOCUMENT_KEY, ["attempted_at", "content_hash"])
+
+
 def evidence_packets(records: DataFrame, entity: str, entity_type: str, as_of,
                      extra_keys=("tenant_id",)) -> DataFrame:
     """One row per supported field of a record, each with excerpt and confidence."""

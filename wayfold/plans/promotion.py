@@ -11,6 +11,7 @@ from wayfold.functions import text as tx
 from wayfold.functions import web
 from wayfold.functions.when import days_since, is_past, is_stale, plus_days
 from wayfold.operators.folds import tri_state_fold
+from wayfold.operators.labels import Labels
 from wayfold.operators.latest import newest_per_key, oldest_per_key, order_struct
 from wayfold.plans import page_facts
 
@@ -27,14 +28,22 @@ def _value(**given: Column) -> Column:
 def page_packets(records: DataFrame) -> DataFrame:
     """Every signal, fact, price and link of a service's page with its passage.
 
-    ``records`` come from ``page_records(..., offers=True)`` with service_id.
+    ``records`` come from ``page_records(..., offers=True)`` with service_id, and with the service's
+    known pricing_url where there is one.
     """
     whole, text = F.col("whole_text"), F.col("visible_text")
     links = page_facts.declared_links(F.col("links"), F.col("domain"))
+    known = F.col("pricing_url") if "pricing_url" in records.columns else F.lit(None).cast("string")
     base = (records.withColumn("declared", links)
             .withColumn("category", tx.first_label(None, whole, rules.CATEGORY_RULES))
             .withColumn("types", tx.all_labels(whole, rules.SERVICE_TYPE_RULES))
-            .withColumn("wall", F.when(F.col("prices").isNull(), page_facts.price_login_wall(whole, F.col("requires_login")))))
+            .withColumn("wall", F.when(F.col("prices").isNull(), page_facts.price_login_wall(
+                whole, text, F.col("requires_login"), F.col("url"), known))))
+    # the passage that names the category, or else the first service type
+    named = [F.when(F.col("category") == label, F.lit(pattern)) for label, pattern in rules.CATEGORY_RULES]
+    typed = [F.when(F.array_contains("types", label), F.lit(pattern)) for label, pattern in rules.SERVICE_TYPE_RULES]
+    kind = F.when(F.col("declared.terms_url").isNotNull(), F.lit("terms")).otherwise(F.lit("contact"))
+    linked = F.when(F.contains(F.lower(whole), kind), kind)
 
     def packet(field: Column | str, value: Column, excerpt: Column, confidence) -> Column:
         return F.struct((field if isinstance(field, Column) else F.lit(field)).alias("supports_field"),
@@ -49,14 +58,14 @@ def page_packets(records: DataFrame) -> DataFrame:
     single = F.array_compact(F.array(
         F.when((F.col("category") != "UNKNOWN") | (F.size("types") > 0), packet(
             "business_model", _value(category=F.col("category"), service_types=F.col("types"), genres=F.col("genres")),
-            F.substring(F.coalesce("meta_description", text), 1, 300), 0.6)),
+            tx.excerpt_around(whole, F.coalesce(*named, *typed), 180), 0.6)),
         F.when(F.col("wall").isNotNull(), packet("pricing", _value(login_walled=F.lit(True)), F.col("wall"), 0.7)),
         F.when(F.col("prices").isNotNull(), packet("pricing", _value(
             min=F.col("prices.min"), max=F.col("prices.max"), currency=F.col("prices.currency"),
             model=F.col("prices.model")), F.col("prices.excerpt"), 0.7)),
         F.when(F.col("declared.terms_url").isNotNull() | F.col("declared.contact_url").isNotNull(), packet(
             "terms", _value(terms_url=F.col("declared.terms_url"), contact_url=F.col("declared.contact_url")),
-            F.substring(text, 1, 200), 0.6)),
+            F.coalesce(tx.excerpt_around(whole, linked, 180), F.substring(text, 1, 200)), 0.6)),
         F.when(F.length(title) > 0, packet("company_identity", _value(name=F.substring(title, 1, 120)),
                                            F.substring(title, 1, 200), 0.6))))
     keep = [c for c in ("tenant_id", "service_id", "url", "domain", "content_hash", "retrieved_at", "seq") if c in base.columns]
@@ -116,11 +125,11 @@ def recompute_facts(packets: DataFrame, keys=("service_id",), order=("seq",)) ->
     def first(value: Column, when: Column) -> Column:
         return F.min_by(value, F.when(when & value.isNotNull(), by))
 
-    def merged(value: Column) -> Column:
-        return F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(model, value)))))
+    types, genres = (Labels(known, closed=True) for known in ([label for label, _ in rules.SERVICE_TYPE_RULES], rules.GENRES))
     other = packets.groupBy(*keys).agg(
         F.coalesce(first(v["category"], model & (v["category"] != "UNKNOWN")), F.lit("UNKNOWN")).alias("category"),
-        merged(v["service_types"]).alias("service_types"), merged(v["genres"]).alias("supported_genres"),
+        types.known(F.when(model, v["service_types"])).alias("service_types"),
+        genres.known(F.when(model, v["genres"])).alias("supported_genres"),
         F.coalesce(first(v["model"], priced), F.lit("UNKNOWN")).alias("pricing_model"),
         F.min(F.when(priced, v["min"])).alias("pricing_min"),
         F.max(F.when(priced, F.coalesce(v["max"], v["min"]))).alias("pricing_max"),

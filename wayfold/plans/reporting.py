@@ -283,10 +283,11 @@ def view_filter(view: str) -> Column:
     return F.lit(True) if view == "all" else F.col("status").isin(wanted or rules.OPPORTUNITY_VIEWS["actionable"])
 
 
-def response_times(responses: DataFrame, submissions: DataFrame, keys) -> DataFrame:
-    """Count and mean days from a submission to its response."""
-    pairs = responses.join(submissions.filter(F.col("sent_at").isNotNull())
-                           .select("submission_id", "sent_at"), "submission_id")
+def response_times(responses: DataFrame, submissions: DataFrame | None, keys) -> DataFrame:
+    """Count and mean days from a submission to its response; without ``submissions`` the responses carry ``sent_at``."""
+    pairs = responses if submissions is None else responses.join(
+        submissions.select("submission_id", "sent_at"), "submission_id")
+    pairs = pairs.filter(F.col("sent_at").isNotNull())
     days = (F.unix_micros("received_at") - F.unix_micros("sent_at")) / 86_400e6
     return pairs.groupBy(*keys).agg(F.count("*").alias("count"), F.bround(F.avg(days), 1).alias("average_days"))
 

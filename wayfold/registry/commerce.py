@@ -9,6 +9,7 @@ from wayfold.functions import score as sc
 from wayfold.functions import text as tx
 from wayfold.functions.when import moment
 from wayfold.operators import folds, graph, joins, latest, quality, upsert
+from wayfold.operators.labels import Labels
 from wayfold.plans import contacts, entities, outreach, promotion, reporting, scoring
 from wayfold.registry.base import TRADE_AS_OF, bound, micros, query
 
@@ -424,19 +425,23 @@ o AS (SELECT *, struct_pack(a := created_at, b := seq, c := target_id) AS k FROM
 SELECT b.outlet_id, coalesce((SELECT arg_max(so, k) FROM o WHERE o.outlet_id = b.outlet_id AND so <> 'UNKNOWN'), 'UNKNOWN') AS submissions_open,
  coalesce((SELECT arg_max(fc, k) FROM o WHERE o.outlet_id = b.outlet_id AND fc IS NOT NULL), b.follower_count) AS follower_count,
  CASE WHEN (SELECT count(*) FROM o WHERE o.outlet_id = b.outlet_id AND fc IS NOT NULL) > 0 THEN (SELECT arg_max(flag, k) FROM o WHERE o.outlet_id = b.outlet_id AND fc IS NOT NULL)
-   WHEN b.follower_count IS NOT NULL THEN 'base' END AS follower_count_source FROM outlets b
+   WHEN b.follower_count IS NOT NULL THEN 'base' END AS follower_count_source,
+ array_to_string(list_sort(list_distinct(['known'] || coalesce((SELECT list(flag) FROM o WHERE o.outlet_id = b.outlet_id), [])
+  || coalesce((SELECT list('status ' || so) FROM o WHERE o.outlet_id = b.outlet_id), []))), ',') AS labels FROM outlets b
 """, "outlets score_log")
 def outlet_snapshot(spark, root):
     base = bound(spark, root, "outlets").select(
         F.lit(1).alias("tenant_id"), F.col("outlet_id").cast("string").alias("identity"), F.lit("UNKNOWN").alias("submissions_open"), "follower_count",
-        F.lit("base").alias("follower_count_source"))
+        F.lit("base").alias("follower_count_source"), F.array(F.lit("known")).alias("labels"))
     risk = F.col("risk_score")
     changes = bound(spark, root, "score_log").select(
         F.lit(1).alias("tenant_id"), F.col("outlet_id").cast("string").alias("identity"), "created_at", "seq", "target_id",
         F.when(risk > 80, "OPEN").when(risk > 60, "CLOSED").otherwise("UNKNOWN").alias("submissions_open"),
         F.when(F.col("score") > 60, F.col("score")).alias("follower_count"), F.col("flag").alias("follower_count_source"))
-    out = entities.upsert_outlets(base, changes, ["created_at", "seq", "target_id"])
-    return out.select(F.col("identity").cast("bigint").alias("outlet_id"), "submissions_open", "follower_count", "follower_count_source")
+    changes = changes.withColumn("labels", F.array(F.col("follower_count_source"), F.concat(F.lit("status "), "submissions_open")))
+    out = entities.upsert_outlets(base, changes, ["created_at", "seq", "target_id"], labels=Labels(["known", "status OPEN", "status CLOSED", "status UNKNOWN"]))
+    return out.select(F.col("identity").cast("bigint").alias("outlet_id"), "submissions_open", "follower_count", "follower_count_source",
+                      F.array_join("labels", ",").alias("labels"))
 
 
 @query("S6", """

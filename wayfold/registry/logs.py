@@ -8,11 +8,11 @@ from wayfold import rules
 from wayfold.functions import text as tx
 from wayfold.functions.when import days_since, is_past, moment, plus_days, sweep_is_due
 from wayfold.operators import chain, folds, joins, latest, scans
+from wayfold.operators.labels import Labels, union_of_labels
 from wayfold.plans import outreach, reporting
 from wayfold.registry.base import AS_OF, bound, micros, query
 
 DAY = 86_400
-BUCKET_ROWS = 1_000_000
 
 
 @query("W1, R2", """
@@ -49,7 +49,7 @@ SELECT a.entity, epoch_us(a.ts) AS at_us, a.arrived, CAST(sum(b.arrived) AS BIGI
   ON a.entity = b.entity AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 24 HOUR GROUP BY 1, 2, 3
 """, "log")
 def trailing_day_volume(spark, root):
-    out = scans.trailing_count(bound(spark, root, "log").select("entity", "ts"), ["entity"], "ts", DAY, "trailing", rows_per_bucket=BUCKET_ROWS)
+    out = scans.trailing_count(bound(spark, root, "log").select("entity", "ts"), ["entity"], "ts", DAY, "trailing")
     return out.select("entity", micros("ts").alias("at_us"), "arrived", F.col("trailing").cast("bigint").alias("trailing"))
 
 
@@ -119,11 +119,11 @@ FROM log a GROUP BY entity
 """, "log")
 def multi_value_fold(spark, root):
     by = F.struct("ts", "event_id")
-    out = bound(spark, root, "log").groupBy("entity").agg(
-        F.min_by("type", F.when(F.col("type") != "error", by)).alias("category"),
-        F.array_join(F.array_sort(F.collect_set("type")), ",").alias("kinds"),
-        F.min("value").alias("low"), F.max("value").alias("high"), F.max("ts").alias("ts"))
-    return out.select("entity", "category", "kinds", "low", "high", micros("ts").alias("seen_us"))
+    rows = bound(spark, root, "log").withColumn("kinds", F.array("type"))
+    out = union_of_labels(rows, ["entity"], {"kinds": Labels(RESPONSE_KIND, closed=False)},
+                          F.min_by("type", F.when(F.col("type") != "error", by)).alias("category"),
+                          F.min("value").alias("low"), F.max("value").alias("high"), F.max("ts").alias("ts"))
+    return out.select("entity", "category", F.array_join("kinds", ",").alias("kinds"), "low", "high", micros("ts").alias("seen_us"))
 
 
 @query("A19", """
@@ -164,8 +164,7 @@ ASOF LEFT JOIN (SELECT entity, ts, max(event_id) AS event_id FROM log WHERE type
 """, "log")
 def purchase_after_newest_view(spark, root):
     rows = bound(spark, root, "log").select("entity", "event_id", "ts", "type")
-    out = scans.as_of_join(rows.filter("type = 'purchase'"), rows.filter("type = 'view'"), ["entity"], "ts", "ts",
-                           ["event_id"], ["event_id", "ts"], "seen", rows_per_bucket=BUCKET_ROWS)
+    out = scans.as_of_rows(rows, ["entity"], "ts", "event_id", F.col("type") == "purchase", F.col("type") == "view", ["event_id", "ts"], "seen")
     return out.select("event_id", "entity", F.col("seen.event_id").alias("view_id"),
                       (micros("ts") - F.unix_micros("seen.ts")).alias("gap_us"))
 
@@ -179,11 +178,9 @@ SELECT entity, count(*) AS count, round_even(avg(d), 1) AS average_days FROM (
 """, "log")
 def response_time_per_entity(spark, root):
     rows = bound(spark, root, "log").select("entity", "event_id", "ts", "type")
-    views = rows.filter("type = 'view'")
-    paired = scans.as_of_join(rows.filter("type = 'purchase'"), views, ["entity"], "ts", "ts", ["event_id"], ["event_id"], "seen", rows_per_bucket=BUCKET_ROWS)
-    answers = paired.select("entity", F.col("ts").alias("received_at"), F.col("seen.event_id").alias("submission_id"))
-    sends = views.select(F.col("event_id").alias("submission_id"), F.col("ts").alias("sent_at"))
-    return reporting.response_times(answers, sends, ["entity"])
+    paired = scans.as_of_rows(rows, ["entity"], "ts", "event_id", F.col("type") == "purchase", F.col("type") == "view", ["event_id", "ts"], "seen")
+    answers = paired.select("entity", F.col("ts").alias("received_at"), F.col("seen.event_id").alias("submission_id"), F.col("seen.ts").alias("sent_at"))
+    return reporting.response_times(answers, None, ["entity"])
 
 
 @query("T5, J6", f"""
@@ -233,8 +230,7 @@ GROUP BY 1, 2
 def content_changes_per_key(spark, root):
     reads = (bound(spark, root, "log").withColumn("digest", F.sha2(F.encode("props", "utf-8"), 256))
              .select("entity", "type", "ts", "event_id", "digest"))
-    reads = scans.balanced_bucket(reads, ["entity", "type"], "ts", BUCKET_ROWS, "day")
-    seen = folds.content_changes(reads, ["entity", "type"], "day", ["ts", "event_id"], "digest")
+    seen = folds.content_changes(reads, ["entity", "type"], ["ts", "event_id"], "digest")
     return seen.groupBy("entity", "type").agg(F.count("*").alias("reads"), F.count_if("changed").alias("changes"))
 
 
@@ -257,8 +253,7 @@ SELECT entity, event_id, status, held AS override_status, CASE WHEN human_overri
   WHEN coalesce({SEV.format('held')}, -1) > {SEV.format('status')} THEN held ELSE status END AS effective_status FROM h
 """, "log")
 def screening_history(spark, root):
-    log = scans.balanced_bucket(screening_log(spark, root), ["entity"], "ts", BUCKET_ROWS, "day")
-    out = folds.effective_history(log, ["entity"], "day", ["ts", "event_id"])
+    out = folds.effective_history(screening_log(spark, root), ["entity"], ["ts", "event_id"])
     return out.select("entity", "event_id", "status", "override_status", "effective_status")
 
 
@@ -421,9 +416,8 @@ SELECT entity::VARCHAR AS tenant_id, count(*) AS events, min(seq) FILTER (value
 def audit_chain(spark, root):
     from pyspark.sql import Window
     rows = bound(spark, root, "log")
-    # positions by a two-step count so that no task orders a whole tenant
-    rows = scans.balanced_bucket(rows.withColumn("one", F.lit(1)), ["entity"], "ts", BUCKET_ROWS, "day")
-    rows = scans.running_total(rows, ["entity"], "day", ["ts", "event_id"], "one", "seq")
+    # positions by a prefix scan so that no task orders a whole tenant
+    rows = scans.running_total(rows.withColumn("one", F.lit(1)), ["entity"], ["ts", "event_id"], "one", "seq")
     events = rows.select(
         F.col("seq").cast("bigint").alias("seq"), F.col("entity").cast("string").alias("tenant_id"), F.lit("USER").alias("actor_kind"),
         F.lit(None).cast("string").alias("actor_id"), F.col("type").alias("action"), F.lit("event").alias("entity_type"),
@@ -433,7 +427,7 @@ def audit_chain(spark, root):
     log = chain.build_chain(events, tails)
     edited = log.withColumn("payload_json", F.when(F.col("value") > 100, F.lit("{}")).otherwise(F.col("payload_json")))
     last = log.groupBy("tenant_id").agg(F.max_by("hash", "seq").alias("last_hash"))
-    return chain.verify_chain(edited, 50).join(last, "tenant_id").select("tenant_id", "events", "first_broken_seq", "last_hash")
+    return chain.verify_chain(edited).join(last, "tenant_id").select("tenant_id", "events", "first_broken_seq", "last_hash")
 
 
 @query("E11, S12", """

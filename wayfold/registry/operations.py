@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wayfold import rules
@@ -10,9 +12,10 @@ from wayfold.functions import score as sc
 from wayfold.functions import text as tx
 from wayfold.functions.when import days_until, moment
 from wayfold.operators import graph, latest, upsert
-from wayfold.plans import contacts, entities, outreach, promotion, reporting
+from wayfold.plans import contacts, dossier, entities, outreach, page_facts, promotion, reporting
 from wayfold.registry.base import AS_OF, TRADE_AS_OF, bound, micros, query
-from wayfold.sources import ingest, payloads
+from wayfold.session import shared_folder
+from wayfold.sources import ingest, payloads, tables
 
 
 @query("J20, L2", """
@@ -389,3 +392,82 @@ def approval_queue(spark, root):
     approvals = log.select("target_id", F.when(F.col("flag") == "R", F.col("created_at")).alias("invalidated_at"))
     out = outreach.approval_queue(targets, bound(spark, root, "outlets"), drafts, log.select("target_id", "score", "created_at", "seq"), approvals)
     return out.select("campaign_id", "target_id", "outlet_name", "score", "approvals")
+
+
+@query("L12, J19, J3, W12", f"""
+WITH s AS (SELECT *, row_number() OVER w AS rn FROM score_log WINDOW w AS (PARTITION BY target_id ORDER BY created_at DESC, seq DESC)),
+sub AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY created_at DESC, seq DESC) AS k FROM score_log WHERE flag = 'N'),
+res AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY created_at DESC, seq DESC) AS k FROM score_log WHERE flag = 'R'),
+pla AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY created_at DESC, seq DESC) AS k FROM score_log WHERE flag = 'A'),
+rec AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY created_at DESC, seq DESC) AS k FROM score_log WHERE risk_score > 20),
+dra AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY created_at DESC, seq DESC) AS k FROM score_log WHERE line = 'O'),
+met AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY created_at DESC, seq DESC) AS k FROM score_log WHERE line = 'F')
+SELECT t.target_id, c.name AS campaign_name, c.mode, o.outlet_name, t.status, s.score, s.risk_score, s.decision,
+ 'Draft ' || dra.seq AS draft, sha256(dra.target_id || '|' || dra.seq) AS payload_hash, met.decision AS category, met.score > 50 AS sendable,
+ coalesce(a.n, 0) AS submissions_count, a.shown AS submissions, coalesce(b.n, 0) AS responses_count, b.shown AS responses,
+ coalesce(p.n, 0) AS placements_count, p.shown AS placements, coalesce(r.n, 0) AS receipts_count, r.shown AS receipts
+FROM targets t LEFT JOIN campaigns c ON c.campaign_id = t.campaign_id LEFT JOIN outlets o ON o.outlet_id = t.target_id % 50
+LEFT JOIN s ON s.target_id = t.target_id AND s.rn = 1 LEFT JOIN dra ON dra.target_id = t.target_id AND dra.k = 1 LEFT JOIN met ON met.target_id = t.target_id AND met.k = 1
+LEFT JOIN (SELECT target_id, count(*) AS n, string_agg(decision || ' ' || seq, ',' ORDER BY k) FILTER (k <= 2) AS shown FROM sub GROUP BY 1) a ON a.target_id = t.target_id
+LEFT JOIN (SELECT target_id, count(*) AS n, string_agg(decision || ' ' || seq, ',' ORDER BY k) FILTER (k <= 2) AS shown FROM res GROUP BY 1) b ON b.target_id = t.target_id
+LEFT JOIN (SELECT target_id, count(*) AS n, string_agg(CAST(CAST(floor(amount) AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (k <= 2) AS shown FROM pla GROUP BY 1) p ON p.target_id = t.target_id
+LEFT JOIN (SELECT target_id, count(*) AS n, string_agg(flag || ' ' || decision || ' s' || service_id || CASE WHEN created_at + INTERVAL 900 DAY <= TIMESTAMP '{TRADE_AS_OF}' THEN ' stale' ELSE '' END, ',' ORDER BY k) FILTER (k <= 2) AS shown
+  FROM rec GROUP BY 1) r ON r.target_id = t.target_id
+""", "targets campaigns outlets score_log")
+def target_dossier(spark, root):
+    log = bound(spark, root, "score_log")
+    named = lambda where, **values: log.filter(where).select("target_id", "created_at", "seq", *[v.alias(k) for k, v in values.items()])
+    entry = F.concat_ws(" ", "decision", F.col("seq").cast("string"))
+    none = F.array().cast("array<string>")
+    out = dossier.target_dossiers(
+        bound(spark, root, "targets").withColumn("outlet_id", F.col("target_id") % 50), bound(spark, root, "outlets"), bound(spark, root, "campaigns"),
+        scores=named("true", score=F.col("score"), reasons=none), risks=named("true", risk_score=F.col("risk_score"), signals=none),
+        decisions=named("true", decision=F.col("decision"), reasons=none),
+        drafts=named("line = 'O'", subject=F.concat(F.lit("Draft "), "seq"), payload_hash=F.sha2(F.concat_ws("|", "target_id", "seq"), 256)),
+        submissions=named("flag = 'N'", method=entry), responses=named("flag = 'R'", kind=entry), placements=named("flag = 'A'", value=F.floor("amount").cast("string")),
+        evidence=named("risk_score > 20", supports_field=F.col("flag"), value=F.col("decision"), source_domain=F.concat(F.lit("s"), "service_id"),
+                       confidence=F.col("score") / 100, stale_at=F.col("created_at") + F.expr("INTERVAL 900 DAYS")),
+        methods=named("line = 'F'", category=F.col("decision"), sendable=F.col("score") > 50), as_of=TRADE_AS_OF, shown=2)
+    listed = lambda name, one: F.when(F.col(f"{name}_count") > 0, F.array_join(F.transform(name, one), ",")).alias(name)
+    return out.select(
+        "target_id", "campaign_name", "mode", "outlet_name", "status", F.col("score.score").alias("score"), F.col("risk.risk_score").alias("risk_score"),
+        F.col("decision.decision").alias("decision"), F.col("draft.subject").alias("draft"), F.col("draft.payload_hash").alias("payload_hash"),
+        F.col("method.category").alias("category"), F.col("method.sendable").alias("sendable"), "submissions_count", listed("submissions", lambda x: x["method"]),
+        "responses_count", listed("responses", lambda x: x["kind"]), "placements_count", listed("placements", lambda x: x["value"]), "receipts_count",
+        listed("receipts", lambda x: F.concat(F.concat_ws(" ", x["supports_field"], x["value"], x["source_domain"]), F.when(x["stale"], " stale").otherwise(""))))
+
+
+@query("S13, A14, K12, D1", f"""
+WITH e AS (SELECT target_id, seq, outlet_id, flag AS field, decision AS value, CASE WHEN risk_score >= 10 THEN 's' || service_id % 7 || '.example' END AS source_domain,
+  created_at + INTERVAL 900 DAY <= TIMESTAMP '{TRADE_AS_OF}' AS stale, line = 'O' AS official FROM score_log),
+b AS (SELECT outlet_id, field, count(DISTINCT source_domain) AS corroborating_domains FROM e GROUP BY 1, 2)
+SELECT e.*, b.corroborating_domains FROM e JOIN b ON b.outlet_id = e.outlet_id AND b.field = e.field
+""", "score_log")
+def claim_provenance(spark, root):
+    claims = bound(spark, root, "score_log").select(
+        "target_id", "seq", F.lit("outlet").alias("entity_type"), F.col("outlet_id").alias("entity_id"), F.col("flag").alias("supports_field"),
+        F.col("decision").alias("value"), F.when(F.col("risk_score") >= 10, F.concat(F.lit("s"), F.col("service_id") % 7, F.lit(".example"))).alias("source_domain"),
+        F.when(F.col("line") == "O", "OFFICIAL").otherwise("PRESS").alias("source_type"), (F.col("created_at") + F.expr("INTERVAL 900 DAYS")).alias("stale_at"))
+    return page_facts.provenance(claims, TRADE_AS_OF).select(
+        "target_id", "seq", F.col("entity_id").alias("outlet_id"), F.col("supports_field").alias("field"), "value", "source_domain", "stale", "official", "corroborating_domains")
+
+
+@query("S2, J5", """
+SELECT target_id, status, cost FROM targets WHERE target_id IN (SELECT service_id * 7 FROM services WHERE size <= 3)
+""", "targets services")
+def looked_up_targets(spark, root):
+    path = f"{shared_folder(spark)}/targets-by-id-{uuid.uuid4().hex}"
+    tables.write_keyed(bound(spark, root, "targets").select("target_id", "status", "cost"), path, "target_id")
+    keys = bound(spark, root, "services").filter("size <= 3").select((F.col("service_id") * 7).alias("target_id"))
+    return tables.lookup(spark, path, "target_id", keys).select("target_id", "status", "cost")
+
+
+@query("F1, A1", """
+SELECT entity % 25 AS tenant_id, type, count(*) AS rows FROM log WHERE entity % 25 IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY 1, 2
+""", "log")
+def counts_in_tenant_scope(spark, root):
+    home = f"{shared_folder(spark)}/tenants-{uuid.uuid4().hex}"
+    tables.TenantTables.write(bound(spark, root, "log").withColumn("tenant_id", F.col("entity") % 25), home, "log")
+    tenants = spark.read.parquet(f"{root}/nation.parquet").filter("n_regionkey = 1").select(F.col("n_nationkey").cast("bigint").alias("tenant_id"))
+    scope = tables.TenantTables(spark, home, tenants)
+    return scope.read("log").groupBy(F.col("tenant_id").cast("bigint").alias("tenant_id"), "type").agg(F.count("*").alias("rows"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wayfold import rules
@@ -11,7 +13,7 @@ from wayfold.operators import latest
 from wayfold.plans import discovery, entities, page_facts, planning, promotion
 from wayfold.plans.reporting import stop_reason
 from wayfold.registry.base import AS_OF, bound, query
-from wayfold.session import materialize
+from wayfold.session import materialize, shared_folder
 from wayfold.sources.pages import read_pages
 
 HOST = "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"
@@ -117,6 +119,7 @@ def fetch_list(spark, root):
     return planning.fetch_list(results).select("seq", "reason")
 
 
+SPACES = "[\\s\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 UNESC = "replace(replace(replace(replace({t}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 
 
@@ -164,6 +167,27 @@ def discovery_funnel(spark, root):
     return out.select("campaign_id", "url", "outlet_name", "kind", "status", "score", "risk_score", "risk_band", "decision", "route_method", "members")
 
 
+@query("P7, S13, H2, X2", """
+WITH r AS (SELECT doc_id, 1 AS run, 'OK' AS fetch_status, text, NULL AS block_reason FROM docs WHERE doc_id % 3 <> 0
+ UNION ALL SELECT doc_id, 2, 'OK', text || ' again', NULL FROM docs WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 2, 'BLOCKED', NULL, 'ROBOTS_DISALLOWED' FROM docs WHERE doc_id % 10 = 1),
+n AS (SELECT *, trim(regexp_replace(text, '{SPACES}', ' ', 'g')) AS flat FROM r WHERE run = (SELECT max(run) FROM r q WHERE q.doc_id = r.doc_id))
+SELECT doc_id % 5 AS tenant_id, CASE WHEN doc_id % 4 <> 3 THEN doc_id % 4 END AS campaign_id, 'https://d' || doc_id || '.example/Page' AS url, sha256('https://d' || doc_id || '.example/page') AS url_hash,
+ 'd' || doc_id || '.example' AS domain, fetch_status, CASE WHEN length(text) > 0 THEN sha256(text) END AS content_hash,
+ CASE WHEN length(flat) = 0 THEN NULL WHEN length(flat) <= 2000 THEN flat ELSE rtrim(substr(flat, 1, 2000)) || '…' END AS sanitized_text, block_reason, run FROM n
+""".replace("{SPACES}", SPACES), "docs")
+def source_document_register(spark, root):
+    docs = bound(spark, root, "docs").select(
+        (F.col("doc_id") % 5).alias("tenant_id"), F.when(F.col("doc_id") % 4 != 3, F.col("doc_id") % 4).alias("campaign_id"), "doc_id", "text",
+        F.format_string("https://d%d.example/Page", "doc_id").alias("url"), F.format_string("d%d.example", "doc_id").alias("domain"))
+    path = f"{shared_folder(spark)}/source-documents-{uuid.uuid4().hex}"
+    for run, read, text, refused in ((1, "doc_id % 3 <> 0", F.col("text"), "false"), (2, "doc_id % 2 = 0", F.concat("text", F.lit(" again")), "doc_id % 10 = 1")):
+        records = docs.filter(read).withColumns({"visible_text": text, "title": F.lit("t"), "classification": F.struct(F.lit("UNKNOWN").alias("label")), "attempted_at": F.lit(run)})
+        no = docs.filter(refused).select("tenant_id", "campaign_id", "url", F.lit("ROBOTS_DISALLOWED").alias("block_reason"), F.lit(run).alias("attempted_at"))
+        page_facts.keep_documents(path, page_facts.source_documents(records, no, AS_OF))
+    return spark.read.parquet(path).select("tenant_id", "campaign_id", "url", "url_hash", "domain", "fetch_status", "content_hash", "sanitized_text", "block_reason",
+                                           F.col("attempted_at").alias("run"))
+
+
 # -- paid services: one page per part, phrased by its type -------------------
 
 PHRASES = {
@@ -187,15 +211,59 @@ def service_pages(spark, root):
                         F.col("service_id").alias("seq"))
 
 
-@query("K6, Z3, H15, H18, H23, F12", """
-SELECT service_id, CASE WHEN kind = 'PROMO' THEN 'guaranteed_placement' ELSE '' END AS signals,
- CASE kind WHEN 'LARGE' THEN 'guaranteed_coverage' WHEN 'SMALL' THEN 'placement_discretionary,refund_policy' WHEN 'MEDIUM' THEN 'placement_discretionary' ELSE '' END AS facts,
- coalesce(pricing_min, 10.0) AS price, TRUE AS offer FROM services
+# what a page says, with a gap of growing length: (sentence, signal, its words, facts, words of the first, names an offer)
+SAID = [
+    ("We guarantee playlist placement in a week.", "guaranteed_placement", "guarantee playlist placement", "", "", False),
+    ("We never {gap}guarantee playlist placement.", "guaranteed_placement", "guarantee playlist placement", "", "", False),
+    ("Every sponsored article is written by our team.", "", "", "guaranteed_coverage", "sponsored article", True),
+    ("Beware of sites that sell. They guarantee 5000 streams.", "guaranteed_streams", "guarantee 5000 streams", "", "", False),
+    ("Beware of sites that guarantee 5000 streams.", "", "", "", "", False),
+    ("Curators alone decide. Refund policy: you can be refunded if late.", "", "", "placement_discretionary,refund_policy", "Curators alone decide", False),
+    ("There is no refund policy here.", "", "", "", "", False),
+    ("Curators are never paid for adds.", "", "", "curator_compensation", "Curators are never paid", False),
+    ("Our bots listen all day.", "bot_engagement", "bots", "", "", False),
+    ("Only plain words stand here.", "", "", "", "", False),
+]
+OFFERED = ["Our packages start at ${price} per track.", "Fees apply. {names}${price}", "Write to us."]
+CUT = """CASE WHEN {at} > 91 THEN '…' ELSE '' END || trim(substr({t}, greatest(1, {at} - 90), {n} + 90 + least({at} - 1, 90)))
+   || CASE WHEN {at} - 1 + {n} + 90 < length({t}) THEN '…' ELSE '' END"""
+
+
+def offer_pages(spark, root):
+    """A page per service, its sentences, gaps and prices set by the service's own columns."""
+    key = F.col("service_id")
+    pick = lambda items, by: F.element_at(F.array(*[F.lit(x) for x in items]), (by + 1).cast("int"))
+    names = lambda by: F.repeat(F.concat("name", F.lit(" ")), (key % by).cast("int"))
+    said = F.replace(pick([x[0] for x in SAID], key % 10), F.lit("{gap}"), F.repeat(F.lit("truly "), (key % 23).cast("int")))
+    price = F.format_string("%.2f", F.coalesce("pricing_min", F.lit(10.0)))
+    offered = F.replace(F.replace(pick(OFFERED, F.floor(key / 10) % 3), F.lit("{names}"), names(11)), F.lit("{price}"), price)
+    text = F.concat(names(9), said, F.lit(" "), names(5), offered)
+    html = F.concat(F.lit("<html><head><title>"), "name", F.lit("</title></head><body><p>"), text, F.lit("</p></body></html>"))
+    return bound(spark, root, "services").select("service_id", F.format_string("https://s%d.example/offer", "service_id").alias("url"), html.alias("html"))
+
+
+@query("K6, Z3, H10, H15, H18, F12", f"""
+WITH said(place, sentence, signal, signal_words, facts, fact_words, offers) AS (VALUES {", ".join(f"({i}, '{a}', '{b}', '{c}', '{d}', '{e}', {f})" for i, (a, b, c, d, e, f) in enumerate(SAID))}),
+offered(place, sentence) AS (VALUES {", ".join(f"({i}, '{a}')" for i, a in enumerate(OFFERED))}),
+p AS (SELECT service_id, name, signal, signal_words, facts, fact_words, offers, o.place AS way, printf('%.2f', coalesce(pricing_min, 10.0)) AS price,
+  repeat(name || ' ', CAST(service_id % 9 AS INT)) || replace(s.sentence, '{{gap}}', repeat('truly ', CAST(service_id % 23 AS INT))) || ' '
+  || repeat(name || ' ', CAST(service_id % 5 AS INT))
+  || replace(replace(o.sentence, '{{names}}', repeat(name || ' ', CAST(service_id % 11 AS INT))), '{{price}}', printf('%.2f', coalesce(pricing_min, 10.0))) AS t
+  FROM services JOIN said s ON s.place = service_id % 10 JOIN offered o ON o.place = service_id // 10 % 3),
+q AS (SELECT *, name || ' ' || t AS whole, instr(name || ' ' || t, signal_words) AS sat, instr(t, fact_words) AS fat, instr(t, '$') AS pat, instr(t, 'Fees') AS fees,
+  instr(name || ' ' || t, 'never') AS never, length(price) + 1 AS pn FROM p),
+r AS (SELECT *, way < 2 AND signal <> '' AND NOT (never > 0 AND sat - never <= 90) AS signalled, way = 0 OR (way = 1 AND pat - fees <= 90) AS priced FROM q)
+SELECT service_id, CASE WHEN signalled THEN signal ELSE '' END AS signals, CASE WHEN signalled THEN {CUT.format(at="sat", t="whole", n="length(signal_words)")} END AS signal_excerpt,
+ facts, CASE WHEN facts <> '' THEN {CUT.format(at="fat", t="t", n="length(fact_words)")} END AS fact_excerpt,
+ CASE WHEN priced THEN CAST(price AS DOUBLE) END AS price, CASE WHEN priced THEN 'USD' END AS currency,
+ CASE WHEN priced THEN {CUT.format(at="pat", t="t", n="pn")} END AS price_excerpt, way = 0 OR offers AS offer FROM r
 """, "services")
 def service_page_facts(spark, root):
-    rows = page_facts.page_records(service_pages(spark, root), offers=True)
-    return rows.select("service_id", F.array_join(F.transform("signals", lambda s: s["signal"]), ",").alias("signals"),
-                       F.array_join(F.array_sort(F.transform("facts", lambda f: f["field"])), ",").alias("facts"), F.col("prices.min").alias("price"),
+    rows = page_facts.page_records(offer_pages(spark, root), offers=True)
+    first = lambda c: F.get(F.col(c), F.lit(0))["excerpt"]
+    return rows.select("service_id", F.array_join(F.transform("signals", lambda s: s["signal"]), ",").alias("signals"), first("signals").alias("signal_excerpt"),
+                       F.array_join(F.transform("facts", lambda f: f["field"]), ",").alias("facts"), first("facts").alias("fact_excerpt"),
+                       F.col("prices.min").alias("price"), F.col("prices.currency").alias("currency"), F.col("prices.excerpt").alias("price_excerpt"),
                        page_facts.is_offer_page(F.col("whole_text")).alias("offer"))
 
 
@@ -224,20 +292,29 @@ def service_registry(spark, root):
     return out.select(F.col("service_id").alias("service"), "domain", "is_new")
 
 
-@query("E9, J10, H10, T2", """
-WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part)
-SELECT d.doc_id AS seq, w.name AS subject, CASE WHEN regexp_matches(t, '(?i)\\bpremieres?\\b|\\bpremiering\\b') THEN 'PREMIERE' WHEN regexp_matches(t, '(?i)\\binterviews?\\b') THEN 'INTERVIEW' ELSE 'UNKNOWN' END AS kind
-FROM (SELECT doc_id, text, regexp_replace(text, '[À-ÖØ-öø-ÿĀ-ſ]', '_', 'g') AS t FROM docs) d JOIN w ON contains(lower(d.text), lower(w.name))
+
+
+@query("E9, J10, H10, X5, T2", f"""
+WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS name, FALSE AS lane FROM part UNION ALL SELECT DISTINCT split_part(p_name, ' ', 1), TRUE FROM part),
+d AS (SELECT doc_id, text, lower(text) AS low, CASE WHEN length(lower(text)) = length(text) THEN text ELSE lower(text) END AS base,
+  regexp_replace(text, '[À-ÖØ-öø-ÿĀ-ſ]', '_', 'g') AS t, 'https://d' || doc_id || '.example/' AS url FROM docs),
+m AS (SELECT d.*, w.*, instr(low, lower(name)) AS place FROM d JOIN w ON name <> '' AND contains(low, lower(name)))
+SELECT doc_id AS seq, name AS subject, lane,
+ CASE WHEN lane THEN CASE WHEN regexp_matches(t, '(?i)\\btrends?\\b|\\btrending\\b|\\bviral\\b|\\bstrateg(y|ies)\\b|\\bplaybook\\b|\\bblowing\\s+up\\b|\\bbreaking\\s+on\\b') THEN 'TREND' ELSE 'UNKNOWN' END
+  WHEN regexp_matches(t, '(?i)\\bpremieres?\\b|\\bpremiering\\b') THEN 'PREMIERE' WHEN regexp_matches(t, '(?i)\\binterviews?\\b') THEN 'INTERVIEW' ELSE 'UNKNOWN' END AS kind,
+ CASE WHEN place > 101 THEN '…' ELSE '' END || trim(regexp_replace(substr(base, greatest(1, place - 100), length(name) + 100 + least(place - 1, 100)), '{SPACES}', ' ', 'g'))
+  || CASE WHEN place - 1 + length(name) + 100 < length(base) THEN '…' ELSE '' END AS excerpt,
+ sha256(lower(trim(CASE WHEN lane THEN 'trend|' || name || '|' || url ELSE name || '|' || url END))) AS dedup_key FROM m
 """, "docs")
 def coverage_events(spark, root):
     records = bound(spark, root, "docs").select(
         F.lit(1).alias("tenant_id"), F.format_string("https://d%d.example/", "doc_id").alias("url"), F.format_string("d%d.example", "doc_id").alias("domain"),
         F.lit("").alias("title"), F.col("text").alias("visible_text"), F.lit(AS_OF).cast("timestamp").alias("retrieved_at"), F.col("doc_id").alias("seq"),
         F.lit("OK").alias("page_state"))
-    names = bound(spark, root, "services").select(F.explode(F.split("name", " ")).alias("name")).distinct()
-    watched = names.select(F.lit(1).alias("tenant_id"), F.col("name").alias("artist_id"), "name", F.lit(True).alias("active"))
-    lanes = spark.createDataFrame([], "tenant_id int, genre_tag string")
-    return entities.coverage_events(records, watched, lanes).select("seq", "subject", "kind")
+    word = lambda n: bound(spark, root, "services").select(F.lit(1).alias("tenant_id"), F.split_part("name", F.lit(" "), F.lit(n)).alias("name")).distinct()
+    watched = word(2).withColumns({"artist_id": F.col("name"), "active": F.lit(True)})
+    out = entities.coverage_events(records, watched, word(1).withColumnRenamed("name", "genre_tag"))
+    return out.select("seq", "subject", F.col("artist_id").isNull().alias("lane"), "kind", "excerpt", "dedup_key")
 
 
 @query("E10, J2", f"""

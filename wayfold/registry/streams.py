@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from wayfold.functions import text as tx
 from wayfold.operators import folds
 from wayfold.registry import logs
-from wayfold.registry.base import BINDINGS, REGISTRY, micros, query
+from wayfold.registry.base import AS_OF, BINDINGS, REGISTRY, micros, query
 from wayfold.registry.texts import HMAC_KEY, INNER, OUTER
 from wayfold.session import shared_folder
-from wayfold.streaming import feeds, sinks
+from wayfold.streaming import feeds, follow_ups, sinks
 
 
 def event_stream(spark, root):
@@ -44,9 +44,9 @@ def delivery_event_stream(spark, root):
         F.col("entity").cast("string").alias("target_id"), F.col("ts").alias("event_time"))
     rows = feeds.suppression_rows(feeds.delivery_outcomes(events), HMAC_KEY)
     path = folder(spark)
-    sinks.run_available(rows, f"{path}/checkpoint", sinks.register_once(
-        f"{path}/register", feeds.SUPPRESSION, feeds.SUPPRESSION_KEY, ["reason"]), "append")
-    return spark.read.schema(feeds.SUPPRESSION).parquet(f"{path}/register").select("value_hash", "reason")
+    register = sinks.Register(f"{path}/register", feeds.SUPPRESSION, feeds.SUPPRESSION_KEY, ["reason"])
+    sinks.run_available(rows, f"{path}/checkpoint", register.write, "append")
+    return register.rows(spark).select("value_hash", "reason")
 
 
 @query("T3", """
@@ -54,8 +54,26 @@ SELECT entity, epoch_us(w) AS start_us, count(*) AS sends FROM (SELECT entity, u
 """, "log")
 def send_volume_stream(spark, root):
     sends = event_stream(spark, root).select("entity", F.col("ts").alias("sent_at"))
-    out = feeds.send_volume(sends, ["entity"]).select("entity", F.col("window.start").alias("start"), "sends")
-    return run_to_state(spark, out, ["entity", "start"]).select("entity", micros("start").alias("start_us"), "sends")
+    path = folder(spark)
+    sinks.run_available(sends, f"{path}/checkpoint", sinks.deltas(f"{path}/rows", lambda batch: feeds.send_volume(batch, ["entity"])), "append")
+    return sinks.summed(spark, f"{path}/rows", ["entity", "start"], ["sends"]).select("entity", micros("start").alias("start_us"), "sends")
+
+
+@query("T5", REGISTRY["follow_up_due"].sql)
+def follow_up_stream(spark, root):
+    path = folder(spark)
+    kind = F.when(F.col("type") == "signup", follow_ups.SEND).when(F.col("type") == "purchase", follow_ups.ANSWER)
+    marks = event_stream(spark, root).select(F.col("entity").cast("string").alias("key"), kind.alias("kind"),
+                                             F.col("event_id").alias("send_id"), F.col("ts").alias("at")).filter("kind IS NOT NULL")
+    # a mark of the clock itself brings the stream to the time of the report
+    clock = spark.range(1).select(F.lit(None).cast("string").alias("key"), F.lit("CLOCK").alias("kind"), F.lit(None).cast("long").alias("send_id"),
+                                  F.expr(f"TIMESTAMP '{AS_OF}' + INTERVAL 1 DAY + INTERVAL 1 SECOND").alias("at"))
+    clock.write.parquet(f"{path}/clock")
+    ticks = spark.readStream.schema(clock.schema).parquet(f"{path}/clock")
+    follow_ups.run_follow_ups(marks.unionByName(ticks), path, days=1)
+    due = follow_ups.open_follow_ups(spark, f"{path}/rows")
+    out = due.select(F.col("key").cast("long").alias("entity"), F.col("send_id").alias("event_id"), (F.col("sent_us") + F.lit(86_400_000_000)).alias("due_us"))
+    return out.filter(F.col("due_us") <= F.unix_micros(F.lit(AS_OF).cast("timestamp")))
 
 
 @query("T4", REGISTRY["recontact_dates"].sql)

@@ -532,45 +532,45 @@ ARTICLE_SHAPE = [
     r"\bwe\s+(?:reviewed|compared|tested|ranked)\b",
     r"\b(?:reviewed|compared)\s+\d+\s+(?:services|platforms)\b",
 ]
-# (field, value, label, guarded, pattern); first match per field wins
+# (field, value, label, pattern, guarded); first match per field wins
 FACT_RULES = [
-    ("placement_discretionary", True, "Placement stays with the curator", False,
+    ("placement_discretionary", True, "Placement stays with the curator",
      r"\b(?:curators?|editors?|the\s+station)\s+(?:alone\s+)?decides?\b|"
      r"\bat\s+the\s+curator'?s?\s+discretion\b|"
      r"\b(?:does|do)\s+not\s+(?:buy|guarantee)\s+placement\b|"
      r"\bplacement\s+is\s+(?:never|not)\s+guaranteed\b|"
      r"\bno\s+guarantee\s+of\s+placement\b|"
      r"\bwe\s+(?:can|do)\s?n(?:o|')t\s+guarantee\s+(?:placement|coverage|a\s+feature)\b|"
-     r"\bnot\s+(?:a\s+)?guarantee\w*\s+(?:of\s+)?placement\b"),
-    ("guaranteed_feedback", True, "Guaranteed listen or reply", True,
+     r"\bnot\s+(?:a\s+)?guarantee\w*\s+(?:of\s+)?placement\b", False),
+    ("guaranteed_feedback", True, "Guaranteed listen or reply",
      r"\bguarantee\w*\s+(?:a\s+)?(?:listen|reply|response|feedback|review)\b|"
      r"\b(?:listen|reply|response|feedback)\s+(?:is\s+)?guaranteed\b|"
      r"\bwe\s+(?:reply|respond)\s+to\s+every\s+submission\b|"
-     r"\bwritten\s+feedback\s+(?:on|for)\s+every\b"),
-    ("guaranteed_coverage", True, "Coverage sold as a product", True,
+     r"\bwritten\s+feedback\s+(?:on|for)\s+every\b", True),
+    ("guaranteed_coverage", True, "Coverage sold as a product",
      r"\bguarantee\w*\s+(?:sponsored\s+)?(?:article|coverage|publication|feature|interview|post)\b|"
      r"\bsponsored\s+(?:article|post|content)\b|"
-     r"\byour\s+article\s+will\s+be\s+published\b|\bpaid\s+(?:article|interview)\b"),
-    ("curator_vetting", True, "Curators are vetted", True,
+     r"\byour\s+article\s+will\s+be\s+published\b|\bpaid\s+(?:article|interview)\b", True),
+    ("curator_vetting", True, "Curators are vetted",
      r"\b(?:we\s+)?vet\w*\s+(?:every\s+|each\s+|all\s+)?curators?\b|"
-     r"\bcurators?\s+are\s+(?:vetted|screened|verified)\b|\bcurator\s+vetting\b"),
-    ("playlist_vetting", True, "Playlists are vetted", True,
+     r"\bcurators?\s+are\s+(?:vetted|screened|verified)\b|\bcurator\s+vetting\b", True),
+    ("playlist_vetting", True, "Playlists are vetted",
      r"\bplaylists?\s+are\s+(?:vetted|screened|checked|audited)\b|"
-     r"\bplaylist\s+vetting\b|\bwe\s+(?:check|audit|remove)\s+playlists?\b"),
-    ("anti_bot_policy", True, "States a no-bot policy", False,
+     r"\bplaylist\s+vetting\b|\bwe\s+(?:check|audit|remove)\s+playlists?\b", True),
+    ("anti_bot_policy", True, "States a no-bot policy",
      r"\bno\s+bots?\b|\bnever\s+use\s+bots?\b|\bbot[-\s]free\b|"
      r"\bzero\s+tolerance\s+for\s+(?:artificial|fake|bot)\b|"
-     r"\bwe\s+(?:do\s+not|never)\s+(?:use|sell|buy)\s+(?:bots?|artificial|fake)\b"),
-    ("refund_policy", True, "Refund terms published", True,
+     r"\bwe\s+(?:do\s+not|never)\s+(?:use|sell|buy)\s+(?:bots?|artificial|fake)\b", False),
+    ("refund_policy", True, "Refund terms published",
      r"\brefund\s+(?:policy|terms)\b|\bwe\s+(?:will\s+)?refund\b|"
-     r"\byou\s+(?:will|can)\s+be\s+refunded\b|\bmoney[-\s]back\b|\brefunded\s+(?:if|when)\b"),
-    ("curator_compensation", True, "Curators paid per placement", True,
+     r"\byou\s+(?:will|can)\s+be\s+refunded\b|\bmoney[-\s]back\b|\brefunded\s+(?:if|when)\b", True),
+    ("curator_compensation", True, "Curators paid per placement",
      r"\bcurators?\s+are\s+paid\s+(?:per|for)\s+(?:placement|adds?|playlisting)\b|"
-     r"\bwe\s+pay\s+curators?\s+(?:per|for)\s+(?:placement|adds?)\b|\bpaid\s+per\s+placement\b"),
-    ("curator_compensation", False, "Curators are not paid for placement", False,
-     r"\bcurators?\s+are\s+(?:never|not)\s+paid\b|\bwe\s+(?:do\s+not|never)\s+pay\s+curators?\b"),
-    ("artist_disclosure", True, "Paid coverage is disclosed", True,
-     r"\b(?:always\s+)?(?:labell?ed|marked|disclosed)\s+as\s+sponsored\b|\bclearly\s+disclosed\b"),
+     r"\bwe\s+pay\s+curators?\s+(?:per|for)\s+(?:placement|adds?)\b|\bpaid\s+per\s+placement\b", True),
+    ("curator_compensation", False, "Curators are not paid for placement",
+     r"\bcurators?\s+are\s+(?:never|not)\s+paid\b|\bwe\s+(?:do\s+not|never)\s+pay\s+curators?\b", False),
+    ("artist_disclosure", True, "Paid coverage is disclosed",
+     r"\b(?:always\s+)?(?:labell?ed|marked|disclosed)\s+as\s+sponsored\b|\bclearly\s+disclosed\b", True),
 ]
 FACT_SUPPORTS = {
     "placement_discretionary": "placement_policy", "guaranteed_feedback": "placement_policy",

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -62,13 +63,30 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes up to which ``spread`` deals an input anew.
+SMALL = 1 << 30
+
+_kept: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Keep the rows of ``df`` on the executors' disks once something has computed them."""
+    _kept.append(df.persist(StorageLevel.DISK_ONLY))
+    return _kept[-1]
+
+
+def release_kept() -> None:
+    """Free all kept rows; a result built on them computes them again."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give costly row work all cores when the input came in too few splits.
+    """Give costly row work all cores where the input is too small to come in many splits.
 
-    Looks at the planned splits only, no job runs.  Input with splits for at least
-    a quarter of the cores, as any large table has, is left as it is: no shuffle.
+    Goes by the size the optimizer expects, so nothing runs; anything larger than ``SMALL`` has splits enough and is
+    never moved.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() * 4 > cores:
+    if df.isStreaming or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
         return df
-    return df.repartition(cores)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

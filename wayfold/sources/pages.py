@@ -11,12 +11,10 @@ from pyspark.sql import types as T
 
 from wayfold import rules
 from wayfold.session import spread
-from wayfold.sources import html as reader
 from wayfold.sources import markup
 
 # executors need not have this package installed: the reader travels with the task
 cloudpickle.register_pickle_by_value(rules)
-cloudpickle.register_pickle_by_value(reader)
 cloudpickle.register_pickle_by_value(markup)
 
 LINK = "array<struct<href:string,raw_href:string,text:string>>"
@@ -26,34 +24,22 @@ SANITISED = (
     "emails array<struct<value:string,origin:string,text:string>>, hidden_emails array<string>, "
     "last_modified_hint string"
 )
-OFFER_FACTS = (
-    "signals array<struct<signal:string,label:string,excerpt:string>>, "
-    "facts array<struct<field:string,value:boolean,label:string,excerpt:string,confidence:double>>, "
-    "prices struct<model:string,min:double,max:double,currency:string,excerpt:string>"
-)
 
 
-def read_pages(pages: DataFrame, url: str = "url", html: str = "html",
-               offers: bool = False) -> DataFrame:
-    """Add the sanitised page columns; ``offers`` adds the rules that need to look
-    around each match.  Pages are independent rows, so no shuffle is involved and
+def read_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Add the sanitised page columns.
+
+    Pages are independent rows, so no shuffle is involved and
     a page is never cut: one too large is refused by the admission rule instead.
     """
     kept = [f for f in pages.schema.fields if f.name != html]
-    extra = T._parse_datatype_string(SANITISED + (", " + OFFER_FACTS if offers else ""))
+    extra = T._parse_datatype_string(SANITISED)
     schema = T.StructType([*kept, *extra.fields])
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [markup.read(h, u) for h, u in zip(batch[html], batch[url])]
-            if offers:
-                for row in rows:
-                    body = " ".join(filter(None, (row["meta_description"], row["visible_text"])))
-                    whole = " ".join(filter(None, (row["title"], body)))
-                    row["signals"] = reader.block_signals(whole)
-                    row["facts"] = reader.stated_facts(row["title"] or "", body)
-                    row["prices"] = reader.stated_prices(row["visible_text"])
             out = pd.DataFrame(rows, columns=[f.name for f in extra.fields], dtype=object)
             out.index = batch.index
             yield pd.concat([batch[names], out], axis=1)

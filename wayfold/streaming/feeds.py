@@ -44,23 +44,8 @@ def response_rows(outcomes: DataFrame) -> DataFrame:
         "target_id", F.col("response_kind").alias("kind"), "event_id", "event_time")
 
 
-def send_volume(sends: DataFrame, keys: Sequence[str], at: str = "sent_at", lateness: str = "2 hours",
+def send_volume(sends: DataFrame, keys: Sequence[str], at: str = "sent_at",
                 width: str = "24 hours", slide: str = "1 hour") -> DataFrame:
-    """Trailing sends per key in sliding windows; later rows are dropped."""
-    return (sends.withWatermark(at, lateness).groupBy(F.window(at, width, slide), *keys)
-            .agg(F.count("*").alias("sends")).select("window", *keys, "sends"))
-
-
-def unanswered_sends(sends: DataFrame, responses: DataFrame, key: str, days: int = rules.FOLLOW_UP_DAYS,
-                     lateness: str = "1 day") -> DataFrame:
-    """Sends without a response inside ``days``, emitted when the window has passed.
-
-    A stream-stream outer join: both sides keep state only as long as a match is
-    still possible, and a response cancels the follow-up before it is due.
-    """
-    s = sends.withWatermark("sent_at", lateness)
-    r = responses.select(F.col(key).alias("__key"), F.col("received_at")).withWatermark("received_at", lateness)
-    matched = s.join(r, (s[key] == r["__key"]) & (r["received_at"] >= s["sent_at"])
-                     & (r["received_at"] <= s["sent_at"] + F.expr(f"INTERVAL {days} DAYS")), "leftOuter")
-    return matched.filter(F.col("__key").isNull()).select(
-        *sends.columns, (F.col("sent_at") + F.expr(f"INTERVAL {days} DAYS")).alias("due_at"))
+    """Trailing sends per key in sliding windows (start).  Of one batch it is what the batch adds, however late its rows are."""
+    return (sends.groupBy(F.window(at, width, slide), *keys)
+            .agg(F.count("*").alias("sends")).select(F.col("window.start").alias("start"), *keys, "sends"))
