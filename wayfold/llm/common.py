@@ -23,8 +23,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARACTERS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# the same as a str.translate table, for Python tasks
-TO_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -40,18 +38,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def split_words(text: str | None) -> list[str]:
-    """The same words in Python: str.split with no argument would also cut at other Unicode blanks."""
-    text = text or ""
-    for c in SPACE_CHARACTERS[1:]:
-        if c in text:
-            text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
+#: A-Z lowered and every white space a blank; all other bytes of UTF-8 are parts of words.
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
 
-def hash_of(word: str) -> int:
-    """64-bit hash of a word with A-Z lowered."""
-    return xxhash.xxh64_intdigest(word.translate(TO_LOWER).encode("utf-8", "surrogatepass"))
+def lower_words(text: str | None) -> list[bytes]:
+    """The same words with A-Z lowered, in UTF-8: ``bytes`` split at these blanks alone, ``str`` at other Unicode blanks too."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
+
+
+def hash_of(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word)
 
 
 class WordHashes(dict):
@@ -61,13 +58,14 @@ class WordHashes(dict):
         super().__init__()
         self.most = most
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
         value = self[word] = hash_of(word)
         return value
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, text: str | None) -> np.ndarray:
+        words = lower_words(text)
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

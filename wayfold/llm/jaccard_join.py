@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import WordHashes, map_batches, most_frequent, split_words
+from wayfold.llm.common import WordHashes, map_batches, most_frequent
 from wayfold.llm.components import components
 from wayfold.session import materialize
 
@@ -63,10 +63,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
     """The set of a text as sorted 64-bit hashes."""
-    words = split_words(text)
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    codes = hashes.of(words)
+    codes = hashes.of(text)
+    if not len(codes):
+        return codes
     span = min(width, len(codes))
     value = np.full(len(codes) - span + 1, span, dtype=np.uint64)
     for k in range(span):

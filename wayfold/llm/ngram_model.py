@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import WordHashes, hash_of, map_batches, most_frequent, ship, split_words
+from wayfold.llm.common import WordHashes, hash_of, lower_words, map_batches, most_frequent, ship
 from wayfold.llm.elias_fano import U64, Trie
 from wayfold.llm.jaccard_join import mixed
 from wayfold.session import materialize
@@ -85,7 +85,7 @@ def word_counts(docs: DataFrame, tokens: int = 4 * CHUNK) -> DataFrame:
         hashes, held, size = WordHashes(), [], 0
         for batch in batches:
             for text in batch["text"]:
-                codes = hashes.of(split_words(text))
+                codes = hashes.of(text)
                 held += [codes, np.array([END])]
                 size += len(codes) + 1
                 if size >= tokens:
@@ -109,7 +109,7 @@ class WordIds(dict):
         super().__init__()
         self.vocabulary, self.rare = vocabulary, {}
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
         code = hash_of(word)
@@ -137,7 +137,7 @@ def encoded(docs: DataFrame, vocabulary: np.ndarray, tokens: int = CHUNK) -> Dat
         size = 0
         for batch in batches:
             for name, held, text in zip(batch["id"], batch["held"], batch["text"]):
-                words = split_words(text)
+                words = lower_words(text)
                 codes = np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
                 rows.append((name, held, np.append(codes, ids.end())))
                 size += len(words) + 1
