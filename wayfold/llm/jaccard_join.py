@@ -9,9 +9,10 @@
    them.  The order puts heavy shingles last: those found in many documents by counting
    in every task (at most ``HEAVY`` of them; which ones decides the cost, never the result).
 4. First each class is held against the few pivots it shares most lists with.  Links found
-   join classes to components; a group of near copies is then one component, or few, after a linear
-   number of comparisons.  Second, in lists where different components still meet, every pair across components
-   that shares enough lists is compared.  A link inside a component could not change it.
+   join classes to components.  Where different components still meet in a list, that list gets new pivots, turn by turn
+   until few meetings are left or a turn links nothing; a group of near copies is then one component, or few, after a linear
+   number of comparisons.  Last, every pair across components that meets early enough in both orders is compared.
+   A link inside a component could not change it.
 
 Comparisons are exact on the sets of 64-bit shingle hashes.  Classes are told apart by 64 bits
 of a set's digest.  Lists are streamed in order by key, never collected.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import WordHashes, map_batches, most_frequent
 from wayfold.llm.components import components
-from wayfold.session import materialize
+from wayfold.session import discard, materialize
 
 #: Most heavy shingles; a shingle is reported by a task from LOCAL of its documents on; shingles counted at once.
 HEAVY, LOCAL, COUNTED = 1 << 20, 3, 4_000_000
@@ -50,6 +51,9 @@ SEEN = 500_000
 SHARE = 50
 #: Pivots of a list, and those a class is held against.
 PIVOTS, PARTNERS = 4, 3
+#: Most turns of new pivots for open lists.  A turn that links nothing is the last, and so is one that leaves at most FEW
+#: meetings of different components a row.  Both set the cost of the last step, never the result.
+TURNS, FEW = 5, 4
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -235,19 +239,20 @@ def meeting(n: Column, m: Column, pos: Column, at: Column, percent: int) -> tupl
     return fits(n, m, percent) & (pos < n - need + least) & (at < m - need + least), least
 
 
-def pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each class with up to PARTNERS pivots it shares most lists with, as many as a link needs.
+def pivot_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b): each class with up to PARTNERS pivots of other components that it shares most lists with, as many as a link needs.
 
-    A list has PIVOTS pivots, those of smallest hash under as many hash functions: a class that is a pivot
-    here is likely one in the other lists of its group too.  Which pairs are held against each other
-    here decides the cost of the second step, never the result.
+    A list has PIVOTS pivots: of the classes that meet others in the greatest share of their lists, and so lie in the
+    middle of their group, those of smallest hash under as many hash functions.  A class that is a pivot
+    here is likely one in the other lists of its group too.  Every turn has hash functions of its own.  Which pairs are held
+    against each other here decides the cost of the last step, never the result.
     """
-    pick = [F.min(F.struct(F.xxhash64(F.lit(k), "cls").alias("h"), F.col("cls").alias("b"), F.col("n").alias("m"),
-                           F.col("pos").alias("at"))) for k in range(PIVOTS)]
-    pivots = shared.groupBy("key").agg(F.array_distinct(F.transform(F.array(*pick), lambda x: x.dropFields("h"))).alias("pivots"))
-    met = shared.join(pivots, "key").select(F.col("cls").alias("a"), "n", "pos", F.inline("pivots"))
+    pick = [F.min(F.struct((-F.col("middle")).alias("col1"), F.xxhash64(F.lit(k + turn * PIVOTS), "cls").alias("h"), F.col("cls").alias("b"), F.col("n").alias("m"),
+                           F.col("pos").alias("at"), F.col("root").alias("other"))) for k in range(PIVOTS)]
+    pivots = placed.groupBy("key").agg(F.array_distinct(F.transform(F.array(*pick), lambda x: x.dropFields("col1", "h"))).alias("pivots"))
+    met = placed.join(pivots, "key").select(F.col("cls").alias("a"), "n", "pos", "root", F.inline("pivots"))
     counts, least = meeting(F.col("n"), F.col("m"), F.col("pos"), F.col("at"), percent)
-    counted = (met.where((F.col("a") != F.col("b")) & counts).groupBy("a", "b")
+    counted = (met.where((F.col("root") != F.col("other")) & counts).groupBy("a", "b")
                .agg(F.count(F.lit(1)).alias("lists"), F.min(least).alias("least")).where(F.col("lists") >= F.col("least")))
     best = Window.partitionBy("a").orderBy(F.desc("lists"), "b")
     return counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= PARTNERS).select("a", "b")
@@ -265,14 +270,42 @@ def pivot_components(links: DataFrame) -> DataFrame:
     return (ends.union(folded).union(alone.join(folded, "node", "left_anti")).groupBy("node").agg(F.min("root").alias("root")))
 
 
+def open_lists(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists in which different components meet, each row with its component."""
+    placed = shared.drop("root").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return materialize(placed.join(keys, "key", "left_semi").select("key", "cls", "n", "pos", "middle", "root"), "open-lists")
+
+
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after links (a, b) between classes of different components."""
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    between = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+               .select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).distinct())
+    tops = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return materialize(moved.union(tops.select(F.col("root").alias("node"), F.col("top").alias("root"))).distinct(), "roots")
+
+
+def meetings(placed: DataFrame) -> int:
+    """How often two classes of different components stand in one list."""
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).cast("decimal(19,0)").alias("c"))
+    each = parts.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    return int(each.agg(F.sum(((F.col("all") * F.col("all") - F.col("own")) / 2).cast("decimal(38,0)"))).first()[0] or 0)
+
+
 def cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of classes in different components that share as many lists as a link needs."""
+    """(a, b): the pairs of classes in different components whose first common shingle may stand where a link needs it.
+
+    With an overlap of o it stands before place n - o + 1 on either side.  Texts that share a frequent passage and too
+    little else have it later, so they do not meet here, however many they are.
+    """
     x, y = placed.alias("x"), placed.alias("y")
-    counts, least = meeting(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), percent)
-    return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & counts)
-            .groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-            .agg(F.count(F.lit(1)).alias("lists"), F.min(least).alias("least"))
-            .where(F.col("lists") >= F.col("least")).select("a", "b"))
+    n, m = F.col("x.n"), F.col("y.n")
+    need = F.ceil(F.lit(percent) * (n + m) / (100 + percent))
+    early = fits(n, m, percent) & (F.col("x.pos") < n - need + 1) & (F.col("y.pos") < m - need + 1)
+    return (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & early)
+            .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -297,24 +330,26 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
                       .select("key", "cls", "n", "pos").distinct(), "met-lists")
     # a class that meets others in fewer lists than it must share with its smallest possible partner has no link
     able = (met.groupBy("cls").agg(F.count(F.lit(1)).alias("lists"), F.first("n").alias("n"))
-            .where(F.col("lists") >= 1 + F.floor(F.lit(percent) * F.col("n") / (100 * SHARE))).select("cls"))
-    shared = materialize(met.join(able, "cls", "left_semi"), "shared-lists")
+            .where(F.col("lists") >= 1 + F.floor(F.lit(percent) * F.col("n") / (100 * SHARE)))
+            .select("cls", F.floor(8 * F.col("lists") / F.expr(f"n - ceil({percent} * n / 100) + 1 + floor(n / {SHARE})")).alias("middle")))
+    shared = materialize(met.join(able, "cls").withColumn("root", F.col("cls")), "shared-lists")
+    discard(met)
 
     one = rows.where("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("id"))
-    first = materialize(pivot_pairs(shared, percent), "first-pairs")
-    links = materialize(verified(first, docs, one, width, percent), "first-links")
-    roots = materialize(pivot_components(links), "roots")
-
-    placed = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    second = materialize(cross_pairs(placed.join(open_keys, "key", "left_semi"), percent), "second-pairs")
-    more = verified(second, docs, one, width, percent)
-    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    between = materialize(more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
-        F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).distinct(), "second-links")
-    joined = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    roots = (roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-             .union(joined.select(F.col("root").alias("node"), F.col("top").alias("root"))).distinct())
+    for turn in range(TURNS):
+        pairs = materialize(pivot_pairs(shared, percent, turn), "pivot-pairs")
+        links = materialize(verified(pairs, docs, one, width, percent), "pivot-links")
+        none = links.isEmpty()
+        roots = joined_roots(roots, links) if turn else materialize(pivot_components(links), "roots")
+        discard(pairs, links)
+        left = open_lists(shared, roots)
+        discard(shared)
+        shared = left
+        if none or meetings(shared) <= FEW * shared.count():
+            break
+    pairs = materialize(cross_pairs(shared, percent), "cross-pairs")
+    roots = joined_roots(roots, materialize(verified(pairs, docs, one, width, percent), "cross-links"))
+    discard(shared, pairs)
 
     placed = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
