@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import map_batches
+from wayfold.session import materialize
 
 ROWS = 100_000
-#: Weight of the prior as a share of all counted words; least log-odds, and least standard errors; the model's size.
-PRIOR, ODDS, Z, TERMS = 0.1, 3.2, 4.0, 20_000
+#: Weight of the prior as a share of all counted words; least log-odds, and least standard errors.  These tests alone
+#: decide which words the model has; each needs about Z * Z toxic texts, so ROWS bounds their number.
+PRIOR, ODDS, Z = 0.1, 3.2, 4.0
 #: Lengths of the word beginnings that count as tokens beside the words, so that an ending hides no stem.
 STEMS = (4, 5, 6)
 #: Entries of a task's cache of word scores; a full cache is emptied.
@@ -160,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", te
     # equal texts are copies of one text: they must not count as evidence of their own
     rows = rows.groupBy(F.xxhash64("text").alias("__h"), F.length("text").alias("__n")).agg(
         F.max(F.struct("label", "text")).alias("one")).select("one.text", "one.label")
-    counts = count_words(rows)
+    rows = materialize(rows, "labelled-texts")
+    counts = materialize(count_words(rows), "labelled-words")
     n0, n1 = counts.where(~F.col("word").endswith("*")).agg(F.sum("n0"), F.sum("n1")).first()
     if not n0 or not n1:
         return Model({})
@@ -170,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", te
     scored = counts.select("word", "n0", "n1", (odds(F.col("n1"), n1) - odds(F.col("n0"), n0)).alias("d"),
                            F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior)).alias("e"))
     best = (scored.where((F.col("d") >= ODDS) & (F.col("d") >= Z * F.col("e")))
-            .orderBy(F.desc(F.col("d") / F.col("e")), "word").limit(TERMS).collect())  # at most TERMS
+            .collect())  # bounded by ROWS, as each needs many texts
     scores = {r["word"]: float(r["d"]) for r in best}
     # a word and its beginnings are counted apart, so their sum may pass the share of marked words: hence the bounds
     toxic_share, clean_share = (min(0.5, sum(r[k] for r in best) / n) for k, n in (("n1", n1), ("n0", n0)))
@@ -208,7 +211,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, score, n_passages, and the passages as word places ``first:last`` by place."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see Z
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
