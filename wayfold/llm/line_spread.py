@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import SPACE_CHARACTERS, WORD
+from wayfold.llm.common import SPACE_CHARACTERS, WORD, meet
+from wayfold.session import materialize
 
 #: log2 of the sketch's registers; its relative error is 1.04 / sqrt(2^LG_K), about 3.3 %.
 LG_K = 10
@@ -68,16 +69,18 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, min_words: int = 3,
                        text: str = "text", site: str = "source") -> DataFrame:
     """``docs`` with ``text`` cut, and n_lines and n_removed added."""
     lines = line_rows(docs, id_col, text, site, min_words)
-    found = boilerplate(lines, min_sites)
-    gone = (lines.join(found, ["h1", "h2"])
+    found = materialize(boilerplate(lines, min_sites), "boilerplate")  # few lines are on many sites
+    gone = (meet(lines, found, ["h1", "h2"])  # one of them may be in a third of all documents
             .where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("nameless") == F.col("first.nameless"))
                      & (F.col("place") == F.col("first.place"))))
             .groupBy(F.col("doc").alias("__doc"), F.col("nameless").alias("__nameless")).agg(F.collect_set("place").alias("__gone")))  # at most a text's lines
     joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__doc")) & (_nameless(id_col, text) == F.col("__nameless")), "left")
-    parts = F.split(F.col(text), "\n", -1)
+    joined = joined.withColumn("__parts", F.split(F.col(text), "\n", -1))
     mark = F.coalesce(F.col("__gone"), F.array().cast("array<int>"))
-    cut = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    # places left, by a hash set of those gone: linear in the lines of a text
+    left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))
+    cut = F.array_join(F.transform(left, lambda i: F.get(F.col("__parts"), i)), "\n")
     return joined.withColumns({
-        "n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"),
+        "n_lines": F.coalesce(F.size("__parts"), F.lit(0)).cast("long"),
         "n_removed": F.size(mark).cast("long"),
-        text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(cut)}).drop("__doc", "__nameless", "__gone")
+        text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(cut)}).drop("__doc", "__nameless", "__gone", "__parts")
