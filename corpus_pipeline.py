@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing, token ids.
+"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing, token ids and back.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as
 Parquet and read again as the next stage's documents.  All but the last return the columns
@@ -43,12 +43,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every row of the mix."""
-    return bpe.encode(docs, vocabulary_path())
+    """doc_id, n_tokens, ids and the text they decode to, of every row of the mix."""
+    return bpe.encode(docs, vocabulary_path(), decoded=True)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates),
-          ("mixing to target weights", mixture), ("BPE encoding", tokens)]
+          ("mixing to target weights", mixture), ("BPE encoding and decoding", tokens)]
 #: No SQL: token ids are not expressible; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
