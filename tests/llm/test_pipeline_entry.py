@@ -59,6 +59,7 @@ def test_stages_do_what_they_say(spark, tmp_path):
     assert len(encoded) == len(mixed)
     for r in encoded:
         assert r.ids == library.encode(by_id[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+        assert r.decoded == library.decode(r.ids, skip_special_tokens=False)
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, root).collect()) == sorted(r.doc_id for r in encoded)
 
 

@@ -11,7 +11,7 @@ numbers, the vectors of smallest hash; every vector is filed.  Lists and their q
 into chunks by count, so that no task gets a hot list whole.  Equal vectors answer alike: a
 candidate vector is kept with its k + 1 smallest ids (ranked before the shuffle), an equal
 query is asked once, so copies of one vector cost no pairs of their own.  A query probes the
-nearest lists: as many as the true neighbours inside the sample would have taken (``REACH``), and
+nearest lists: as many as the true neighbours inside the sample would have taken (``SHARE_MET``), and
 more where they do not hold enough vectors for a full answer.
 
 Defined cases: vectors that are null, all zero, or hold a null or non-finite number take no
@@ -35,7 +35,7 @@ from wayfold.llm.common import map_batches, ship
 SAMPLE, SAMPLE_VALUES = 20_000, 4_000_000
 MAX_LISTS = 1024
 #: Share of the sample's true neighbours whose list must be probed, and the sample queries that show how many lists that takes.
-REACH, TRIALS = 0.97, 256
+SHARE_MET, TRIALS = 0.97, 256
 #: Dimensions per column block, and the test's width: 2.1 standard deviations of a partial distance.
 BLOCK, WIDTH = 16, 2.1
 #: Vectors read before the bound is renewed; most vectors and queries in a chunk.
@@ -68,7 +68,7 @@ def rotation(size: int, seed: int = 1) -> np.ndarray:
 
 
 def probes_needed(points: np.ndarray, centers: np.ndarray, k: int) -> int:
-    """Lists to probe so that REACH of the k true neighbours of the trial queries, searched in the sample, are met.
+    """Lists to probe so that SHARE_MET of the k true neighbours of the trial queries, searched in the sample, are met.
 
     In the whole table neighbours are nearer than in a sample of it, so their lists are met sooner.
     """
@@ -78,7 +78,7 @@ def probes_needed(points: np.ndarray, centers: np.ndarray, k: int) -> int:
     place = np.argsort(np.argsort((centers ** 2).sum(1)[None, :] - 2 * trials @ centers.T, axis=1), axis=1)
     owner = nearest(points, centers)
     ranks = np.sort(np.take_along_axis(place, owner[close], axis=1).ravel())
-    return int(ranks[min(len(ranks) - 1, int(REACH * len(ranks)))]) + 1
+    return int(ranks[min(len(ranks) - 1, int(SHARE_MET * len(ranks)))]) + 1
 
 
 def scan(query: np.ndarray, turned: np.ndarray, ids: np.ndarray, vectors: np.ndarray, columns: np.ndarray, k: int, each: int):

@@ -186,8 +186,8 @@ def _shared(docs: DataFrame, vocabulary_path: str):
     return docs.sparkSession.sparkContext.broadcast((hashlib.md5(text.encode()).hexdigest(), text))
 
 
-def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_tokens, ids (array of int) per row."""
+def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """id, n_tokens, ids (array of int) per row, and the text that the ids decode to if ``decoded``."""
     spec = _shared(docs, vocabulary_path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,11 +196,12 @@ def encode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text:
             for start in range(0, len(batch), 1000):  # ids of few rows at a time
                 part = batch.iloc[start:start + 1000]
                 found = [np.frombuffer(codec.encode(t)[0], dtype="<u4").astype("int32") for t in part["text"]]
-                yield pd.DataFrame({"id": part["id"].array, "n_tokens": [len(x) for x in found], "ids": found})
+                out = pd.DataFrame({"id": part["id"].array, "n_tokens": [len(x) for x in found], "ids": found})
+                yield out.assign(decoded=[codec.decode(x.tolist()) for x in found]) if decoded else out
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run,
-                       f"id {kind}, n_tokens long, ids array<int>").withColumnRenamed("id", id_col)
+                       f"id {kind}, n_tokens long, ids array<int>" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
 
 
 def decode(ids: Column, docs: DataFrame, vocabulary_path: str) -> Column:

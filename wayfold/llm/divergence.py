@@ -8,7 +8,7 @@ A term's value depends on its two counts alone.  So terms are first grouped to c
 with the number of terms in each, and f is evaluated once per cell, not once per term:
 
 * ``term``: cells of (group count, language count) with equal values are merged to levels, levels are ranked by
-  the number of terms above them, and only those that reach into the first ``top`` ranks are expanded to their terms,
+  the number of terms above them, and only those that come into the first ``top`` ranks are expanded to their terms,
   in UTF-8 order.
 * ``pair``: a term's share depends on its count in a source alone, so terms of one source are cells of equal count;
   only terms of both sources meet, by one join on the term, and are summed where they meet.  One row per pair

@@ -209,8 +209,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     runs = (met.withColumns({"start": F.col("pos") - before, "end": F.col("pos") + F.col("size") + after})
             .where(F.col("end") - F.col("start") >= F.col("need")).select("row", "start", "end", "group"))
     in_row = Window.partitionBy("row").orderBy("start", "end")
-    reach = F.max("end").over(in_row.rowsBetween(Window.unboundedPreceding, -1))
-    spans = (runs.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1))
+    before_end = F.max("end").over(in_row.rowsBetween(Window.unboundedPreceding, -1))
+    spans = (runs.withColumn("opens", F.when(F.col("start") <= before_end, 0).otherwise(1))
              .withColumn("span", F.sum("opens").over(in_row.rowsBetween(Window.unboundedPreceding, 0)))
              .groupBy("row", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.collect_set("group").alias("groups")))
     hit = materialize(spans.groupBy("row").agg(

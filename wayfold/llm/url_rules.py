@@ -27,7 +27,7 @@ from wayfold.llm.common import ascii_lower
 # Fixed values: (verdict, host, path) of the base rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Least share of the bad pages, least number of them, and least confidence of a mined rule: the lower end of
-#: Wilson's interval (DEVIATES standard deviations) must reach it, so that few pages prove little.
+#: Wilson's interval (DEVIATES standard deviations) must pass it, so that few pages prove little.
 SUPPORT, PAGES, CONFIDENCE, DEVIATES = 0.01, 5, 0.5, 2.0
 
 
