@@ -287,9 +287,10 @@ def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.union(tops.select(F.col("root").alias("node"), F.col("top").alias("root"))).distinct(), "roots")
 
 
-def meetings(placed: DataFrame) -> int:
-    """How often two classes of different components stand in one list."""
-    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).cast("decimal(19,0)").alias("c"))
+def meetings(placed: DataFrame, percent: int) -> int:
+    """How often two classes of different components stand in one list, each as early as a link to its like needs."""
+    early = placed.where(F.col("pos") < F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1)
+    parts = early.groupBy("key", "root").agg(F.count(F.lit(1)).cast("decimal(19,0)").alias("c"))
     each = parts.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
     return int(each.agg(F.sum(((F.col("all") * F.col("all") - F.col("own")) / 2).cast("decimal(38,0)"))).first()[0] or 0)
 
@@ -345,7 +346,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
         left = open_lists(shared, roots)
         discard(shared)
         shared = left
-        if none or meetings(shared) <= FEW * shared.count():
+        if none or meetings(shared, percent) <= FEW * shared.count():
             break
     pairs = materialize(cross_pairs(shared, percent), "cross-pairs")
     roots = joined_roots(roots, materialize(verified(pairs, docs, one, width, percent), "cross-links"))
