@@ -142,10 +142,3 @@ def forget_provider(documents: DataFrame, evidence: DataFrame,
              .withColumn("source_document_id", F.when(F.col("__gone").isNull(), F.col("source_document_id")))
              .select(*evidence.columns))
     return kept_docs, loose
-
-
-def write_snapshot(df: DataFrame, root: str, version: int) -> str:
-    """Write a new version directory next to the old ones; readers switch by version."""
-    path = f"{root}/version={version:09d}"
-    df.write.mode("error").parquet(path)
-    return path

@@ -62,7 +62,9 @@ def discover(records: DataFrame, campaigns: DataFrame, suppressions: DataFrame,
         .withColumn("restricted_only", F.lit(False)), register)
     sendable = every.filter(F.col("category").isin(rules.SENDABLE_CATEGORIES))
     chosen = oldest_per_key(sendable, ["tenant_id", "url"], ["position"], ["method_hash", "value"])
-    evidence = every.groupBy("tenant_id", "method_hash").agg(F.count("*").alias("evidence_count"))
+    # a page that several campaigns hold is one witness
+    evidence = (every.select("tenant_id", "method_hash", "url", "position").distinct()
+                .groupBy("tenant_id", "method_hash").agg(F.count("*").alias("evidence_count")))
     contact = (chosen.withColumnRenamed("method_hash", "value_hash")
                .join(judged.select("tenant_id", "value_hash", "sendable", "blockers", "suppression_reason",
                                    F.col("category").alias("contact_category"), "restricted_only"),

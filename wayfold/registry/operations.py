@@ -471,3 +471,28 @@ def counts_in_tenant_scope(spark, root):
     tenants = spark.read.parquet(f"{root}/nation.parquet").filter("n_regionkey = 1").select(F.col("n_nationkey").cast("bigint").alias("tenant_id"))
     scope = tables.TenantTables(spark, home, tenants)
     return scope.read("log").groupBy(F.col("tenant_id").cast("bigint").alias("tenant_id"), "type").agg(F.count("*").alias("rows"))
+
+
+@query("U5, A19", """
+WITH d AS (SELECT service_id, flag AS signal, seq, 'rules' AS detector FROM score_log WHERE flag <> 'N' UNION ALL SELECT service_id, decision, seq + 1, 'class' FROM score_log WHERE line = 'F'
+ UNION ALL SELECT service_id, flag, seq - 1, 'class' FROM score_log WHERE line = 'O')
+SELECT service_id, signal, label, seq FROM (SELECT service_id, signal, detector || ' ' || signal AS label, seq, row_number() OVER (PARTITION BY service_id, signal ORDER BY seq, detector) AS rn FROM d) WHERE rn = 1
+""", "score_log")
+def signals_of_two_detectors(spark, root):
+    log = bound(spark, root, "score_log")
+    found = lambda where, signal, seq, detector: log.filter(where).select("service_id", F.expr(signal).alias("signal"), F.expr(seq).alias("seq"), F.lit(detector).alias("detector"))
+    both = found("flag <> 'N'", "flag", "seq", "rules").unionByName(found("line = 'F'", "decision", "seq + 1", "class")).unionByName(found("line = 'O'", "flag", "seq - 1", "class"))
+    packets = both.select("service_id", "seq", "detector", F.lit("stream_guarantees").alias("supports_field"), F.lit("x").alias("excerpt"), F.col("seq").cast("string").alias("source_url"),
+                          F.struct("signal", F.concat_ws(" ", "detector", "signal").alias("label")).alias("value"))
+    first = promotion.first_signals(packets, ["service_id"], ["seq", "detector"])
+    return first.select("service_id", "signal", "label", F.col("source_url").cast("bigint").alias("seq"))
+
+
+@query("H30", f"""
+SELECT service_id, CASE WHEN t IN ({", ".join(f"'{x}'" for x in sorted({*rules.SERVICE_TYPE_TO_ALLOCATION.values()}))}) THEN t {" ".join(f"WHEN t = '{a}' THEN '{b}'" for a, b in rules.SERVICE_TYPE_TO_ALLOCATION.items())} ELSE 'OTHER' END AS category
+FROM (SELECT service_id, [{", ".join(f"'{x}'" for x in [*rules.SERVICE_TYPE_TO_ALLOCATION, *sorted({*rules.SERVICE_TYPE_TO_ALLOCATION.values()}), "NOTHING KNOWN"])}][service_id % {len(rules.SERVICE_TYPE_TO_ALLOCATION) + len({*rules.SERVICE_TYPE_TO_ALLOCATION.values()}) + 1} + 1] AS t FROM services)
+""", "services")
+def allocation_of_service_types(spark, root):
+    names = [*rules.SERVICE_TYPE_TO_ALLOCATION, *sorted({*rules.SERVICE_TYPE_TO_ALLOCATION.values()}), "NOTHING KNOWN"]
+    kind = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("service_id") % len(names) + 1).cast("int"))
+    return bound(spark, root, "services").select("service_id", tx.allocation_category(kind).alias("category"))

@@ -139,6 +139,53 @@ def page_records(spark, root):
                        F.col("freshness.date").alias("freshness_date"), F.size("injection_findings").alias("injections"))
 
 
+def built_pages(spark, root):
+    """A page per service whose title, addresses, links and status follow from its own columns."""
+    k = F.col("service_id").cast("string")
+    at = lambda name: F.concat(F.lit(name), k, F.lit("@d"), k, F.lit(".example"))
+    role, person = F.concat(F.lit("info@d"), k, F.lit(".example")), at("zoe")
+    third = F.col("service_id") % 3 == 0
+    title = (F.when(F.col("service_id") % 4 == 0, F.concat("name", F.lit(" — Site "), k)).when(F.col("service_id") % 4 == 1, F.concat(F.lit("Page | "), "name", F.lit(" | Blog "), k))
+             .when(F.col("service_id") % 4 == 2, F.col("name")).otherwise("Just a moment"))
+    body = F.concat(F.lit("<p>Write to "), F.when(third, role).otherwise(person), F.lit(" or <a href='mailto:"), F.when(third, person).otherwise(role), F.lit("'>mail us</a>.</p>"),
+                    F.when(F.col("service_id") % 5 == 0, F.concat(F.lit("<p>Or "), at("anna"), F.lit("</p>"))).otherwise(""),
+                    F.lit("<p><a href='/submit/"), k, F.lit("'>Upload here</a> <a href='/about'>About</a></p>"),
+                    F.when(F.col("service_id") % 2 == 1, F.lit("<p>Submissions are open.</p>")).otherwise(""), F.when(F.col("service_id") % 6 == 0, F.lit("<p>We run a DJ pool.</p>")).otherwise(""))
+    return bound(spark, root, "services").select(
+        "service_id", F.lit(1).alias("tenant_id"), F.concat(F.lit("https://d"), k, F.lit(".example/page")).alias("url"), F.when(F.col("service_id") % 7 == 0, 500).otherwise(200).alias("http_status"),
+        F.concat(F.lit("<html><head><title>"), title, F.lit("</title></head><body>"), body, F.lit("</body></html>")).alias("html"))
+
+
+BUILT_SQL = """b AS (SELECT service_id, name, service_id % 4 AS t, CASE WHEN service_id % 6 = 0 THEN 'DJ_POOL' WHEN service_id % 4 = 1 THEN 'BLOG' ELSE 'UNKNOWN' END AS label, CASE WHEN service_id % 2 = 1 THEN 'OPEN' ELSE 'UNKNOWN' END AS submissions_open,
+ 'd' || service_id || '.example' AS domain, CASE WHEN service_id % 4 = 0 THEN name || ' — Site ' || service_id WHEN service_id % 4 = 1 THEN 'Page | ' || name || ' | Blog ' || service_id WHEN service_id % 4 = 2 THEN name ELSE 'Just a moment' END AS title FROM services)"""
+
+
+@query("P1, P2, F13, H16, H21, H22, O6", f"""
+WITH {BUILT_SQL}, c AS (SELECT service_id, 'info@d' || service_id || '.example' AS value, service_id % 3 <> 0 AS mailed, TRUE AS role FROM b
+ UNION ALL SELECT service_id, 'zoe' || service_id || '@d' || service_id || '.example', service_id % 3 = 0, FALSE FROM b
+ UNION ALL SELECT service_id, 'anna' || service_id || '@d' || service_id || '.example', FALSE, FALSE FROM b WHERE service_id % 5 = 0)
+SELECT b.service_id, domain, title, CASE WHEN service_id % 7 = 0 THEN 'ERROR' WHEN t = 3 THEN 'BOT_CHALLENGE' ELSE 'OK' END AS page_state,
+ CASE t WHEN 0 THEN 'Site ' || service_id WHEN 1 THEN 'Blog ' || service_id WHEN 2 THEN name ELSE 'Just a moment' END AS outlet_name, label, submissions_open,
+ (SELECT string_agg(value || CASE WHEN mailed THEN ' mailto-link' ELSE ' visible-text' END || CASE WHEN role THEN ' role' ELSE '' END, ',' ORDER BY NOT role, NOT mailed, value) FROM c WHERE c.service_id = b.service_id) AS contacts,
+ 'https://' || domain || '/submit/' || service_id AS submission_links FROM b
+""", "services")
+def built_page_records(spark, root):
+    rows = page_facts.page_records(built_pages(spark, root))
+    return rows.select(
+        "service_id", "domain", "title", "page_state", "outlet_name", F.col("classification.label").alias("label"), F.col("submissions.state").alias("submissions_open"),
+        F.array_join(F.transform("contacts", lambda c: F.concat_ws(" ", c["value"], c["origin"], F.when(c["role_based"], "role"))), ",").alias("contacts"),
+        F.array_join(F.transform("submission_links", lambda x: x["href"]), ",").alias("submission_links"))
+
+
+@query("P8, S13, A14", f"""
+WITH {BUILT_SQL} SELECT domain AS entity_id, 'https://' || domain || '/page' AS source_url, 'classification' AS supports_field, label AS value, CAST(CASE WHEN label <> 'UNKNOWN' THEN 0.6 ELSE 0.0 END AS DOUBLE) AS confidence, 1 AS corroborating_domains FROM b
+UNION ALL SELECT domain, 'https://' || domain || '/page', 'submissions_open', 'OPEN', 0.8, 1 FROM b WHERE submissions_open = 'OPEN'
+""", "services")
+def built_page_evidence(spark, root):
+    packets = page_facts.evidence_packets(page_facts.page_records(built_pages(spark, root)), "domain", "outlet", AS_OF)
+    return page_facts.provenance(packets, AS_OF).select("entity_id", "source_url", "supports_field", "value", F.col("confidence").cast("double").alias("confidence"), "corroborating_domains")
+
+
 @query("P7, P8, S13", None)
 def page_evidence(spark, root):
     pages = bound(spark, root, "crawl").withColumn("tenant_id", F.lit(1))

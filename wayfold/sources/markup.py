@@ -18,7 +18,7 @@ from wayfold import rules
 
 OPEN, CLOSE, TEXT, NOTE = range(4)
 DROPPED = frozenset(rules.DROP_TREE_TAGS)
-BREAKING = frozenset(rules.BLOCK_TAGS) - {"a", "meta", "time", "title"}
+BREAKING = frozenset(rules.BLOCK_TAGS)
 EMAIL = re.compile(rules.EMAIL)
 HIDDEN_STYLE = re.compile(rules.HIDDEN_STYLE, re.I)
 
