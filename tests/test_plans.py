@@ -6,7 +6,7 @@ from wayfold.registry import load
 from wayfold.registry.base import bound
 
 ROOT = "/root/testdata/sf0.001"
-PYTHON_STEPS = {"page_titles", "page_records", "page_evidence", "service_page_facts", "service_registry", "audit_chain"}
+PYTHON_STEPS = {"page_titles", "built_page_records", "built_page_evidence", "page_records", "page_evidence", "service_page_facts", "service_registry", "audit_chain"}
 RUNS_JOBS = {"merge_roots", "evidence_reparented", "discovery_funnel", "screened_services", "appended_log_by_status", "audit_chain",
              "delivery_event_stream", "send_volume_stream", "recontact_stream", "target_status_stream",
              "follow_up_stream", "source_document_register", "looked_up_targets", "counts_in_tenant_scope"}

@@ -160,21 +160,22 @@ BUILT_SQL = """b AS (SELECT service_id, name, service_id % 4 AS t, CASE WHEN ser
  'd' || service_id || '.example' AS domain, CASE WHEN service_id % 4 = 0 THEN name || ' — Site ' || service_id WHEN service_id % 4 = 1 THEN 'Page | ' || name || ' | Blog ' || service_id WHEN service_id % 4 = 2 THEN name ELSE 'Just a moment' END AS title FROM services)"""
 
 
-@query("P1, P2, F13, H16, H21, H22, O6", f"""
+@query("P1, P2, F13, H16, H21, H22, H23, O6", f"""
 WITH {BUILT_SQL}, c AS (SELECT service_id, 'info@d' || service_id || '.example' AS value, service_id % 3 <> 0 AS mailed, TRUE AS role FROM b
  UNION ALL SELECT service_id, 'zoe' || service_id || '@d' || service_id || '.example', service_id % 3 = 0, FALSE FROM b
  UNION ALL SELECT service_id, 'anna' || service_id || '@d' || service_id || '.example', FALSE, FALSE FROM b WHERE service_id % 5 = 0)
 SELECT b.service_id, domain, title, CASE WHEN service_id % 7 = 0 THEN 'ERROR' WHEN t = 3 THEN 'BOT_CHALLENGE' ELSE 'OK' END AS page_state,
  CASE t WHEN 0 THEN 'Site ' || service_id WHEN 1 THEN 'Blog ' || service_id WHEN 2 THEN name ELSE 'Just a moment' END AS outlet_name, label, submissions_open,
  (SELECT string_agg(value || CASE WHEN mailed THEN ' mailto-link' ELSE ' visible-text' END || CASE WHEN role THEN ' role' ELSE '' END, ',' ORDER BY NOT role, NOT mailed, value) FROM c WHERE c.service_id = b.service_id) AS contacts,
- 'https://' || domain || '/submit/' || service_id AS submission_links FROM b
+ 'https://' || domain || '/submit/' || service_id AS submission_links, 'https://' || domain || '/submit/' || service_id AS submission_url,
+ 'https://' || domain || '/about' AS contact_url, NULL AS terms_url FROM b
 """, "services")
 def built_page_records(spark, root):
-    rows = page_facts.page_records(built_pages(spark, root))
+    rows = page_facts.page_records(built_pages(spark, root)).withColumn("declared", page_facts.declared_links(F.col("links"), F.col("domain")))
     return rows.select(
         "service_id", "domain", "title", "page_state", "outlet_name", F.col("classification.label").alias("label"), F.col("submissions.state").alias("submissions_open"),
         F.array_join(F.transform("contacts", lambda c: F.concat_ws(" ", c["value"], c["origin"], F.when(c["role_based"], "role"))), ",").alias("contacts"),
-        F.array_join(F.transform("submission_links", lambda x: x["href"]), ",").alias("submission_links"))
+        F.array_join(F.transform("submission_links", lambda x: x["href"]), ",").alias("submission_links"), "declared.submission_url", "declared.contact_url", "declared.terms_url")
 
 
 @query("P8, S13, A14", f"""
