@@ -40,7 +40,7 @@ from wayfold.llm.components import components
 from wayfold.session import discard, materialize
 
 #: Most heavy shingles; a shingle is reported by a task from LOCAL of its documents on; shingles counted at once.
-HEAVY, LOCAL, COUNTED = 1 << 20, 3, 4_000_000
+HEAVY, LOCAL, COUNTED = 1 << 20, 3, 2_000_000
 #: Largest set whose subsets may be enumerated.
 SMALL = 19
 #: Buckets of the filter that keeps texts out of the comparison which no pair needs.
