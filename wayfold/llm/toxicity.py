@@ -15,7 +15,7 @@ every whole text, each row in the task that read it: no shuffle.
 
 Defined cases: null labels are no labels, of several for one id the largest counts; equal
 labelled texts teach once; a null or blank text has no words and gets the score of a text
-without any segment; without labels of both classes every score is 0.
+without any segment; without labels of both classes every score is 0; a null id is kept, and has no label.
 """
 
 from __future__ import annotations
