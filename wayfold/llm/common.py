@@ -111,7 +111,8 @@ def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in run(map(as_frame, batches)):
-            yield pa.RecordBatch.from_pandas(out, schema=kind, preserve_index=False)
+            # by way of a table: a text column may come in chunks, or in none
+            yield from pa.Table.from_pandas(out, schema=kind, preserve_index=False).combine_chunks().to_batches()
             pa.default_memory_pool().release_unused()  # workers live on: what one task took is not kept for the next
 
     return map_arrow(df, frames, schema)
