@@ -136,3 +136,29 @@ def test_scan_of_very_long_texts_and_clashing_columns(spark):
     df = docs(spark, [text, "A" * 300_000, None]).withColumns({"spans": F.lit(1), "id": F.lit("x"), "kind": F.lit(2)})
     out = {r.doc_id: r for r in secret_formats.find_secrets(df).collect()}
     assert out[1].n_assign == 1 and out[1].spans == f"assign:1000000:{len(text)}" and out[3].spans == ""
+
+
+def test_every_credential_and_ordinary_run_counts(spark):
+    """Counts, prefix trees and thresholds equal those of all rows, far beyond 2,000 a kind."""
+    rng = random.Random(9)
+    values = ["".join(rng.choices("0123456789abcdef", k=rng.choice([24, 32, 40]))) for _ in range(5000)]
+    texts = [" ".join(["hash", *values[i:i + 50], *["ordinary"] * 50, "2024-01-31"]) for i in range(0, 5000, 50)] + ["token=abc123XYZ", None, "unusualword"]
+    forms = secret_formats.labelled(docs(spark, texts * 2))
+    counted = {(r["kind"], r["half"], r["form"]): r["n"] for r in forms.collect()}
+    assert sum(n for (kind, _, _), n in counted.items() if kind == "hex") == len(set(values))
+    assert counted["plain", 0, secret_formats.form_of("ordinary")] == 2 * 50 * 100 and counted["plain", 0, secret_formats.form_of("unusualword")] == 2
+    learn = {f: n for (kind, half, f), n in counted.items() if kind == "hex" and half == 0}
+    held = {f: n for (kind, half, f), n in counted.items() if kind == "hex" and half == 1}
+    root = secret_formats.prefix_trees(forms.where("kind = 'hex' and half = 0"), {"hex": 20})["hex"]
+    nodes = [("", root)]
+    while nodes:
+        prefix, node = nodes.pop()
+        assert node.visits == sum(n for f, n in learn.items() if f.startswith(prefix)) and node.stops == learn.get(prefix, 0)
+        assert sorted(node.next) == [s for s in "dh" if node.count.get(s, 0) >= 20]
+        nodes += [(prefix + s, n) for s, n in node.next.items()]
+    model = secret_formats.fit(forms)
+    automaton, least = model["hex"]
+    score = lambda f: secret_formats.form_likelihood(automaton, f) - model["plain"][0].likelihood(f)
+    scores = sorted(score(f) for f, n in held.items() for _ in range(n))
+    low = scores[int(secret_formats.MISSED * len(scores))]
+    assert low * 0.999 <= least <= low

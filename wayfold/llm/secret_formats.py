@@ -8,10 +8,12 @@ credential characters outside the base spans is scored, whatever it is made of,
 format's automaton over that under the ordinary one.  It becomes a span of its own where it is as much more likely
 as labelled credentials left out of the fit are, and by ``ODDS`` at least.
 
-``labelled`` finds the credentials and ordinary runs of all texts, ``fit`` learns from at most ``SAMPLE``
-distinct ones per kind and as many occurrences of ordinary runs (the documented bound of the classifier: those of
-smallest hash, so the choice does not depend on the input's order), ``scan`` reads every text once more.  No
-shuffle but the one that makes them distinct; a task hands on no more than ``SAMPLE`` ordinary runs.
+Everything is learned from all texts.  ``labelled`` counts the formats (class sequences) of all distinct credentials and
+of all ordinary runs.  ``fit`` reads that table: prefixes of formats are counted by grouped aggregations, depth by depth,
+and a state of the prefix tree stands where at least ``EVIDENCE`` credentials pass and one in ``ODDS / 5`` of its kind, so
+the driver holds at most that many states a depth; a step that rarer ones take leads back to the first state.  Once states
+are merged, all formats walk the automaton in tasks and every step is counted; then all are scored in tasks for the
+thresholds, of which the driver gets counts of scores at four digits.  ``scan`` reads every text once more.
 
 Defined cases: a null or blank text holds no span; without a labelled credential of a kind
 there is no automaton for it and only base spans are found; repeated rows are scanned each; a null id is kept;
@@ -21,7 +23,6 @@ other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 import re
 from collections import Counter
@@ -30,10 +31,11 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import map_batches
+from wayfold.session import discard, materialize
 
 # The base patterns in the order of their kinds.
 KINDS = ("assign", "access", "hex")
@@ -52,10 +54,12 @@ PLAIN = "plain"
 ODDS = 1000
 #: Runs whose verdict a task keeps, none longer than LONG; a full cache is emptied.
 CACHE, LONG = 400_000, 64
-#: Distinct labelled credentials per kind that an automaton is fitted on.
-SAMPLE = 2000
-#: Significance of the merge test, and the least visits at which a state's frequencies count as evidence.
-ALPHA, EVIDENCE = 0.05, 10
+#: Formats that a task counts before it hands them on, and their characters.
+FORMATS, CHARACTERS = 200_000, 1 << 25
+#: Significance of the merge test; the least visits at which a state's frequencies count as evidence, and the least share of its kind's.
+ALPHA, EVIDENCE, SHARE = 0.05, 10, 5 / ODDS
+#: Depths of the prefix trees that are counted at once.
+DEPTHS = 8
 #: Share of labelled credentials, left out of the fit, that may score below the threshold.
 MISSED = 0.02
 
@@ -94,6 +98,12 @@ def _classes() -> dict[str, str]:
 
 
 CLASS = _classes()
+CLASSES = str.maketrans(CLASS)
+
+
+def form_of(word: str) -> str:
+    """The format of a run: the class of each character."""
+    return word.translate(CLASSES)
 
 
 @dataclass
@@ -109,8 +119,7 @@ def prefix_tree(words: list[str]) -> Node:
     for word in words:
         node = root
         node.visits += 1
-        for c in word:
-            symbol = CLASS[c]
+        for symbol in form_of(word):
             node.count[symbol] = node.count.get(symbol, 0) + 1
             node = node.next.setdefault(symbol, Node())
             node.visits += 1
@@ -148,21 +157,22 @@ def fold(red: Node, blue: Node) -> None:
         x.stops += y.stops
         for symbol, n in y.count.items():
             x.count[symbol] = x.count.get(symbol, 0) + n
+            if symbol not in y.next:
+                continue  # too rare for a state
             if symbol in x.next:
                 pairs.append((x.next[symbol], y.next[symbol]))
             else:
                 x.next[symbol] = y.next[symbol]
 
 
-def infer(words: list[str]) -> list[dict]:
-    """The states of the merged automaton: stop and transition log probabilities and targets."""
-    root = prefix_tree(words)
+def merge(root: Node) -> list[Node]:
+    """The states that remain of a prefix tree when those that behave alike are one."""
     red = [root]
     while True:
         known = {id(r) for r in red}
         blue = [(r, s, n) for r in red for s, n in r.next.items() if id(n) not in known]
         if not blue:
-            break
+            return red
         owner, symbol, node = max(blue, key=lambda x: (x[2].visits, x[1]))
         into = next((r for r in red if compatible(r, node)), None)
         if into is None:
@@ -170,46 +180,74 @@ def infer(words: list[str]) -> list[dict]:
         else:
             owner.next[symbol] = into
             fold(into, node)
+
+
+def targets(red: list[Node]) -> list[dict[str, int]]:
+    """Per state: where its steps lead."""
     place = {id(r): k for k, r in enumerate(red)}
+    return [{s: place[id(n)] for s, n in r.next.items()} for r in red]
+
+
+def automaton_of(steps: list[dict[str, int]], counts: list[dict[str, int]]) -> list[dict]:
+    """Stop and transition log probabilities and targets; ``counts`` has a state's steps by symbol and its stops under ''."""
     width = len(set(CLASS.values())) + 1
-    return [{"stop": math.log((r.stops + 1) / (r.visits + width)), "other": math.log(1 / (r.visits + width)),
-             "go": {s: (math.log((r.count[s] + 1) / (r.visits + width)), place[id(n)]) for s, n in r.next.items()}}
-            for r in red]
+    out = []
+    for go, n in zip(steps, counts):
+        visits = sum(n.values()) + width
+        out.append({"stop": math.log((n.get("", 0) + 1) / visits), "other": math.log(1 / visits),
+                    "go": {s: (math.log((k + 1) / visits), go.get(s, 0)) for s, k in n.items() if s}})
+    return out
 
 
-def likelihood(automaton: list[dict], word: str) -> float:
+def infer(words: list[str]) -> list[dict]:
+    """The automaton of a few words."""
+    red = merge(prefix_tree(words))
+    return automaton_of(targets(red), [{**r.count, "": r.stops} for r in red])
+
+
+def form_likelihood(automaton: list[dict], form: str) -> float:
     """Log probability; an unknown step costs the smoothed rest and stays in its state."""
     total, state = 0.0, 0
-    for c in word:
-        cost, state = automaton[state]["go"].get(CLASS[c], (automaton[state]["other"], state))
+    for symbol in form:
+        cost, state = automaton[state]["go"].get(symbol, (automaton[state]["other"], state))
         total += cost
     return total + automaton[state]["stop"]
 
 
-def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, value, place) of every base match in all texts, distinct, and of the ordinary runs first in place among a task's.
+def likelihood(automaton: list[dict], word: str) -> float:
+    return form_likelihood(automaton, form_of(word))
 
-    A credential's place is its hash.  An ordinary run has a place per occurrence, so that frequent ones are sampled as often as they stand.
-    """
+
+def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, form, half, n): formats of all distinct credentials, by the half their hash puts them in, and of all ordinary runs."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: set[tuple[int, str]] = set()
+        columns = ["kind", "form", "place", "n"]
+        plain: Counter[str] = Counter()
+        size = 0
         for batch in batches:
-            found, last = set(), max(kept)[0] if len(kept) >= SAMPLE else 1 << 63
+            found = set()
             for t in batch["text"]:
                 t = t or ""
                 base = base_spans(t)
                 for start, kind, end in base:
                     value = _value(kind, t[start:end])
-                    found.add((KINDS[kind], value, _place(value)))
-                kept.update((place, t[s:e]) for s, e in runs(t, base) if (place := _place(f"{s}:{len(t)}:{t[s:e]}")) <= last)
-                if len(kept) > 20 * SAMPLE:
-                    kept = set(heapq.nsmallest(SAMPLE, kept))
-                    last = max(kept)[0]
-            kept = set(heapq.nsmallest(SAMPLE, kept))
-            yield pd.DataFrame(sorted(found), columns=["kind", "value", "place"])
-        yield pd.DataFrame([(PLAIN, value, place) for place, value in sorted(kept)], columns=["kind", "value", "place"])
-
-    return map_batches(docs.select(F.col(text).alias("text")), run, "kind string, value string, place long").distinct()
+                    found.add((KINDS[kind], form_of(value), _place(value), 1))
+                for s, e in runs(t, base):
+                    form = form_of(t[s:e])
+                    if form not in plain:
+                        size += len(form)
+                    plain[form] += 1
+                if len(plain) > FORMATS or size > CHARACTERS:
+                    yield pd.DataFrame([(PLAIN, form, 0, n) for form, n in plain.items()], columns=columns)
+                    plain.clear()
+                    size = 0
+            yield pd.DataFrame(sorted(found), columns=columns)
+        yield pd.DataFrame([(PLAIN, form, 0, n) for form, n in plain.items()], columns=columns)
+
+    rows = map_batches(docs.select(F.col(text).alias("text")), run, "kind string, form string, place long, n long")
+    values = rows.groupBy("kind", "form", "place").agg(F.sum("n").alias("n"))
+    return values.groupBy("kind", "form", (F.col("place") % 2).cast("int").alias("half")).agg(
+        F.sum(F.when(F.col("kind") == PLAIN, F.col("n")).otherwise(1)).alias("n"))
 
 
 def _place(value: str) -> int:
@@ -221,38 +259,132 @@ def _value(kind: int, span: str) -> str:
 
 
 class Ordinary:
-    """Ordinary runs: half their automaton, half the formats as they stand that the sample has more than once (dates, for one),
+    """Ordinary runs: half their automaton, half the formats as they stand that one in ODDS of them has (dates, for one),
     of which a merged automaton keeps little."""
 
-    def __init__(self, automaton: list[dict], words: list[str]):
+    def __init__(self, automaton: list[dict], shares: dict[str, float]):
         self.automaton = automaton
-        times = Counter("".join(map(CLASS.__getitem__, w)) for w in words)
-        self.formats = {f: math.log(0.5 * n / len(words)) for f, n in times.items() if n > 1}
+        self.formats = {form: math.log(0.5 * share) for form, share in shares.items()}
 
-    def likelihood(self, word: str) -> float:
-        merged = math.log(0.5) + likelihood(self.automaton, word)
-        known = self.formats.get("".join(map(CLASS.__getitem__, word)), -math.inf)
+    def likelihood(self, form: str) -> float:
+        merged = math.log(0.5) + form_likelihood(self.automaton, form)
+        known = self.formats.get(form, -math.inf)
         return max(merged, known) + math.log1p(math.exp(-abs(merged - known)))
 
 
+def prefix_trees(forms: DataFrame, least: dict[str, float]) -> dict[str, Node]:
+    """Per kind the prefix tree of its formats down to where fewer than ``least`` pass; its counts are of all formats.
+
+    ``DEPTHS`` depths are counted by one aggregation, of the formats whose beginning is in the tree so far.
+    """
+    if not least:
+        return {}
+    bar = F.create_map(*[F.lit(x) for kind, n in least.items() for x in (kind, float(n))])[F.col("kind")]
+    trees, depth, rows = {kind: Node() for kind in least}, 0, forms
+    while True:
+        at = F.explode(F.sequence(F.lit(depth), F.least(F.length("form"), F.lit(depth + DEPTHS - 1)))).alias("at")
+        steps = (rows.select("kind", "form", "n", at)
+                 .groupBy("kind", F.substring("form", F.lit(1), F.col("at")).alias("prefix"), F.substring("form", F.col("at") + 1, F.lit(1)).alias("symbol"))
+                 .agg(F.sum("n").alias("n")).groupBy("kind", "prefix")
+                 .agg(F.sum("n").alias("visits"), F.collect_list(F.struct("symbol", "n")).alias("steps")).where(F.col("visits") >= bar))
+        further = []
+        for r in sorted(steps.collect(), key=lambda r: len(r["prefix"])):  # at most 1 / SHARE a depth and kind
+            node = trees[r["kind"]]
+            for symbol in r["prefix"]:
+                node = node.next.setdefault(symbol, Node())
+            count = {s["symbol"]: s["n"] for s in r["steps"]}
+            node.visits, node.stops = r["visits"], count.pop("", 0)
+            node.count = dict(sorted(count.items()))
+            if len(r["prefix"]) == depth + DEPTHS - 1:
+                further += [(r["kind"], r["prefix"] + s) for s, n in count.items() if n >= least[r["kind"]]]
+        if not further:
+            return trees
+        depth += DEPTHS
+        kept = forms.sparkSession.createDataFrame(further, "kind string, start string")
+        rows = (forms.where(F.length("form") >= depth).withColumn("start", F.substring("form", 1, depth))
+                .join(F.broadcast(kept), ["kind", "start"], "left_semi"))
+
+
+def walked(forms: DataFrame, steps: dict[str, list[dict[str, int]]]) -> dict[str, list[dict]]:
+    """Per kind the automaton whose probabilities come from all formats' walks; a step that leads nowhere leads to the first state."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter[tuple[str, int, str]] = Counter()
+        for batch in batches:
+            for kind, form, n in zip(batch["kind"], batch["form"], batch["n"]):
+                go, state = steps[kind], 0
+                for symbol in form:
+                    counts[kind, state, symbol] += n
+                    state = go[state].get(symbol, 0)
+                counts[kind, state, ""] += n
+        yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["kind", "state", "symbol", "n"])
+
+    counts = {kind: [{} for _ in go] for kind, go in steps.items()}
+    rows = map_batches(forms.select("kind", "form", "n"), run, "kind string, state int, symbol string, n long")
+    for r in rows.groupBy("kind", "state", "symbol").agg(F.sum("n").alias("n")).collect():  # a row a state and symbol
+        counts[r["kind"]][r["state"]][r["symbol"]] = r["n"]
+    return {kind: automaton_of(go, counts[kind]) for kind, go in steps.items()}
+
+
+def digits(score: float, up: bool) -> float:
+    """Four digits of a score above the least that counts, rounded up or down."""
+    if score <= math.log(ODDS):
+        return math.log(ODDS)
+    unit = 10.0 ** (math.floor(math.log10(score)) - 3)
+    return (math.ceil(score / unit) if up else math.floor(score / unit)) * unit
+
+
+def quantile(counts: dict[float, int], place: int) -> float:
+    """The value at a place of the sorted values."""
+    for value, n in sorted(counts.items()):
+        place -= n
+        if place < 0:
+            return value
+    raise ValueError("fewer values")
+
+
+def scores_of(forms: DataFrame, plain: Ordinary, automata: dict[str, list[dict]]) -> dict[tuple[str, bool], dict[float, int]]:
+    """Per kind, how many formats of its own (held) and of the ordinary ones have each score, at four digits."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter[tuple[str, bool, float]] = Counter()
+        for batch in batches:
+            for kind, form, n in zip(batch["kind"], batch["form"], batch["n"]):
+                ordinary = plain.likelihood(form)
+                for k in automata if kind == PLAIN else [kind]:
+                    counts[k, kind == PLAIN, digits(form_likelihood(automata[k], form) - ordinary, kind == PLAIN)] += n
+        yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["kind", "ordinary", "score", "n"])
+
+    out = {(kind, ordinary): {} for kind in automata for ordinary in (False, True)}
+    rows = map_batches(forms.select("kind", "form", "n"), run, "kind string, ordinary boolean, score double, n long")
+    for r in rows.groupBy("kind", "ordinary", "score").agg(F.sum("n").alias("n")).collect():  # at most 9,000 a power of ten
+        out[r["kind"], r["ordinary"]][r["score"]] = r["n"]
+    return out
+
+
 def fit(found: DataFrame) -> dict[str, tuple[list[dict], float]]:
     """Per kind: the automaton and the least score; and the ordinary automaton.
 
     A score must be one that all but MISSED of the credentials left out of the fit have, that is ODDS to one, and that
-    at most one in ODDS of the ordinary runs has.
+    at most one in ODDS of the ordinary runs has.  A kind whose credentials all fall in one half has none left out.
     """
-    order = Window.partitionBy("kind").orderBy("place", "value")
-    rows = found.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= SAMPLE).collect()
-    words = {kind: [r["value"] for r in sorted(rows, key=lambda r: r["turn"]) if r["kind"] == kind] for kind in (*KINDS, PLAIN)}
-    plain = Ordinary(infer(words[PLAIN]), words[PLAIN])
+    forms = materialize(found, "formats")
+    totals = {(r["kind"], r["half"]): r["n"] for r in forms.groupBy("kind", "half").agg(F.sum("n").alias("n")).collect()}
+    halves = {kind: [h for h in (0, 1) if (kind, h) in totals] for kind in (*KINDS, PLAIN)}
+    whole = F.col("kind").isin([kind for kind, h in halves.items() if len(h) < 2])
+    learn = forms.where(whole | (F.col("half") == 0))
+    least = {kind: max(EVIDENCE, SHARE * totals[kind, h[0]]) for kind, h in halves.items() if h}
+    trees = prefix_trees(learn, least)
+    automata = walked(learn, {kind: targets(merge(root)) for kind, root in trees.items()})
+    runs_in_all = totals.get((PLAIN, 0), 0)
+    usual = forms.where((F.col("kind") == PLAIN) & (F.col("n") * ODDS >= runs_in_all) & (F.col("n") > 1)).collect()  # at most ODDS
+    plain = Ordinary(automata.pop(PLAIN, None) or infer([]), {r["form"]: r["n"] / runs_in_all for r in usual})
     model = {PLAIN: (plain, 0.0)}
-    for kind in KINDS:
-        learn, held = words[kind][0::2], words[kind][1::2] or words[kind]
-        if learn:
-            automaton = infer(learn)
-            scores, ordinary = (sorted(likelihood(automaton, w) - plain.likelihood(w) for w in ws) for ws in (held, words[PLAIN]))
-            usual = ordinary[len(ordinary) - 1 - len(ordinary) // ODDS] if len(ordinary) >= ODDS else -math.inf
-            model[kind] = (automaton, max(scores[int(MISSED * len(scores))], math.log(ODDS), usual + 1e-9))
+    scores = scores_of(forms.where(whole | (F.col("half") == 1)), plain, automata) if automata else {}
+    for kind, automaton in automata.items():
+        held, ordinary = scores[kind, False], scores[kind, True]
+        low = quantile(held, int(MISSED * sum(held.values())))
+        high = quantile(ordinary, runs_in_all - 1 - runs_in_all // ODDS) if runs_in_all >= ODDS else -math.inf
+        model[kind] = (automaton, max(low - 1e-9, math.log(ODDS), high + 1e-9))
+    discard(forms)
     return model
 
 
@@ -264,8 +396,9 @@ class Verdicts(dict):
         self.plain, self.kinds = model[PLAIN][0], [(k, *m) for k, m in model.items() if k != PLAIN]
 
     def __missing__(self, run: str) -> str:
-        ordinary = self.plain.likelihood(run) if self.kinds else 0.0
-        score, kind = max(((likelihood(a, run) - ordinary - least, k) for k, a, least in self.kinds), default=(-1.0, ""))
+        form = form_of(run)
+        ordinary = self.plain.likelihood(form) if self.kinds else 0.0
+        score, kind = max(((form_likelihood(a, form) - ordinary - least, k) for k, a, least in self.kinds), default=(-1.0, ""))
         found = kind if score >= 0 else ""
         if len(run) <= LONG:
             if len(self) >= CACHE:
