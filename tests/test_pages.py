@@ -159,12 +159,12 @@ def test_evidence_and_documents(records, spark):
 
 
 def test_slices_of_a_batch_are_bounded_and_hold_every_row(spark):
-    from wayfold.sources import pages
-    sizes = [10] * 1234 + [pages.CHARACTERS * 2, 0, pages.CHARACTERS, 1] + [pages.CHARACTERS // 3] * 10
-    parts = list(pages.slices(sizes))
-    assert [i for p in parts for i in range(len(sizes))[p]] == list(range(len(sizes))) and list(pages.slices([])) == []
+    from wayfold.sources import markup, pages
+    sizes = [10] * 1234 + [markup.CHARACTERS * 2, 0, markup.CHARACTERS, 1] + [markup.CHARACTERS // 3] * 10
+    parts = list(markup.slices(sizes))
+    assert [i for p in parts for i in range(len(sizes))[p]] == list(range(len(sizes))) and list(markup.slices([])) == []
     for p in parts:
-        assert p.stop - p.start <= pages.ROWS and (sum(sizes[p]) <= pages.CHARACTERS or p.stop - p.start == 1)
+        assert p.stop - p.start <= markup.ROWS and (sum(sizes[p]) <= markup.CHARACTERS or p.stop - p.start == 1)
     df = spark.createDataFrame([(i, f"https://a{i}.example/", f"<title>T {i}</title>" if i % 7 else None) for i in range(1100)], "k long, url string, html string").coalesce(1)
     got = {r["k"]: r["title"] for r in pages.read_pages(df).select("k", "title").collect()}
     assert got == {i: f"T {i}" if i % 7 else None for i in range(1100)}

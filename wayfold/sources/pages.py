@@ -25,21 +25,6 @@ SANITISED = (
     "last_modified_hint string"
 )
 
-#: Rows and characters of HTML that are read before their columns are handed on; one larger page is read alone.
-ROWS, CHARACTERS = 500, 1 << 21
-
-
-def slices(sizes: list[int]) -> Iterator[slice]:
-    """The places of a batch in order, cut so that each slice holds at most ``ROWS`` rows and ``CHARACTERS`` characters."""
-    start = held = 0
-    for place, size in enumerate(sizes):
-        if place > start and (place - start >= ROWS or held + size > CHARACTERS):
-            yield slice(start, place)
-            start, held = place, 0
-        held += size
-    if sizes:
-        yield slice(start, len(sizes))
-
 
 def read_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Add the sanitised page columns.
@@ -55,7 +40,7 @@ def read_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in slices([len(h or "") for h in batch[html]]):
+            for part in markup.slices([len(h or "") for h in batch[html]]):
                 some = batch.iloc[part]
                 rows = [markup.read(h, u) for h, u in zip(some[html], some[url])]
                 out = pd.DataFrame(rows, columns=[f.name for f in extra.fields], dtype=object)
