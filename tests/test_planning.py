@@ -77,3 +77,24 @@ def test_fetch_list_reports_every_refusal(spark):
     got = {r["seq"]: r["reason"] for r in planning.fetch_list(spark.createDataFrame(rows, "campaign_id string, seq int, url string")).collect()}
     assert len(got) == 14 and [got[i] for i in range(8)] == [None] * 8 and got[8] == "DOMAIN_BUDGET"
     assert got[20] == "BLOCKED_HOSTNAME" and got[21] == "PLATFORM_DOMAIN"
+
+
+def test_plans_need_no_shuffle_of_queries_and_repeated_keys_share_one(spark):
+    schema = ("campaign_id string, channels array<string>, territories array<string>, genres array<string>, microgenres array<string>, "
+              "comparable_artists array<string>, scene string, radio_formats array<string>")
+    row = lambda k, artists: (k, ["PLAYLIST", "BLOG"], ["DE"], ["techno"], ["ebm"], artists, "club", ["college"])
+    rows = [row("a", ["Ana"]), row("b", ["Bo"]), row("b", ["Cy", "bo"]), row("b", ["Bo"]), row(None, ["Di"]), row(None, ["Ed"])]
+    df = spark.createDataFrame(rows, schema)
+    out = planning.campaign_queries(df, 500)
+    together = planning._interleaved_together
+    planning._interleaved_alone, kept = together, planning._interleaved_alone
+    try:
+        expected = planning.campaign_queries(df, 500)
+        assert out.schema.simpleString().count("place") == 1
+        assert sorted(map(str, out.select(*sorted(out.columns)).collect())) == sorted(map(str, expected.select(*sorted(out.columns)).collect()))
+    finally:
+        planning._interleaved_alone = kept
+    plan = planning._interleaved_alone(df.limit(1).selectExpr("campaign_id", "array(named_struct('family', 'F', 'query', 'q', 'territory', '', 'language', 'en')) AS plan"), ["campaign_id"], 3)
+    assert "hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+    keyed = [r for r in out.collect() if r["campaign_id"] == "b"]
+    assert len({r["query"].lower() for r in keyed}) == len(keyed) and {r["position"] for r in keyed} == set(range(1, len(keyed) + 1))

@@ -9,6 +9,7 @@ from wayfold import rules
 from wayfold.functions import text as tx
 from wayfold.functions import web
 from wayfold.operators.latest import cap_edges, first_n_per_key, ordered_distinct, round_robin
+from wayfold.session import spread
 
 PLAN = "array<struct<family:string,query:string,territory:string,language:string>>"
 
@@ -31,11 +32,47 @@ def _each(values: Column, build) -> Column:
     return F.flatten(F.transform(values, lambda v: F.array(*build(v))))
 
 
-def _interleaved(planned: DataFrame, keys, budget: int) -> DataFrame:
-    """First spelling of each query, families in turn, cut at the budget."""
+def _usable(query: Column) -> Column:
+    return query.isNotNull() & (F.length(query) > 0) & ~F.contains(query, F.lit("{"))
+
+
+def _interleaved(rows: DataFrame, plan: Column, keys, budget: int) -> DataFrame:
+    """First spelling of each query, families in turn, cut at the budget.
+
+    The plan of a key with one row is ordered inside that row, so no query travels; only the ids do, to find the keys
+    of several rows, whose queries are then ordered together.
+    """
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    several = rows.filter(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter("__rows > 1").select(*keys)
+    alone = spread(rows.filter(known).join(several, list(keys), "left_anti")).select(*keys, plan.cast(PLAN).alias("plan"))
+    shared = rows.filter(known).join(several, list(keys), "left_semi").unionByName(rows.filter(~known))
+    return _interleaved_alone(alone, keys, budget).unionByName(
+        _interleaved_together(shared.select(*keys, plan.cast(PLAN).alias("plan")), keys, budget))
+
+
+def _interleaved_alone(planned: DataFrame, keys, budget: int) -> DataFrame:
+    """The plans of keys with one row each, without a shuffle."""
+    clean = F.filter(F.transform("plan", lambda q, i: F.struct(
+        i.alias("place"), q["family"].alias("family"), tx.collapse_space(q["query"]).alias("query"),
+        q["territory"].alias("territory"), q["language"].alias("language"))), lambda q: _usable(q["query"]))
+    folds = F.transform("clean", lambda q: F.lower(F.trim(q["query"])))
+    unique = F.filter("clean", lambda q, i: F.array_position("folds", F.get("folds", i)) == i + 1)
+    in_turn = F.flatten(F.transform(F.array_distinct(F.transform("unique", lambda q: q["family"])), lambda f: F.transform(
+        F.filter("unique", lambda q: q["family"].eqNullSafe(f)), lambda q, i: F.struct(
+            (i + 1).alias("turn"), q["family"].alias("family"), q["place"].alias("place"), q["query"].alias("query"),
+            q["territory"].alias("territory"), q["language"].alias("language")))))
+    ordered = (planned.select(*keys, clean.alias("clean")).select(*keys, "clean", folds.alias("folds"))
+               .select(*keys, unique.alias("unique")).select(*keys, F.slice(F.sort_array(in_turn), 1, budget).alias("head")))
+    # outer: of an inner one Spark takes a filter on the size of the head, and works the plan out again inside it, once an element
+    return (ordered.select(*keys, F.posexplode_outer("head").alias("__at", "q")).filter(F.col("__at").isNotNull())
+            .select(*keys, "q.*", (F.col("__at") + 1).alias("position")))
+
+
+def _interleaved_together(planned: DataFrame, keys, budget: int) -> DataFrame:
     rows = planned.select(*keys, F.posexplode("plan").alias("place", "q")).select(*keys, "place", "q.*")
-    clean = rows.withColumn("query", tx.collapse_space("query")).filter(
-        F.col("query").isNotNull() & (F.length("query") > 0) & ~F.contains("query", F.lit("{")))
+    clean = rows.withColumn("query", tx.collapse_space("query")).filter(_usable(F.col("query")))
     unique = ordered_distinct(clean, keys, "query", ["place"])
     return round_robin(unique, keys, "family", ["place"], budget)
 
@@ -77,7 +114,7 @@ def campaign_queries(campaigns: DataFrame, budget: int = rules.DEFAULT_SEARCH_BU
         .otherwise(F.array().cast(PLAN)),
         F.transform(F.slice("radio_formats", 1, 2), lambda f: _row("RADIO", F.concat(f, F.lit(" radio format submissions")))),
         local_rows())
-    return _interleaved(campaigns.select("campaign_id", plan.cast(PLAN).alias("plan")), ["campaign_id"], budget)
+    return _interleaved(campaigns, plan, ["campaign_id"], budget)
 
 
 def promotion_queries(tenants: DataFrame, budget: int = rules.PROMOTION_SEARCH_CAP) -> DataFrame:
@@ -90,7 +127,7 @@ def promotion_queries(tenants: DataFrame, budget: int = rules.PROMOTION_SEARCH_C
             parts.append(F.transform(values, _filler(family, t, territory)))
     seeds = F.array(*[_row("SEED", F.lit(f'"{n}" pricing submission terms')) for n in rules.SEED_SERVICES])
     plan = F.concat(*parts, seeds)
-    return _interleaved(tenants.select("tenant_id", plan.cast(PLAN).alias("plan")), ["tenant_id"], budget)
+    return _interleaved(tenants, plan, ["tenant_id"], budget)
 
 
 def coverage_queries(watched: DataFrame, cap: int = rules.SWEEP_SEARCH_CAP) -> DataFrame:
