@@ -271,6 +271,20 @@ def test_contains_join_reads_a_text_twice_and_cuts_at_the_place(spark, tmp_path,
         assert excerpt == ("…" if a else "") + " ".join(text[a:b].split()) + ("…" if b < len(text) else "")
 
 
+def test_contains_join_moves_hashes_of_few_names_and_no_pieces(spark, frame, monkeypatch):
+    texts = frame([(i, f"x{i} nova super ring {'light ' * i}") for i in range(20)], "id int, text string", 3)
+    names = frame([(1, "the nova super"), (2, "x5 nova super ring"), (3, "ova"), (4, "t x")], "nid int, name string")
+    want = [(5, 2), *[(i, 3) for i in range(20)]]
+    for sent in (100, 0):
+        monkeypatch.setattr(containment, "SENT", sent)
+        out = containment.contains_join(texts, names, ["id"], "text", "name")
+        assert sorted((r["id"], r["nid"]) for r in out.collect()) == sorted(want)
+        plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        moved = next(k for k, line in enumerate(plan) if "RepartitionByExpression [id" in line)
+        assert "__id" in plan[moved + 1] and "__fold" not in plan[moved + 1]
+        assert ("rightHint=(strategy=broadcast)" in plan[moved + 2]) is (sent > 0) and "__piece" in plan[moved + 2]
+
+
 def test_term_search_counts_repeats_and_substrings(frame):
     pages = frame([("p1", "dubtechno radio"), ("p2", "radio"), ("p3", "nothing")], "page string, text string")
     queries = frame([("q", "submit techno techno radio music")], "q string, query string")

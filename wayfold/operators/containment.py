@@ -10,7 +10,9 @@ distinct words and the runs between them, and pieces meet names on equi-joins:
   the text; anchors are first matched against the vocabulary of all texts,
   which grows far slower than the texts do.
 
-Candidates carry keys only; the names are then sent to the whole text.
+Candidates carry keys and a hash of the name only; the names are looked up by
+it where the candidates of a text have met, and go to the whole text.  Two names of one
+hash are both looked for.
 The join side is left to Spark: a small name list is broadcast by its measured
 size, a large one is shuffled and split by AQE where it is hot.
 """
@@ -59,15 +61,17 @@ def inside(words: DataFrame, anchors: DataFrame, word: str, anchor: str) -> Data
 
 
 def _inner_anchors(names: DataFrame, scope: Sequence[str]) -> DataFrame:
-    each = names.filter(F.size("__words") >= 3).select(*scope, "__fold", F.explode(F.array_distinct(
+    each = names.filter(F.size("__words") >= 3).select(*scope, "__id", "__fold", F.explode(F.array_distinct(
         F.slice("__words", 2, F.size("__words") - 2))).alias("__piece"))
     shared = each.groupBy(*scope, "__piece").agg(F.count("*").alias("__n"))
-    return each.join(shared, [*scope, "__piece"]).groupBy(*scope, "__fold").agg(
-        F.min_by("__piece", F.struct("__n", -F.length("__piece"), "__piece")).alias("__piece"))
+    return each.join(shared, [*scope, "__piece"]).groupBy(*scope, "__id", "__fold").agg(
+        F.min_by("__piece", F.struct("__n", -F.length("__piece"), "__piece")).alias("__piece")).select(*scope, "__id", "__piece")
 
 
 #: Names that are checked together against one text.
 TOGETHER = 500
+#: Pieces with their names up to which they are sent to the texts' pieces.
+SENT = 200_000
 
 
 def contains_join(texts: DataFrame, names: DataFrame, key: Sequence[str], text: str, name: str,
@@ -84,27 +88,30 @@ def contains_join(texts: DataFrame, names: DataFrame, key: Sequence[str], text:
     """
     scope, key = list(scope), list(key)
     folded = names.withColumn("__fold", F.lower(name)).filter(F.length("__fold") > 0)
-    distinct = folded.select(*scope, "__fold").distinct().withColumn("__words", _all(F.col("__fold"), WORD))
+    distinct = folded.select(*scope, "__fold").distinct().withColumns({"__words": _all(F.col("__fold"), WORD), "__id": F.xxhash64("__fold")})
 
     offered = keep(spread(texts).filter(F.col(text).isNotNull())
                    .select(*scope, *key, F.explode(_pieces(F.lower(text))).alias("__piece")))
     longest = F.coalesce(F.try_element_at(F.array_sort(
         F.transform("__words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(1))["w"], F.col("__fold"))
-    short = distinct.filter(F.size("__words") < 3).select(*scope, "__fold", longest.alias("__anchor"))
+    short = distinct.filter(F.size("__words") < 3).select(*scope, "__id", longest.alias("__anchor"))
     vocabulary = offered.select("__piece").distinct()
     held = inside(vocabulary, short.select("__anchor").distinct(), "__piece", "__anchor")
-    meeting = _inner_anchors(distinct, scope).select(*scope, "__piece", "__fold").unionByName(
-        short.join(held, "__anchor").select(*scope, "__piece", "__fold"))
-
-    pairs = offered.join(meeting, [*scope, "__piece"]).select(*scope, *key, "__fold").distinct()
-    # a text that may hold very many names is checked in several rows, each with a bounded list
-    part = F.pmod(F.xxhash64("__fold"), F.col("__parts"))
-    size = pairs.groupBy(*scope, *key).agg(F.ceil(F.count("*") / TOGETHER).alias("__parts"))
-    asked = (pairs.join(size, [*scope, *key]).groupBy(*scope, *key, part.alias("__part"))
-             .agg(F.collect_list("__fold").alias("__folds")))
+    meeting = keep(_inner_anchors(distinct, scope).unionByName(
+        short.join(held, "__anchor").select(*scope, "__piece", "__id")))
+    # counted, as the optimizer cannot know it; else the pieces of all texts would move to meet a few
+    if meeting.limit(SENT + 1).count() <= SENT:
+        meeting = F.broadcast(meeting)
+
+    # candidates move once, by text; one that may hold very many names is checked in several rows, each with a bounded list
+    pairs = offered.join(meeting, [*scope, "__piece"]).select(*scope, *key, "__id").repartition(*scope, *key)
+    size = F.ceil(F.count("*").over(Window.partitionBy(*scope, *key)) / TOGETHER)
+    part = F.pmod(F.xxhash64("__id"), size).alias("__part")
+    asked = (pairs.select(*scope, *key, "__id", part).distinct().join(distinct.select(*scope, "__id", "__fold"), [*scope, "__id"])
+             .groupBy(*scope, *key, "__part").agg(F.collect_list("__fold").alias("__folds")))
     low = texts.join(asked, [*scope, *key]).withColumn("__low", F.lower(text))
     places = F.filter(F.transform("__folds", lambda f: F.struct(f.alias("__fold"), F.instr(F.col("__low"), f).alias("at"))), lambda p: p["at"] > 0)
-    found = low.withColumn("__places", places).filter(F.size("__places") > 0)
+    found = low.withColumn("__places", places)
     if excerpt_width is not None:
         found = found.withColumn("__places", F.transform("__places", lambda p: F.struct(
             p["__fold"].alias("__fold"), p["at"].alias("at"),
