@@ -105,3 +105,15 @@ def test_a_dossier_is_one_exchange_and_lists_are_bounded(spark):
         assert r["status"] == f"t{t}" and r["one_count"] == len(mine) and r["many_count"] == len(half)
         assert (r["one"] and r["one"]["seq"]) == (mine[0][1] if mine else None)
         assert [x["seq"] for x in r["many"]] == [q for _, q, _ in half[:3]]
+
+
+def test_a_row_of_several_logs_moves_once(spark):
+    logs = [(i % 7, i // 7 % 5, i, "OFR"[i % 3] if i % 11 else None) for i in range(300)]
+    spine = spark.createDataFrame([(i, f"t{i}") for i in range(9)], "target_id long, status string")
+    log = spark.createDataFrame(logs, "target_id long, at long, seq long, flag string").withColumn("at", F.timestamp_seconds("at"))
+    kinds = {"all": (F.lit(True), 0), "open": (F.col("flag") == "O", 2), "shut": (F.col("flag") == "F", 0)}
+    shared = dossier.wide_rows(spine, "target_id", {k: dossier.Log(log, "at", "seq", ("seq", F.upper("flag").alias("f")), n, w) for k, (w, n) in kinds.items()})
+    apart = dossier.wide_rows(spine, "target_id", {k: dossier.Log(log.filter(w), "at", "seq", ("seq", F.upper("flag").alias("f")), n) for k, (w, n) in kinds.items()})
+    assert sorted(shared.collect()) == sorted(apart.collect())
+    plan = shared._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2 and apart._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 4

@@ -415,8 +415,9 @@ LEFT JOIN (SELECT target_id, count(*) AS n, string_agg(flag || ' ' || decision |
   FROM rec GROUP BY 1) r ON r.target_id = t.target_id
 """, "targets campaigns outlets score_log")
 def target_dossier(spark, root):
-    log = bound(spark, root, "score_log")
-    named = lambda where, **values: log.filter(where).select("target_id", "created_at", "seq", *[v.alias(k) for k, v in values.items()])
+    log = bound(spark, root, "score_log").select(
+        "target_id", "created_at", "seq", "score", "risk_score", "decision", "flag", "line", "amount", "service_id")
+    named = lambda where, **values: dossier.Kind(log, F.expr(where), values)
     entry = F.concat_ws(" ", "decision", F.col("seq").cast("string"))
     none = F.array().cast("array<string>")
     out = dossier.target_dossiers(
