@@ -82,6 +82,33 @@ def test_join_of_nothing_and_of_null_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in out) == [(0, 0), (0, 0), (3, 3), (3, 3), (7, 3), (9, 3)]
 
 
+def test_parities_are_no_further_apart_than_their_sets():
+    rng = np.random.default_rng(7)
+    for n, m, both in [(1, 1, 0), (64, 65, 64), (300, 290, 280), (500, 520, 0), (1000, 900, 850), (130, 64, 3)]:
+        codes = rng.integers(0, 1 << 63, n + m - both).astype("uint64")
+        x, y = np.unique(codes[:n]), np.unique(codes[n - both:])
+        found = jaccard_join.distance(jaccard_join.parity(x), jaccard_join.parity(y))
+        assert found <= len(np.setxor1d(x, y)) and (found == 0) == (n + m == 2 * both)
+
+
+def test_sets_of_pairs_that_meet_by_chance_are_not_sent(spark, monkeypatch):
+    """Texts that share a passage and little else meet in its lists; only near copies may go on to the comparison of sets."""
+    rng, compared, hold = random.Random(9), [], jaccard_join.materialize
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join(rng.sample([f"w{i}" for i in range(5000)], 60) + passage) for _ in range(60)]
+    texts += [texts[0] + " end", texts[1] + " end"]
+
+    def counted(df, label="step"):
+        out = hold(df, label)
+        if label == "near-pairs":
+            compared.extend((r.a, r.b) for r in out.collect())
+        return out
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    out = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs(spark, texts)).collect()}
+    assert [out[i + 1] for i in range(62)] == [*range(1, 61), 1, 2]
+    assert len({frozenset(p) for p in compared}) == 2
+
+
 def test_small_subsets_cover_every_overlap():
     for n in range(1, 20):
         for m in range(n, 20):

@@ -14,7 +14,9 @@
    number of comparisons.  Last, every pair across components that meets early enough in both orders is compared.
    A link inside a component could not change it.
 
-Comparisons are exact on the sets of 64-bit shingle hashes.  Classes are told apart by 64 bits
+Comparisons are exact on the sets of 64-bit shingle hashes.  Before sets are sent, pairs are held against each other by
+parity bitmaps of one to two bits a shingle, whose distance is never above that of the sets: pairs that meet by chance end
+there, and no pair that links does.  Classes are told apart by 64 bits
 of a set's digest.  Lists are streamed in order by key, never collected.
 
 Defined cases: a null or blank text has an empty set and links with nothing; a text of fewer
@@ -81,6 +83,22 @@ def class_of(codes: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh64_intdigest(codes.tobytes()))))
 
 
+def parity(codes: np.ndarray) -> bytes:
+    """A bit for each value of the last bits of the codes: whether an odd number of codes has it."""
+    size = 1 << max(6, (len(codes) - 1).bit_length())
+    counts = np.bincount((codes & np.uint64(size - 1)).astype("int64"), minlength=size)
+    return np.packbits((counts & 1).astype("uint8")).tobytes()
+
+
+def distance(x: bytes, y: bytes) -> int:
+    """Bits in which two parities differ: at most the codes that only one of the two sets has."""
+    a, b = np.frombuffer(x, dtype="uint8"), np.frombuffer(y, dtype="uint8")
+    while len(a) != len(b):  # the halves of a parity together are that of one bit less
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def least_overlap(n: int, m: int, percent: int) -> int:
     """The smallest intersection at which sets of n and m shingles link."""
     return -(-percent * (n + m) // (100 + percent))
@@ -111,14 +129,14 @@ def boundary(histogram: dict[int, int], list_length: float, percent: int) -> int
 
 
 def facts(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: (id, n, class) per row; kind 1: (shingle, documents) for shingles seen in LOCAL documents at a time."""
+    """kind 0: (id, n, class, parity) per row; kind 1: (shingle, documents) for shingles seen in LOCAL documents at a time."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, held, size, seen = WordHashes(), [], 0, set()
         for batch in batches:
             sets = [shingles(t, width, hashes) for t in batch["text"]]
             names = [class_of(s) for s in sets]
             yield pd.DataFrame({"kind": 0, "id": batch["id"], "n": [len(s) for s in sets],
-                                "code": names}).astype({"kind": "int32", "n": "int32"})
+                                "code": names, "bits": [parity(s) if len(s) else None for s in sets]}).astype({"kind": "int32", "n": "int32"})
             for s, name in zip(sets, names):
                 if name in seen:
                     continue  # a copy: it is joined as its class
@@ -133,14 +151,14 @@ def facts(docs: DataFrame, width: int) -> DataFrame:
         if size:
             yield _heavy(held)
 
-    return map_batches(docs, run, "kind int, id long, n int, code long")
+    return map_batches(docs, run, "kind int, id long, n int, code long, bits binary")
 
 
 def _heavy(sets: list[np.ndarray]) -> pd.DataFrame:
     codes, counts = np.unique(np.concatenate(sets), return_counts=True)
     keep = counts >= LOCAL
     return pd.DataFrame({"kind": np.int32(1), "id": pd.Series([None] * int(keep.sum()), dtype="Int64"),
-                         "n": counts[keep].astype("int32"), "code": codes[keep].view("int64")})
+                         "n": counts[keep].astype("int32"), "code": codes[keep].view("int64"), "bits": None})
 
 
 def in_order(codes: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -194,8 +212,23 @@ def postings(docs: DataFrame, width: int, percent: int, limit: int, heavy: np.nd
     return map_batches(docs, run, "key long, cls long, n int, pos int")
 
 
+def near(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose parities are no further apart than those of sets that link."""
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            close = [distance(x, y) <= n + m - 2 * least_overlap(n, m, percent)
+                     for x, y, n, m in zip(batch["x"], batch["y"], batch["n"].tolist(), batch["m"].tolist())]
+            yield batch.loc[close, ["a", "b"]]
+
+    both = (pairs.join(one.select(F.col("cls").alias("a"), "n", F.col("bits").alias("x")), "a")
+            .join(one.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b"))
+    return map_batches(both.select("a", "b", "n", "m", "x", "y"), hold, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, one: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link.  ``one`` holds a document id for each class."""
+    """The pairs (a, b) of classes whose sets link.  ``one`` holds a document id, the size and the parity of each class."""
+    pairs = materialize(near(pairs, one, percent), "near-pairs")
+    one = one.select("cls", "id")
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(one, "cls")
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
     wanted = docs.join(F.broadcast(needed.select(bucket("id").alias("bucket")).distinct()),  # at most BUCKETS numbers
@@ -336,7 +369,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 85, id_col:
     shared = materialize(met.join(able, "cls").withColumn("root", F.col("cls")), "shared-lists")
     discard(met)
 
-    one = rows.where("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("id"))
+    one = materialize(seen.where("kind = 0 and n > 0 and id is not null").groupBy(F.col("code").alias("cls"))
+                      .agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("bits").alias("bits")), "classes")
     for turn in range(TURNS):
         pairs = materialize(pivot_pairs(shared, percent, turn), "pivot-pairs")
         links = materialize(verified(pairs, docs, one, width, percent), "pivot-links")
