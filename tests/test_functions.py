@@ -177,3 +177,19 @@ def test_needed_words_never_change_a_result(spark):
         p for _l, p in rules.COVERAGE_KIND_RULES + rules.TREND_RULES + rules.CATEGORY_RULES + rules.SERVICE_TYPE_RULES] + [rules.FREE_SUBMISSION_PATTERN, rules.FEE_PATTERN]
     differ = [F.sum((text.matches("t", p) != text.matches("t", p, folded=F.col("low"))).cast("int")).alias(f"d{i}") for i, p in enumerate(patterns)]
     assert set(df.agg(*differ).first()) == {0}
+
+
+def test_an_excerpt_looks_for_its_match_once(spark):
+    rows = [("a 𝄞 robots. Bots\nand more bots", r"\bbots\b"), ("no match known", None), (None, r"\bbots\b")]
+    df = spark.createDataFrame(rows, "t string, p string")
+    out = df.select(text.excerpt_around("t", F.col("p"), 4).alias("x"))
+    assert [r["x"] for r in out.collect()] == ["….  Bots a…".replace("  ", " "), None, None]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 2
+
+
+def test_first_place_is_counted_in_code_points_without_split(spark):
+    from wayfold.functions import passages
+    df = spark.createDataFrame([("a 𝄞 robots. Bots\nand more bots",), ("none",), ("",), (None,), ("bots",)], "t string")
+    out = df.select(passages.first_place(F.col("t"), r"\bbots\b|\bmore\b").alias("p"))
+    assert [r["p"] and (r["p"]["start"], r["p"]["end"]) for r in out.collect()] == [(12, 16), None, None, None, (0, 4)]
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()

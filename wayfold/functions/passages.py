@@ -13,25 +13,24 @@ from pyspark.sql import functions as F
 
 from wayfold import rules
 from wayfold.functions import text as tx
+from wayfold.functions.text import let
 
 PLACE = "struct<start:int,end:int>"
 EXCERPT_WIDTH = 180
 PRICE_WINDOW = 90
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _place(start: Column, length: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), (start + length).cast("int").alias("end"))
 
 
 def first_place(text: Column, pattern: str) -> Column:
-    """Start and end of the first match, null where there is none."""
+    """Start and end of the first match, null where there is none.
+
+    What stands before it is the text without the match and all that follows; ``split`` would compile the pattern for each row.
+    """
     regex = tx.UNICODE_I + pattern
-    gap = F.length(F.element_at(F.split(text, regex, 2), 1))
+    gap = F.length(F.regexp_replace(text, tx.UNICODE_I + f"(?:{pattern})(?s:.*)", ""))
     return let(F.length(F.regexp_extract(text, regex, 0)), lambda size: F.when(size > 0, let(gap, lambda start: _place(start, size))))
 
 
@@ -94,13 +93,15 @@ def block_signals(whole: Column, folded: Column | None = None) -> Column:
 def stated_facts(title: Column, body: Column, folded: Column | None = None) -> Column:
     """One item per fact stated, in the title or else the body, by the first match there."""
     def passage(text: Column, pattern: str, guarded: bool) -> Column:
-        place = F.when(tx.matches(text, pattern, folded=folded), first_place(text, pattern))
+        place = first_place(text, pattern)
         if guarded:
             place = let(place, lambda p: F.when(~is_negated(text, p["start"]), p))
         return around(text, place)
 
     def item(field: str, value: bool, label: str, pattern: str, guarded: bool) -> Column:
         excerpt = F.coalesce(passage(title, pattern, guarded), passage(body, pattern, guarded))
+        possible = tx.may_match(folded, pattern)
+        excerpt = excerpt if possible is None else F.when(possible, excerpt)
         return let(excerpt, lambda x: F.when(x.isNotNull(), F.struct(
             F.lit(field).alias("field"), F.lit(value).alias("value"), F.lit(label).alias("label"),
             x.alias("excerpt"), F.lit(0.7).alias("confidence"))))

@@ -20,6 +20,11 @@ def col_of(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 @lru_cache(maxsize=None)
 def needed_words(pattern: str) -> tuple[str, ...]:
     """Lower-case literals of which one must occur wherever the pattern does.
@@ -65,10 +70,23 @@ def matches(text, pattern: str, ignore_case: bool = True, folded: Column | None
     occurs at all, which a byte search decides far faster.
     """
     hit = F.coalesce(col_of(text).rlike((UNICODE_I if ignore_case else "(?U)") + pattern), F.lit(False))
+    possible = may_match(folded, pattern)
+    return hit if possible is None else possible & hit
+
+
+def may_match(folded: Column | None, pattern: str) -> Column | None:
+    """Does a word the pattern needs occur in the folded text?  None where that cannot be told."""
     words = needed_words(pattern) if folded is not None else ()
     if not words:
-        return hit
-    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(folded, F.lit(w)) for w in words]), F.lit(False)) & hit
+        return None
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(folded, F.lit(w)) for w in words]), F.lit(False))
+
+
+def all_matches(text, pattern: str, group: int, folded: Column | None = None) -> Column:
+    """A group of every match, with the ``folded`` text looked for only where a word the pattern needs occurs."""
+    found = F.regexp_extract_all(col_of(text), F.lit(UNICODE_I + pattern), F.lit(group))
+    possible = may_match(folded, pattern)
+    return found if possible is None else F.when(possible, found).otherwise(F.array().cast("array<string>"))
 
 
 def matches_any(text, patterns: Sequence[str], folded: Column | None = None) -> Column:
@@ -108,15 +126,22 @@ def excerpt_around(text, pattern: str | Column, width: int) -> Column:
     fixed = isinstance(pattern, str)
     core = F.lit(pattern) if fixed else pattern
     hit = matches(text, pattern) if fixed else pattern.isNotNull()
-    found = F.call_function("regexp_extract", text, F.concat(F.lit(UNICODE_I), core), F.lit(0))
-    before = F.call_function("regexp_extract", text, F.concat(
-        F.lit(f"(?s)^(.*?){UNICODE_I}(?:"), core, F.lit(")")), F.lit(1))
-    start = F.greatest(F.lit(0), F.length(before) - width // 2)
-    end = F.least(F.length(text), F.length(before) + F.length(found) + width // 2)
-    cut = F.substring(text, start + 1, end - start)
-    return F.when(hit, F.concat(
-        F.when(start > 0, F.lit("…")).otherwise(F.lit("")), collapse_space(cut),
-        F.when(end < F.length(text), F.lit("…")).otherwise(F.lit(""))))
+
+    def place(core: Column) -> Column:
+        found = F.call_function("regexp_extract", text, F.concat(F.lit(UNICODE_I), core), F.lit(0))
+        before = F.call_function("regexp_extract", text, F.concat(
+            F.lit(f"(?s)^(.*?){UNICODE_I}(?:"), core, F.lit(")")), F.lit(1))
+        return let(F.length(before), lambda start: F.struct(start.alias("start"), (start + F.length(found)).alias("end")))
+
+    def cut(place: Column) -> Column:
+        start = F.greatest(F.lit(0), place["start"] - width // 2)
+        end = F.least(F.length(text), place["end"] + width // 2)
+        return F.concat(
+            F.when(start > 0, F.lit("…")).otherwise(F.lit("")), collapse_space(F.substring(text, start + 1, end - start)),
+            F.when(end < F.length(text), F.lit("…")).otherwise(F.lit("")))
+    if fixed:
+        return F.when(hit, let(place(core), cut))
+    return let(core, lambda core: F.when(core.isNotNull(), let(place(core), cut)))
 
 
 def literal_excerpt(text, needle, width: int = 200) -> Column:

@@ -23,7 +23,8 @@ def page_state(status: Column, title: Column, text: Column) -> Column:
     """Real content, or an interstitial or error page standing in front of it."""
     whole = F.concat_ws(" ", F.when(F.length(title) > 0, title), F.when(F.length(text) > 0, text))
     return (F.when(F.coalesce(status >= 400, F.lit(False)), "ERROR")
-            .when(tx.matches_any(whole, rules.CHALLENGE_PATTERNS), "BOT_CHALLENGE")
+            .when(passages.let(whole, lambda whole: passages.let(
+                tx.fold(whole), lambda low: tx.matches_any(whole, rules.CHALLENGE_PATTERNS, low))), "BOT_CHALLENGE")
             .when(tx.matches(title, rules.ERROR_TITLE_PATTERN), "ERROR").otherwise("OK"))
 
 
@@ -45,20 +46,29 @@ def first_hit(text: Column, patterns, folded: Column | None = None) -> Column:
     return chain
 
 
-def submissions(text: Column, folded: Column | None = None) -> Column:
-    closed = tx.matches_any(text, rules.CLOSED_PATTERNS, folded)
-    is_open = tx.matches_any(text, rules.OPEN_PATTERNS, folded)
+def submission_hit(text: Column, folded: Column | None = None) -> Column:
+    """The first pattern about submissions that matches, those that close them first."""
+    return first_hit(text, [*rules.CLOSED_PATTERNS, *rules.OPEN_PATTERNS], folded)
+
+
+def submissions(text: Column, folded: Column | None = None, hit: Column | None = None) -> Column:
+    """Open or closed, by the rules' ``submission_hit`` where it is at hand."""
+    hit = submission_hit(text, folded) if hit is None else hit
+    closed = F.coalesce(hit.isin(rules.CLOSED_PATTERNS), F.lit(False))
     return F.struct(
-        F.when(closed, "CLOSED").when(is_open, "OPEN").otherwise("UNKNOWN").alias("state"),
-        F.when(closed, 0.85).when(is_open, 0.8).otherwise(0.0).alias("confidence"),
-        tx.excerpt_around(text, first_hit(text, [*rules.CLOSED_PATTERNS, *rules.OPEN_PATTERNS], folded), 160).alias("excerpt"))
+        F.when(closed, "CLOSED").when(hit.isNotNull(), "OPEN").otherwise("UNKNOWN").alias("state"),
+        F.when(closed, 0.85).when(hit.isNotNull(), 0.8).otherwise(0.0).alias("confidence"),
+        tx.excerpt_around(text, hit, 160).alias("excerpt"))
+
+
+def cost_signs(text: Column, folded: Column | None = None) -> tuple[Column, Column, Column]:
+    """Does the text speak of free submissions, of a fee, of advertising?"""
+    return tuple(tx.matches(text, p, folded=folded) for p in (rules.FREE_SUBMISSION_PATTERN, rules.FEE_PATTERN, rules.AD_OFFER_PATTERN))
 
 
-def cost(text: Column, label: Column, folded: Column | None = None) -> Column:
-    """Cost model ladder: guarantees, free, fee, advertising, unknown."""
-    free = tx.matches(text, rules.FREE_SUBMISSION_PATTERN, folded=folded)
-    fee = tx.matches(text, rules.FEE_PATTERN, folded=folded)
-    ad = tx.matches(text, rules.AD_OFFER_PATTERN, folded=folded)
+def cost(text: Column, label: Column, folded: Column | None = None, signs: tuple[Column, Column, Column] | None = None) -> Column:
+    """Cost model ladder: guarantees, free, fee, advertising, unknown; by the ``cost_signs`` where they are at hand."""
+    free, fee, ad = signs or cost_signs(text, folded)
     passage = F.regexp_extract(text, tx.UNICODE_I + rules.FEE_PATTERN, 0)
     money = [F.regexp_extract(passage, tx.UNICODE_I + rules.PAGE_MONEY, g) for g in range(5)]
     raw = F.when(money[2] != "", money[2]).otherwise(money[3])
@@ -109,11 +119,14 @@ def submission_links(links: Column) -> Column:
     return F.transform(F.filter(links, wanted), lambda k: F.struct(k["href"].alias("href"), k["text"].alias("text")))
 
 
-def freshness(hint: Column, text: Column) -> Column:
-    """What the page says about its own date: markup first, else the latest in the text."""
-    iso = F.regexp_extract_all(text, F.lit(tx.UNICODE_I + rules.ISO_DATE_PATTERN), F.lit(1))
-    month = F.regexp_extract_all(text, F.lit(tx.UNICODE_I + rules.MONTH_DATE_PATTERN), F.lit(1))
-    latest = F.array_max(F.concat(iso, month))
+def latest_date(text: Column, folded: Column | None = None) -> Column:
+    """The latest date in the text, null without one."""
+    return F.array_max(F.concat(*[tx.all_matches(text, p, 1, folded) for p in (rules.ISO_DATE_PATTERN, rules.MONTH_DATE_PATTERN)]))
+
+
+def freshness(hint: Column, text: Column, latest: Column | None = None) -> Column:
+    """What the page says about its own date: markup first, else the ``latest_date`` in the text."""
+    latest = latest_date(text) if latest is None else latest
     marked = F.length(hint) > 0
     return F.struct(
         F.when(marked, F.substring(hint, 1, 10)).otherwise(latest).alias("date"),
@@ -121,17 +134,21 @@ def freshness(hint: Column, text: Column) -> Column:
         F.when(marked, 0.8).when(latest.isNotNull(), 0.4).otherwise(0.0).alias("confidence"))
 
 
-def declared_links(links: Column, domain: Column) -> Column:
-    """First same-domain link per kind: terms, privacy, pricing, submission, contact."""
+def with_declared_links(records: DataFrame, links: str = "links", domain: str = "domain") -> DataFrame:
+    """Adds ``declared``, the first same-domain link per kind: terms, privacy, pricing, submission, contact.
+
+    The links of the own domain are picked once, and each kind is a column of its own, so that it is looked for once and only where it is read.
+    """
     def own(link: Column) -> Column:
         return (F.lower(link["href"]).rlike("^https?://")
-                & (web.registrable_domain(web.host_of(link["href"])) == domain))
-    mine = F.filter(F.coalesce(links, F.array().cast("array<struct<href:string,raw_href:string,text:string>>")), own)
+                & (web.registrable_domain(web.host_of(link["href"])) == F.col(domain)))
+    mine = F.filter(F.coalesce(F.col(links), F.array().cast("array<struct<href:string,raw_href:string,text:string>>")), own)
 
     def reads_like(pattern: str):
         return lambda link: tx.matches(F.concat_ws(" ", link["href"], F.coalesce(link["text"], F.lit(""))), pattern)
-    return F.struct(*[F.try_element_at(F.filter(mine, reads_like(pattern)), F.lit(1))["href"].alias(name)
-                      for name, pattern in rules.DECLARED_LINKS])
+    kinds = {f"__{name}": F.try_element_at(F.filter("__own", reads_like(pattern)), F.lit(1))["href"] for name, pattern in rules.DECLARED_LINKS}
+    return (records.withColumn("__own", mine).withColumns(kinds)
+            .withColumn("declared", F.struct(*[F.col(f"__{name}").alias(name) for name, _ in rules.DECLARED_LINKS])).drop("__own", *kinds))
 
 
 def extract(sanitised: DataFrame, url: str = "url", status: str = "http_status", offers: bool = False) -> DataFrame:
@@ -143,6 +160,7 @@ def extract(sanitised: DataFrame, url: str = "url", status: str = "http_status",
             .withColumn("domain", web.registrable_domain(web.host_of(url)))
             .withColumn("whole_text", joined_text("title", "meta_description", "visible_text"))
             .withColumns({"folded_whole": tx.fold("whole_text"), "folded_text": tx.fold("visible_text"), "folded_hidden": tx.fold("hidden_text"),
+                          "folded_url": tx.fold(url),
                           "page_state": page_state(code, title, text)})
             .withColumn("matches", class_matches(F.col("whole_text"), title, F.col("folded_whole"))))
     best = F.array_max("matches")
@@ -160,19 +178,23 @@ def extract(sanitised: DataFrame, url: str = "url", status: str = "http_status",
             "signals": passages.block_signals(F.col("whole_text"), whole),
             "facts": passages.stated_facts(title, F.col("__body"), whole),
             "prices": passages.stated_prices(text)}).drop("__body")
+    # what several fields of a record build on is a column of its own, worked out once
+    signs = dict(zip(("__free", "__fee", "__ad"), cost_signs(text, low)))
+    judged = judged.withColumns({"__hit": submission_hit(text, low), **signs, "__dated": latest_date(text, low)})
     return judged.withColumns({
-        "submissions": submissions(text, low),
-        "cost": cost(text, F.col("classification.label"), low),
+        "submissions": submissions(text, hit=F.col("__hit")),
+        "cost": cost(text, F.col("classification.label"), signs=tuple(F.col(c) for c in signs)),
         "genres": tx.genres_in("whole_text", F.col("folded_whole")),
         "contacts": contact_candidates(F.col("emails")),
         "submission_links": submission_links(F.col("links")),
         "requires_login": tx.matches_any(text, rules.LOGIN_PATTERNS, low),
         "requires_captcha": tx.matches(
             F.concat_ws(" ", text, F.array_join(F.transform("links", lambda k: k["href"]), " ")), rules.CAPTCHA_PATTERN),
-        "freshness": freshness(F.col("last_modified_hint"), text),
+        "freshness": freshness(F.col("last_modified_hint"), text, F.col("__dated")),
         "outlet_name": outlet_name(title, F.col("domain")),
         "injection_findings": tx.injection_labels("hidden_text", "visible_text", url, folded=[
-            F.col("folded_hidden"), low, tx.fold(url)])}).drop("folded_whole", "folded_text", "folded_hidden")
+            F.col("folded_hidden"), low, F.col("folded_url")])}).drop(
+                "folded_whole", "folded_text", "folded_hidden", "folded_url", "__hit", "__dated", *signs)
 
 
 def is_offer_page(whole: Column) -> Column:

@@ -32,11 +32,11 @@ def page_packets(records: DataFrame) -> DataFrame:
     known pricing_url where there is one.
     """
     whole, text = F.col("whole_text"), F.col("visible_text")
-    links = page_facts.declared_links(F.col("links"), F.col("domain"))
     known = F.col("pricing_url") if "pricing_url" in records.columns else F.lit(None).cast("string")
-    base = (records.withColumn("declared", links)
-            .withColumn("category", tx.first_label(None, whole, rules.CATEGORY_RULES))
-            .withColumn("types", tx.all_labels(whole, rules.SERVICE_TYPE_RULES))
+    low = F.col("__low")
+    base = (page_facts.with_declared_links(records).withColumn("__low", tx.fold(whole))
+            .withColumn("category", tx.first_label(None, whole, rules.CATEGORY_RULES, folded=low))
+            .withColumn("types", tx.all_labels(whole, rules.SERVICE_TYPE_RULES, low))
             .withColumn("wall", F.when(F.col("prices").isNull(), page_facts.price_login_wall(
                 whole, text, F.col("requires_login"), F.col("url"), known))))
     # the passage that names the category, or else the first service type

@@ -171,7 +171,7 @@ SELECT b.service_id, domain, title, CASE WHEN service_id % 7 = 0 THEN 'ERROR' WH
  'https://' || domain || '/about' AS contact_url, NULL AS terms_url FROM b
 """, "services")
 def built_page_records(spark, root):
-    rows = page_facts.page_records(built_pages(spark, root)).withColumn("declared", page_facts.declared_links(F.col("links"), F.col("domain")))
+    rows = page_facts.with_declared_links(page_facts.page_records(built_pages(spark, root)))
     return rows.select(
         "service_id", "domain", "title", "page_state", "outlet_name", F.col("classification.label").alias("label"), F.col("submissions.state").alias("submissions_open"),
         F.array_join(F.transform("contacts", lambda c: F.concat_ws(" ", c["value"], c["origin"], F.when(c["role_based"], "role"))), ",").alias("contacts"),
