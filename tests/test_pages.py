@@ -168,3 +168,22 @@ def test_slices_of_a_batch_are_bounded_and_hold_every_row(spark):
     df = spark.createDataFrame([(i, f"https://a{i}.example/", f"<title>T {i}</title>" if i % 7 else None) for i in range(1100)], "k long, url string, html string").coalesce(1)
     got = {r["k"]: r["title"] for r in pages.read_pages(df).select("k", "title").collect()}
     assert got == {i: f"T {i}" if i % 7 else None for i in range(1100)}
+
+
+def test_ids_beside_nulls_stay_whole_and_a_filter_reads_no_page_again(spark):
+    from wayfold.sources import pages
+    rows = [(2 ** 53 + 1, "https://a.example/", "<title>A</title>"), (None, "https://b.example/", "<title>B</title>"), (7, None, None)]
+    read = pages.read_pages(spark.createDataFrame(rows, "k long, url string, html string").coalesce(1))
+    assert {(r["k"], r["title"]) for r in read.collect()} == {(2 ** 53 + 1, "A"), (None, "B"), (7, None)}
+    plan = read.filter("title = 'A'").select("k", "title", "links")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_own_links_are_picked_once(spark):
+    df = spark.createDataFrame([("https://a.example/", "<a href='/terms'>T</a><a href='https://b.org/about'>x</a><a href='/about'>A</a>")], "url string, html string")
+    out = page_facts.with_declared_links(page_facts.page_records(df)).select("declared.*")
+    assert out.first().asDict() == {"terms_url": "https://a.example/terms", "privacy_url": None, "pricing_url": None, "submission_url": None,
+                                    "contact_url": "https://a.example/about"}
+    plan = page_facts.with_declared_links(df.selectExpr("url AS domain", "array(struct(url AS href, html AS raw_href, html AS text)) AS links")).select(
+        "declared.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("https?://") == 1

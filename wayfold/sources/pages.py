@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wayfold import rules
 from wayfold.session import spread
@@ -33,18 +36,17 @@ def read_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     a page is never cut: one too large is refused by the admission rule instead.
     However many rows a batch has, the columns of one slice of it are held at a time.
     """
-    kept = [f for f in pages.schema.fields if f.name != html]
+    kept = [f.name for f in pages.schema.fields if f.name != html]
     extra = T._parse_datatype_string(SANITISED)
-    schema = T.StructType([*kept, *extra.fields])
-    names = [f.name for f in kept]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in markup.slices([len(h or "") for h in batch[html]]):
-                some = batch.iloc[part]
-                rows = [markup.read(h, u) for h, u in zip(some[html], some[url])]
-                out = pd.DataFrame(rows, columns=[f.name for f in extra.fields], dtype=object)
-                out.index = some.index
-                yield pd.concat([some[names], out], axis=1)
-
-    return spread(pages).mapInPandas(run, schema)
+    kind = to_arrow_type(extra)
+
+    @F.arrow_udf(extra)
+    def page_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for bodies, addresses in batches:
+            for part in markup.slices(pc.fill_null(pc.utf8_length(bodies), 0).to_pylist()):
+                rows = zip(bodies[part].to_pylist(), addresses[part].to_pylist())
+                yield pa.array([markup.read(h, u) for h, u in rows], type=kind)
+
+    # as one that may differ from call to call, no filter on its columns reads a page a second time
+    read = spread(pages).withColumn("__page", page_of.asNondeterministic()(F.col(html), F.col(url)))
+    return read.select(*kept, *[F.col("__page")[f.name].alias(f.name) for f in extra.fields])
