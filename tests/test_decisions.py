@@ -328,3 +328,16 @@ def test_stop_rules(frame):
     got = {r["campaign_id"]: r["stop_reason"] for r in reporting.stop_reason(rows).collect()}
     assert got == {"a": "Duplicate rate 67% — diminishing returns", "b": "Qualified yield 3% — diminishing returns", "c": "Search budget reached (24/24)", "d": None,
                    "e": "Campaign cancelled by user"}
+
+
+def test_service_list_is_dealt_by_its_keys(spark):
+    from wayfold.session import PART_ROWS, parts_for
+    assert parts_for(spark, 1000 * PART_ROWS + 1) == 1001 and parts_for(spark, 0) == spark.sparkContext.defaultParallelism
+    df = spark.createDataFrame([(1, 1, "SCREENED", "b", 5, 0), (1, 2, "BLOCKED", "a", 9, 0), (1, 3, "SCREENED", "c", None, 0), (1, 1, "SCREENED", "b", 7, 1)],
+                               "campaign_id int, service_id int, screening_status string, name string, fit_score int, seq int")
+    log = df.withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    pairs = df.filter("seq = 0").drop("fit_score").withColumns({c: F.lit(None).cast("timestamp") for c in ("next_review_at", "last_screened_at", "pricing_last_verified_at")}) \
+        .withColumns({"pricing_min": F.lit(1.0), "service_types": F.array(F.lit("PRESS_PR"))})
+    out = promotion.campaign_services(pairs, log, "all", "2024-03-01 00:00:00", 37)
+    assert [(r["service_id"], r["fit_score"]) for r in out.collect()] == [(1, 7), (3, None), (2, None)]
+    assert out._jdf.queryExecution().executedPlan().toString().count("service_id#") and "37), REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()

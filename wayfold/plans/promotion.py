@@ -325,8 +325,13 @@ def service_filter(view: str = "all", service_type=None, genre=None, territory=N
     return cond
 
 
-def campaign_services(pairs: DataFrame, fits: DataFrame, view: str, as_of, **filters) -> DataFrame:
-    """Service list of each campaign: safety group first, then fit, unknown fit last."""
+def campaign_services(pairs: DataFrame, fits: DataFrame, view: str, as_of, parts: int | None = None, **filters) -> DataFrame:
+    """Service list of each campaign: safety group first, then fit, unknown fit last.
+
+    With ``parts``, both sides are dealt to so many by their keys, whatever sizes Spark expects of them.
+    """
+    if parts:
+        pairs, fits = (side.repartition(parts, "campaign_id", "service_id") for side in (pairs, fits))
     newest = newest_per_key(fits, ["campaign_id", "service_id"], ["created_at", "seq"], ["fit_score"])
     rows = (pairs.filter(service_filter(view, **filters)).join(newest, ["campaign_id", "service_id"], "left")
             .withColumn("fit_score", F.when(F.col("screening_status") != "BLOCKED", F.col("fit_score")))

@@ -12,6 +12,7 @@ from wayfold.operators import folds, graph, joins, latest, quality, upsert
 from wayfold.operators.labels import Labels
 from wayfold.plans import contacts, entities, outreach, promotion, reporting, scoring
 from wayfold.registry.base import TRADE_AS_OF, bound, micros, query
+from wayfold.session import parts_for
 
 NEWEST_SCORE = """newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY created_at DESC, seq DESC) AS rn
  FROM score_log) WHERE rn = 1)"""
@@ -255,10 +256,16 @@ def campaign_fit(spark, root):
     return fits(spark, root).select("campaign_id", "service_id", "fit_score")
 
 
+def pair_parts(spark, root):
+    """Parts for the pairs of the score log, by its number of rows, which Spark reads off the files' footers."""
+    return parts_for(spark, bound(spark, root, "score_log").count())
+
+
 def fits(spark, root):
+    # nearly all pairs differ, so a fold before the shuffle would only hold them all in memory
     pairs = (bound(spark, root, "score_log").select("target_id", "service_id")
              .join(bound(spark, root, "targets").select("target_id", "campaign_id"), "target_id")
-             .select("campaign_id", "service_id").distinct())
+             .select("campaign_id", "service_id").repartition(pair_parts(spark, root), "campaign_id", "service_id").distinct())
     none = F.array().cast("array<string>")
     channels = {"BUILDING": "PLAYLIST", "AUTOMOBILE": "BLOG", "MACHINERY": "DJ"}
     campaigns = bound(spark, root, "campaigns").select("campaign_id", "promotion_budget", F.array_compact(
@@ -292,7 +299,7 @@ def campaign_service_list(spark, root):
     pairs = log.select("campaign_id", "service_id", "name", "screening_status", "pricing_min", "service_types").withColumns({
         "next_review_at": F.lit(None).cast("timestamp"), "last_screened_at": F.lit(None).cast("timestamp"),
         "pricing_last_verified_at": moment(TRADE_AS_OF)})
-    return promotion.campaign_services(pairs, log, "all", TRADE_AS_OF).select(
+    return promotion.campaign_services(pairs, log, "all", TRADE_AS_OF, pair_parts(spark, root)).select(
         "campaign_id", "service_id", "name", "screening_status", "fit_score", "stale", "pricing_current")
 
 

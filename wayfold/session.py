@@ -76,6 +76,15 @@ def discard(*tables: DataFrame) -> None:
 #: Bytes up to which ``spread`` deals an input anew.
 SMALL = 1 << 30
 
+#: Rows that a part has about where a step sorts or folds its rows in memory.
+PART_ROWS = 1 << 18
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Parts that so many rows are dealt to, so that what a task holds does not grow with the table."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
+
+
 _kept: list[DataFrame] = []
 
 
